@@ -161,10 +161,12 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def predicted(batches):
         m = sent.value
         for batch in batches:
-            out = [m.predict(t) for t in batch.column(len(kept)).to_pylist()]
+            out = [m.predict(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())], names=[*kept, "lang_pred", "score", "ambiguous"])
 
-    rows = df.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias("__text"))
+    has_text = text_col in kept and df.schema[text_col].dataType.simpleString() == "string"
+    at = kept.index(text_col) if has_text else len(kept)
+    rows = df.select(*[F.col(c) for c in kept], *([] if has_text else [F.col(text_col).cast("string").alias("__text")]))
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     return rows.mapInArrow(predicted, f"{fields}, lang_pred string, score double, ambiguous boolean")
 

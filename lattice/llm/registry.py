@@ -7,7 +7,9 @@ import importlib
 _MODULES = {
     "op1_chat_formatting": "chat_format",
     "op2_language_id": "language_id",
+    "op3_substring_dedup": "compact_windows",
     "op4_bpe_automaton": "bpe_automaton",
+    "op5_minhash_near_dedup": "minhash_dedup",
     "op6_benchmark_decontamination": "decontaminate",
     "op7_url_filter": "url_filter",
     "op8_quality_rules": "quality_rules",

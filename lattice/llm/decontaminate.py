@@ -4,9 +4,11 @@ A benchmark item's windows (``window`` successive words, or the whole of a short
 over the documents finds every occurrence of any of these shingles and so their exact counts, by which a window's shingles
 are ordered. For full containment the necessary prefix is the rarest shingle alone: only its occurrences are joined
 to windows, and a window one of whose shingles nowhere occurs is gone at once. Where the window would begin before or
-end after the document, the occurrence is dropped; what is left is compared word by word.
+end after the document, the occurrence is dropped; what is left is verified to hold every shingle of the window, each at its
+place. Shingles are known by 64-bit digests, so a window of ten words is verified by seven of them in a row.
 
-DataFrame functions do all the work. Documents' words are never shuffled unless the verified candidates outgrow a broadcast.
+DataFrame functions do all the work. Documents' texts and words are never shuffled, only occurrences of shingles that some
+item has.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ WINDOW = 10
 SHINGLE = 4
 #: What stands between words; A-Z are lower-cased afterwards, word by word.
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows of benchmark shingles and bytes of candidates up to which they are broadcast; beyond, they are joined by shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+#: Rows of benchmark shingles up to which they are broadcast, after they were counted; beyond, they are joined by shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def _raw_words(text: Column) -> Column:
@@ -61,75 +63,69 @@ def windows_of(benchmark: DataFrame, item_col: str, text_col: str, window: int)
     return each.groupBy("win").agg(F.collect_set("item").alias("items")).select("win", F.size("win").alias("n"), F.least(F.size("win"), F.lit(SHINGLE)).alias("s"), "items")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW) -> DataFrame:
-    """The id and the columns ``keep`` as they are, n_words, n_hit (words inside an occurring window), n_items (whose
-    windows occur) and items (their ids as strings, sorted), of every document row.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The id, text_digest (xxhash64 of the text), n_words, n_hit (words inside an occurring window), n_items (whose windows
+    occur) and items (their ids as strings, sorted), of every document row.
 
     A null text has no words; an item without words has no windows, and items with a null id are left out. Rows are judged
-    each by its own text, repeated or not. Other columns are ignored. Either table may be empty.
+    each by its own text, repeated or not: a row is known by its id and its text's digest. Other columns are ignored.
+    Either table may be empty.
     """
-    kept = list(dict.fromkeys([id_col, *keep]))
     text = F.col(text_col).cast("string")
-    # the text's digest besides the id: rows of one id may have different texts
-    rows = docs.select(*[F.col(c) for c in kept], F.col(id_col).alias("__id"), F.xxhash64(text).alias("__t"), F.coalesce(text, F.lit("")).alias("__text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.coalesce(text, F.lit("")).alias("text"))
     windows = cut(windows_of(benchmark, item_col, item_text_col, window))
     sizes = sorted(r["s"] for r in windows.select("s").distinct().collect())  # at most SHINGLE numbers
-    empty = F.array().cast("array<struct<start:int,win:array<string>,items:array<string>>>")
+    counted = rows.select("id", "t", F.size(_raw_words(F.col("text"))).cast("long").alias("n_words"))
+    none = F.array().cast("array<string>")
     if sizes:
-        cands = cut(_candidates(rows.select("__id", "__t", "__text"), windows, sizes))
-        bytes_ = cands.agg(F.sum(F.col("bytes"))).first()[0] or 0
-        cands = cands.drop("bytes")
-        cands = F.broadcast(cands) if bytes_ <= BROADCAST_BYTES else cands
-        joined = rows.join(cands.withColumnsRenamed({"__id": "__id2", "__t": "__t2"}), F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__t") == F.col("__t2")), "left")
+        hits = occurrences(rows, windows, sizes)
+        each = hits.groupBy("id", "t").agg(F.collect_set(F.struct("start", "n")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        # words in the union of the spans: their places, each once
+        hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))))
+        per_doc = each.select(F.col("id").alias("id2"), F.col("t").alias("t2"), hit.cast("long").alias("hit"), "items")
+        judged = counted.join(per_doc, F.col("id").eqNullSafe(F.col("id2")) & (F.col("t") == F.col("t2")), "left")
     else:
-        joined = rows.withColumn("cands", F.lit(None).cast(empty_type()))
-    split = joined.select(*kept, _raw_words(F.col("__text")).alias("words"), "cands")
-    checked = split.select(
-        *kept,
-        F.size("words").cast("long").alias("n_words"),
-        F.when(F.col("cands").isNull(), empty).otherwise(F.filter("cands", lambda c: F.transform(F.slice("words", c["start"], F.size(c["win"])), lower_ascii) == c["win"])).alias("hits"),
-    )
-    hit = F.when(F.size("hits") == 0, 0).otherwise(F.size(F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + F.size(c["win"]) - 1))))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["items"]))))
-    out = checked.select(*kept, "n_words", hit.cast("long").alias("n_hit"), items.alias("items"))
-    return out.select(*kept, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items")
-
-
-def empty_type() -> str:
-    return "array<struct<start:int,win:array<string>,items:array<string>>>"
-
-
-def _candidates(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
-    """__id, __t, cands (start, win, items) and bytes: where windows may occur, once for each id and text."""
-    # the windows' shingles: w numbers windows by their digest and words
-    listed = windows.select("win", "n", "s", "items", F.col("win").alias("words"))
-    digests = with_shingles(listed, sizes)
+        judged = counted.select("*", F.lit(0).cast("long").alias("hit"), none.alias("items"))
+    items = F.coalesce("items", none)
+    return judged.select(F.col("id").alias(id_col), F.col("t").alias("text_digest"), "n_words", F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"))
+
+
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def occurrences(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """id, t, start (place from 0), n and items: every occurrence of a window in rows (id, t, text), once for each id and
+    text."""
+    digests = with_shingles(windows.select(F.xxhash64("win").alias("w"), "n", "s", "items", F.col("win").alias("words")), sizes)
     own = F.coalesce(*[F.when(F.col("s") == s, F.col(f"d{s}")) for s in sizes])
-    shingles = cut(digests.select("win", "n", "s", "items", F.posexplode(own).alias("offset", "h")))
-    known = shingles.select("s", "h").distinct()
-    if known.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-    split = rows.select("__id", "__t", _raw_words(F.col("__text")).alias("words"))
-    counted = split.select("__id", "__t", F.size("words").alias("n_words"), "words")
-    placed = with_shingles(counted, sizes)
+    shingles = cut(digests.select("w", "n", "s", "items", F.size(own).alias("shingles"), F.posexplode(own).alias("offset", "h")))
+    known = _bounded(shingles.select("s", "h").distinct(), BROADCAST_ROWS)
+    split = rows.select("id", "t", _raw_words(F.col("text")).alias("words"))
+    placed = with_shingles(split.select("id", "t", F.size("words").alias("n_words"), "words"), sizes)
     found = None
     for s in sizes:
         # outer: else a filter on the array's size is inferred and pushed to the scan, where the array is computed many times
-        one = placed.select("__id", "__t", "n_words", F.lit(s).alias("s"), F.posexplode_outer(f"d{s}").alias("pos", "h")).join(known.filter(F.col("s") == s).drop("s"), "h", "left_semi")
+        one = placed.select("id", "t", "n_words", F.lit(s).alias("s"), F.posexplode_outer(f"d{s}").alias("pos", "h")).join(known.filter(F.col("s") == s).drop("s"), "h", "left_semi")
         found = one if found is None else found.unionByName(one)
-    found = cut(found.select("__id", "__t", "n_words", "s", "h", "pos"))
+    found = cut(found.select("id", "t", "n_words", "s", "h", "pos"))
     # order by rarity; a shingle that never occurs rules its windows out
     counts = found.groupBy("s", "h").agg(F.count("*").alias("rarity"))
     ordered = shingles.join(counts, ["s", "h"], "left").withColumn("rarity", F.coalesce("rarity", F.lit(0)))
-    prefix = ordered.groupBy("win").agg(F.min_by(F.struct("s", "h", "offset", "n", "items"), F.struct("rarity", "h", "offset")).alias("x"), F.min("rarity").alias("rarity"))
-    prefix = cut(prefix.filter(F.col("rarity") > 0).select("win", "x.*"))
-    if prefix.count() <= BROADCAST_ROWS // 10:
-        prefix = F.broadcast(prefix)
+    prefix = ordered.groupBy("w").agg(F.min_by(F.struct("s", "h", "offset", "n", "shingles"), F.struct("rarity", "h", "offset")).alias("x"), F.min("rarity").alias("rarity"))
+    prefix = _bounded(cut(prefix.filter(F.col("rarity") > 0).select("w", "x.*")), BROADCAST_ROWS // 10)
     start = F.col("pos") - F.col("offset")
-    # positional and length bounds; places count from 0 here
+    # positional and length bounds
     fits = found.join(prefix, ["s", "h"]).filter((start >= 0) & (start + F.col("n") <= F.col("n_words")))
-    each = fits.select("__id", "__t", F.struct((start + 1).cast("int").alias("start"), "win", "items").alias("c"), (F.length(F.array_join("win", "")) + 24 * F.size("win") + 32 * F.size("items") + 64).alias("bytes")).distinct()
-    return each.groupBy("__id", "__t").agg(F.collect_list("c").alias("cands"), F.sum("bytes").alias("bytes"))
+    candidates = fits.select("id", "t", "w", "n", "shingles", start.alias("start")).distinct()
+    # containment: every shingle of the window stands at its own place
+    parts = _bounded(shingles.select("w", "s", "h", "offset"), BROADCAST_ROWS)
+    wanted = candidates.join(parts, "w").select("id", "t", "w", "n", "shingles", "start", "s", "h", (F.col("start") + F.col("offset")).alias("pos"))
+    there = found.select(F.col("id").alias("id2"), "t", "s", "h", "pos").distinct()
+    met = wanted.join(there, F.col("id").eqNullSafe(F.col("id2")) & (wanted["t"] == there["t"]) & (wanted["s"] == there["s"]) & (wanted["h"] == there["h"]) & (wanted["pos"] == there["pos"])).select("id", wanted["t"], "w", "n", "shingles", "start")
+    whole = met.groupBy("id", "t", "w", "start").agg(F.count("*").alias("c"), F.first("shingles").alias("shingles"), F.first("n").alias("n")).filter("c = shingles")
+    items = _bounded(shingles.filter("offset = 0").select("w", "items"), BROADCAST_ROWS // 10)
+    return whole.join(items, "w").select("id", "t", "start", "n", "items")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

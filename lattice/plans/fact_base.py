@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import text as T
-from ..operators import extract, resolve
+from ..operators import declarations, extract, resolve
 
 
 class FactBase:
@@ -177,3 +177,15 @@ class FactBase:
         """rel, table and first line of files that name a declared table outside its declaration."""
         words = self.lines.filter("language <> 'sql'").select("rel", "line_no", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z_][a-z0-9_]*)"), 1))).alias("word"))
         return words.join(self.tables.select(F.expr("substring(table, 7)").alias("word"), "table").distinct(), "word").groupBy("rel", "table").agg(F.min("line_no").alias("line"))
+
+    @cached_property
+    def contracts(self) -> DataFrame:
+        return declarations.contracts(self.files)
+
+    @cached_property
+    def scripts(self) -> DataFrame:
+        return declarations.scripts(self.files)
+
+    @cached_property
+    def ci_steps(self) -> DataFrame:
+        return declarations.ci_steps(self.lines).withColumn("purpose", declarations.step_kind(F.col("command")))

@@ -197,3 +197,54 @@ def coverage(facts: FactBase) -> DataFrame:
 def max_risk(levels: DataFrame) -> DataFrame:
     """The highest of the levels (level)."""
     return levels.agg(name_of(F.max(rank_of(F.col("level"), RISKS)), RISKS).alias("level"))
+
+
+def files(facts: FactBase, limit: int = 200) -> DataFrame:
+    """The first files by path, with how many there are."""
+    return bounds.top_k(facts.files.select("rel", "kind", "language").withColumn("g", F.lit(1)), ["g"], [F.col("rel")], limit).drop("g")
+
+
+def place(facts: FactBase, kind: str, limit: int = 10) -> DataFrame:
+    """Where files of a kind live: directories with the most of them, the usual extension and an example."""
+    at = facts.files.filter(F.col("kind") == kind).select(T.parent(F.col("rel")).alias("directory"), "ext", "rel")
+    exts = at.groupBy("directory", "ext").agg(F.count("*").alias("n"), F.min("rel").alias("example"))
+    best = exts.groupBy("directory").agg(F.sum("n").alias("files"), F.max_by("ext", F.struct("n", "ext")).alias("ext"), F.min("example").alias("example"))
+    return best.orderBy(F.desc("files"), "directory").limit(limit)
+
+
+def teach(facts: FactBase, least: int = 2) -> DataFrame:
+    """A draft of role patterns: for each role, the directories that hold at least so many of its files and no others."""
+    rows = facts.files.select(T.parent(F.col("rel")).alias("directory"), "rel", F.explode_outer("roles").alias("role"))
+    totals = rows.groupBy("directory").agg(F.count_distinct("rel").alias("files"))
+    by_role = rows.filter("role IS NOT NULL").groupBy("role", "directory").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return by_role.join(totals, "directory").filter("n = files").select("role", F.concat("directory", F.lit("/**")).alias("glob"), "n")
+
+
+def anchors(facts: FactBase, config: DataFrame) -> DataFrame:
+    """How many files each configured pattern (name, glob) matches; 0 is a finding."""
+    met = joins.glob_join(facts.files.select("rel"), "rel", config, "glob").groupBy("name", "glob").agg(F.count("*").alias("files"))
+    return config.join(met, ["name", "glob"], "left").withColumn("files", F.coalesce("files", F.lit(0)))
+
+
+def proof_commands(facts: FactBase, paths: DataFrame) -> DataFrame:
+    """A command for each test of the paths (path), by ecosystem."""
+    tests = paths.select(F.col("path").alias("rel")).distinct().join(facts.tests, "rel")
+    t = F.col("test")
+    command = F.when(t.endswith(".py"), F.concat(F.lit("python -m pytest "), t)).when(t.endswith(".go"), F.concat(F.lit("go test ./"), T.parent(t))).when(t.endswith(".rs"), F.concat(F.lit("cargo test --test "), F.regexp_extract(t, r"([^/]+)\.rs$", 1))).when(t.rlike(r"\.(ts|tsx|js|jsx|mjs)$"), F.concat(F.lit("npx vitest run "), t))
+    return tests.select("rel", "test", "evidence", command.alias("command"))
+
+
+def ci_coverage(facts: FactBase) -> DataFrame:
+    """Which declared scripts a workflow runs."""
+    ran = facts.ci_steps.filter("kind = 'run'").select("command", F.col("rel").alias("workflow"), "job")
+    words = ran.withColumn("name", F.explode(F.array(F.regexp_extract("command", r"^((?:npm run|make|just) [\w:-]+)", 1), F.regexp_replace(F.regexp_extract("command", r"^((?:pnpm|yarn|npm) (?:run )?[\w:-]+)", 1), r"^(pnpm|yarn|npm) (run )?", "npm run ")))).filter("name <> ''")
+    return facts.scripts.join(words.select("name", "workflow", "job").distinct(), "name", "left").select("name", "rel", "workflow", "job")
+
+
+def markdown(rows: DataFrame, title: str) -> DataFrame:
+    """A table as lines of Markdown, with their order: one row for the head and one for each row, sorted by all columns."""
+    cells = [F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"([|\\])", r"\\$1"), F.lit("")) for c in rows.columns]
+    body = rows.select(F.lit(2).alias("part"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    names = "| " + " | ".join(rows.columns) + " |"
+    head = rows.sparkSession.createDataFrame([(0, f"# {title}"), (1, names), (1, "|" + " --- |" * len(rows.columns))], "part int, line string")
+    return head.unionByName(body)

@@ -1,21 +1,29 @@
-"""Bounded traversals. Each level is a join and a distinct; nothing is collected and no action runs."""
+"""Bounded traversals. Each level is a join and a distinct; nothing is collected."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def bfs_depths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """node and its least depth from ``seeds`` (node) along ``edges`` (src, dst), up to ``depth``. Each level is made
-    distinct before the next join, so cycles and hubs never multiply rows."""
-    links = edges.select("src", "dst").distinct()
-    level = seeds.select("node").distinct()
+    """node and its least depth from ``seeds`` (node) along ``edges`` (src, dst), up to ``depth``.
+
+    Edges and each level are written down once (a checkpoint), so that a level is one join and the plan doesn't grow with
+    the depth. A level is distinct and without nodes reached before, so cycles and hubs never multiply rows; the walk ends
+    with the first empty level."""
+    links = cut(edges.select("src", "dst").distinct())
+    level = cut(seeds.select("node").distinct())
     reached = level.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        level = level.join(links, level["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
+        step = level.join(links, level["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
+        level = cut(step.join(reached, "node", "left_anti"))
+        if level.isEmpty():
+            break
         reached = reached.unionByName(level.withColumn("depth", F.lit(d)))
-    return reached.groupBy("node").agg(F.min("depth").alias("depth"))
+    return reached
 
 
 def cone_edges(edges: DataFrame, depths: DataFrame) -> DataFrame:

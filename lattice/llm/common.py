@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir, ship
 
-__all__ = ["BATCH_ROWS", "cut", "lower_ascii", "python_ready", "shared_dir", "shared_path", "table"]
+__all__ = ["BATCH_ROWS", "cut", "lower_ascii", "python_ready", "sent", "shared_dir", "shared_path", "table"]
 
 #: Rows of one Arrow batch. A batch of very long texts must still fit in a Python worker.
 BATCH_ROWS = 256
@@ -35,3 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lower_ascii(column):
     """A-Z lower-cased, every other character as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Ids up to which they are broadcast.
+BROADCAST_IDS = 2_000_000
+
+
+def sent(ids: DataFrame) -> DataFrame:
+    """Ids as a table that is broadcast if it was counted to be small enough; else it is joined by a shuffle."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

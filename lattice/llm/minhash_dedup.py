@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, python_ready, table
+from .common import cut, python_ready, sent, table
 from .graph import components
 from .shingles import mixed, shingle_set
 
@@ -183,7 +183,8 @@ def links(reps: DataFrame, texts: DataFrame, words: int, percent: int, miss: flo
 
     # texts of representatives in clusters only
     placed = members.select("doc", "cluster", "sig").join(blocks, "cluster")
-    full = texts.join(placed, "doc").mapInArrow(sets, "doc long, cluster long, blocks int, sig binary, shingles binary")
+    needed = texts.join(sent(placed.select("doc").distinct()), "doc", "left_semi")
+    full = needed.join(placed, "doc").mapInArrow(sets, "doc long, cluster long, blocks int, sig binary, shingles binary")
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = dealt.select(F.col("cluster"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "sig", "shingles")

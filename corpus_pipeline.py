@@ -10,12 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.llm import bpe_automaton, decontaminate, language_id, line_dedup, minhash_dedup
-from lattice.llm.common import cut, shared_path, table
+from lattice.llm.common import sent, shared_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = COLUMNS[1:]
-#: Dropped ids up to which they are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    gone = cut(rows.select("doc_id").distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(sent(rows.select("doc_id").distinct()), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, python_ready, table
+from .common import cut, python_ready, sent, table
 from .graph import components
 from .shingles import mixed, shingle_digests, word_digests
 
@@ -180,11 +180,15 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 
 def _passages(rows: DataFrame, classes: DataFrame, passage: int, percent: int) -> DataFrame:
-    copies = classes.filter("members > 1").select("d", "rep")
-    first = rows.withColumn("d", F.sha2(F.col("text").cast("binary"), 256)).join(copies, "d", "left").filter("rep IS NULL OR rep = doc").select("doc", "text")
+    # texts stay where they are: only ids of copies, and later of candidates, are sent to them
+    marked = rows.select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("d"))
+    copies = marked.join(classes.filter("members > 1").select("d", "rep"), "d").filter("doc <> rep").select("doc").distinct()
+    first = rows.join(sent(copies), "doc", "left_anti")
     pairs = cut(candidates(signatures(first, passage)).groupBy("x", "y").agg(F.sort_array(F.collect_set("diagonal")).alias("diagonals")))
     least = passage - SHINGLE + 1
-    one = pairs.join(rows.withColumnsRenamed({"doc": "x", "text": "tx"}), "x").join(rows.withColumnsRenamed({"doc": "y", "text": "ty"}), "y")
+    wanted = sent(pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct())
+    texts = rows.join(wanted, "doc", "left_semi")
+    one = pairs.join(texts.withColumnsRenamed({"doc": "x", "text": "tx"}), "x").join(texts.withColumnsRenamed({"doc": "y", "text": "ty"}), "y")
 
     def verified(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

@@ -2,11 +2,13 @@
 
 A text is a sequence of word shingles. Under a hash function, a Cartesian tree over the shingles' hashes groups
 its subsequences: those that lie within [l, r] and hold c have the hash at c as their min-hash, and only windows long enough for
-a passage are kept. Windows of the hash functions of a band are joined where their intervals overlap, so that a joint
-window stands for all passages-long subsequences that share the band's signature. Documents with a joint signature in
-common are candidates: a stream over the sorted signatures pairs each with the first and with the preceding document
-of its group, never all with all. Candidates are verified on whole texts: shingles that agree on the diagonals that the
-signatures name are strung together, and a passage must be long enough and similar enough as a set of shingles.
+the run that two similar passages share are kept. Windows of the hash functions of a band are joined where their intervals
+overlap, so that a joint window stands for all subsequences that share the band's signature. Documents with a joint
+signature in common are candidates: a stream over the sorted signatures connects each with the first and with the
+preceding document of its group, and what is connected is a cluster, within which every pair that has a long run in common is
+verified: pairs of clusters of up to three as rows, larger ones in pairs of blocks of bounded size. Diagonals with a long run
+are verified one by one: shingles that agree near to it are strung together, and a passage must be long enough and similar
+enough as a set of shingles.
 """
 
 from __future__ import annotations
@@ -20,13 +22,17 @@ from pyspark.sql import functions as F
 
 from .common import cut, python_ready, sent, table
 from .graph import components
+from .minhash_dedup import _Forest
 from .shingles import mixed, shingle_digests, word_digests
 
 SHINGLE = 5
 #: Words of a passage, at least, and the similarity (percent) of its shingle sets.
 PASSAGE, PERCENT = 50, 80
-#: An exact repetition is found by every band; passages at the threshold by one with a probability of 0.8 ** ROWS.
-BANDS, ROWS = 2, 2
+#: Windows are as long as the run that two passages at the threshold share in any case (shared_run: 21 shingles). An equal run
+#: has equal signatures in every band, so that one band misses none.
+BANDS, ROWS = 1, 2
+#: Documents and shingles of a block, at most, on average.
+BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Shingles that may differ in a row inside a passage; two words changed close together change ten.
 GAP = 12
 
@@ -71,24 +77,110 @@ def joint_windows(shingles: np.ndarray, least: int, band: int) -> tuple[np.ndarr
     return key[keep], place[keep]
 
 
-def passages(x: np.ndarray, y: np.ndarray, diagonals: list[int], least: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """Verified passages (first and last shingle in x, in y) of two texts, from the diagonals (place in x less place in y)."""
-    at_x, at_y = [], []
-    for d in diagonals:
-        lo, hi = max(0, d), min(len(x), len(y) + d)
-        if hi > lo:
-            same = np.nonzero(x[lo:hi] == y[lo - d : hi - d])[0] + lo
-            at_x.append(same)
-            at_y.append(same - d)
-    if not at_x:
-        return []
-    px, py = np.concatenate(at_x), np.concatenate(at_y)
-    order = np.lexsort((py, px))
-    px, py = px[order], py[order]
-    first = np.concatenate([[True], np.diff(px) != 0]) if len(px) else np.zeros(0, bool)
-    px, py = px[first], py[first]
-    found: list[tuple[int, int, int, int]] = []
-    stack = [(0, len(px))]
+def shared_run(least: int, percent: int) -> int:
+    """Shingles in a row that two passages of ``least`` shingles or more have in common at the least, if ``percent`` of
+    their shingles agree and they repeat no phrase of their own. Each of k changed places costs the two sides nine shingles
+    or more together and leaves k + 1 runs."""
+    common, runs = -(-2 * percent * least // (100 + percent)), []
+    for k in range(least):
+        if percent == 100 and k:
+            break
+        held = max(common, -(-9 * k * percent // (100 - percent)) if k else 0)
+        runs.append(-(-held // (k + 1)))
+    return max(1, min(runs))
+
+
+def run_diagonals(x: np.ndarray, y: np.ndarray, run: int) -> np.ndarray:
+    """Diagonals (place in x less place in y) with ``run`` common shingles in a row, those with the most of them first."""
+    rx, ry = shingle_digests(x, run), shingle_digests(y, run)
+    by = np.argsort(ry, kind="stable")
+    lo, hi = np.searchsorted(ry[by], rx, side="left"), np.searchsorted(ry[by], rx, side="right")
+    once = np.nonzero(hi - lo == 1)[0]
+    hits = np.bincount(once - by[lo[once]] + len(y), minlength=len(x) + len(y) + 1)
+    for i in np.nonzero(hi - lo > 1)[0].tolist():
+        hits[i - by[lo[i] : hi[i]] + len(y)] += 1
+    named = np.nonzero(hits)[0]
+    # equal ones far apart from each other, as neighbours of a periodic text cover nearly the same
+    return named[np.lexsort((mixed(named.astype(np.uint64)), -hits[named]))] - len(y)
+
+
+def windowed(left: np.ndarray, run: int) -> np.ndarray:
+    """Of each run of places, whether one of them is left."""
+    total = np.concatenate([[0], np.cumsum(left)])
+    return total[run:] > total[:-run]
+
+
+def fringe(left: np.ndarray) -> np.ndarray:
+    """Places of which a further passage without an uncovered run must hold one: it goes from a covered shingle to an uncovered
+    one GAP places further at most, or over a short uncovered stretch, from one of the GAP places before it."""
+    near, n = np.zeros(len(left), bool), len(left)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], left, [False]])))
+    for u, v in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        if u > 0:
+            near[u : min(v, u + GAP)] = True
+        if v < n:
+            near[max(u, v - GAP) : v] = True
+        if 0 < u and v < n and v - u < GAP:
+            near[u - min(u, GAP) : u] = True
+    return near
+
+
+def fringe_diagonals(x: np.ndarray, y: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Diagonals, each plus len(y), on or near to which a place of x's fringe agrees with one of y."""
+    by, at = np.argsort(y, kind="stable"), np.flatnonzero(near)
+    lo, hi = np.searchsorted(y[by], x[at], side="left"), np.searchsorted(y[by], x[at], side="right")
+    edge = np.zeros(len(x) + len(y) + 2 * GAP + 2, dtype=np.int64)
+    for i, k, e in zip(at.tolist(), lo.tolist(), hi.tolist()):
+        if e > k:
+            d = i - by[k:e] + len(y)
+            edge[d] += 1
+            edge[d + 2 * GAP + 1] -= 1
+    return np.cumsum(edge)[GAP : GAP + len(x) + len(y) + 1] > 0
+
+
+def passages(x: np.ndarray, y: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """Verified passages (first and last shingle in x, in y) of two texts. Each diagonal with a long common run is verified
+    for itself, with what agrees on the diagonals near to it. Passages, and diagonals, that add nothing to what others cover
+    of x and y are left out."""
+    run, found = shared_run(least, percent), []
+    rx, ry = shingle_digests(x, run), shingle_digests(y, run)
+    fresh = near = None
+    open_x, open_y = np.ones(len(x), bool), np.ones(len(y), bool)
+    offsets = sorted(range(-GAP, GAP + 1), key=abs)
+    for d in run_diagonals(x, y, run).tolist():
+        if found:
+            if fresh is None:
+                fresh = windowed(open_x, run), windowed(open_y, run)
+                near = fringe_diagonals(x, y, fringe(open_x)) | fringe_diagonals(y, x, fringe(open_y))[::-1]
+            lo, hi = max(0, d), min(len(rx), len(ry) + d)
+            if not near[d + len(y)] and not ((rx[lo:hi] == ry[lo - d : hi - d]) & (fresh[0][lo:hi] | fresh[1][lo - d : hi - d])).any():
+                continue
+        at_x, at_y, spans = [], [], []
+        for e in (d + o for o in offsets):
+            lo, hi = max(0, e), min(len(x), len(y) + e)
+            if hi > lo:
+                same = np.nonzero(x[lo:hi] == y[lo - e : hi - e])[0] + lo
+                at_x.append(same)
+                at_y.append(same - e)
+        # exact repetitions stand, whatever is near to them
+        edge = np.nonzero(np.diff(at_x[0]) != 1)[0] + 1
+        for k, end in zip([0, *edge.tolist()], [*edge.tolist(), len(at_x[0])]):
+            if end - k >= least:
+                spans.append((int(at_x[0][k]), int(at_x[0][end - 1]), int(at_y[0][k]), int(at_y[0][end - 1])))
+        px, nearest = np.unique(np.concatenate(at_x), return_index=True)
+        spans += _strung(x, y, px, np.concatenate(at_y)[nearest], least, percent)
+        for x0, x1, y0, y1 in spans:
+            if open_x[x0 : x1 + 1].any() or open_y[y0 : y1 + 1].any():
+                found.append((x0, x1, y0, y1))
+                open_x[x0 : x1 + 1] = open_y[y0 : y1 + 1] = False
+                fresh = None
+        if not open_x.any() and not open_y.any():
+            break
+    return found
+
+
+def _strung(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
+    found, stack = [], [(0, len(px))]
     while stack:
         a, b = stack.pop()
         if b - a < 1 or px[b - 1] - px[a] + 1 < least:
@@ -111,9 +203,92 @@ def passages(x: np.ndarray, y: np.ndarray, diagonals: list[int], least: int, per
     return found
 
 
-def signatures(docs: DataFrame, passage: int) -> DataFrame:
-    """key, doc and place of the joint windows of docs (doc, text)."""
-    least = passage - SHINGLE + 1
+class _Uncovered:
+    """What no passage of a document covers yet, and what it must share with another one to have more of it covered."""
+
+    def __init__(self, shingles: np.ndarray, run: int):
+        self.shingles, self.runs, self.run = shingles, shingle_digests(shingles, run), run
+        self.known = np.concatenate([np.unique(shingles), np.unique(self.runs)])
+        self.left = np.ones(len(shingles), bool)
+        self.look()
+
+    def look(self) -> None:
+        near = fringe(self.left)
+        self.wanted = np.concatenate([np.unique(self.shingles[near]), np.unique(self.runs[windowed(self.left, self.run)])])
+
+    def cover(self, a: int, b: int) -> bool:
+        new = bool(self.left[a : b + 1].any())
+        self.left[a : b + 1] = False
+        return new
+
+
+def common_counts(some: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many values each array of ``some`` has in common with each of ``others``; arrays hold distinct values."""
+    out = np.zeros((len(some), len(others)), dtype=np.float32)
+    flat = [np.concatenate([*side, np.zeros(0, np.uint64)]) for side in (some, others)]
+    shared = np.intersect1d(*flat)
+    if not len(shared):
+        return out
+    sides = []
+    for side, f in zip((some, others), flat):
+        at = np.minimum(np.searchsorted(shared, f), len(shared) - 1)
+        held = shared[at] == f
+        at, of = at[held], np.repeat(np.arange(len(side)), [len(v) for v in side])[held]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], of[order]))
+    for lo in range(0, len(shared), 2048):
+        parts = []
+        for (at, of), n in zip(sides, out.shape):
+            here = slice(*np.searchsorted(at, [lo, lo + 2048]))
+            m = np.zeros((n, 2048), dtype=np.float32)
+            m[of[here], at[here] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def block_passages(sets_a: list[np.ndarray], sets_b: list[np.ndarray], ids_a: np.ndarray, ids_b: np.ndarray, same: bool, least: int, percent: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Passages between the documents of two blocks, or of one with itself (same): place in b, place in a, and the passage.
+    Every pair with a long common run counts; those passages are given that connect documents or cover more of one, and pairs
+    that can do neither are passed over."""
+    run, na = shared_run(least, percent), len(sets_a)
+    state = [_Uncovered(s, run) for s in (sets_a if same else [*sets_a, *sets_b])]
+    side_a, side_b = state[:na], state if same else state[na:]
+    total = common_counts([np.unique(u.runs) for u in side_a], [np.unique(u.runs) for u in side_b])
+    total[ids_a[:, None] == ids_b[None, :]] = 0
+    if same:
+        total = np.triu(total, 1)
+    rows, cols = np.nonzero(total)
+    order = np.argsort(-total[rows, cols], kind="stable")
+    rows, cols = rows[order], cols[order]
+    forest, found, first = _Forest(len(state)), [], True
+    while len(rows):
+        if not first:
+            # of pairs that are connected, those that may cover more stay
+            gain = common_counts([u.wanted for u in side_a], [u.known for u in side_b])
+            gain = gain + (gain.T if same else common_counts([u.known for u in side_a], [u.wanted for u in side_b]))
+            root = np.array([forest.root(k) for k in range(len(state))])
+            live = (root[rows] != root[cols + (0 if same else na)]) | (gain[rows, cols] > 0)
+            rows, cols = rows[live], cols[live]
+        first, step, touched = False, max(256, len(state)), set()
+        for i, j in zip(rows[:step].tolist(), cols[:step].tolist()):
+            k = j if same else j + na
+            for a, b, c, d in passages(state[k].shingles, state[i].shingles, least, percent):
+                new_k, new_i = state[k].cover(a, b), state[i].cover(c, d)
+                if forest.join(k, i) or new_k or new_i:
+                    found.append((j, i, a, b, c, d))
+                    touched |= {i, k}
+        for k in touched:
+            state[k].look()
+        rows, cols = rows[step:], cols[step:]
+    return found
+
+
+def signatures(docs: DataFrame, passage: int, percent: int) -> DataFrame:
+    """key, doc and first place of the joint windows of docs (doc, text). A run around a place holds half of its shingles
+    after or before it: each window gives a key with those after its place and one with those before."""
+    run = shared_run(passage - SHINGLE + 1, percent)
+    half = (run + 1) // 2
 
     def made(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -123,10 +298,15 @@ def signatures(docs: DataFrame, passage: int) -> DataFrame:
                 if len(words) < passage:
                     continue
                 s = shingle_digests(words, SHINGLE)
+                side = shingle_digests(s, half)
                 for band in range(BANDS):
-                    k, p = joint_windows(s, least, band)
+                    k, p = joint_windows(s, run, band)
+                    after, before = p + half <= len(s), p >= half - 1
+                    k = k.view(np.uint64)
+                    k = np.concatenate([mixed(k[after] ^ side[p[after]]), mixed(k[before] + side[p[before] - half + 1])]).view(np.int64)
+                    k, first = np.unique(k, return_index=True)
                     keys.append(k)
-                    places.append(p)
+                    places.append(np.concatenate([p[after], p[before]])[first])
                     docs_.append(np.full(len(k), doc))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs_)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "doc", "place"])
 
@@ -166,7 +346,8 @@ def candidates(found: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, percent: int = PERCENT) -> DataFrame:
-    """Verified passages between different texts: x, y (ids, as longs), x_from, x_to, y_from, y_to (words from 0, both
+    """Verified passages that connect what all passages between different texts connect, and cover all words that these
+    cover: x, y (ids, as longs), x_from, x_to, y_from, y_to (words from 0, both
     ends included). Of rows with equal texts only the one with the least id takes part. Rows with a null id or text, and
     texts shorter than a passage, take part in nothing. Other columns are ignored; an empty table gives no rows."""
     python_ready(docs.sparkSession)
@@ -184,33 +365,62 @@ def _passages(rows: DataFrame, classes: DataFrame, passage: int, percent: int) -
     marked = rows.select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("d"))
     copies = marked.join(classes.filter("members > 1").select("d", "rep"), "d").filter("doc <> rep").select("doc").distinct()
     first = rows.join(sent(copies), "doc", "left_anti")
-    pairs = cut(candidates(signatures(first, passage)).groupBy("x", "y").agg(F.sort_array(F.collect_set("diagonal")).alias("diagonals")))
+    pairs = cut(candidates(signatures(first, passage, percent)).select("x", "y").distinct())
     least = passage - SHINGLE + 1
-    wanted = sent(pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct())
-    texts = rows.join(wanted, "doc", "left_semi")
-    one = pairs.join(texts.withColumnsRenamed({"doc": "x", "text": "tx"}), "x").join(texts.withColumnsRenamed({"doc": "y", "text": "ty"}), "y")
+    roots = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    members = cut(roots.select(F.col("node").alias("doc"), F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("doc"), F.col("root").alias("cluster")).distinct()))
+    wanted = sent(members.select("doc"))
+
+    def digested(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            found = [shingle_digests(word_digests(t), SHINGLE) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64())], names=["doc", "shingles", "n"])
+
+    full = cut(rows.join(wanted, "doc", "left_semi").mapInArrow(digested, "doc long, shingles binary, n long").join(members, "doc"))
+    sizes = full.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    # the stream pairs all with all in groups of up to three; larger clusters are compared block by block
+    few = sizes.filter("c <= 3").select("cluster")
+    small = full.join(few, "cluster").select("doc", "shingles")
+    one = pairs.join(small.withColumnsRenamed({"doc": "x", "shingles": "sx"}), "x").join(small.withColumnsRenamed({"doc": "y", "shingles": "sy"}), "y")
+    last = SHINGLE - 1
 
     def verified(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             out: list[tuple[int, ...]] = []
-            kept: dict[int, np.ndarray] = {}
-            for x, y, diagonals, tx, ty in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "diagonals", "tx", "ty"))):
-                both = []
-                for doc, t in ((x, tx), (y, ty)):
-                    if doc not in kept:
-                        kept[doc] = shingle_digests(word_digests(t), SHINGLE)
-                    both.append(kept[doc])
-                last = SHINGLE - 1
-                out.extend((x, y, a, b + last, c, d + last) for a, b, c, d in passages(*both, diagonals, least, percent))
-            columns = np.array(out, dtype=np.int64).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[:, i]) for i in range(6)], names=["x", "y", "x_from", "x_to", "y_from", "y_to"])
+            for x, y, sx, sy in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "sx", "sy"))):
+                out.extend((x, y, a, b + last, c, d + last) for a, b, c, d in passages(np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64), least, percent))
+            yield pa.RecordBatch.from_arrays(_six(out), names=_SIX)
+
+    blocks = sizes.filter("c > 3").select("cluster", F.ceil(F.greatest(F.col("c") / BLOCK_DOCUMENTS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = full.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def compared(got: pa.Table) -> pa.Table:
+        i, j = got.column("i")[0].as_py(), got.column("j")[0].as_py()
+        own, docs, raw = got.column("own").to_numpy(), got.column("doc").to_numpy(), got.column("shingles").to_pylist()
+        order = np.argsort(docs, kind="stable").tolist()
+        (da, fa), (db, fb) = ((docs[[k for k in order if own[k] == side]], [np.frombuffer(raw[k], np.uint64) for k in order if own[k] == side]) for side in (i, j))
+        out = []
+        for x, y, a, b, c, d in block_passages(fa, fb, da, db, i == j, least, percent):
+            x, y, a, b, c, d = (db[x], da[y], a, b, c, d) if db[x] > da[y] else (da[y], db[x], c, d, a, b)
+            out.append((x, y, a, b + last, c, d + last))
+        return pa.table(_six(out), names=_SIX)
+
+    schema = ", ".join(f"{c} long" for c in _SIX)
+    crowded = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "shingles").groupBy("cluster", "i", "j").applyInArrow(compared, schema)
+    return one.select("x", "y", "sx", "sy").mapInArrow(verified, schema).unionByName(crowded)
+
+
+_SIX = ["x", "y", "x_from", "x_to", "y_from", "y_to"]
+
 
-    return one.select("x", "y", "diagonals", "tx", "ty").mapInArrow(verified, "x long, y long, x_from long, x_to long, y_from long, y_to long")
+def _six(out: list[tuple[int, ...]]) -> list[pa.Array]:
+    columns = np.array(out, dtype=np.int64).reshape(-1, 6)
+    return [pa.array(columns[:, i]) for i in range(6)]
 
 
 def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, percent: int = PERCENT) -> DataFrame:
     """Of every document row: the id (as a long), n_words, n_repeated (words inside passages that another document has
-    too), n_partners (documents it was verified against, copies not counted), class_id (least id of the class
+    too), n_partners (documents those passages link it with, copies not counted), class_id (least id of the class
     that passages connect) and repeated (n_repeated > 0).
 
     A text of ``passage`` words or more that another row has, too, is repeated as a whole. Null texts have no words; rows with

@@ -83,3 +83,18 @@ def test_rows(spark):
     df = spark.createDataFrame([(None, text), (1, text), (2, text + " y"), (2, text + " y")], "doc_id long, text string")
     got = sorted(m.substring_duplicates(df).collect(), key=repr)
     assert len(got) == 4 and {(r["doc_id"], r["repeated"]) for r in got} == {(None, False), (1, True), (2, True)}
+
+
+def test_all_members_of_a_signature_meet(spark):
+    rng = np.random.default_rng(11)
+    new = lambda n: [str(x) for x in rng.integers(0, 1 << 40, n)]
+    phrase, left, right = new(30), new(10), new(10)
+    texts = {k: new(60) + phrase + new(60) for k in (5, 20, 40, 50)} | {k: new(60) + left + phrase + right + new(60) for k in (10, 30)}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_repeated"], r["class_id"]) for r in m.substring_duplicates(df).collect()}
+    assert got == {5: (0, 5), 10: (50, 10), 20: (0, 20), 30: (50, 10), 40: (0, 40), 50: (0, 50)}
+
+
+def test_blocks_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK_DOCUMENTS", 2)
+    test_all_members_of_a_signature_meet(spark)

@@ -98,3 +98,16 @@ def test_all_members_of_a_signature_meet(spark):
 def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(m, "BLOCK_DOCUMENTS", 2)
     test_all_members_of_a_signature_meet(spark)
+
+
+def test_every_place_of_a_passage():
+    rng = np.random.default_rng(12)
+    p, filler = (mixed(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in (50, 80))
+    shingles = lambda w: m.shingle_digests(w, 5)
+    changed = p.copy()
+    changed[24] = 1
+    for first in (p, changed):
+        y = shingles(np.concatenate([first, filler, p]))
+        for a, b, flip in ((shingles(p), y, False), (y, shingles(p), True)):
+            spans = {s[2:] + s[:2] if flip else s for s in m.passages(a, b, 46, 80)}
+            assert {s[2:] for s in spans} == {(0, 45), (130, 175)}

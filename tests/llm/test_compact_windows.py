@@ -85,6 +85,13 @@ def test_rows(spark):
     assert len(got) == 4 and {(r["doc_id"], r["repeated"]) for r in got} == {(None, False), (1, True), (2, True)}
 
 
+def brute(texts):
+    """Ids of texts that share a passage of exactly 50 words (46 shingles) with 80 percent in common, by all windows."""
+    sets = {i: [frozenset(tuple(w[k : k + 5]) for k in range(o, o + 46)) for o in range(len(w) - 49)] for i, w in ((i, t.split()) for i, t in texts.items())}
+    ids = sorted(sets)
+    return {(b, a) for a in ids for b in ids if a < b and any(5 * len(p & q) >= 4 * len(p | q) for p in sets[a] for q in sets[b])}
+
+
 def test_all_members_of_a_signature_meet(spark):
     rng = np.random.default_rng(11)
     new = lambda n: [str(x) for x in rng.integers(0, 1 << 40, n)]
@@ -111,3 +118,18 @@ def test_every_place_of_a_passage():
         for a, b, flip in ((shingles(p), y, False), (y, shingles(p), True)):
             spans = {s[2:] + s[:2] if flip else s for s in m.passages(a, b, 46, 80)}
             assert {s[2:] for s in spans} == {(0, 45), (130, 175)}
+
+
+def test_recall_of_near_passages(spark):
+    assert m.shared_run(46, 80) == 21 and m.shared_run(46, 100) == 46
+    rng = np.random.default_rng(13)
+    new = lambda n: [str(x) for x in rng.integers(0, 1 << 40, n)]
+    texts = {}
+    for k in range(400):
+        p = new(int(rng.integers(50, 61)))
+        q, at = list(p), int(rng.integers(5, len(p) - 5))
+        q[at : at + int(rng.integers(0, 2))] = new(1)  # one word changed or put in
+        texts[2 * k], texts[2 * k + 1] = " ".join(new(20) + p + new(20)), " ".join(new(30) + q + new(10))
+    want = {(2 * k + 1, 2 * k) for k in range(400) if brute({i: texts[i] for i in (2 * k, 2 * k + 1)})}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert len(want) > 300 and want <= {(r["x"], r["y"]) for r in m.repeated_passages(df).collect()}

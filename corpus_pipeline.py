@@ -14,6 +14,8 @@ from lattice.llm.common import sent, shared_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = COLUMNS[1:]
+#: Similarity (percent) of near-duplicates; op5's own is higher.
+NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates the document with the least id."""
-    return _without(docs, minhash_dedup.near_duplicates(docs).filter(~F.col("kept")))
+    return _without(docs, minhash_dedup.near_duplicates(docs, percent=NEAR_PERCENT).filter(~F.col("kept")))
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -30,3 +30,12 @@ def test_run_is_the_stages_in_turn(spark, sf):
         docs = stage(spark, docs, sf)
     assert {tuple(r) for r in m.run(spark, sf).collect()} == {tuple(r) for r in docs.collect()}
     assert bpe_automaton.vocabulary_path()
+
+
+def test_near_duplicates_from_80_percent(spark, sf):
+    words = [f"w{k}" for k in range(220)]
+    changed = ["new" if k in (40, 80, 120, 160) else w for k, w in enumerate(words)]  # 196 of 236 shingles: 0.83
+    other = ["new" if k in (30, 60, 90, 120, 150, 180) else w for k, w in enumerate([f"v{k}" for k in range(220)])]  # 186 of 246: 0.76
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(f"v{k}" for k in range(220))), (4, " ".join(other))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in m.drop_near_duplicates(spark, docs, sf).collect()} == {1, 3, 4}

@@ -1,10 +1,10 @@
 """HTML extraction by the distribution of text over line blocks.
 
 Markup is stripped so that each block element starts a line; elements that are never main text leave blank
-lines. The text lengths of a few successive lines (a line block) are summed, without link text. A surge is where
+lines, but adverts, notices, asides and forms, which stand within texts, leave none. The text lengths of a few successive lines (a line block) are summed, without link text. A surge is where
 the sums rise from nothing, a dive where they fall back to nothing; the stretches between hold the text, and the stretch
 with the most text is the main text. Where the page marks its article, lines outside it count as blank, and all stretches
-within it are kept: a notice inside an article splits its text in two.
+within it are kept, so that a tag rule takes the place of the distribution there.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ WINDOW = 3
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video".split())
 #: Elements that are never main text.
 BOILER = frozenset("head nav header footer aside form button select menu dialog fieldset datalist noframes".split())
+#: Those that stand within a text: what they part is one text.
+INLINE = frozenset("aside form button select fieldset datalist".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
@@ -33,6 +35,7 @@ MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|complementary|contentinfo|consent|cookie|cookies|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promotion|related|reply|replies|respond|search|share|sharing|sidebar|skip|social|sponsor|sponsored|subscribe|subscription|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+INLINE_MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|newsletter|notice|promo|promotion|sponsor|sponsored|subscribe|subscription)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|[\s\"'/])(?:hidden(?=$|[\s/=])|aria-hidden\s*=\s*[\"']?true)", re.I)
@@ -44,9 +47,13 @@ def _marked(name: str, attrs: str) -> bool:
     return bool(_HIDDEN.search(attrs)) or any(MARKS.search(a or b or c) for _, a, b, c in _ATTR.findall(attrs))
 
 
+def _inline(name: str, attrs: str) -> bool:
+    return name in INLINE or name not in BOILER and any(INLINE_MARKS.search(a or b or c) for _, a, b, c in _ATTR.findall(attrs))
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """The page's lines: text, its length without link text, whether it stands in a marked article. Blocks of boilerplate
-    give a blank line."""
+    give blank lines, but for those that stand within a text."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = in_link = main = 0
@@ -106,7 +113,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if boiler and not attrs.endswith("/"):
             if name in BLOCK or name in BOILER:
                 flush()
-                lines.extend([("", 0, False)] * WINDOW)
+                if not _inline(name, attrs):
+                    lines.extend([("", 0, False)] * WINDOW)
             skip.append(name)
             continue
         if name in BLOCK:

@@ -41,3 +41,8 @@ def test_whole_table_keeps_articles(spark, sf):
     for r in spark.read.parquet(f"{sf}/pages.parquet").limit(20).collect():
         text = m.main_text(r["html"])
         assert text and "<" not in text.replace("&lt;", "") and "&copy;" not in text and "©" not in text
+
+
+@pytest.mark.parametrize("block", ["<div class=ad><p>Buy</p></div>", "<div class='notice'>Read</div>", "<aside><p>side</p></aside>", "<form><p>mail</p></form>"])
+def test_inline_blocks_part_no_text_without_article(block):
+    assert m.main_text(f"<body><nav><a href=/>x</a> menu</nav><div><p>first half</p>{block}<p>second half, longer</p></div><div class=comments><p>First!</p></div>") == "first half\nsecond half, longer"

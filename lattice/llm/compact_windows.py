@@ -138,17 +138,18 @@ def fringe_diagonals(x: np.ndarray, y: np.ndarray, near: np.ndarray) -> np.ndarr
     return np.cumsum(edge)[GAP : GAP + len(x) + len(y) + 1] > 0
 
 
-def passages(x: np.ndarray, y: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
+def passages(x: np.ndarray, y: np.ndarray, least: int, percent: int, left: tuple[np.ndarray, np.ndarray] | None = None, linked: bool = False) -> list[tuple[int, int, int, int]]:
     """Verified passages (first and last shingle in x, in y) of two texts. Each diagonal with a long common run is verified
     for itself, with what agrees on the diagonals near to it. Passages, and diagonals, that add nothing to what others cover
-    of x and y are left out."""
+    of x and y are left out; ``left`` says what was uncovered before, and if the texts aren't ``linked``, one passage is given
+    in any case."""
     run, found = shared_run(least, percent), []
     rx, ry = shingle_digests(x, run), shingle_digests(y, run)
     fresh = near = None
-    open_x, open_y = np.ones(len(x), bool), np.ones(len(y), bool)
+    open_x, open_y = (left[0].copy(), left[1].copy()) if left else (np.ones(len(x), bool), np.ones(len(y), bool))
     offsets = sorted(range(-GAP, GAP + 1), key=abs)
     for d in run_diagonals(x, y, run).tolist():
-        if found:
+        if found or linked:
             if fresh is None:
                 fresh = windowed(open_x, run), windowed(open_y, run)
                 near = fringe_diagonals(x, y, fringe(open_x)) | fringe_diagonals(y, x, fringe(open_y))[::-1]
@@ -170,11 +171,11 @@ def passages(x: np.ndarray, y: np.ndarray, least: int, percent: int) -> list[tup
         px, nearest = np.unique(np.concatenate(at_x), return_index=True)
         spans += _strung(x, y, px, np.concatenate(at_y)[nearest], least, percent)
         for x0, x1, y0, y1 in spans:
-            if open_x[x0 : x1 + 1].any() or open_y[y0 : y1 + 1].any():
+            if not (found or linked) or open_x[x0 : x1 + 1].any() or open_y[y0 : y1 + 1].any():
                 found.append((x0, x1, y0, y1))
                 open_x[x0 : x1 + 1] = open_y[y0 : y1 + 1] = False
                 fresh = None
-        if not open_x.any() and not open_y.any():
+        if (found or linked) and not open_x.any() and not open_y.any():
             break
     return found
 
@@ -273,7 +274,7 @@ def block_passages(sets_a: list[np.ndarray], sets_b: list[np.ndarray], ids_a: np
         first, step, touched = False, max(256, len(state)), set()
         for i, j in zip(rows[:step].tolist(), cols[:step].tolist()):
             k = j if same else j + na
-            for a, b, c, d in passages(state[k].shingles, state[i].shingles, least, percent):
+            for a, b, c, d in passages(state[k].shingles, state[i].shingles, least, percent, (state[k].left, state[i].left), forest.root(i) == forest.root(k)):
                 new_k, new_i = state[k].cover(a, b), state[i].cover(c, d)
                 if forest.join(k, i) or new_k or new_i:
                     found.append((j, i, a, b, c, d))

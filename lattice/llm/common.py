@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir, ship
 
-__all__ = ["BATCH_ROWS", "cut", "lower_ascii", "python_ready", "sent", "shared_dir", "shared_path", "table"]
+__all__ = ["BATCH_ROWS", "Forest", "cut", "lower_ascii", "python_ready", "sent", "shared_dir", "shared_path", "spread_join", "table"]
 
 #: Rows of one Arrow batch. A batch of very long texts must still fit in a Python worker.
 BATCH_ROWS = 256
@@ -45,3 +45,43 @@ def sent(ids: DataFrame) -> DataFrame:
     """Ids as a table that is broadcast if it was counted to be small enough; else it is joined by a shuffle."""
     ids = cut(ids)
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+#: Rows of one key beyond which a join deals them to several tasks.
+HOT_ROWS = 20_000
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join on ``key``, where ``small`` has a key once. Keys with more than hot_rows rows in ``big`` are dealt to several tasks,
+    and their row of ``small`` goes to each. Such keys are counted: of n rows they are n / hot_rows at most."""
+    hot = cut(big.groupBy(key).count().filter(F.col("count") > hot_rows).select(key, F.ceil(F.col("count") / hot_rows).cast("int").alias("__parts")))
+    if hot.isEmpty():
+        return big.join(small, key)
+    rest = [c for c in big.columns if c != key]
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    parts = F.coalesce("__parts", F.lit(1))
+    left = big.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*rest) if rest else F.lit(0).cast("long"), parts).cast("int")).drop("__parts")
+    right = small.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [key, "__part"]).drop("__part")
+
+
+class Forest:
+    """Sets of numbers that are joined; the least of a set is its root."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def add(self) -> int:
+        self.up.append(len(self.up))
+        return len(self.up) - 1
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y

@@ -1,87 +1,139 @@
 """Substring dedup by compact windows.
 
-A text is a sequence of word shingles. Under a hash function, a Cartesian tree over the shingles' hashes groups
+A text is a sequence of word shingles. Under a hash function, the nodes of a Cartesian tree over the shingles' hashes group
 its subsequences: those that lie within [l, r] and hold c have the hash at c as their min-hash, and only windows long enough for
-the run that two similar passages share are kept. Windows of the hash functions of a band are joined where their intervals
-overlap, so that a joint window stands for all subsequences that share the band's signature. Documents with a joint
-signature in common are candidates: a stream over the sorted signatures connects each with the first and with the
-preceding document of its group, and what is connected is a cluster, within which every pair that has a long run in common is
-verified: pairs of clusters of up to three as rows, larger ones in pairs of blocks of bounded size. Diagonals with a long run
-are verified one by one: shingles that agree near to it are strung together, and a passage must be long enough and similar
-enough as a set of shingles.
+the run that two similar passages share are kept. Windows of the hash functions are joined where their intervals overlap, so
+that a joint window stands for all subsequences that share the functions' signature. A signature, with half of the shared run beside its
+place, is a key; keys that several documents have lead to the texts again:
+
+1. Around places with a shared key, shingles that no other such document has are blanked. What is left are stretches; one that is
+   too short for a passage, or holds too few shared shingles, is gone, and equal stretches are one from here on. A passage or a
+   phrase that very many documents hold thus becomes one stretch, or none.
+2. Stretches of one key meet: first each meets one head of the key, in ``HEADS`` rounds with other heads; what is connected by
+   then is left alone, and everything else in a key meets all members of the key that it isn't connected with, in tiles of bounded
+   size. So no pair with a key in common is left out unless it is connected anyway.
+3. A pair is verified on its diagonals with a long common run: shingles that agree near to one are strung together, and a passage
+   must be long enough and similar enough as a set of shingles.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, python_ready, sent, table
+from .common import Forest, cut, python_ready, sent, spread_join, table
 from .graph import components
-from .minhash_dedup import _Forest
 from .shingles import mixed, shingle_digests, word_digests
 
 SHINGLE = 5
 #: Words of a passage, at least, and the similarity (percent) of its shingle sets.
 PASSAGE, PERCENT = 50, 80
-#: Windows are as long as the run that two passages at the threshold share in any case (shared_run: 21 shingles). An equal run
-#: has equal signatures in every band, so that one band misses none.
-BANDS, ROWS = 1, 2
-#: Documents and shingles of a block, at most, on average.
-BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Hash functions of a signature. Windows are as long as the run that two passages at the threshold share in any case
+#: (shared_run: 21 shingles); equal runs have equal signatures, so that no further functions are needed to miss none.
+ROWS = 2
+#: Rounds in which the stretches of a key meet one head, before all that is not connected meets.
+HEADS = 2
+#: Stretches and shingles of a tile, at most, on average.
+TILE_STRETCHES, TILE_SHINGLES = 512, 500_000
 #: Shingles that may differ in a row inside a passage; two words changed close together change ten.
 GAP = 12
-
-
-def compact_windows(hashes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) of the Cartesian tree over ``hashes``, as far as r - l + 1 >= least, by c."""
-    found, stack = [], [(0, len(hashes))] if len(hashes) >= least else []
-    while stack:
-        a, b = stack.pop()
-        c = a + int(hashes[a:b].argmin())
-        found.append((a, c, b - 1))
-        if c - a >= least:
-            stack.append((a, c))
-        if b - c - 1 >= least:
-            stack.append((c + 1, b))
-    found.sort(key=lambda w: w[1])
-    return found
-
-
-def joint_windows(shingles: np.ndarray, least: int, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and places of the joint windows of a band: the signature of its hash functions, and the place of the first one's
+#: Pairs of places of common runs, as a multiple of the texts' lengths, from which on texts count as periodic.
+PERIODIC = 2
+
+
+def nearest_smaller(h: np.ndarray, strict: bool) -> np.ndarray:
+    """For each place the nearest one before it with a smaller hash (or, if not strict, an equal one), else -1. All places hop
+    at once over what is too large, along the hops found so far."""
+    n = len(h)
+    at = np.arange(-1, n - 1)
+    live = np.arange(n)
+    while len(live):
+        to = at[live]
+        over = to >= 0
+        if strict:
+            over[over] = h[to[over]] >= h[live[over]]
+        else:
+            over[over] = h[to[over]] > h[live[over]]
+        live = live[over]
+        at[live] = at[at[live]]
+    return at
+
+
+def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """l, c and r of the nodes of the Cartesian tree over ``hashes``, as far as r - l + 1 >= least, by c. Of equal hashes the
+    first is the root."""
+    left = nearest_smaller(hashes, False) + 1
+    right = len(hashes) - 2 - nearest_smaller(hashes[::-1], True)[::-1]
+    c = np.flatnonzero(right - left + 1 >= least)
+    return left[c], c, right[c]
+
+
+def joint_windows(shingles: np.ndarray, least: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places of the joint windows: the signature of the hash functions, and the place of the first one's
     minimum. A window's subsequences of the least length begin in one interval; the joint windows are the intervals'
-    common refinement."""
+    common refinement. No window holds a place of ``apart`` (a mask)."""
     starts, hashes, centres = [], [], []
-    for f in range(band * ROWS, (band + 1) * ROWS):
-        h = mixed(shingles ^ np.uint64((f + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))
-        w = np.array(compact_windows(h, least), dtype=np.int64).reshape(-1, 3)
-        starts.append(np.maximum(w[:, 0], w[:, 1] - least + 1))
-        hashes.append(h[w[:, 1]])
-        centres.append(w[:, 1])
+    for f in range(ROWS):
+        h = mixed(shingles ^ np.uint64((f + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1)) | np.uint64(1)
+        if apart is not None:
+            h[apart] = 0
+        left, c, _ = compact_windows(h, least)
+        if apart is not None:
+            left, c = left[~apart[c]], c[~apart[c]]
+        starts.append(np.maximum(left, c - least + 1))
+        hashes.append(h[c])
+        centres.append(c)
     if not len(starts[0]):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.unique(np.concatenate(starts))
-    key, place = np.full(len(at), band + 1, dtype=np.uint64), None
+    key, place = np.full(len(at), 1, dtype=np.uint64), None
     for s, h, c in zip(starts, hashes, centres):
-        i = np.searchsorted(s, at, side="right") - 1
+        order = np.argsort(s, kind="stable")
+        i = order[np.searchsorted(s[order], at, side="right") - 1]
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + h[i])
         place = c[i] if place is None else place
-    key, place = key.view(np.int64), place
+    key = key.view(np.int64)
     # the same signature at the same place again says nothing new
     keep = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(place) != 0)])
     return key[keep], place[keep]
 
 
+def text_keys(texts: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, text and place of the joint windows of texts, given as their shingles, in this order. A run around a place holds half of
+    its shingles after or before it: each window gives a key with those after its place and one with those before."""
+    half = (run + 1) // 2
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(size + 1)])[:-1]  # one place apart between texts
+    s = np.concatenate([x for t in texts for x in (t, np.zeros(1, np.uint64))] or [np.zeros(0, np.uint64)])
+    apart = np.zeros(len(s), bool)
+    apart[first + size] = True
+    k, p = joint_windows(s, run, apart)
+    if not len(k):
+        return k, p, p
+    of = np.searchsorted(first, p, side="right") - 1
+    side = shingle_digests(s, half)
+    after, before = p + half <= first[of] + size[of], p - half + 1 >= first[of]
+    k = k.view(np.uint64)
+    k = np.concatenate([mixed(k[after] ^ side[p[after]]), mixed(k[before] + side[p[before] - half + 1])]).view(np.int64)
+    of, p = np.concatenate([of[after], of[before]]), np.concatenate([p[after], p[before]])
+    order = np.lexsort((p, of, k))
+    k, of, p = k[order], of[order], p[order]
+    new = np.concatenate([[True], (np.diff(k) != 0) | (np.diff(of) != 0) | (np.diff(p) != 0)])
+    k, of, p = k[new], of[new], p[new]
+    return k, of, p - first[of]
+
+
 def shared_run(least: int, percent: int) -> int:
     """Shingles in a row that two passages of ``least`` shingles or more have in common at the least, if ``percent`` of
     their shingles agree and they repeat no phrase of their own. Each of k changed places costs the two sides nine shingles
     or more together and leaves k + 1 runs."""
-    common, runs = -(-2 * percent * least // (100 + percent)), []
+    common, runs = least_common(least, percent), []
     for k in range(least):
         if percent == 100 and k:
             break
@@ -90,96 +142,142 @@ def shared_run(least: int, percent: int) -> int:
     return max(1, min(runs))
 
 
-def run_diagonals(x: np.ndarray, y: np.ndarray, run: int) -> np.ndarray:
-    """Diagonals (place in x less place in y) with ``run`` common shingles in a row, those with the most of them first."""
-    rx, ry = shingle_digests(x, run), shingle_digests(y, run)
-    by = np.argsort(ry, kind="stable")
-    lo, hi = np.searchsorted(ry[by], rx, side="left"), np.searchsorted(ry[by], rx, side="right")
-    once = np.nonzero(hi - lo == 1)[0]
-    hits = np.bincount(once - by[lo[once]] + len(y), minlength=len(x) + len(y) + 1)
-    for i in np.nonzero(hi - lo > 1)[0].tolist():
-        hits[i - by[lo[i] : hi[i]] + len(y)] += 1
-    named = np.nonzero(hits)[0]
-    # equal ones far apart from each other, as neighbours of a periodic text cover nearly the same
-    return named[np.lexsort((mixed(named.astype(np.uint64)), -hits[named]))] - len(y)
+def least_common(least: int, percent: int) -> int:
+    """Shingles that two passages of ``least`` shingles have in common, at least."""
+    return -(-2 * percent * least // (100 + percent))
 
 
-def windowed(left: np.ndarray, run: int) -> np.ndarray:
-    """Of each run of places, whether one of them is left."""
-    total = np.concatenate([[0], np.cumsum(left)])
-    return total[run:] > total[:-run]
-
-
-def fringe(left: np.ndarray) -> np.ndarray:
-    """Places of which a further passage without an uncovered run must hold one: it goes from a covered shingle to an uncovered
-    one GAP places further at most, or over a short uncovered stretch, from one of the GAP places before it."""
-    near, n = np.zeros(len(left), bool), len(left)
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], left, [False]])))
-    for u, v in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        if u > 0:
-            near[u : min(v, u + GAP)] = True
-        if v < n:
-            near[max(u, v - GAP) : v] = True
-        if 0 < u and v < n and v - u < GAP:
-            near[u - min(u, GAP) : u] = True
-    return near
-
-
-def fringe_diagonals(x: np.ndarray, y: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Diagonals, each plus len(y), on or near to which a place of x's fringe agrees with one of y."""
-    by, at = np.argsort(y, kind="stable"), np.flatnonzero(near)
-    lo, hi = np.searchsorted(y[by], x[at], side="left"), np.searchsorted(y[by], x[at], side="right")
-    edge = np.zeros(len(x) + len(y) + 2 * GAP + 2, dtype=np.int64)
-    for i, k, e in zip(at.tolist(), lo.tolist(), hi.tolist()):
-        if e > k:
-            d = i - by[k:e] + len(y)
-            edge[d] += 1
-            edge[d + 2 * GAP + 1] -= 1
-    return np.cumsum(edge)[GAP : GAP + len(x) + len(y) + 1] > 0
-
-
-def passages(x: np.ndarray, y: np.ndarray, least: int, percent: int, left: tuple[np.ndarray, np.ndarray] | None = None, linked: bool = False) -> list[tuple[int, int, int, int]]:
-    """Verified passages (first and last shingle in x, in y) of two texts. Each diagonal with a long common run is verified
-    for itself, with what agrees on the diagonals near to it. Passages, and diagonals, that add nothing to what others cover
-    of x and y are left out; ``left`` says what was uncovered before, and if the texts aren't ``linked``, one passage is given
-    in any case."""
-    run, found = shared_run(least, percent), []
-    rx, ry = shingle_digests(x, run), shingle_digests(y, run)
-    fresh = near = None
-    open_x, open_y = (left[0].copy(), left[1].copy()) if left else (np.ones(len(x), bool), np.ones(len(y), bool))
-    offsets = sorted(range(-GAP, GAP + 1), key=abs)
-    for d in run_diagonals(x, y, run).tolist():
-        if found or linked:
-            if fresh is None:
-                fresh = windowed(open_x, run), windowed(open_y, run)
-                near = fringe_diagonals(x, y, fringe(open_x)) | fringe_diagonals(y, x, fringe(open_y))[::-1]
-            lo, hi = max(0, d), min(len(rx), len(ry) + d)
-            if not near[d + len(y)] and not ((rx[lo:hi] == ry[lo - d : hi - d]) & (fresh[0][lo:hi] | fresh[1][lo - d : hi - d])).any():
-                continue
-        at_x, at_y, spans = [], [], []
-        for e in (d + o for o in offsets):
-            lo, hi = max(0, e), min(len(x), len(y) + e)
-            if hi > lo:
-                same = np.nonzero(x[lo:hi] == y[lo - e : hi - e])[0] + lo
-                at_x.append(same)
-                at_y.append(same - e)
+def passages(x: np.ndarray, y: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """Verified passages (first and last shingle in x, in y) of two texts. Each diagonal (place in x less place in y) with a long common
+    run is verified for itself, with what agrees on the diagonals near to it; those with the most runs come first. Passages, and
+    diagonals, that add nothing to what others cover of x and y are left out. In periodic texts, whose runs have very many places, a run is
+    tried at its first or last place in the other text, wherever more follows alike."""
+    run = shared_run(least, percent)
+    return aligned(Indexed(x, run), Indexed(y, run), least, percent)
+
+
+class Indexed:
+    """A text's shingles and runs, and their places by value."""
+
+    def __init__(self, shingles: np.ndarray, run: int):
+        self.run, self.s, self.runs = run, shingles, shingle_digests(shingles, run)
+        self.by, self.runs_by = np.argsort(self.s, kind="stable"), np.argsort(self.runs, kind="stable")
+        self.s_sorted, self.runs_sorted = self.s[self.by], self.runs[self.runs_by]
+
+
+def aligned(one: Indexed, two: Indexed, least: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """As ``passages``, of indexed texts."""
+    x, y, rx, ry, by, run, found = one.s, two.s, one.runs, two.runs, two.runs_by, one.run, []
+    if len(x) < least or len(y) < least:
+        return found
+    lo, hi = np.searchsorted(two.runs_sorted, rx, side="left"), np.searchsorted(two.runs_sorted, rx, side="right")
+    if not (hi > lo).any():
+        return found
+    band = _Band(one, two)
+    open_x, open_y = np.ones(len(x), bool), np.ones(len(y), bool)
+
+    def tried(d: int) -> bool:
+        new = False
+        px, py = band.near(d)
+        on = px - py == d
         # exact repetitions stand, whatever is near to them
-        edge = np.nonzero(np.diff(at_x[0]) != 1)[0] + 1
-        for k, end in zip([0, *edge.tolist()], [*edge.tolist(), len(at_x[0])]):
-            if end - k >= least:
-                spans.append((int(at_x[0][k]), int(at_x[0][end - 1]), int(at_y[0][k]), int(at_y[0][end - 1])))
-        px, nearest = np.unique(np.concatenate(at_x), return_index=True)
-        spans += _strung(x, y, px, np.concatenate(at_y)[nearest], least, percent)
-        for x0, x1, y0, y1 in spans:
-            if not (found or linked) or open_x[x0 : x1 + 1].any() or open_y[y0 : y1 + 1].any():
+        for x0, x1, y0, y1 in _exact(px[on], py[on], least) + _strung(x, y, px, py, least, percent):
+            if not found or open_x[x0 : x1 + 1].any() or open_y[y0 : y1 + 1].any():
                 found.append((x0, x1, y0, y1))
                 open_x[x0 : x1 + 1] = open_y[y0 : y1 + 1] = False
-                fresh = None
-        if (found or linked) and not open_x.any() and not open_y.any():
+                new = True
+        return new
+
+    if (hi - lo).sum() > PERIODIC * (len(rx) + len(ry)):
+        bx, lx, hx = one.runs_by, np.searchsorted(one.runs_sorted, ry, side="left"), np.searchsorted(one.runs_sorted, ry, side="right")
+        for a, b, open_a, (u, v), order, sign in ((x, y, open_x, (lo, hi), by, 1), (y, x, open_y, (lx, hx), bx, -1)):
+            left, near = v > u, None
+            while len(at := np.flatnonzero(left & near) if near is not None else np.flatnonzero(left)):
+                i = int(at[0])
+                places = sorted({int(order[u[i]]), int(order[v[i] - 1])})
+                length, j = max((_alike(a, b, i, j), -j) for j in places)
+                left[i : i + length - run + 1] = False
+                new = tried(sign * (i + j))
+                if new or (near is None and found):
+                    near = _near(open_a, run)
+        return found
+    at, n = np.flatnonzero(hi > lo), (hi - lo)[hi > lo]
+    named, hits = np.unique(np.repeat(at, n) - by[np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], return_counts=True)
+    # equal ones far apart from each other, as neighbours in a periodic stretch cover nearly the same
+    named = named[np.lexsort((mixed(named.astype(np.uint64)), -hits))]
+    fresh = None
+    for d in named[band.sizes(named) >= least_common(least, percent)].tolist():
+        if found:
+            # a run may add words of its own, or what lies next to it
+            fresh = fresh or (_near(open_x, run), _near(open_y, run))
+            u, v = max(0, d), min(len(rx), len(ry) + d)
+            if not ((rx[u:v] == ry[u - d : v - d]) & (fresh[0][u:v] | fresh[1][u - d : v - d])).any():
+                continue
+        if tried(d):
+            fresh = None
+        if found and not open_x.any() and not open_y.any():
             break
     return found
 
 
+def _alike(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    n = min(len(a) - i, len(b) - j)
+    other = np.flatnonzero(a[i : i + n] != b[j : j + n])
+    return int(other[0]) if len(other) else n
+
+
+class _Band:
+    """Places of common shingles on a diagonal or up to GAP from it: of each place of x the one nearest to the diagonal."""
+
+    def __init__(self, one: Indexed, two: Indexed):
+        self.x, self.y = x, y = one.s, two.s
+        by = two.by
+        lo, hi = np.searchsorted(two.s_sorted, x, side="left"), np.searchsorted(two.s_sorted, x, side="right")
+        n = hi - lo
+        self.periodic = n.sum() > 64 * (len(x) + len(y))
+        if not self.periodic:
+            px = np.repeat(np.arange(len(x)), n)
+            py = by[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            order = np.argsort(px - py, kind="stable")
+            self.px, self.d = px[order], (px - py)[order]
+
+    def sizes(self, diagonals: np.ndarray) -> np.ndarray:
+        if self.periodic:
+            return np.full(len(diagonals), len(self.x))
+        return np.searchsorted(self.d, diagonals + GAP, side="right") - np.searchsorted(self.d, diagonals - GAP, side="left")
+
+    def near(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.periodic:
+            parts = []
+            for e in range(d - GAP, d + GAP + 1):
+                lo, hi = max(0, e), min(len(self.x), len(self.y) + e)
+                parts.append(np.flatnonzero(self.x[lo:hi] == self.y[lo - e : hi - e]) + lo if hi > lo else np.zeros(0, np.int64))
+            px, of = np.concatenate(parts), np.repeat(np.arange(d - GAP, d + GAP + 1), [len(v) for v in parts])
+        else:
+            a, b = np.searchsorted(self.d, [d - GAP, d + GAP + 1])
+            px, of = self.px[a:b], self.d[a:b]
+        order = np.lexsort((of, np.abs(of - d), px))
+        px, of = px[order], of[order]
+        first = np.ones(len(px), bool)
+        first[1:] = px[1:] != px[:-1]
+        return px[first], (px - of)[first]
+
+
+def _near(left: np.ndarray, run: int) -> np.ndarray:
+    """Of each run of places, whether one of them, or one up to GAP places from it, is left."""
+    n = len(left)
+    total = np.concatenate([[0], np.cumsum(left)])
+    i = np.arange(n - run + 1)
+    return total[np.minimum(i + run + GAP, n)] > total[np.maximum(i - GAP, 0)]
+
+
+def _exact(at_x: np.ndarray, at_y: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+    if not len(at_x):
+        return []
+    edge = np.nonzero(np.diff(at_x) != 1)[0] + 1
+    return [(int(at_x[k]), int(at_x[e - 1]), int(at_y[k]), int(at_y[e - 1])) for k, e in zip([0, *edge.tolist()], [*edge.tolist(), len(at_x)]) if e - k >= least]
+
+
 def _strung(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
     found, stack = [], [(0, len(px))]
     while stack:
@@ -199,28 +297,49 @@ def _strung(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, least:
             if y1 - y0 + 1 >= least:
                 found.append((x0, x1, y0, y1))
         elif b - a > 1:
-            k = a + 1 + int(step.argmax())
+            widest = np.flatnonzero(step == step.max())
+            k = a + 1 + int(widest[len(widest) // 2])
             stack.extend([(a, k), (k, b)])
     return found
 
 
-class _Uncovered:
-    """What no passage of a document covers yet, and what it must share with another one to have more of it covered."""
+def filled(content: bytes | np.ndarray, side: int) -> np.ndarray:
+    """A stretch's shingles, with its blanks turned into shingles that nothing has in common with it but for ``side``."""
+    s = np.frombuffer(content, np.uint64).copy()
+    blank = np.flatnonzero(s == 0)
+    s[blank] = mixed(blank.astype(np.uint64) * np.uint64(2) + np.uint64(side) + np.uint64(0x51ED270B0001))
+    return s
+
+
+def own_passages(content: bytes, least: int, percent: int) -> list[tuple[int, int]]:
+    """First and last shingle of the passages that documents with the same stretch have in common."""
+    x, y = filled(content, 0), filled(content, 1)
+    at = np.flatnonzero(x == y)
+    return sorted({(a, b) for a, b, _, _ in _exact(at, at, least) + _strung(x, y, at, at, least, percent)})
 
-    def __init__(self, shingles: np.ndarray, run: int):
-        self.shingles, self.runs, self.run = shingles, shingle_digests(shingles, run), run
-        self.known = np.concatenate([np.unique(shingles), np.unique(self.runs)])
-        self.left = np.ones(len(shingles), bool)
-        self.look()
-
-    def look(self) -> None:
-        near = fringe(self.left)
-        self.wanted = np.concatenate([np.unique(self.shingles[near]), np.unique(self.runs[windowed(self.left, self.run)])])
-
-    def cover(self, a: int, b: int) -> bool:
-        new = bool(self.left[a : b + 1].any())
-        self.left[a : b + 1] = False
-        return new
+
+def _fewest(content: np.ndarray, least: int) -> int:
+    """The fewest distinct shingles of a window of ``least`` shingles; each blank is one of its own."""
+    order = np.argsort(content, kind="stable")
+    before = np.full(len(content), -1)
+    same = content[order[1:]] == content[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    before[content == 0] = -1
+    n = len(content) - least + 1
+    if n < 1:
+        return 0
+    starts = np.arange(n)
+    return int(sum((before[k : k + n] < starts).astype(np.int32) for k in range(least)).min())
+
+
+def stretches(shared: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
+    """Half-open ranges that may hold a passage: from one shared shingle to another, without more than GAP places between."""
+    at = np.flatnonzero(shared)
+    if not len(at):
+        return []
+    cuts = np.flatnonzero(np.diff(at) > GAP) + 1
+    common = least_common(least, percent)
+    return [(int(p[0]), int(p[-1]) + 1) for p in np.split(at, cuts) if p[-1] - p[0] + 1 >= least and len(p) >= common]
 
 
 def common_counts(some: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -248,211 +367,277 @@ def common_counts(some: list[np.ndarray], others: list[np.ndarray]) -> np.ndarra
     return out
 
 
-def block_passages(sets_a: list[np.ndarray], sets_b: list[np.ndarray], ids_a: np.ndarray, ids_b: np.ndarray, same: bool, least: int, percent: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Passages between the documents of two blocks, or of one with itself (same): place in b, place in a, and the passage.
-    Every pair with a long common run counts; those passages are given that connect documents or cover more of one, and pairs
-    that can do neither are passed over."""
-    run, na = shared_run(least, percent), len(sets_a)
-    state = [_Uncovered(s, run) for s in (sets_a if same else [*sets_a, *sets_b])]
-    side_a, side_b = state[:na], state if same else state[na:]
-    total = common_counts([np.unique(u.runs) for u in side_a], [np.unique(u.runs) for u in side_b])
-    total[ids_a[:, None] == ids_b[None, :]] = 0
-    if same:
-        total = np.triu(total, 1)
-    rows, cols = np.nonzero(total)
-    order = np.argsort(-total[rows, cols], kind="stable")
-    rows, cols = rows[order], cols[order]
-    forest, found, first = _Forest(len(state)), [], True
-    while len(rows):
-        if not first:
-            # of pairs that are connected, those that may cover more stay
-            gain = common_counts([u.wanted for u in side_a], [u.known for u in side_b])
-            gain = gain + (gain.T if same else common_counts([u.known for u in side_a], [u.wanted for u in side_b]))
-            root = np.array([forest.root(k) for k in range(len(state))])
-            live = (root[rows] != root[cols + (0 if same else na)]) | (gain[rows, cols] > 0)
-            rows, cols = rows[live], cols[live]
-        first, step, touched = False, max(256, len(state)), set()
-        for i, j in zip(rows[:step].tolist(), cols[:step].tolist()):
-            k = j if same else j + na
-            for a, b, c, d in passages(state[k].shingles, state[i].shingles, least, percent, (state[k].left, state[i].left), forest.root(i) == forest.root(k)):
-                new_k, new_i = state[k].cover(a, b), state[i].cover(c, d)
-                if forest.join(k, i) or new_k or new_i:
-                    found.append((j, i, a, b, c, d))
-                    touched |= {i, k}
-        for k in touched:
-            state[k].look()
-        rows, cols = rows[step:], cols[step:]
-    return found
+def documents_of(rows: DataFrame) -> DataFrame:
+    """Of rows (doc, text): doc, t (hash of the text) and text of one row for each distinct text."""
+    marked = rows.select("doc", F.xxhash64("text").alias("t"), F.sha2(F.col("text").cast("binary"), 256).alias("d"))
+    classes = marked.groupBy("d").agg(F.min(F.struct("doc", "t")).alias("rep"), F.count("*").alias("members")).filter("members > 1")
+    copies = marked.join(classes, "d").filter((F.col("doc") != F.col("rep.doc")) | (F.col("t") != F.col("rep.t"))).select("doc", "t").distinct()
+    # texts stay where they are: only ids of copies are sent to them
+    return rows.withColumn("t", F.xxhash64("text")).join(sent(copies), ["doc", "t"], "left_anti").select("doc", "t", "text")
 
 
-def signatures(docs: DataFrame, passage: int, percent: int) -> DataFrame:
-    """key, doc and first place of the joint windows of docs (doc, text). A run around a place holds half of its shingles
-    after or before it: each window gives a key with those after its place and one with those before."""
+def shared_places(first: DataFrame, passage: int, percent: int) -> DataFrame:
+    """doc and places (sorted): of each document those with a key that another row has, too.
+
+    Documents of one Arrow batch that share a key know it from each other; one of them asks for the others, so that
+    a frequent key is shuffled once a batch and not once a document."""
     run = shared_run(passage - SHINGLE + 1, percent)
-    half = (run + 1) // 2
 
     def made(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            keys, docs_, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = word_digests(text or "")
-                if len(words) < passage:
-                    continue
-                s = shingle_digests(words, SHINGLE)
-                side = shingle_digests(s, half)
-                for band in range(BANDS):
-                    k, p = joint_windows(s, run, band)
-                    after, before = p + half <= len(s), p >= half - 1
-                    k = k.view(np.uint64)
-                    k = np.concatenate([mixed(k[after] ^ side[p[after]]), mixed(k[before] + side[p[before] - half + 1])]).view(np.int64)
-                    k, first = np.unique(k, return_index=True)
-                    keys.append(k)
-                    places.append(np.concatenate([p[after], p[before]])[first])
-                    docs_.append(np.full(len(k), doc))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs_)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "doc", "place"])
-
-    return docs.select("doc", "text").mapInArrow(made, "key long, doc long, place int")
-
-
-def candidates(found: DataFrame) -> DataFrame:
-    """x, y (y < x) and diagonal: each document of a signature with its group's first one, and with the one before it."""
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = found.repartition(parts, "key").sortWithinPartitions("key", "doc", "place")
-
-    def paired(batches: Iterator[pa.RecordBatch]):
-        head = last = None  # (key, doc, place) of the group's first row, and of the last document's first row
-        for batch in batches:
-            k, d, p = (batch.column(c).to_numpy() for c in range(3))
-            if not len(k):
-                continue
-            if head is not None:
-                k, d, p = (np.concatenate([[h, t], v]) for h, t, v in zip(head, last, (k, d, p)))
-            new = np.concatenate([[True], np.diff(k) != 0])
-            group = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-            new_doc = new | np.concatenate([[True], np.diff(d) != 0])
-            doc_start = np.maximum.accumulate(np.where(new_doc, np.arange(len(k)), 0))
-            before = np.where(doc_start > group, doc_start - 1, doc_start)
-            mine = np.arange(len(k)) >= (2 if head is not None else 0)
-            pairs = []
-            for of in (group, before):
-                here = np.nonzero(mine & (d[of] != d))[0]
-                pairs.append((d[here], d[of[here]], (p[here] - p[of[here]])))
-            x, y, g = (np.concatenate(v) for v in zip(*pairs))
-            both = np.unique(np.stack([x, y, g], axis=1), axis=0) if len(x) else np.zeros((0, 3), np.int64)
-            head = (k[group[-1]], d[group[-1]], p[group[-1]])
-            last = (k[-1], d[-1], p[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(both[:, 2].astype(np.int32))], names=["x", "y", "diagonal"])
-
-    return ordered.mapInArrow(paired, "x long, y long, diagonal int")
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, percent: int = PERCENT) -> DataFrame:
-    """Verified passages that connect what all passages between different texts connect, and cover all words that these
-    cover: x, y (ids, as longs), x_from, x_to, y_from, y_to (words from 0, both
-    ends included). Of rows with equal texts only the one with the least id takes part. Rows with a null id or text, and
-    texts shorter than a passage, take part in nothing. Other columns are ignored; an empty table gives no rows."""
-    python_ready(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
-    return _passages(rows, _classes(rows), passage, percent)
-
-
-def _classes(rows: DataFrame) -> DataFrame:
-    """rep and members of each distinct text, by its digest."""
-    return rows.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("d")).agg(F.min("doc").alias("rep"), F.count("*").alias("members"))
-
-
-def _passages(rows: DataFrame, classes: DataFrame, passage: int, percent: int) -> DataFrame:
-    # texts stay where they are: only ids of copies, and later of candidates, are sent to them
-    marked = rows.select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("d"))
-    copies = marked.join(classes.filter("members > 1").select("d", "rep"), "d").filter("doc <> rep").select("doc").distinct()
-    first = rows.join(sent(copies), "doc", "left_anti")
-    pairs = cut(candidates(signatures(first, passage, percent)).select("x", "y").distinct())
+            docs, texts = batch.column(0).to_numpy(), []
+            for text in batch.column(1).to_pylist():
+                words = word_digests(text)
+                texts.append(shingle_digests(words, SHINGLE) if len(words) >= passage else words[:0])
+            k, of, p = text_keys(texts, run)
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(k) != 0])[: len(k)])
+            sizes = np.diff(np.concatenate([starts, [len(k)]]))
+            least, most = (np.repeat(f.reduceat(docs[of], starts), sizes) if len(k) else k for f in (np.minimum, np.maximum))
+            # kind 0 is known to be shared, kind 1 asks; one of those that know asks, too, for the sake of other batches
+            know, ask = np.flatnonzero(least != most), np.flatnonzero(docs[of] == least)
+            at = np.concatenate([know, ask])
+            kind = np.repeat(np.array([0, 1], np.int8), [len(know), len(ask)])
+            yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(kind), pa.array(docs[of[at]]), pa.array(p[at].astype(np.int32))], names=["key", "kind", "doc", "place"])
+
+    keys = first.select("doc", "text").mapInArrow(made, "key long, kind byte, doc long, place int")
+    by = F.when(F.col("kind") == 0, F.xxhash64("doc", "place")).otherwise(F.col("key"))
+    group = Window.partitionBy("by", "kind")
+    met = keys.withColumn("by", by).withColumn("met", F.min("doc").over(group) != F.max("doc").over(group))
+    return met.filter((F.col("kind") == 0) | F.col("met")).groupBy("doc").agg(F.array_sort(F.collect_set("place")).alias("places"))
+
+
+def marked_stretches(first: DataFrame, passage: int, percent: int) -> DataFrame:
+    """doc, t, at (first shingle), d (digest) and content (shingles, 0 where no other document has it) of all stretches."""
     least = passage - SHINGLE + 1
-    roots = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    members = cut(roots.select(F.col("node").alias("doc"), F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("doc"), F.col("root").alias("cluster")).distinct()))
-    wanted = sent(members.select("doc"))
+    places = cut(shared_places(first, passage, percent))
+    met = first.join(sent(places.select("doc")), "doc", "left_semi").join(places, "doc")
 
-    def digested(batches: Iterator[pa.RecordBatch]):
+    def segments(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            rows, names, of = [], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+            for doc, t, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "text", "places"))):
+                s = shingle_digests(word_digests(text), SHINGLE)
+                s[s == 0] = 1
+                p = np.array(at)
+                p = p[p < len(s)]
+                for piece in np.split(p, np.flatnonzero(np.diff(p) > 2 * least) + 1) if len(p) else ():
+                    a, b = max(0, int(piece[0]) - least), min(len(s), int(piece[-1]) + least + 1)
+                    rows.append((doc, t, a, s[a:b]))
+                    names.append(np.unique(s[a:b].astype(np.uint32)))
+                    of.append(np.full(len(names[-1]), doc))
+            h, d = np.concatenate(names), np.concatenate(of)
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            new = np.concatenate([[True], np.diff(h) != 0])[: len(h)]
+            last = np.concatenate([new[1:], [True]])[: len(h)]
+            known = h[new][d[new] != d[last]]
+            # of the documents of the batch that have a shingle, the least asks who else has it
+            asker, asked = d[new], h[new]
+            order = np.argsort(asker, kind="stable")
+            asker, asked = asker[order], asked[order].view(np.int32)
+            asks, seen = [], set()
+            for doc, *_ in rows:
+                lo, hi = np.searchsorted(asker, [doc, doc + 1]) if doc not in seen else (0, 0)
+                asks.append(asked[lo:hi])
+                seen.add(doc)
+            marks = [np.packbits(np.isin(r[3].astype(np.uint32), known)).tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))), pa.array([r[3].tobytes() for r in rows], pa.binary()), pa.array(marks, pa.binary()), pa.array(asks, pa.list_(pa.int32()))], names=["doc", "t", "at", "shingles", "known", "asks"])
+
+    found = cut(met.select("doc", "t", "text", "places").mapInArrow(segments, "doc long, t long, at int, shingles binary, known binary, asks array<int>"))
+    asks = found.select("doc", F.explode("asks").alias("h"))
+    several = asks.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("h")
+    answers = asks.join(several, "h").groupBy("doc").agg(F.collect_set("h").alias("others"))
+
+    def blanked(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            found = [shingle_digests(word_digests(t), SHINGLE) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64())], names=["doc", "shingles", "n"])
+            out = []
+            for doc, t, at, raw, known, others in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                s = np.frombuffer(raw, np.uint64)
+                shared = np.unpackbits(np.frombuffer(known, np.uint8), count=len(s)).astype(bool)
+                if others:
+                    shared |= np.isin(s.astype(np.uint32), np.array(others, np.int32).view(np.uint32))
+                for a, b in stretches(shared, least, percent):
+                    content = np.where(shared[a:b], s[a:b], np.uint64(0)).tobytes()
+                    out.append((doc, t, at + a, xxhash.xxh3_128_digest(content), content))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc", "t", "at", "d", "content"])
+
+    return found.drop("asks").join(answers, "doc", "left").mapInArrow(blanked, "doc long, t long, at int, d binary, content binary")
+
+
+def linked_stretches(kinds: DataFrame, passage: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of distinct stretches (d, content, lo and hi: the least and largest document that has it): spans (d, a, b) of all passages
+    that were verified, and components (node, root) of what they connect."""
+    least = passage - SHINGLE + 1
+    run = shared_run(least, percent)
+    spark = kinds.sparkSession
 
-    full = cut(rows.join(wanted, "doc", "left_semi").mapInArrow(digested, "doc long, shingles binary, n long").join(members, "doc"))
-    sizes = full.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    # the stream pairs all with all in groups of up to three; larger clusters are compared block by block
-    few = sizes.filter("c <= 3").select("cluster")
-    small = full.join(few, "cluster").select("doc", "shingles")
-    one = pairs.join(small.withColumnsRenamed({"doc": "x", "shingles": "sx"}), "x").join(small.withColumnsRenamed({"doc": "y", "shingles": "sy"}), "y")
-    last = SHINGLE - 1
+    def keyed(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            # a blank has other shingles in other stretches
+            texts = [filled(c, int.from_bytes(n[:7], "little")) for n, c in zip(names, batch.column(1).to_pylist())]
+            k, of, _ = text_keys(texts, run)
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(k) != 0) | (np.diff(of) != 0)])[: len(k)])
+            yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array([names[i] for i in of[new].tolist()], pa.binary())], names=["key", "d"])
+
+    keys = kinds.select("d", "content").mapInArrow(keyed, "key long, d binary")
+    several = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    keys = cut(keys.join(several, "key"))
+    places = kinds.select("d", "content", "lo", "hi")
 
     def verified(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            out: list[tuple[int, ...]] = []
-            for x, y, sx, sy in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "sx", "sy"))):
-                out.extend((x, y, a, b + last, c, d + last) for a, b, c, d in passages(np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64), least, percent))
-            yield pa.RecordBatch.from_arrays(_six(out), names=_SIX)
-
-    blocks = sizes.filter("c > 3").select("cluster", F.ceil(F.greatest(F.col("c") / BLOCK_DOCUMENTS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = full.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            out = []
+            for x, y, cx, cy in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "cx", "cy"))):
+                out.extend((x, y, *p) for p in passages(filled(cx, 0), filled(cy, 1), least, percent))
+            yield _six(out)
+
+    found, roots = None, None
+    apart = (F.col("x_lo") != F.col("y_lo")) | (F.col("x_hi") != F.col("y_hi")) | (F.col("x_lo") != F.col("x_hi"))
+    for k in range(HEADS):
+        placed = _rooted(keys, roots)
+        heads = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min_by(F.struct("d", "root"), F.xxhash64("d", F.lit(k))).alias("head")).filter("a <> b").select("key", F.col("head.d").alias("y"), F.col("head.root").alias("y_root"))
+        pairs = cut(placed.join(heads, "key").filter("root <> y_root").select(F.col("d").alias("x"), "y").distinct())
+        if pairs.isEmpty():
+            break
+        x, y = (places.toDF(c, f"c{c}", f"{c}_lo", f"{c}_hi") for c in "xy")
+        full = spread_join(spread_join(pairs, y, "y"), x, "x").filter(apart)
+        some = cut(full.select("x", "y", "cx", "cy").mapInArrow(verified, _SIX_SCHEMA))
+        found = some if found is None else found.unionByName(some)
+        roots = cut(components(found.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    else:
+        rest = cut(_tiles(_rooted(keys, roots), places, least, percent, run))
+        found = rest if found is None else found.unionByName(rest)
+        roots = cut(components(found.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    if found is None:
+        none = spark.createDataFrame([], "d binary, a long, b long")
+        return none, none.select(F.col("d").alias("node"), F.col("d").alias("root"))
+    spans = found.select(F.col("x").alias("d"), F.col("x_from").alias("a"), F.col("x_to").alias("b")).unionByName(found.select(F.col("y").alias("d"), F.col("y_from").alias("a"), F.col("y_to").alias("b")))
+    return spans, found.sparkSession.createDataFrame([], "node binary, root binary") if roots is None else roots
+
+
+def _rooted(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return keys.withColumn("root", F.col("d"))
+    return keys.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+
+
+def _tiles(placed: DataFrame, places: DataFrame, least: int, percent: int, run: int) -> DataFrame:
+    """Passages of all pairs of stretches that have a key in common and aren't connected yet, of each pair in its least such key.
+    placed: key, d and root. The stretches of a key that have its most frequent root meet all others, these meet each other,
+    too."""
+    per_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    main = per_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("n")).filter("n > 1").select("key", "main")
+    open_ = cut(placed.join(main, "key").join(places.withColumn("n", F.length("content") / 8).select("d", "n"), "d").withColumn("is_main", F.col("root") == F.col("main")).drop("main"))
+    sizes = open_.groupBy("key").agg(*[F.ceil(F.greatest(F.lit(1), F.sum(F.when(F.col("is_main") == flag, 1).otherwise(0)) / TILE_STRETCHES, F.sum(F.when(F.col("is_main") == flag, F.col("n")).otherwise(0)) / TILE_SHINGLES)).cast("int").alias(name) for flag, name in ((True, "mains"), (False, "others"))])
+    dealt = open_.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("d"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    # tiles (i, j): of others with others, i <= j; of others with the main ones, j from `others` on
+    with_others, with_mains = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.col("others"), F.col("others") + F.col("mains") - 1)
+    tiles = F.when(F.col("is_main"), F.transform(with_others, lambda i: F.struct(i.alias("i"), (F.col("others") + F.col("own")).alias("j")))).otherwise(
+        F.concat(F.transform(with_others, lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j"))), F.transform(with_mains, lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))))
+    )
+    side = F.when(F.col("is_main"), F.col("others") + F.col("own")).otherwise(F.col("own")).alias("side")
+    keys_of = open_.groupBy("d").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    contents = places.join(keys_of, "d")
+    rows = spread_join(dealt.select("key", "d", "root", F.explode(tiles).alias("tile"), side).select("key", "d", "root", "side", "tile.i", "tile.j"), contents, "d")
 
     def compared(got: pa.Table) -> pa.Table:
-        i, j = got.column("i")[0].as_py(), got.column("j")[0].as_py()
-        own, docs, raw = got.column("own").to_numpy(), got.column("doc").to_numpy(), got.column("shingles").to_pylist()
-        order = np.argsort(docs, kind="stable").tolist()
-        (da, fa), (db, fb) = ((docs[[k for k in order if own[k] == side]], [np.frombuffer(raw[k], np.uint64) for k in order if own[k] == side]) for side in (i, j))
-        out = []
-        for x, y, a, b, c, d in block_passages(fa, fb, da, db, i == j, least, percent):
-            x, y, a, b, c, d = (db[x], da[y], a, b, c, d) if db[x] > da[y] else (da[y], db[x], c, d, a, b)
-            out.append((x, y, a, b + last, c, d + last))
-        return pa.table(_six(out), names=_SIX)
+        i, j, key = (got.column(c)[0].as_py() for c in ("i", "j", "key"))
+        at = sorted(range(got.num_rows), key=got.column("d").to_pylist().__getitem__)
+        side, names, root, lo, hi = (got.column(c).to_pylist() for c in ("side", "d", "root", "lo", "hi"))
+        texts = [np.frombuffer(c, np.uint64) for c in got.column("content").to_pylist()]
+        own = [set(k) for k in got.column("keys").to_pylist()]
+        left, right = ([k for k in at if side[k] == s] for s in (i, j))
+        # a common run, and as many common shingles as the passages with the fewest distinct ones need
+        runs = [np.unique(shingle_digests(filled(c, k), run)) for k, c in enumerate(texts)]
+        sets = [np.unique(c[c != 0]) for c in texts]
+        need = np.array([-(-percent * _fewest(c, least) // 100) for c in texts])
+        near = common_counts([runs[k] for k in left], [runs[k] for k in right]) > 0
+        total = common_counts([sets[k] for k in left], [sets[k] for k in right])
+        near &= total >= np.maximum(need[left][:, None], need[right][None, :])
+        pairs = [(float(total[a, b]), left[a], right[b]) for a, b in zip(*(v.tolist() for v in np.nonzero(near))) if i != j or a < b]
+        index = functools.cache(lambda k, s: Indexed(filled(texts[k], s), run))
+        forest, out = Forest(0), []
+        number: dict[bytes, int] = {}
+        node = [number.setdefault(r, forest.add() if r not in number else 0) for r in root]
+        for _, x, y in sorted(pairs, key=lambda p: (-p[0], names[p[1]], names[p[2]])):
+            if forest.root(node[x]) == forest.root(node[y]) or lo[x] == hi[x] == lo[y] == hi[y]:
+                continue
+            if min(own[x] & own[y]) != key:
+                continue
+            spans = aligned(index(x, 0), index(y, 1), least, percent)
+            if spans:
+                forest.join(node[x], node[y])
+                out.extend((names[x], names[y], *p) for p in spans)
+        return pa.Table.from_batches([_six(out)])
 
-    schema = ", ".join(f"{c} long" for c in _SIX)
-    crowded = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "shingles").groupBy("cluster", "i", "j").applyInArrow(compared, schema)
-    return one.select("x", "y", "sx", "sy").mapInArrow(verified, schema).unionByName(crowded)
+    return rows.groupBy("key", "i", "j").applyInArrow(compared, _SIX_SCHEMA)
 
 
 _SIX = ["x", "y", "x_from", "x_to", "y_from", "y_to"]
+_SIX_SCHEMA = "x binary, y binary, x_from long, x_to long, y_from long, y_to long"
 
 
-def _six(out: list[tuple[int, ...]]) -> list[pa.Array]:
-    columns = np.array(out, dtype=np.int64).reshape(-1, 6)
-    return [pa.array(columns[:, i]) for i in range(6)]
+def _six(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k < 2 else pa.int64()) for k in range(6)], names=_SIX)
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, percent: int = PERCENT) -> DataFrame:
+    """doc, t (xxhash64 of the text), word_from, word_to (from 0, both ends included), node, root: each verified passage of each distinct text, the stretch it
+    stands in, and the least stretch that is connected with that. Of rows with equal texts only the one with the least id takes part, unless
+    ids repeat. Rows with a null id or text, and texts shorter than a passage, take part in nothing. Rows of one id are one
+    document: nothing links it with itself. Other columns are ignored; an empty table gives no rows."""
+    python_ready(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
+    least = passage - SHINGLE + 1
+    marked = cut(marked_stretches(documents_of(rows), passage, percent))
+    kinds = cut(marked.groupBy("d").agg(F.first("content").alias("content"), F.min("doc").alias("lo"), F.max("doc").alias("hi")))
+
+    def own(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            out = [(d, a, b) for d, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b in own_passages(c, least, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["d", "a", "b"])
+
+    spans, roots = linked_stretches(kinds, passage, percent)
+    spans = spans.unionByName(kinds.filter("lo <> hi").select("d", "content").mapInArrow(own, "d binary, a long, b long"))
+    merged = spans.groupBy("d").agg(F.collect_set(F.struct("a", "b")).alias("spans")).join(roots.select(F.col("node").alias("d"), "root"), "d", "left")
+    met = spread_join(marked.select("doc", "t", "at", "d"), merged, "d").select("doc", "t", "at", "d", F.coalesce("root", "d").alias("root"), F.explode("spans").alias("span"))
+    at = F.col("at").cast("long")
+    return met.select("doc", "t", (at + F.col("span.a")).alias("word_from"), (at + F.col("span.b") + SHINGLE - 1).alias("word_to"), F.col("d").alias("node"), "root").distinct()
 
 
 def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, percent: int = PERCENT) -> DataFrame:
-    """Of every document row: the id (as a long), n_words, n_repeated (words inside passages that another document has
-    too), n_partners (documents those passages link it with, copies not counted), class_id (least id of the class
-    that passages connect) and repeated (n_repeated > 0).
+    """Of every document row: the id (as a long), n_words, n_repeated (words inside verified passages that another document has,
+    too), class_id (least id of the class that passages connect) and repeated (n_repeated > 0).
 
-    A text of ``passage`` words or more that another row has, too, is repeated as a whole. Null texts have no words; rows with
-    a null id stay alone. Other columns are ignored; an empty table gives no rows.
+    Each stretch of a text that may hold passages is verified against one or more heads of its keys, and against all that these don't connect it
+    with; n_repeated counts the words of the passages found. A text of ``passage`` words or more that a row with another id has, too, is repeated
+    as a whole. Null texts have no words; rows with a null id stay alone. Rows of one id are one document, so they share class_id;
+    other columns are ignored; an empty table gives no rows.
     """
     python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    named = rows.filter(F.col("doc").isNotNull())
-    marked = cut(rows.select("doc", words.cast("long").alias("n_words"), F.sha2(F.col("text").cast("binary"), 256).alias("d")))
-    classes = cut(marked.filter(F.col("doc").isNotNull()).groupBy("d").agg(F.min("doc").alias("rep"), F.count("*").alias("members")))
-    found = cut(_passages(named, classes, passage, percent))
-    sides = found.select(F.col("x").alias("rep"), F.col("x_from").alias("a"), F.col("x_to").alias("b"), F.col("y").alias("other")).unionByName(found.select(F.col("y").alias("rep"), F.col("y_from").alias("a"), F.col("y_to").alias("b"), F.col("x").alias("other")))
+    marked = cut(rows.select("doc", words.cast("long").alias("n_words"), F.xxhash64("text").alias("t"), F.sha2(F.col("text").cast("binary"), 256).alias("d")))
+    named = marked.filter(F.col("doc").isNotNull())
+    classes = named.groupBy("d").agg(F.min(F.struct("doc", "t")).alias("rep"), F.max("doc").alias("last"))
+    found = cut(repeated_passages(docs, id_col, text_col, passage, percent))
     # words covered: intervals by their ends, each adding what lies beyond all before it
-    spans = sides.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"), F.count_distinct("other").alias("n_partners"))
+    spans = found.groupBy("doc", "t").agg(F.sort_array(F.collect_set(F.struct(F.col("word_from").alias("a"), F.col("word_to").alias("b")))).alias("spans"))
     start = F.struct(F.lit(-1).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("spans", start, lambda s, x: F.struct(F.greatest(s["upto"], x["b"]).alias("upto"), (s["n"] + F.greatest(x["b"] - F.greatest(s["upto"], x["a"] - 1), F.lit(0))).alias("n")), lambda s: s["n"])
-    covers = spans.select("rep", covered.alias("covered"), "n_partners")
-    roots = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    per_class = classes.join(covers, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    joined = marked.join(per_class, "d", "left")
-    whole = (F.col("members") > 1) & (F.col("n_words") >= passage) & F.col("doc").isNotNull()
-    n = F.when(whole, F.col("n_words")).when(F.col("doc").isNull(), 0).otherwise(F.coalesce("covered", F.lit(0)))
-    alone = F.col("doc").isNull() | (F.col("n_words") < passage)
-    out = joined.select(
-        F.col("doc").alias(id_col),
-        "n_words",
-        n.cast("long").alias("n_repeated"),
-        F.when(F.col("doc").isNull(), 0).otherwise(F.coalesce("n_partners", F.lit(0))).cast("long").alias("n_partners"),
-        F.when(alone, F.col("doc")).otherwise(F.coalesce("root", "rep")).alias("class_id"),
-    )
+    covers = spans.select("doc", "t", covered.alias("covered"))
+    # documents of connected stretches, each with the least document of that, and with the least that has the same text
+    least = found.groupBy("root").agg(F.min("doc").alias("b"))
+    whole = F.col("n_words") >= passage
+    pairs = found.select("doc", "root").distinct().join(least, "root").select(F.col("doc").alias("a"), "b")
+    same = named.filter(whole).join(classes.filter(F.col("rep.doc") != F.col("last")), "d").select(F.col("doc").alias("a"), F.col("rep.doc").alias("b"))
+    roots = components(pairs.unionByName(same).filter("a <> b").distinct())
+    per_text = classes.join(covers, (F.col("rep.doc") == F.col("doc")) & (F.col("rep.t") == F.col("t")), "left").select("d", F.col("rep.doc").alias("rep"), "last", "covered")
+    joined = marked.join(per_text, "d", "left").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
+    n = F.when(F.col("doc").isNull(), 0).when(whole & (F.col("rep") != F.col("last")), F.col("n_words")).otherwise(F.coalesce("covered", F.lit(0)))
+    out = joined.select(F.col("doc").alias(id_col), "n_words", n.cast("long").alias("n_repeated"), F.coalesce("root", "doc").alias("class_id"))
     return out.withColumn("repeated", F.col("n_repeated") > 0)
 
 

@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pytest
 
 from lattice.llm import compact_windows as m
 from lattice.llm.shingles import mixed
@@ -6,27 +9,43 @@ from lattice.llm.shingles import mixed
 
 def test_windows_cover_each_subsequence_once():
     rng = np.random.default_rng(1)
-    h = rng.permutation(60).astype(np.uint64)
-    windows = m.compact_windows(h, 5)
-    for i in range(60):
-        for j in range(i + 4, 60):
-            held = [w for w in windows if w[0] <= i <= w[1] <= j <= w[2]]
-            assert len(held) == 1 and h[held[0][1]] == h[i : j + 1].min()
-    assert m.compact_windows(h[:4], 5) == [] and m.compact_windows(h[:0], 5) == []
+    for h in (rng.permutation(60), rng.integers(0, 6, 60), np.ones(60, int)):
+        h = h.astype(np.uint64)
+        windows = list(zip(*(v.tolist() for v in m.compact_windows(h, 5))))
+        for i in range(60):
+            for j in range(i + 4, 60):
+                held = [w for w in windows if w[0] <= i <= w[1] <= j <= w[2]]
+                assert len(held) == 1 and held[0][1] == i + int(h[i : j + 1].argmin())
+    assert not len(m.compact_windows(h[:4], 5)[0]) and not len(m.compact_windows(h[:0], 5)[0])
+
+
+def test_windows_of_one_word_over_and_over():
+    began = time.time()
+    m.text_keys([np.full(1_000_000, 77, np.uint64)], 21)
+    assert time.time() - began < 10
 
 
 def test_joint_windows_are_all_signatures():
     rng = np.random.default_rng(2)
     x = mixed(rng.integers(0, 30, 200).astype(np.uint64))
-    for band in range(m.BANDS):
-        seen = set()
-        for i in range(200 - 45):
-            key = np.full(1, band + 1, dtype=np.uint64)
-            for f in range(band * m.ROWS, (band + 1) * m.ROWS):
-                h = mixed(x[i : i + 46] ^ np.uint64((f + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + h.min())
-            seen.add(int(key.view(np.int64)[0]))
-        assert set(m.joint_windows(x, 46, band)[0].tolist()) == seen
+    seen = set()
+    for i in range(200 - 45):
+        key = np.full(1, 1, dtype=np.uint64)
+        for f in range(m.ROWS):
+            h = mixed(x[i : i + 46] ^ np.uint64((f + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1)) | np.uint64(1)
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + h.min())
+        seen.add(int(key.view(np.int64)[0]))
+    assert set(m.joint_windows(x, 46)[0].tolist()) == seen
+
+
+def test_texts_of_a_batch_have_their_own_keys():
+    rng = np.random.default_rng(3)
+    texts = [mixed(rng.integers(0, 50, n).astype(np.uint64)) for n in (90, 0, 20, 21, 300)]
+    k, of, p = m.text_keys(texts, 21)
+    for i, t in enumerate(texts):
+        alone = m.text_keys([t], 21)
+        assert sorted(zip(k[of == i].tolist(), p[of == i].tolist())) == sorted(zip(alone[0].tolist(), alone[2].tolist()))
+    assert set(of.tolist()) == {0, 3, 4}
 
 
 def corpus():
@@ -63,18 +82,8 @@ def test_repeated_passages(spark):
     assert 115 <= got[5]["n_repeated"] <= 125 and got[9]["n_repeated"] == got[11]["n_repeated"] == 70
     assert {got[k]["class_id"] for k in (1, 2, 3)} == {1} and {got[k]["class_id"] for k in (5, 6)} == {5} and got[11]["class_id"] == 9
     assert got[10]["n_words"] == 0 and got[7]["class_id"] == 7 and got[12]["class_id"] == 12
-    spans = {(r["x"], r["y"]): (r["x_from"], r["x_to"], r["y_from"], r["y_to"]) for r in m.repeated_passages(df).collect()}
-    assert spans[2, 1] == (10, 69, 100, 159) and spans[3, 1] == (0, 59, 100, 159)
-
-
-def test_group_members_meet_in_a_stream(spark):
-    found = spark.createDataFrame([(5, d, 10 * d) for d in range(1, 7)] + [(6, 1, 3), (7, 2, 1), (7, 2, 9)], "key long, doc long, place int")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    try:
-        got = {tuple(r) for r in m.candidates(found).distinct().collect()}
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    assert got == {(d, 1, 10 * (d - 1)) for d in range(2, 7)} | {(d, d - 1, 10) for d in range(2, 7)}
+    spans = {(r["doc"], r["word_from"], r["word_to"]) for r in m.repeated_passages(df).collect()}
+    assert {(2, 10, 69), (1, 100, 159), (3, 0, 59)} <= spans
 
 
 def test_rows(spark):
@@ -102,11 +111,57 @@ def test_all_members_of_a_signature_meet(spark):
     assert got == {5: (0, 5), 10: (50, 10), 20: (0, 20), 30: (50, 10), 40: (0, 40), 50: (0, 50)}
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(m, "BLOCK_DOCUMENTS", 2)
+def test_tiles_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(m, "TILE_STRETCHES", 2)
     test_all_members_of_a_signature_meet(spark)
 
 
+def variants(rng):
+    """Texts that share a passage with one word changed, put in or left out, each in words of its own; and what only looks so."""
+    new = lambda n: [str(x) for x in rng.integers(0, 1 << 40, n)]
+    p, texts = new(55), []
+    for _ in range(14):
+        q, at = list(p), int(rng.integers(0, 55))
+        q[at : at + int(rng.integers(0, 2))] = new(int(rng.integers(0, 2)))
+        texts.append(new(int(rng.integers(0, 60))) + q + new(int(rng.integers(0, 60))))
+    texts += [new(40) + p[:30] + new(40) for _ in range(3)] + [new(40) + p[20:50] + new(10) for _ in range(2)] + [new(80), p]
+    return [" ".join(x) for x in texts]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_groups_of_variants_in_any_order_of_ids(spark, seed):
+    """All pairs of 50-word passages by brute force: no link is lost, whichever text has the least id."""
+    rng = np.random.default_rng(seed)
+    texts = variants(rng)
+    ids = rng.permutation(len(texts)) + 1
+    texts = dict(zip(ids.tolist(), texts))
+    links = brute(texts)
+    root = {i: i for i in texts}
+    for _ in texts:
+        for x, y in links:
+            root[x] = root[y] = min(root[x], root[y])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in m.substring_duplicates(df).collect()}
+    assert {i for i in texts if got[i]["repeated"]} == {i for pair in links for i in pair}
+    assert {i: got[i]["class_id"] for i in texts} == root
+
+
+def test_repeated_ids_and_periodic_texts(spark):
+    rng = np.random.default_rng(21)
+    new = lambda n: " ".join(str(x) for x in rng.integers(0, 1 << 40, n))
+    a, b = new(80), new(80)
+    one = " ".join(["again"] * 20_000)
+    rows = [(3, a), (5, a), (5, b), (7, b + " end"), (8, new(9) + " " + b[: len(b) // 2]), (9, one), (10, one + " again again"), (11, one + " x"), (12, new(50) + " " + a + " " + a)]
+    got = {}
+    for r in m.substring_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_words"], r["n_repeated"], r["class_id"]))
+    assert got[3] == [(80, 80, 3)] and sorted(got[5]) == [(80, 80, 3)] * 2 and got[7] == [(81, 80, 3)] and got[8][0][1] == 0
+    assert [got[k][0][1:] for k in (9, 10, 11)] == [(20_000, 9), (20_002, 9), (20_000, 9)] and got[12] == [(210, 160, 3)]
+    # a passage twice in one document only is no repetition
+    alone = m.substring_duplicates(spark.createDataFrame([(1, a + " " + new(60) + " " + a), (2, new(70))], "doc_id long, text string")).collect()
+    assert not any(r["repeated"] for r in alone)
+
+
 def test_every_place_of_a_passage():
     rng = np.random.default_rng(12)
     p, filler = (mixed(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in (50, 80))
@@ -132,4 +187,5 @@ def test_recall_of_near_passages(spark):
         texts[2 * k], texts[2 * k + 1] = " ".join(new(20) + p + new(20)), " ".join(new(30) + q + new(10))
     want = {(2 * k + 1, 2 * k) for k in range(400) if brute({i: texts[i] for i in (2 * k, 2 * k + 1)})}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert len(want) > 300 and want <= {(r["x"], r["y"]) for r in m.repeated_passages(df).collect()}
+    classes = {r["doc_id"]: r["class_id"] for r in m.substring_duplicates(df).collect()}
+    assert len(want) > 300 and want <= {(b, a) for b, a in classes.items() if a != b}

@@ -4,11 +4,12 @@ A benchmark item's windows (``window`` successive words, or the whole of a short
 over the documents finds every occurrence of any of these shingles and so their exact counts, by which a window's shingles
 are ordered. For full containment the necessary prefix is the rarest shingle alone: only its occurrences are joined
 to windows, and a window one of whose shingles nowhere occurs is gone at once. Where the window would begin before or
-end after the document, the occurrence is dropped; what is left is verified to hold every shingle of the window, each at its
-place. Shingles are known by 64-bit digests, so a window of ten words is verified by seven of them in a row.
+end after the document, the occurrence is dropped. What is left is verified exactly: the words at the candidate's place are
+taken from the text and joined with the windows by the words themselves. Digests only propose. Items are joined last, once for each
+document and window.
 
-DataFrame functions do all the work. Documents' texts and words are never shuffled, only occurrences of shingles that some
-item has.
+DataFrame functions do all the work. Of documents with candidates the texts are shuffled, of all others only occurrences of
+shingles that some item has.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, table
+from .common import cut, lower_ascii, sent, table
 
 WINDOW = 10
 SHINGLE = 4
@@ -54,13 +55,16 @@ def with_shingles(df: DataFrame, sizes: list[int]) -> DataFrame:
     return df.select(*rest, *[f"d{s}" for s in sizes])
 
 
-def windows_of(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """win (its words), n, s (words of a shingle) and items (all that hold it), once for each distinct window."""
+def windows_of(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """Each distinct window: w (its words, joined by blanks, which no word holds), n, s (words of a shingle); and w and item of all
+    that hold it."""
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col).cast("string")).alias("words")).filter(F.size("words") > 0)
     n = F.size("words")
     starts = F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))
-    each = items.select("item", "words", F.explode(starts).alias("start")).select("item", F.slice("words", F.col("start"), F.lit(window)).alias("win"))
-    return each.groupBy("win").agg(F.collect_set("item").alias("items")).select("win", F.size("win").alias("n"), F.least(F.size("win"), F.lit(SHINGLE)).alias("s"), "items")
+    each = items.select("item", "words", F.explode(starts).alias("start")).select("item", F.array_join(F.slice("words", F.col("start"), F.lit(window)), " ").alias("w"))
+    held = cut(each.distinct())
+    size = F.size(F.split("w", " "))
+    return cut(held.select("w").distinct().select("w", size.alias("n"), F.least(size, F.lit(SHINGLE)).alias("s"))), held
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -72,18 +76,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Either table may be empty.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.coalesce(text, F.lit("")).alias("text"))
-    windows = cut(windows_of(benchmark, item_col, item_text_col, window))
+    name = F.concat(F.when(F.col("id").isNull(), "-").otherwise("+"), F.coalesce(F.col("id").cast("string"), F.lit("")))  # null ids are one, too
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.coalesce(text, F.lit("")).alias("text")).withColumn("k", name)
+    windows, held = windows_of(benchmark, item_col, item_text_col, window)
     sizes = sorted(r["s"] for r in windows.select("s").distinct().collect())  # at most SHINGLE numbers
-    counted = rows.select("id", "t", F.size(_raw_words(F.col("text"))).cast("long").alias("n_words"))
+    counted = rows.select("id", "k", "t", F.size(_raw_words(F.col("text"))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     if sizes:
-        hits = occurrences(rows, windows, sizes)
-        each = hits.groupBy("id", "t").agg(F.collect_set(F.struct("start", "n")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        hits = cut(occurrences(rows.select("k", "t", "text"), windows, sizes))
         # words in the union of the spans: their places, each once
-        hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))))
-        per_doc = each.select(F.col("id").alias("id2"), F.col("t").alias("t2"), hit.cast("long").alias("hit"), "items")
-        judged = counted.join(per_doc, F.col("id").eqNullSafe(F.col("id2")) & (F.col("t") == F.col("t2")), "left")
+        places = F.flatten(F.transform(F.collect_set(F.struct("start", "n")), lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))
+        covered = hits.select("k", "t", "start", "n").groupBy("k", "t").agg(F.size(F.array_distinct(places)).cast("long").alias("hit"))
+        found = hits.select("k", "t", "w").distinct().join(held, "w").select("k", "t", "item").distinct().groupBy("k", "t").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        judged = counted.join(covered, ["k", "t"], "left").join(found, ["k", "t"], "left")
     else:
         judged = counted.select("*", F.lit(0).cast("long").alias("hit"), none.alias("items"))
     items = F.coalesce("items", none)
@@ -95,37 +100,34 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 
 
 def occurrences(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
-    """id, t, start (place from 0), n and items: every occurrence of a window in rows (id, t, text), once for each id and
-    text."""
-    digests = with_shingles(windows.select(F.xxhash64("win").alias("w"), "n", "s", "items", F.col("win").alias("words")), sizes)
+    """k, t, start (place from 0), n and w: every occurrence of a window in rows (k, t, text), once for each k and text."""
+    digests = with_shingles(windows.select("w", "n", "s", F.split("w", " ").alias("words")), sizes)
     own = F.coalesce(*[F.when(F.col("s") == s, F.col(f"d{s}")) for s in sizes])
-    shingles = cut(digests.select("w", "n", "s", "items", F.size(own).alias("shingles"), F.posexplode(own).alias("offset", "h")))
+    shingles = cut(digests.select("w", "n", "s", F.posexplode(own).alias("offset", "h")))
     known = _bounded(shingles.select("s", "h").distinct(), BROADCAST_ROWS)
-    split = rows.select("id", "t", _raw_words(F.col("text")).alias("words"))
-    placed = with_shingles(split.select("id", "t", F.size("words").alias("n_words"), "words"), sizes)
+    split = rows.select("k", "t", _raw_words(F.col("text")).alias("words"))
+    placed = with_shingles(split.select("k", "t", F.size("words").alias("n_words"), "words"), sizes)
     found = None
     for s in sizes:
         # outer: else a filter on the array's size is inferred and pushed to the scan, where the array is computed many times
-        one = placed.select("id", "t", "n_words", F.lit(s).alias("s"), F.posexplode_outer(f"d{s}").alias("pos", "h")).join(known.filter(F.col("s") == s).drop("s"), "h", "left_semi")
+        one = placed.select("k", "t", "n_words", F.lit(s).alias("s"), F.posexplode_outer(f"d{s}").alias("pos", "h")).join(known.filter(F.col("s") == s).drop("s"), "h", "left_semi")
         found = one if found is None else found.unionByName(one)
-    found = cut(found.select("id", "t", "n_words", "s", "h", "pos"))
+    found = cut(found.select("k", "t", "n_words", "s", "h", "pos"))
     # order by rarity; a shingle that never occurs rules its windows out
     counts = found.groupBy("s", "h").agg(F.count("*").alias("rarity"))
     ordered = shingles.join(counts, ["s", "h"], "left").withColumn("rarity", F.coalesce("rarity", F.lit(0)))
-    prefix = ordered.groupBy("w").agg(F.min_by(F.struct("s", "h", "offset", "n", "shingles"), F.struct("rarity", "h", "offset")).alias("x"), F.min("rarity").alias("rarity"))
-    prefix = _bounded(cut(prefix.filter(F.col("rarity") > 0).select("w", "x.*")), BROADCAST_ROWS // 10)
+    prefix = ordered.groupBy("w").agg(F.min_by(F.struct("s", "h", "offset", "n"), F.struct("rarity", "h", "offset")).alias("x"), F.min("rarity").alias("rarity"))
+    # windows with one prefix, place in it and length propose the same
+    prefix = _bounded(cut(prefix.filter(F.col("rarity") > 0).select("x.*").distinct()), BROADCAST_ROWS // 10)
     start = F.col("pos") - F.col("offset")
     # positional and length bounds
     fits = found.join(prefix, ["s", "h"]).filter((start >= 0) & (start + F.col("n") <= F.col("n_words")))
-    candidates = fits.select("id", "t", "w", "n", "shingles", start.alias("start")).distinct()
-    # containment: every shingle of the window stands at its own place
-    parts = _bounded(shingles.select("w", "s", "h", "offset"), BROADCAST_ROWS)
-    wanted = candidates.join(parts, "w").select("id", "t", "w", "n", "shingles", "start", "s", "h", (F.col("start") + F.col("offset")).alias("pos"))
-    there = found.select(F.col("id").alias("id2"), "t", "s", "h", "pos").distinct()
-    met = wanted.join(there, F.col("id").eqNullSafe(F.col("id2")) & (wanted["t"] == there["t"]) & (wanted["s"] == there["s"]) & (wanted["h"] == there["h"]) & (wanted["pos"] == there["pos"])).select("id", wanted["t"], "w", "n", "shingles", "start")
-    whole = met.groupBy("id", "t", "w", "start").agg(F.count("*").alias("c"), F.first("shingles").alias("shingles"), F.first("n").alias("n")).filter("c = shingles")
-    items = _bounded(shingles.filter("offset = 0").select("w", "items"), BROADCAST_ROWS // 10)
-    return whole.join(items, "w").select("id", "t", "start", "n", "items")
+    per_doc = cut(fits.select("k", "t", start.alias("start"), "n").groupBy("k", "t").agg(F.collect_set(F.struct("start", "n")).alias("at")))
+    # containment: the very words at each candidate's place
+    texts = rows.join(sent(per_doc.select("k", "t")), ["k", "t"], "left_semi").join(per_doc, ["k", "t"]).select("k", "t", "at", words_of(F.col("text")).alias("words"))
+    there = F.transform("at", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.array_join(F.slice("words", x["start"] + 1, x["n"]), " ").alias("w")))
+    spans = texts.select("k", "t", there.alias("at")).select("k", "t", F.explode("at").alias("x")).select("k", "t", "x.start", "x.n", "x.w")
+    return spans.distinct().join(_bounded(windows.select("w"), BROADCAST_ROWS), "w", "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,21 @@ def test_decontaminate(spark, tables):
     assert sorted(r["n_hit"] for r in decontaminate.contamination(null_id, items).collect()) == [0, 12]
 
 
+def test_colliding_digests_only_propose(spark, tables, monkeypatch):
+    d, docs, items = tables
+    want = rows(decontaminate.query(spark, d))
+    exact = decontaminate.with_shingles
+
+    def coarse(df, sizes):
+        out = exact(df, sizes)
+        for s in sizes:
+            out = out.withColumn(f"d{s}", F.transform(f"d{s}", lambda x: F.pmod(x, F.lit(3))))
+        return out
+
+    monkeypatch.setattr(decontaminate, "with_shingles", coarse)
+    assert rows(decontaminate.query(spark, d)) == want
+
+
 @pytest.mark.parametrize("module", [chat_format, url_filter, line_dedup, quality_rules, decontaminate])
 def test_driver_table(spark, sf, module):
     names = ("documents", "benchmark", "pages", "conversations")

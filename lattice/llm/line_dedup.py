@@ -1,11 +1,10 @@
 """Line dedup with a sharded minimal perfect hash.
 
-Lines are known by 128-bit digests of their keys. One aggregation counts the documents of each distinct digest; those found
-often enough go into shards by digest, and each shard becomes a minimal perfect hash with two arrays in its order:
-fingerprints (64 bits of the digest that the hash itself doesn't rest on alone) and the largest document that holds the line. Documents
-then probe the arrays: if the index is small, as its measured size shows, it is broadcast and one scan of the documents
-does it without any shuffle; else lines go to the shards, salted so that a frequent line is no hot spot, and only what
-is to be dropped comes back.
+Lines are known by 128-bit digests of their keys. All distinct digests go into shards, and each shard becomes a minimal perfect hash
+with arrays in its order: fingerprints (64 bits of the digest that the hash itself doesn't rest on alone) and counts of
+documents; for counts that reach the threshold there is the largest document, too. Documents' lines then probe the arrays: they stream past
+their shard, which lies before them in the same sorted partition, and are dealt to several tasks where a shard has many. Only what is
+to be dropped comes back to the texts.
 
 A shard's hash is a cascade of bit arrays: each key that falls alone on a bit of a level takes that bit, the others go on
 to the next level. The rank of a key's bit among all set bits is its place.
@@ -27,10 +26,8 @@ SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
 #: Keys that a shard is meant to hold.
 SHARD_KEYS = 1 << 16
-#: Bytes up to which the index is broadcast.
-BROADCAST_BYTES = 64 << 20
-#: Parts that lines for one shard are dealt to, where the index isn't broadcast.
-SALTS = 16
+#: Lines of a shard that one task takes; more are dealt to several, each with a copy of the arrays.
+TASK_LINES = 1 << 20
 _GAMMA, _LEVELS = 1.7, 40
 _SQUARES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
@@ -95,31 +92,31 @@ class PerfectHash:
 
 
 class Shard:
-    """Fingerprints and largest documents of a shard's lines, in the order of its perfect hash."""
+    """Fingerprints and counts of a shard's lines, in the order of its perfect hash, and the largest documents of frequent ones."""
+
+    COLUMNS = ("hash", "prints", "counts", "often", "last")
 
     def __init__(self, row):
         self.hash = PerfectHash.load(row["hash"])
-        self.prints, self.last = np.frombuffer(row["prints"], "<u8"), np.frombuffer(row["last"], "<i8")
+        self.prints, self.counts = np.frombuffer(row["prints"], "<u8"), np.frombuffer(row["counts"], "<u4")
+        self.often, self.last = np.frombuffer(row["often"], "<i4"), np.frombuffer(row["last"], "<i8")
 
     @staticmethod
-    def row(a: np.ndarray, b: np.ndarray, last: np.ndarray) -> dict[str, bytes]:
+    def row(a: np.ndarray, b: np.ndarray, count: np.ndarray, last: np.ndarray, min_documents: int) -> dict[str, bytes]:
         made = PerfectHash.build(a, b)
         at = made.places(a, b)
-        prints, ordered = np.empty_like(b), np.empty_like(last)
-        prints[at], ordered[at] = b, last
-        return {"hash": made.dump(), "prints": prints.astype("<u8").tobytes(), "last": ordered.astype("<i8").tobytes()}
+        prints, counts, lasts = np.empty_like(b), np.empty(len(b), "<u4"), np.empty_like(last)
+        prints[at], counts[at], lasts[at] = b, np.minimum(count, (1 << 32) - 1), last
+        often = np.flatnonzero(counts >= min_documents)
+        return dict(zip(Shard.COLUMNS, (made.dump(), prints.astype("<u8").tobytes(), counts.tobytes(), often.astype("<i4").tobytes(), lasts[often].astype("<i8").tobytes())))
 
-    def last_document(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the keys the shard has, and the largest document of each."""
+    def probe(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The count of each key, 0 if the shard doesn't have it, and the largest document of those that are frequent."""
         at = self.hash.places(a, b)
-        known = at >= 0
-        safe = np.where(known, at, 0)
-        known &= self.prints[safe] == b
-        return known, self.last[safe]
-
-
-def shard_of(b: np.ndarray, n: int) -> np.ndarray:
-    return b.view("<i8") % n
+        safe = np.where(at >= 0, at, 0)
+        count = np.where((at >= 0) & (self.prints[safe] == b), self.counts[safe], 0) if len(self.prints) else np.zeros(len(a), "<u4")
+        k = np.minimum(np.searchsorted(self.often, safe), max(len(self.often) - 1, 0))
+        return count, self.last[k] if len(self.last) else np.zeros(len(a), np.int64)
 
 
 def key_digest(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -155,133 +152,104 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(keys, "a long, b long, doc long")
 
 
-def frequent(keys: DataFrame, min_documents: int) -> DataFrame:
-    """a, b and the largest document of each key in at least min_documents documents. The first step spreads a frequent
-    key's documents over all tasks, the second adds up counts."""
+def counts_of(keys: DataFrame) -> DataFrame:
+    """a, b, n (documents) and last (the largest of them) of each distinct key. The first step spreads a frequent key's documents over all
+    tasks, the second adds up counts."""
     once = keys.groupBy("a", "b", "doc").agg(F.lit(1).alias("one"))
-    counted = once.groupBy("a", "b").agg(F.count("one").alias("n"), F.max("doc").alias("last"))
-    return counted.filter(F.col("n") >= min_documents).select("a", "b", "last")
+    return once.groupBy("a", "b").agg(F.count("one").alias("n"), F.max("doc").alias("last"))
 
 
-def build_index(often: DataFrame, n_shards: int) -> DataFrame:
-    """One row for each shard: shard, hash, prints, last (binary)."""
+def build_index(counts: DataFrame, n_shards: int, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """One row for each shard: shard and its arrays (binary)."""
 
     def built(got: pa.Table) -> pa.Table:
         a, b = (got.column(c).to_numpy().astype("<i8").view("<u8") for c in ("a", "b"))
-        made = Shard.row(a, b, got.column("last").to_numpy().astype("<i8"))
+        made = Shard.row(a, b, got.column("n").to_numpy(), got.column("last").to_numpy().astype("<i8"), min_documents)
         return pa.table({"shard": [got.column("shard")[0].as_py()], **{k: pa.array([v], pa.binary()) for k, v in made.items()}})
 
-    return often.filter(F.col("last").isNotNull()).withColumn("shard", F.pmod("b", F.lit(n_shards)).cast("long")).groupBy("shard").applyInArrow(built, "shard long, hash binary, prints binary, last binary")
+    schema = "shard long, " + ", ".join(f"{c} binary" for c in Shard.COLUMNS)
+    # only null ids give no last document; they are less than all others
+    named = counts.withColumn("last", F.coalesce("last", F.lit(-(1 << 63)).cast("long")))
+    return named.withColumn("shard", F.pmod("b", F.lit(n_shards)).cast("long")).groupBy("shard").applyInArrow(built, schema)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """The id and the columns ``keep`` as they are, text without the dropped lines, n_lines (before) and n_dropped.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, shard_keys: int = SHARD_KEYS, task_lines: int = TASK_LINES) -> DataFrame:
+    """The id and the columns ``keep`` as they are, text without the dropped lines, n_lines (before) and n_dropped. ``keep`` may not name one
+    of the latter three.
 
     Lines are split at \\n; a null or empty text is one empty line, and its text is empty. A key found in min_documents
     different ids loses all its lines but those in the largest of these ids. Rows of one id count as one document, and each
     keeps or drops its own lines; null ids count as one document, less than all others. Ids are compared as longs. Other
-    columns are ignored; an empty table gives no rows. The frequent lines' keys are the only thing that is written down.
+    columns are ignored; an empty table gives no rows. The distinct lines' digests with their counts are written down.
     """
-    spark = docs.sparkSession
-    python_ready(spark)
-    often = cut(frequent(line_keys(docs, id_col, text_col, min_chars), min_documents))
-    n_shards = max(1, -(-often.count() // shard_keys))
-    index = cut(build_index(often, n_shards))
-    size = index.agg(F.sum(F.length("hash") + F.length("prints") + F.length("last"))).first()[0] or 0
-    if size <= broadcast_bytes:
-        sent = spark.sparkContext.broadcast({r["shard"]: {k: bytes(r[k]) for k in ("hash", "prints", "last")} for r in index.collect()})
-
-        def rule():
-            shards = {k: Shard(r) for k, r in sent.value.items()}
-
-            def dropped(docs_of: np.ndarray, known_doc: np.ndarray, keys: np.ndarray, _extra) -> np.ndarray:
-                a, b = np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1])
-                out, of = np.zeros(len(a), dtype=bool), shard_of(b, n_shards)
-                for k, shard in shards.items():
-                    here = np.nonzero(of == k)[0]
-                    if len(here):
-                        known, last = shard.last_document(a[here], b[here])
-                        out[here] = known & ~(known_doc[here] & (last == docs_of[here]))
-                return out
-
-            return dropped
-
-        return _without(docs, id_col, text_col, keep, min_chars, rule)
-    drops = _drops_by_shard(line_keys(docs, id_col, text_col, min_chars), index, n_shards)
+    if set(keep) & {"text", "n_lines", "n_dropped"}:
+        raise ValueError("keep names a column of the result")
+    python_ready(docs.sparkSession)
+    counts = cut(counts_of(line_keys(docs, id_col, text_col, min_chars)))
+    n_shards = max(1, -(-counts.count() // shard_keys))
+    index = cut(build_index(counts, n_shards, min_documents))
+    # lines that each shard has to expect: one for each document of a key
+    load = counts.groupBy(F.pmod("b", F.lit(n_shards)).cast("long").alias("shard")).agg(F.ceil(F.sum("n") / task_lines).cast("int").alias("parts"))
+    drops = _drops(line_keys(docs, id_col, text_col, min_chars), index, load.filter("parts > 1"), n_shards, min_documents)
     gathered = drops.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("__drops")).withColumnRenamed("doc", "__doc")
-    joined = docs.join(gathered, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")), "left")
-
-    def by_list():
-        def dropped(_docs_of, _known, keys: np.ndarray, extra: list[set]) -> np.ndarray:
-            return np.array([(x, y) in s for (x, y), s in zip(keys.view("<i8").tolist(), extra)], dtype=bool)
-
-        return dropped
-
-    return _without(joined, id_col, text_col, keep, min_chars, by_list, "__drops")
+    return _without(docs.join(gathered, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")), "left"), id_col, text_col, keep, min_chars)
 
 
-def _without(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...], min_chars: int, rule, drops_col: str | None = None) -> DataFrame:
+def _without(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...], min_chars: int) -> DataFrame:
+    """docs has the keys that are to go in __drops."""
     kept = list(dict.fromkeys([id_col, *keep]))
     n = len(kept)
 
     def lines_dropped(batches: Iterator[pa.RecordBatch]):
-        dropped = rule()
         for batch in batches:
-            ids, texts = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
-            lists = batch.column(n + 2).to_pylist() if drops_col else None
-            split = [(t or "").split("\n") for t in texts]
-            where, keys, owner, extra = [], [np.zeros((0, 2), dtype="<u8")], [], []
-            for i, lines in enumerate(split):
-                at, found = _digests(lines, min_chars)
-                where.append(at)
-                keys.append(found)
-                owner.extend([ids[i]] * len(at))
-                if lists:
-                    own = {(x["a"], x["b"]) for x in lists[i] or ()}
-                    extra.extend([own] * len(at))
-            gone = dropped(np.array([x or 0 for x in owner], dtype=np.int64), np.array([x is not None for x in owner], dtype=bool), np.concatenate(keys), extra)
-            out, counts, k = [], [], 0
-            for lines, at in zip(split, where):
-                drop = {i for i, g in zip(at, gone[k : k + len(at)]) if g}
-                k += len(at)
+            out, sizes, counts = [], [], []
+            for text, gone in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
+                lines = (text or "").split("\n")
+                sizes.append(len(lines))
+                drop = set()
+                if gone:
+                    keys = {(x["a"], x["b"]) for x in gone}
+                    at, found = _digests(lines, min_chars)
+                    drop = {i for i, k in zip(at, found.view("<i8").tolist()) if tuple(k) in keys}
                 counts.append(len(drop))
-                out.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else "\n".join(lines))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, pa.string()), pa.array(map(len, split), pa.int64()), pa.array(counts, pa.int64())], names=[*kept, "text", "n_lines", "n_dropped"])
+                out.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text or "")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, pa.string()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=[*kept, "text", "n_lines", "n_dropped"])
 
-    rows = docs.select(*[F.col(c) for c in kept], F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *([drops_col] if drops_col else []))
+    rows = docs.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias("__text"), "__drops")
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     return rows.mapInArrow(lines_dropped, f"{fields}, text string, n_lines long, n_dropped long")
 
 
-def _drops_by_shard(keys: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
+def _drops(keys: DataFrame, index: DataFrame, load: DataFrame, n_shards: int, min_documents: int) -> DataFrame:
     """doc, a, b of all lines to be dropped, found at the shards. Each part of a shard's lines meets a copy of its arrays
-    and streams past them."""
+    and streams past them. load: the parts (more than one) of shards with many lines; never more rows than there are shards."""
     spark = keys.sparkSession
-    blank = [F.lit(None).cast("binary").alias(c) for c in ("hash", "prints", "last")]
-    lines = keys.select(F.pmod("b", F.lit(n_shards)).cast("long").alias("shard"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "a", "b", "doc", *blank)
-    arrays = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("a", "b", "doc")], "hash", "prints", "last")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = lines.unionByName(arrays).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    blank = [F.lit(None).cast("binary").alias(c) for c in Shard.COLUMNS]
+    load = F.broadcast(load)
+    shard, parts = F.pmod("b", F.lit(n_shards)).cast("long").alias("shard"), F.coalesce("parts", F.lit(1))
+    lines = keys.select(shard, "a", "b", "doc").join(load, "shard", "left").select("shard", F.pmod(F.xxhash64("doc"), parts).cast("int").alias("part"), F.lit(1).alias("kind"), "a", "b", "doc", *blank)
+    arrays = index.join(load, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("a", "b", "doc")], *Shard.COLUMNS)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    met = lines.unionByName(arrays).repartition(tasks, "shard", "part").sortWithinPartitions("shard", "part", "kind")
 
     def probed(batches: Iterator[pa.RecordBatch]):
         shard, at = None, None
         for batch in batches:
-            place = np.array(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), dtype=np.int64).reshape(-1, 2)
-            kind = batch.column(2).to_numpy()
-            cuts = [0, *(np.nonzero((np.diff(place, axis=0) != 0).any(axis=1) | (np.diff(kind) != 0))[0] + 1).tolist(), len(place)]
+            place = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+            cuts = [0, *(np.nonzero((np.diff(place, axis=0) != 0).any(axis=1))[0] + 1).tolist(), len(place)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
                     continue
-                if kind[lo] == 0:
-                    at = tuple(place[lo])
-                    shard = Shard({c: batch.column(i)[lo].as_py() for i, c in ((6, "hash"), (7, "prints"), (8, "last"))})
-                elif at == tuple(place[lo]):
-                    part = batch.slice(lo, hi - lo)
-                    a, b = (part.column(c).to_numpy().view("<u8") for c in (3, 4))
-                    known, last = shard.last_document(a, b)
-                    doc = part.column(5)
-                    same = np.array([x is not None and x == y for x, y in zip(doc.to_pylist(), last.tolist())], dtype=bool)
-                    yield pa.RecordBatch.from_arrays([part.column(3), part.column(4), doc], names=["a", "b", "doc"]).filter(pa.array(known & ~same))
+                if place[lo, 2] == 0:
+                    at = tuple(place[lo, :2])
+                    shard = Shard({c: batch.column(6 + i)[lo].as_py() for i, c in enumerate(Shard.COLUMNS)})
+                elif at == tuple(place[lo, :2]):
+                    part = batch.slice(lo, hi - lo).select(["a", "b", "doc"])
+                    a, b = (part.column(c).to_numpy().view("<u8") for c in ("a", "b"))
+                    count, last = shard.probe(a, b)
+                    doc = part.column("doc")
+                    same = doc.is_valid().to_numpy(zero_copy_only=False) & (doc.fill_null(0).to_numpy() == last)
+                    yield part.filter(pa.array((count >= min_documents) & ~same))
 
     return met.mapInArrow(probed, "a long, b long, doc long")
 

@@ -54,7 +54,7 @@ def test_line_dedup(spark, tables):
     one_each = docs.dropDuplicates(["doc_id"])  # the SQL knows rows by their ids
     got = line_dedup.dedup_lines(one_each).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     assert rows(got) == expected(line_dedup.SQL, documents=one_each)
-    sharded = line_dedup.dedup_lines(one_each, broadcast_bytes=-1, shard_keys=1).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    sharded = line_dedup.dedup_lines(one_each, task_lines=2, shard_keys=2).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     assert rows(sharded) == rows(got)
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
     twice = docs.unionByName(docs)

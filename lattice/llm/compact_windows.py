@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Forest, cut, python_ready, sent, spread_join, table
-from .graph import components
+from .graph import components, rooted, tiles, with_heads
 from .shingles import mixed, shingle_digests, word_digests
 
 SHINGLE = 5
@@ -496,9 +496,7 @@ def linked_stretches(kinds: DataFrame, passage: int, percent: int) -> tuple[Data
     found, roots = None, None
     apart = (F.col("x_lo") != F.col("y_lo")) | (F.col("x_hi") != F.col("y_hi")) | (F.col("x_lo") != F.col("x_hi"))
     for k in range(HEADS):
-        placed = _rooted(keys, roots)
-        heads = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min_by(F.struct("d", "root"), F.xxhash64("d", F.lit(k))).alias("head")).filter("a <> b").select("key", F.col("head.d").alias("y"), F.col("head.root").alias("y_root"))
-        pairs = cut(placed.join(heads, "key").filter("root <> y_root").select(F.col("d").alias("x"), "y").distinct())
+        pairs = cut(with_heads(rooted(keys, roots, "d"), "d", k))
         if pairs.isEmpty():
             break
         x, y = (places.toDF(c, f"c{c}", f"{c}_lo", f"{c}_hi") for c in "xy")
@@ -507,7 +505,7 @@ def linked_stretches(kinds: DataFrame, passage: int, percent: int) -> tuple[Data
         found = some if found is None else found.unionByName(some)
         roots = cut(components(found.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     else:
-        rest = cut(_tiles(_rooted(keys, roots), places, least, percent, run))
+        rest = cut(_tiles(rooted(keys, roots, "d"), places, least, percent, run))
         found = rest if found is None else found.unionByName(rest)
         roots = cut(components(found.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     if found is None:
@@ -517,30 +515,12 @@ def linked_stretches(kinds: DataFrame, passage: int, percent: int) -> tuple[Data
     return spans, found.sparkSession.createDataFrame([], "node binary, root binary") if roots is None else roots
 
 
-def _rooted(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return keys.withColumn("root", F.col("d"))
-    return keys.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
-
-
 def _tiles(placed: DataFrame, places: DataFrame, least: int, percent: int, run: int) -> DataFrame:
     """Passages of all pairs of stretches that have a key in common and aren't connected yet, of each pair in its least such key.
-    placed: key, d and root. The stretches of a key that have its most frequent root meet all others, these meet each other,
-    too."""
-    per_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = per_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("n")).filter("n > 1").select("key", "main")
-    open_ = cut(placed.join(main, "key").join(places.withColumn("n", F.length("content") / 8).select("d", "n"), "d").withColumn("is_main", F.col("root") == F.col("main")).drop("main"))
-    sizes = open_.groupBy("key").agg(*[F.ceil(F.greatest(F.lit(1), F.sum(F.when(F.col("is_main") == flag, 1).otherwise(0)) / TILE_STRETCHES, F.sum(F.when(F.col("is_main") == flag, F.col("n")).otherwise(0)) / TILE_SHINGLES)).cast("int").alias(name) for flag, name in ((True, "mains"), (False, "others"))])
-    dealt = open_.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("d"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
-    # tiles (i, j): of others with others, i <= j; of others with the main ones, j from `others` on
-    with_others, with_mains = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.col("others"), F.col("others") + F.col("mains") - 1)
-    tiles = F.when(F.col("is_main"), F.transform(with_others, lambda i: F.struct(i.alias("i"), (F.col("others") + F.col("own")).alias("j")))).otherwise(
-        F.concat(F.transform(with_others, lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j"))), F.transform(with_mains, lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))))
-    )
-    side = F.when(F.col("is_main"), F.col("others") + F.col("own")).otherwise(F.col("own")).alias("side")
-    keys_of = open_.groupBy("d").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    contents = places.join(keys_of, "d")
-    rows = spread_join(dealt.select("key", "d", "root", F.explode(tiles).alias("tile"), side).select("key", "d", "root", "side", "tile.i", "tile.j"), contents, "d")
+    placed: key, d and root."""
+    sized = placed.join(places.select("d", (F.length("content") / 8).alias("n")), "d")
+    keys_of = placed.groupBy("d").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    rows = spread_join(tiles(sized, "d", TILE_STRETCHES, TILE_SHINGLES), places.join(keys_of, "d"), "d")
 
     def compared(got: pa.Table) -> pa.Table:
         i, j, key = (got.column(c)[0].as_py() for c in ("i", "j", "key"))

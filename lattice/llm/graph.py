@@ -33,3 +33,35 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(small_least, "a")
         now = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
     raise RuntimeError("components did not settle")
+
+
+def rooted(keys: DataFrame, roots: DataFrame | None, node: str) -> DataFrame:
+    """keys with the root of each node: itself, where it isn't connected with any other."""
+    if roots is None:
+        return keys.withColumn("root", F.col(node))
+    return keys.join(roots.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
+
+
+def with_heads(placed: DataFrame, node: str, turn: int) -> DataFrame:
+    """x, y, once each: every node (with key and root) and a head of its key, another one in each turn, that it isn't connected with."""
+    heads = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min_by(F.struct(F.col(node).alias("y"), "root"), F.xxhash64(node, F.lit(turn))).alias("head"))
+    heads = heads.filter("a <> b").select("key", F.col("head.y").alias("y"), F.col("head.root").alias("y_root"))
+    return placed.join(heads, "key").filter("root <> y_root").select(F.col(node).alias("x"), "y").distinct()
+
+
+def tiles(placed: DataFrame, node: str, most_rows: int, most: int) -> DataFrame:
+    """key, node, root, side, i and j: the tiles (i, j) in which nodes of a key meet all that they aren't connected with. placed:
+    key, node, root and n (the node's size). The nodes of a key that have its most frequent root meet all others, these meet each other,
+    too; a side has some most_rows nodes, and some ``most`` of their sizes."""
+    per_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    main = per_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main")
+    open_ = cut(placed.join(main, "key").withColumn("is_main", F.col("root") == F.col("main")).drop("main"))
+    sizes = open_.groupBy("key").agg(*[F.ceil(F.greatest(F.lit(1), F.sum(F.when(F.col("is_main") == flag, 1).otherwise(0)) / most_rows, F.sum(F.when(F.col("is_main") == flag, F.col("n")).otherwise(0)) / most)).cast("int").alias(name) for flag, name in ((True, "mains"), (False, "others"))])
+    dealt = open_.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64(node), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    # of others with others, i <= j; of others with the main ones, j from `others` on
+    with_others, with_mains = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.col("others"), F.col("others") + F.col("mains") - 1)
+    meets = F.when(F.col("is_main"), F.transform(with_others, lambda i: F.struct(i.alias("i"), (F.col("others") + F.col("own")).alias("j")))).otherwise(
+        F.concat(F.transform(with_others, lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j"))), F.transform(with_mains, lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))))
+    )
+    side = F.when(F.col("is_main"), F.col("others") + F.col("own")).otherwise(F.col("own")).alias("side")
+    return dealt.select("key", node, "root", F.explode(meets).alias("tile"), side).select("key", node, "root", "side", "tile.i", "tile.j")

@@ -1,16 +1,16 @@
 """Near-duplicate documents by MinHash and sequential Bayesian verification.
 
 Documents with equal shingle sets are one class from the start. Signatures of class representatives are cut into bands; those
-that share a band are candidates, and what candidates connect is a cluster, which only says who may have to be
-compared. Clusters are dealt into blocks of bounded size, and each pair of blocks is one task: signatures are compared
-batch by batch, and a pair goes as soon as the posterior probability, under a uniform prior, that its similarity
-reaches the threshold is below the chosen miss probability. Survivors are verified exactly on their full sets. From a
-block pair only a spanning forest of its links comes back, so no group gives rise to all its pairs as rows.
+that share a band are candidates. Candidates meet within their band: in a few rounds each with one head of the band, then, in tiles of
+bounded size, all that these rounds haven't connected, each pair in its first common band. Signatures are compared batch by batch, and a
+pair goes as soon as the posterior probability, under a uniform prior, that its similarity reaches the threshold is
+below the chosen miss probability. Survivors are verified exactly on their full sets, which are made for them alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, python_ready, sent, table
-from .graph import components
+from .common import cut, python_ready, sent, spread_join, table
+from .graph import components, rooted, tiles, with_heads
 from .shingles import mixed, shingle_set
 
 WORDS = 5
@@ -30,8 +30,8 @@ PERCENT = 85
 BANDS, ROWS = 24, 5
 #: Hashes of a batch, and the probability of missing a link that a batch may cost.
 BATCH, MISS = 24, 1e-6
-#: Documents and shingles of a block, at most, on average.
-BLOCK_DOCUMENTS, BLOCK_SHINGLES = 384, 1_000_000
+#: Rounds in which the candidates of a band meet one head, and documents of a side of a tile, at most, on average.
+HEADS, TILE_DOCUMENTS = 2, 512
 _N = BANDS * ROWS
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 1 << 32, size=_N, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -55,6 +55,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+@cache
 def least_matches(percent: int, miss: float) -> dict[int, int]:
     """For each number of compared hashes: the least matches that leave the posterior P(J >= percent / 100) at miss."""
     t, out = percent / 100, {}
@@ -66,86 +67,26 @@ def least_matches(percent: int, miss: float) -> dict[int, int]:
     return out
 
 
-def exact_links(sets_a: list[np.ndarray], sets_b: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the pairs (rows[k] of a, cols[k] of b) are links, on the full sets."""
-    size_a, size_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
-    if len(rows) < 400:
-        common = np.array([len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True)) for i, j in zip(rows.tolist(), cols.tolist())], dtype=np.int64)
-    else:
-        # counts of common shingles of all pairs, by products of incidence matrices of some shingles at a time
-        use_a, use_b = np.unique(rows), np.unique(cols)
-        flat_a, flat_b = np.concatenate([sets_a[i] for i in use_a]), np.concatenate([sets_b[j] for j in use_b])
-        of_a, of_b = np.repeat(np.arange(len(use_a)), size_a[use_a]), np.repeat(np.arange(len(use_b)), size_b[use_b])
-        shared = np.intersect1d(flat_a, flat_b)
-        at_a, at_b = (np.minimum(np.searchsorted(shared, f), max(len(shared) - 1, 0)) for f in (flat_a, flat_b))
-        in_a, in_b = ((shared[at] == f if len(shared) else np.zeros(len(f), bool)) for at, f in ((at_a, flat_a), (at_b, flat_b)))
-        total = np.zeros((len(use_a), len(use_b)), dtype=np.float32)
-        for lo in range(0, len(shared), 4096):
-            some = []
-            for at, keep, of, n in ((at_a, in_a, of_a, len(use_a)), (at_b, in_b, of_b, len(use_b))):
-                here = keep & (at >= lo) & (at < lo + 4096)
-                m = np.zeros((n, 4096), dtype=np.float32)
-                m[of[here], at[here] - lo] = 1
-                some.append(m)
-            total += some[0] @ some[1].T
-        common = total[np.searchsorted(use_a, rows), np.searchsorted(use_b, cols)].astype(np.int64)
-    return 100 * common >= percent * (size_a[rows] + size_b[cols] - common)
-
-
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def block_links(sig_a: np.ndarray, sig_b: np.ndarray, sets_a: list[np.ndarray], sets_b: list[np.ndarray], same: bool, percent: int, miss: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the documents of two blocks, or of one with itself (same)."""
-    size_a, size_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
-    need, found, forest = least_matches(percent, miss), [], _Forest(len(sets_a) + len(sets_b))
-    for lo in range(0, len(sets_a), 128):
-        a = sig_a[lo : lo + 128]
-        # candidates: a band in common, and sizes that allow the threshold
-        fits = 100 * np.minimum(size_a[lo : lo + 128, None], size_b[None, :]) >= percent * np.maximum(size_a[lo : lo + 128, None], size_b[None, :])
-        if same:
-            fits &= np.arange(len(sets_b))[None, :] > np.arange(lo, lo + len(a))[:, None]
-        banded = np.zeros_like(fits)
-        for k in range(0, _N, ROWS):
-            hit = a[:, k, None] == sig_b[None, :, k]
-            for r in range(k + 1, k + ROWS):
-                hit &= a[:, r, None] == sig_b[None, :, r]
-            banded |= hit
-        rows, cols = np.nonzero(banded & fits)
-        matches = np.zeros(len(rows), dtype=np.int32)
-        for n in range(BATCH, _N + 1, BATCH):
-            for at in range(0, len(rows), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                matches[part] += (a[rows[part], n - BATCH : n] == sig_b[cols[part], n - BATCH : n]).sum(axis=1, dtype=np.int32)
-            live = matches >= need[n]
-            rows, cols, matches = rows[live], cols[live], matches[live]
-        # the most similar first; of pairs that earlier links connect, nothing more can be learned
-        order = np.argsort(-matches, kind="stable")
-        rows, cols = rows[order] + lo, cols[order]
-        offset = 0 if same else len(sets_a)
-        at, step = 0, 256
-        while at < len(rows):
-            part = [(i, j) for i, j in zip(rows[at : at + step].tolist(), cols[at : at + step].tolist()) if forest.root(i) != forest.root(j + offset)]
-            at, step = at + step, min(step * 4, 1 << 15)
-            if part:
-                i, j = np.array(part).T
-                for x, y in zip(i[good := exact_links(sets_a, sets_b, i, j, percent)].tolist(), j[good].tolist()):
-                    if forest.join(x, y + offset):
-                        found.append((x, y))
-    return found
+def likely(sig_a: np.ndarray, sig_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, miss: float) -> np.ndarray:
+    """Places of the pairs (row k of a with row k of b) whose sizes allow the threshold and that no batch of hashes has ruled out."""
+    at = np.flatnonzero(100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+    matches, need = np.zeros(len(at), dtype=np.int32), least_matches(percent, miss)
+    for n in range(BATCH, _N + 1, BATCH):
+        matches += (sig_a[at, n - BATCH : n] == sig_b[at, n - BATCH : n]).sum(axis=1, dtype=np.int32)
+        live = matches >= need[n]
+        at, matches = at[live], matches[live]
+    return at
+
+
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, _N)
+
+
+def _pairs(x, y) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, pa.binary()) for v in (x, y)], names=["x", "y"])
+
+
+_PAIR = "x binary, y binary"
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -167,42 +108,88 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
 
 
 def links(reps: DataFrame, texts: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
-    """a, b: links that connect what all links of the representatives connect. reps: doc, n, bands, sig; texts: doc, text."""
-    banded = reps.select("doc", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("c")).filter("c > 1").select("key", "least")
-    clusters = components(banded.join(shared, "key").select(F.col("doc").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct())
-    members = cut(clusters.select(F.col("node").alias("doc"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("doc"), F.col("root").alias("cluster")).distinct()).join(reps.select("doc", "n", "sig"), "doc"))
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    blocks = sizes.select("cluster", F.ceil(F.greatest(F.col("c") / BLOCK_DOCUMENTS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    """node, root: the components of all links of the distinct sets. reps: d, doc (one that has the set), n, bands, sig; texts: doc, text."""
+    banded = reps.select("d", F.explode("bands").alias("key"))
+    several = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    keys = cut(banded.join(several, "key"))
 
-    def sets(batches: Iterator[pa.RecordBatch]):
+    def compared(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            found = [shingle_set(t, words).tobytes() for t in batch.column("text").to_pylist()]
-            columns = {c: batch.column(c) for c in ("doc", "cluster", "blocks", "sig")}
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(found, pa.binary())], names=[*columns, "shingles"])
-
-    # texts of representatives in clusters only
-    placed = members.select("doc", "cluster", "sig").join(blocks, "cluster")
-    needed = texts.join(sent(placed.select("doc").distinct()), "doc", "left_semi")
-    full = needed.join(placed, "doc").mapInArrow(sets, "doc long, cluster long, blocks int, sig binary, shingles binary")
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select(F.col("cluster"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "sig", "shingles")
+            at = likely(_signatures(batch.column("x_sig")), _signatures(batch.column("y_sig")), batch.column("x_n").to_numpy(), batch.column("y_n").to_numpy(), percent, miss)
+            yield _pairs(batch.column("x").take(pa.array(at)), batch.column("y").take(pa.array(at)))
+
+    found, roots = None, None
+    for k in range(HEADS + 1):
+        placed = rooted(keys, roots, "d")
+        if k < HEADS:
+            pairs = cut(with_heads(placed, "d", k))
+            if pairs.isEmpty():
+                break
+            x, y = (reps.select(F.col("d").alias(c), F.col("n").alias(f"{c}_n"), F.col("sig").alias(f"{c}_sig")) for c in "xy")
+            close = spread_join(spread_join(pairs, y, "y"), x, "x").mapInArrow(compared, _PAIR)
+        else:
+            close = _met(placed, reps, percent, miss)
+        some = cut(_verified(cut(close), reps, texts, words, percent))
+        found = some if found is None else found.unionByName(some)
+        roots = cut(components(found.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    return roots if roots is not None else keys.sparkSession.createDataFrame([], "node binary, root binary")
+
+
+def _met(placed: DataFrame, reps: DataFrame, percent: int, miss: float) -> DataFrame:
+    """x, y: of all pairs that share a band and aren't connected yet those that signatures leave, each in its first common band."""
+    dealt = tiles(placed.withColumn("n", F.lit(1)), "d", TILE_DOCUMENTS, TILE_DOCUMENTS)
+    rows = spread_join(dealt, reps.select("d", "n", "sig", "bands"), "d")
 
     def compared(got: pa.Table) -> pa.Table:
-        i, j = got.column("i")[0].as_py(), got.column("j")[0].as_py()
-        own, docs = got.column("own").to_numpy(), got.column("doc").to_numpy()
-        order = np.argsort(docs, kind="stable")
-        sigs, raw = got.column("sig").to_pylist(), got.column("shingles").to_pylist()
-        sides = []
-        for side in (i, j):
-            at = [k for k in order.tolist() if own[k] == side]
-            sides.append((docs[at], np.array([np.frombuffer(sigs[k], np.uint32) for k in at], dtype=np.uint32).reshape(-1, _N), [np.frombuffer(raw[k], np.uint64) for k in at]))
-        (da, sa, fa), (db, sb, fb) = sides
-        found = block_links(sa, sb, fa, fb, i == j, percent, miss)
-        return pa.table({"a": pa.array([int(da[x]) for x, _ in found], pa.int64()), "b": pa.array([int(db[y]) for _, y in found], pa.int64())})
+        i, j, key = (got.column(c)[0].as_py() for c in ("i", "j", "key"))
+        names, side, n = got.column("d").to_pylist(), got.column("side").to_numpy(), got.column("n").to_numpy()
+        order = np.array(sorted(range(len(names)), key=names.__getitem__))
+        left, right = (order[side[order] == s] for s in (i, j))
+        bands = np.array(got.column("bands").to_pylist(), dtype=np.int64)
+        own = int(np.flatnonzero(bands[0] == key)[0])
+        number = {r: k for k, r in enumerate(set(got.column("root").to_pylist()))}
+        root = np.array([number[r] for r in got.column("root").to_pylist()])
+        meet = root[left][:, None] != root[right][None, :]
+        if i == j:
+            meet &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+        for k in range(own):
+            meet &= bands[left, k][:, None] != bands[right, k][None, :]
+        a, b = np.nonzero(meet)
+        a, b, sig = left[a], right[b], _signatures(got.column("sig"))
+        kept = [np.zeros(0, np.int64)]
+        for lo in range(0, len(a), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            kept.append(lo + likely(sig[a[part]], sig[b[part]], n[a[part]], n[b[part]], percent, miss))
+        at = np.concatenate(kept)
+        return pa.Table.from_batches([_pairs([names[k] for k in a[at].tolist()], [names[k] for k in b[at].tolist()])])
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compared, _PAIR)
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (x, y) that are links, by their full sets."""
+
+    def sets(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            found = [shingle_set(t, words).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=["d", "shingles"])
 
-    return pairs.groupBy("cluster", "i", "j").applyInArrow(compared, "a long, b long")
+    def compared(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            good = []
+            for sx, sy in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist()):
+                a, b = np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)
+                at = np.searchsorted(a, b)
+                common = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+                good.append(100 * common >= percent * (len(a) + len(b) - common))
+            yield _pairs(batch.column("x").filter(pa.array(good, pa.bool_())), batch.column("y").filter(pa.array(good, pa.bool_())))
+
+    ids = cut(pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct())
+    wanted = sent(reps.join(ids, "d").select("doc").distinct())
+    made = texts.join(wanted, "doc", "left_semi").select("text").mapInArrow(sets, "d binary, shingles binary")
+    made = cut(made.join(ids, "d", "left_semi").dropDuplicates(["d"]))
+    x, y = (made.select(F.col("d").alias(c), F.col("shingles").alias(f"s{c}")) for c in "xy")
+    return spread_join(spread_join(pairs, y, "y"), x, "x").mapInArrow(compared, _PAIR)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
@@ -216,13 +203,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     python_ready(docs.sparkSession)
     all_ = cut(sketches(docs, id_col, text_col, words))
     named = all_.filter(F.col("doc").isNotNull() & (F.col("n") > 0))
-    classes = named.groupBy("d").agg(F.min("doc").alias("rep"))
-    marked = cut(named.select("doc", "n", "d").join(classes, "d").select("doc", "n", "d", "rep"))
-    # equal sets have equal signatures: the representative's row has them
-    reps = all_.join(marked.filter("doc = rep").select("doc", "d").distinct(), ["doc", "d"], "left_semi").select("doc", "n", "bands", "sig").dropDuplicates(["doc"])
+    classes = cut(named.groupBy("d").agg(F.min("doc").alias("rep")))
+    # equal sets have equal signatures: any row of the representative's id has them
+    reps = cut(all_.join(classes, "d").filter("doc = rep").select("d", "doc", "n", "bands", "sig").dropDuplicates(["d"]))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    roots = components(links(reps, texts, words, percent, miss))
-    joined = marked.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc", "n", F.coalesce("root", "rep").alias("component"))
+    rooted_ = rooted(classes, links(reps, texts, words, percent, miss), "d")
+    least = rooted_.groupBy("root").agg(F.min("rep").alias("component"))
+    joined = named.select("doc", "n", "d").join(rooted_.join(least, "root").select("d", "component"), "d").select("doc", "n", "component")
     rest = all_.filter(F.col("doc").isNull() | (F.col("n") == 0)).select("doc", "n", F.col("doc").alias("component"))
     out = joined.unionByName(rest)
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
@@ -231,5 +218,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
-
-_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lattice.llm import minhash_dedup as m
 from lattice.llm.graph import components
@@ -48,8 +49,10 @@ def test_same_as_all_pairs(spark):
     assert got == plain(rows)
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(m, "BLOCK_DOCUMENTS", 7)
+@pytest.mark.parametrize("heads", [0, 1])
+def test_tiles_give_the_same(spark, monkeypatch, heads):
+    monkeypatch.setattr(m, "TILE_DOCUMENTS", 7)
+    monkeypatch.setattr(m, "HEADS", heads)
     rows = variants(np.random.default_rng(4), 60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r[0]: tuple(r)[1:] for r in m.near_duplicates(df).collect()} == plain(rows)
@@ -72,14 +75,16 @@ def test_pruning_bounds():
         assert (rng.binomial(n, 0.85, 200_000) < least).mean() < 1e-4
 
 
-def test_exact_links_both_ways():
-    rng = np.random.default_rng(5)
-    pool = np.unique(rng.integers(0, 1 << 60, 400).astype(np.uint64))
-    sets = [np.sort(rng.choice(pool, int(rng.integers(300, 390)), replace=False)) for _ in range(40)]
-    i, j = np.triu_indices(40, 1)
-    want = [100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b)) for a, b in ((sets[x].tolist(), sets[y].tolist()) for x, y in zip(i, j))]
-    assert m.exact_links(sets, sets, i, j, 80).tolist() == want
-    assert m.exact_links(sets, sets, i[:50], j[:50], 80).tolist() == want[:50]
+def test_repeated_ids_with_other_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(100)) for x in "ab")
+    rows = [(1, a), (5, a + " end"), (5, b), (5, "c"), (7, b + " end"), (9, "c")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
+
+
+def test_driver_table_against_all_pairs(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    assert {r[0]: tuple(r)[1:] for r in m.near_duplicates(docs).collect()} == plain([tuple(r) for r in docs.collect()])
 
 
 def test_shingles():

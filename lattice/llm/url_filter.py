@@ -39,8 +39,8 @@ class DigestArray:
 
     def __init__(self, path: str):
         head = np.memmap(path, dtype="<u8", mode="r")
-        n, n_lengths = int(head[0]), int(head[1])
-        at = 2
+        n, n_lengths, self.labels = (int(x) for x in head[:3])  # labels: of the host of a rule, at most
+        at = 3
         self.digests, at = head[at : at + n], at + n
         self.offsets, at = head[at : at + n + 1], at + n + 1
         self.blocks, at = head[at : at + n], at + n
@@ -54,11 +54,12 @@ class DigestArray:
         for verdict, host, prefix in rules:
             if verdict not in (ALLOW, BLOCK):
                 raise ValueError(f"verdict {verdict!r}")
-            found.setdefault(host.lower() + "\0" + prefix, verdict)
+            found.setdefault(host.translate(_LOWER) + "\0" + prefix, verdict)
         keys = sorted(found, key=lambda k: (digest(k), k))
         raw = [k.encode("utf-8", "surrogatepass") for k in keys]
         lengths = sorted({len(k.split("\0", 1)[1]) for k in keys})
-        words = [len(keys), len(lengths), *map(digest, keys), *np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).tolist(), *(int(found[k] == BLOCK) for k in keys), *lengths]
+        labels = max((k.split("\0", 1)[0].count(".") + 1 for k in keys), default=0)
+        words = [len(keys), len(lengths), labels, *map(digest, keys), *np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).tolist(), *(int(found[k] == BLOCK) for k in keys), *lengths]
         with open(path, "wb") as out:
             out.write(np.array(words, dtype="<u8").tobytes() + b"".join(raw) + b"\0" * (-sum(map(len, raw)) % 8))
 
@@ -92,8 +93,10 @@ def split_url(url: str | None) -> tuple[str, str]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def _suffixes(host: str) -> list[str]:
-    parts = host.split(".")
+def _suffixes(host: str, labels: int) -> list[str]:
+    """The host's last labels, up to as many as a rule has."""
+    parts = host.rsplit(".", labels)
+    parts = parts[1:] if len(parts) > labels else parts
     return [".".join(parts[i:]) for i in range(len(parts))] if host else []
 
 
@@ -120,7 +123,7 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
             keys, of, size = [], [], []
             for i, (host, path) in enumerate(parts):
-                for suffix in _suffixes(host):
+                for suffix in _suffixes(host, array.labels):
                     for n in array.lengths:
                         if n <= len(path):
                             keys.append(suffix + "\0" + path[:n])

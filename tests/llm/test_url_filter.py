@@ -37,3 +37,9 @@ def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
     places = array.find(["a\0/", "b\0/", "a\0/x", "c\0/"]).tolist()
     assert sorted(places[:3]) == [0, 1, 2] and places[3] == -1
     assert [int(array.blocks[p]) for p in places[:3]] == [1, 0, 1]
+
+
+def test_hosts_of_rules_are_lowered_as_those_of_urls(spark):
+    df = spark.createDataFrame([(1, "http://www.É.Com/x"), (2, "http://" + "a." * 50_000 + "b.c/x/y"), (3, "http://b.c/x")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in m.filter_urls(df, rules=[("block", "É.COM", "/"), ("block", "b.c", "/x/")]).collect()}
+    assert got == {1: ("É.com/", "block"), 2: ("b.c/x/", "block"), 3: (None, "allow")}

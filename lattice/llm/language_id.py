@@ -6,16 +6,16 @@ bit's classifier does, and takes the codeword with the least sum. A text whose t
 flagged as ambiguous.
 
 The classifiers are least-squares fits with a ridge penalty, solved in closed form on the driver from a bounded sample of
-labelled rows (``Settings.rows_per_language`` and ``Settings.rows``); features are computed on the executors over whole texts.
+labelled rows (``Settings``: rows, rows_per_language, languages); features are computed on the executors over whole texts.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from .common import python_ready, table
 UNDETERMINED = "und"
 #: Buckets of the hashed n-grams, as a power of 2.
 BITS = 14
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII characters but letters count as a space.
 _FOLD = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 _CHUNK = 1 << 20
@@ -33,7 +33,8 @@ _CHUNK = 1 << 20
 @dataclass(frozen=True)
 class Settings:
     rows_per_language: int = 300  # of the sample that is learned from, at most
-    rows: int = 3000  # of the whole sample, at most, but 20 for each language
+    rows: int = 3000  # of the whole sample, at most
+    languages: int = 150  # that are learned, at most: those with the most rows, of equals the first by name
     ridge: float = 0.1
     slope: float = 3.0  # of the loss
     margin: float = 0.08  # of the mean weighted loss: nearer codewords are ambiguous
@@ -100,16 +101,17 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     spark = labelled.sparkSession
     python_ready(spark)
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    per = max(20, min(settings.rows_per_language, settings.rows // max(1, len(counts))))
-    part = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    # first a filter that keeps about twice what is wanted of each language, then the exact choice
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1_000_001, int(2_000_000 * per / n) + 1))]) if counts else None
-    if share is None:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()}
+    if not counts:
         return Model((), np.zeros((0, 0)), np.zeros((1 << BITS, 0)), np.zeros(0), np.zeros(0), settings)
-    some = rows.filter(part < share[F.col("lang")])
-    ids = some.select("lang", "id", part.alias("h")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= per).select("lang", "id").distinct()
-    chosen = some.join(F.broadcast(ids), ["lang", "id"], "left_semi")  # at most settings.rows ids
+    per = max(1, min(settings.rows_per_language, settings.rows // len(counts)))
+    part, text_hash = F.pmod(F.xxhash64("id"), F.lit(1_000_000)), F.xxhash64("text")
+    # first a filter that keeps about twice what is wanted of each language, then the exact choice, of rows by id and text
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1_000_001, int(2_000_000 * max(per, 20) / n) + 1))])
+    some = rows.withColumn("t", text_hash).filter(part < share[F.col("lang")])
+    ids = some.select("lang", "id", "t", part.alias("h")).distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "t"))).filter(F.col("k") <= per).select("lang", F.coalesce("id", F.lit("")).alias("id"), "t")
+    # at most settings.rows ids
+    chosen = some.withColumn("id", F.coalesce("id", F.lit(""))).join(F.broadcast(ids), ["lang", "id", "t"], "left_semi").dropDuplicates(["lang", "id", "t"])
 
     def vectors(batches):
         for batch in batches:
@@ -123,7 +125,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([x.tobytes() for x in at], pa.binary()), pa.array([x.tobytes() for x in values], pa.binary())], names=["lang", "at", "x"])
 
     # counts and vectors of the bounded sample only
-    got = sorted(chosen.select("lang", "text").mapInArrow(vectors, "lang string, at binary, x binary").limit(4 * max(settings.rows, 20 * len(counts))).collect(), key=lambda r: (r["lang"], bytes(r["x"]), bytes(r["at"])))
+    got = sorted(chosen.select("lang", "text").mapInArrow(vectors, "lang string, at binary, x binary").collect(), key=lambda r: (r["lang"], bytes(r["x"]), bytes(r["at"])))
     languages = tuple(sorted({r["lang"] for r in got}))
     if len(languages) < 2:
         return Model(languages, np.ones((len(languages), 1)), np.zeros((1 << BITS, 1)), np.zeros(1), np.ones(1), settings)
@@ -152,8 +154,10 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """The id and the columns ``keep`` as they are, lang_pred, score and ambiguous, of every row, repeated or not.
 
     A null text, one without any letter, and every text if nothing was learned, is `und` with score 0. Texts are read
-    whole. Other columns are ignored.
+    whole. Other columns are ignored. ``keep`` may not name a column of the result.
     """
+    if set(keep) & {"lang_pred", "score", "ambiguous"}:
+        raise ValueError("keep names a column of the result")
     spark = df.sparkSession
     python_ready(spark)
     sent = spark.sparkContext.broadcast(model)

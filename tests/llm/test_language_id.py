@@ -48,3 +48,11 @@ def test_ambiguity_is_flagged(spark):
     model = m.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert not model.predict("aaa bbb aaa")[2]
     assert model.predict("aaa bbb ccc ddd")[2]
+
+
+def test_letters_and_bounds(spark):
+    assert not any(m.has_letter(x) for x in ("½ ²", "①②", "1 _", "", None)) and m.has_letter("1é")
+    rows = [(i % 7, f"w{i % 40} abc " * 3, f"l{i % 40:02d}") for i in range(4000)]
+    small = m.Settings(rows=50, languages=30)
+    model = m.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), small)
+    assert len(model.languages) == 30 and model.languages[-1] == "l29"

@@ -14,6 +14,7 @@ kept for each position. Decoding emits the arcs' labels.
 from __future__ import annotations
 
 import json
+from array import array
 from itertools import islice
 
 import numpy as np
@@ -30,6 +31,8 @@ _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Words a worker keeps the codes of; at more it starts afresh. It bounds memory and has no influence on results.
 KEPT_WORDS = 400_000
+#: Characters of such a word, at most; longer ones are rare, and encoded anew each time.
+KEPT_CHARS = 128
 #: Matches taken at a time from one text.
 STEP = 1 << 18
 
@@ -106,7 +109,8 @@ class Automaton:
     def encode_word(self, word: bytes) -> bytes:
         """The ids of a pre-split word, as little-endian unsigned 32-bit integers."""
         n = len(word)
-        states, back = [-1] * (n + 1), [(0, 0)] * (n + 1)
+        # the state at each place, and the last token on the way there: 8 bytes for a byte of a word of any length
+        states, last = array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
         states[0] = 0
         arcs, target, trie = self.arcs, self.target, self.trie
         for i in range(n):
@@ -124,12 +128,12 @@ class Automaton:
                             arcs.clear()
                         arc = arcs[key] = self.has_arc(state, token)
                     if arc:
-                        states[j + 1], back[j + 1] = target[token], (i, token)
-        ids, at = [], n
+                        states[j + 1], last[j + 1] = target[token], token
+        ids, at = array("i"), n
         while at:
-            at, token = back[at]
-            ids.append(token)
-        return b"".join([t.to_bytes(4, "little") for t in reversed(ids)])
+            ids.append(last[at])
+            at -= len(self.labels[last[at]])
+        return np.array(ids[::-1], dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text``, as little-endian unsigned 32-bit integers."""
@@ -156,9 +160,11 @@ class _Words(dict):
         self.automaton = automaton
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = ids = self.automaton.encode_word(word.encode("utf-8"))
+        ids = self.automaton.encode_word(word.encode("utf-8"))
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 

@@ -70,3 +70,17 @@ def test_rows(spark):
     assert got[4]["decoded_sha256"] == sha256(("long " * 300_000).encode()).hexdigest()
     assert None in got
     assert m.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_memory_of_a_long_word():
+    import tracemalloc
+
+    with open(m.vocabulary_path(), encoding="utf-8") as f:
+        a = m.Automaton(f.read())
+    word = "\u6f22\u5b57\u5566" * 120_000
+    a.encode("warm")
+    tracemalloc.start()
+    ids = a.encode(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert a.decode(ids) == word and peak < 40 * len(word.encode())

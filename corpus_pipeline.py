@@ -19,12 +19,14 @@ NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language can be told: a text without letters, or null, goes."""
+    """Keeps documents whose language can be told: a text without letters, or null, goes. Where the decision is not ambiguous, lang becomes
+    the language that was found."""
     model = language_id.learned(docs)
     judged = language_id.identify(docs, model, keep=REST)
     # where nothing could be learned, nothing can be rejected but what has no letter
     kept = judged.filter(F.col("lang_pred") != language_id.UNDETERMINED) if model.languages else judged.filter(F.col("text").rlike(r"\p{L}"))
-    return kept.select(*COLUMNS)
+    told = F.when(~F.col("ambiguous"), F.col("lang_pred")).otherwise(F.col("lang")) if model.languages else F.col("lang")
+    return kept.withColumn("lang", told).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,16 +35,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the least id."""
-    return _without(docs, minhash_dedup.near_duplicates(docs, percent=NEAR_PERCENT).filter(~F.col("kept")))
+    """Keeps of each group of near-duplicates the document with the least id. Rows with a null id stay; of rows of one id those
+    go whose own text is in a group with a lesser id."""
+    return _without(docs, minhash_dedup.near_duplicates(docs, percent=NEAR_PERCENT, keep_digest=True).filter(~F.col("kept")))
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).join(sent(rows.select("doc_id").distinct()), "doc_id", "left_anti").select(*COLUMNS)
+    """docs without the rows that ``rows`` names by doc_id (null or not) and text_digest (xxhash64 of the text). Rows of one id
+    with other texts stay."""
+    gone = sent(rows.select(F.col("doc_id").isNull().alias("__null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.col("text_digest").alias("__t")).distinct())
+    named = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("__null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__t"))
+    return named.join(gone, ["__null", "__id", "__t"], "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item, each row by its own text, also without an id."""
     judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, judged.filter("n_hit > 0"))
 

@@ -90,7 +90,7 @@ _PAIR = "x binary, y binary"
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc, n (size of its set), d (digest of the set), bands and sig."""
+    """doc, n (size of its set), d (digest of the set), bands, sig and t (hash of the text)."""
 
     def made(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -102,9 +102,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 sig = signature(s) if len(s) else None
                 sigs.append(None if sig is None else sig.tobytes())
                 bands.append(None if sig is None else band_keys(sig))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc", "n", "d", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), batch.column(2)], names=["doc", "n", "d", "bands", "sig", "t"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(made, "doc long, n long, d binary, bands array<long>, sig binary")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("t")).mapInArrow(made, "doc long, n long, d binary, bands array<long>, sig binary, t long")
 
 
 def links(reps: DataFrame, texts: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
@@ -192,8 +193,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, p
     return spread_join(spread_join(pairs, y, "y"), x, "x").mapInArrow(compared, _PAIR)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
-    """Of every document row: the id (as a long), n_shingles, component_id and kept (the id is the component's).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, miss: float = MISS, keep_digest: bool = False) -> DataFrame:
+    """Of every document row: the id (as a long), n_shingles, component_id and kept (the id is the component's); with keep_digest
+    text_digest (xxhash64 of the text), too.
 
     A text of fewer than ``words`` words has its whole sequence as its one shingle. Null texts and texts without words
     have an empty set, are linked with nothing and are their own component. Ids should be unique; rows that repeat one
@@ -209,10 +211,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     rooted_ = rooted(classes, links(reps, texts, words, percent, miss), "d")
     least = rooted_.groupBy("root").agg(F.min("rep").alias("component"))
-    joined = named.select("doc", "n", "d").join(rooted_.join(least, "root").select("d", "component"), "d").select("doc", "n", "component")
-    rest = all_.filter(F.col("doc").isNull() | (F.col("n") == 0)).select("doc", "n", F.col("doc").alias("component"))
+    joined = named.select("doc", "n", "d", "t").join(rooted_.join(least, "root").select("d", "component"), "d").select("doc", "n", "t", "component")
+    rest = all_.filter(F.col("doc").isNull() | (F.col("n") == 0)).select("doc", "n", "t", F.col("doc").alias("component"))
     out = joined.unionByName(rest)
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
+    digest = [F.col("t").alias("text_digest")] if keep_digest else []
+    return out.select(F.col("doc").alias(id_col), *digest, F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

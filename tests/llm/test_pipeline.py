@@ -39,3 +39,17 @@ def test_near_duplicates_from_80_percent(spark, sf):
     rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(f"v{k}" for k in range(220))), (4, " ".join(other))]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in m.drop_near_duplicates(spark, docs, sf).collect()} == {1, 3, 4}
+
+
+def test_rows_are_judged_by_their_own_text(spark, sf):
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rows = [(None, passage), (None, "some other text"), (1, passage), (1, "a clean text"), (2, "a clean text"), (None, None), (3, "1 2")]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in m.drop_contaminated(spark, docs, sf).collect()), key=repr)
+    assert got == sorted([(None, "some other text"), (1, "a clean text"), (2, "a clean text"), (None, None), (3, "1 2")], key=repr)
+    got = sorted(((r["doc_id"], r["text"]) for r in m.drop_near_duplicates(spark, docs, sf).collect()), key=repr)
+    assert got == sorted([r for r in rows if r != (2, "a clean text")], key=repr)
+    assert {r["doc_id"] for r in m.identify_language(spark, docs, sf).collect()} == {None, 1, 2}
+    empty = docs.limit(0)
+    for _, stage in m.STAGES:
+        assert stage(spark, empty, sf).count() == 0

@@ -35,8 +35,8 @@ SHINGLE = 5
 #: Words of a passage, at least, and the similarity (percent) of its shingle sets.
 PASSAGE, PERCENT = 50, 80
 #: Hash functions of a signature. Windows are as long as the run that two passages at the threshold share in any case
-#: (shared_run: 21 shingles); equal runs have equal signatures, so that no further functions are needed to miss none.
-ROWS = 2
+#: (shared_run: 21 shingles); equal runs have equal signatures, so that more functions would find nothing more.
+ROWS = 1
 #: Rounds in which the stretches of a key meet one head, before all that is not connected meets.
 HEADS = 2
 #: Stretches and shingles of a tile, at most, on average.
@@ -74,51 +74,49 @@ def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     return left[c], c, right[c]
 
 
-def joint_windows(shingles: np.ndarray, least: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def joint_windows(shingles: np.ndarray, least: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys and places of the joint windows: the signature of the hash functions, and the place of the first one's
-    minimum. A window's subsequences of the least length begin in one interval; the joint windows are the intervals'
-    common refinement. No window holds a place of ``apart`` (a mask)."""
-    starts, hashes, centres = [], [], []
+    minimum; and the first and last start of a subsequence of the least length. A window's subsequences of that length begin in one
+    interval; the joint windows are the intervals' common refinement. No window holds a place of ``apart`` (a mask)."""
+    starts, ends, hashes, centres = [], [], [], []
     for f in range(ROWS):
         h = mixed(shingles ^ np.uint64((f + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1)) | np.uint64(1)
         if apart is not None:
             h[apart] = 0
-        left, c, _ = compact_windows(h, least)
+        left, c, right = compact_windows(h, least)
         if apart is not None:
-            left, c = left[~apart[c]], c[~apart[c]]
+            left, c, right = (v[~apart[c]] for v in (left, c, right))
         starts.append(np.maximum(left, c - least + 1))
+        ends.append(np.minimum(c, right - least + 1))
         hashes.append(h[c])
         centres.append(c)
-    if not len(starts[0]):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.unique(np.concatenate(starts))
-    key, place = np.full(len(at), 1, dtype=np.uint64), None
-    for s, h, c in zip(starts, hashes, centres):
-        order = np.argsort(s, kind="stable")
-        i = order[np.searchsorted(s[order], at, side="right") - 1]
+    key, until, place = np.full(len(at), 1, dtype=np.uint64), np.full(len(at), len(shingles)), None
+    for s, e, h, c in zip(starts, ends, hashes, centres):
+        i = np.searchsorted(s, at, side="right") - 1
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + h[i])
+        until = np.minimum(until, e[i])
         place = c[i] if place is None else place
-    key = key.view(np.int64)
-    # the same signature at the same place again says nothing new
-    keep = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(place) != 0)])
-    return key[keep], place[keep]
+    until = np.minimum(until, np.concatenate([at[1:], [len(shingles) + 1]])[: len(at)] - 1)
+    return key.view(np.int64), at if place is None else place, at, until
 
 
 def text_keys(texts: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key, text and place of the joint windows of texts, given as their shingles, in this order. A run around a place holds half of
-    its shingles after or before it: each window gives a key with those after its place and one with those before."""
+    its shingles up to it or from it on: each window gives a key with the one half, the other, or both, as its runs have them."""
     half = (run + 1) // 2
     size = np.array([len(t) for t in texts], dtype=np.int64)
     first = np.concatenate([[0], np.cumsum(size + 1)])[:-1]  # one place apart between texts
     s = np.concatenate([x for t in texts for x in (t, np.zeros(1, np.uint64))] or [np.zeros(0, np.uint64)])
     apart = np.zeros(len(s), bool)
     apart[first + size] = True
-    k, p = joint_windows(s, run, apart)
+    k, p, start, until = joint_windows(s, run, apart)
     if not len(k):
         return k, p, p
     of = np.searchsorted(first, p, side="right") - 1
     side = shingle_digests(s, half)
-    after, before = p + half <= first[of] + size[of], p - half + 1 >= first[of]
+    # a run from start to until holds half of itself up to the place if it begins early enough, else half of itself from the place on
+    before, after = start <= p - half + 1, until > p - half + 1
     k = k.view(np.uint64)
     k = np.concatenate([mixed(k[after] ^ side[p[after]]), mixed(k[before] + side[p[before] - half + 1])]).view(np.int64)
     of, p = np.concatenate([of[after], of[before]]), np.concatenate([p[after], p[before]])
@@ -279,10 +277,10 @@ def _exact(at_x: np.ndarray, at_y: np.ndarray, least: int) -> list[tuple[int, in
 
 
 def _strung(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
-    found, stack = [], [(0, len(px))]
+    found, stack, common_least = [], [(0, len(px))], least_common(least, percent)
     while stack:
         a, b = stack.pop()
-        if b - a < 1 or px[b - 1] - px[a] + 1 < least:
+        if b - a < common_least or px[b - 1] - px[a] + 1 < least:
             continue
         step = np.maximum(np.diff(px[a:b]), np.abs(np.diff(py[a:b])))
         far = np.nonzero(step > GAP)[0]
@@ -305,7 +303,7 @@ def _strung(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, least:
 
 def filled(content: bytes | np.ndarray, side: int) -> np.ndarray:
     """A stretch's shingles, with its blanks turned into shingles that nothing has in common with it but for ``side``."""
-    s = np.frombuffer(content, np.uint64).copy()
+    s = mixed((np.frombuffer(content, np.uint32) if isinstance(content, bytes) else content).astype(np.uint64))
     blank = np.flatnonzero(s == 0)
     s[blank] = mixed(blank.astype(np.uint64) * np.uint64(2) + np.uint64(side) + np.uint64(0x51ED270B0001))
     return s
@@ -407,7 +405,7 @@ def shared_places(first: DataFrame, passage: int, percent: int) -> DataFrame:
 
 
 def marked_stretches(first: DataFrame, passage: int, percent: int) -> DataFrame:
-    """doc, t, at (first shingle), d (digest) and content (shingles, 0 where no other document has it) of all stretches."""
+    """doc, t, at (first shingle), d (digest) and content (32 bits of each shingle, 0 where no other document has it) of all stretches."""
     least = passage - SHINGLE + 1
     places = cut(shared_places(first, passage, percent))
     met = first.join(sent(places.select("doc")), "doc", "left_semi").join(places, "doc")
@@ -417,7 +415,7 @@ def marked_stretches(first: DataFrame, passage: int, percent: int) -> DataFrame:
             rows, names, of = [], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
             for doc, t, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "text", "places"))):
                 s = shingle_digests(word_digests(text), SHINGLE)
-                s[s == 0] = 1
+                s[s.astype(np.uint32) == 0] = 1  # 0 is a blank
                 p = np.array(at)
                 p = p[p < len(s)]
                 for piece in np.split(p, np.flatnonzero(np.diff(p) > 2 * least) + 1) if len(p) else ():
@@ -441,7 +439,7 @@ def marked_stretches(first: DataFrame, passage: int, percent: int) -> DataFrame:
                 asks.append(asked[lo:hi])
                 seen.add(doc)
             marks = [np.packbits(np.isin(r[3].astype(np.uint32), known)).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))), pa.array([r[3].tobytes() for r in rows], pa.binary()), pa.array(marks, pa.binary()), pa.array(asks, pa.list_(pa.int32()))], names=["doc", "t", "at", "shingles", "known", "asks"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))), pa.array([r[3].astype(np.uint32).tobytes() for r in rows], pa.binary()), pa.array(marks, pa.binary()), pa.array(asks, pa.list_(pa.int32()))], names=["doc", "t", "at", "shingles", "known", "asks"])
 
     found = cut(met.select("doc", "t", "text", "places").mapInArrow(segments, "doc long, t long, at int, shingles binary, known binary, asks array<int>"))
     asks = found.select("doc", F.explode("asks").alias("h"))
@@ -452,12 +450,12 @@ def marked_stretches(first: DataFrame, passage: int, percent: int) -> DataFrame:
         for batch in batches:
             out = []
             for doc, t, at, raw, known, others in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                s = np.frombuffer(raw, np.uint64)
+                s = np.frombuffer(raw, np.uint32)
                 shared = np.unpackbits(np.frombuffer(known, np.uint8), count=len(s)).astype(bool)
                 if others:
-                    shared |= np.isin(s.astype(np.uint32), np.array(others, np.int32).view(np.uint32))
+                    shared |= np.isin(s, np.array(others, np.int32).view(np.uint32))
                 for a, b in stretches(shared, least, percent):
-                    content = np.where(shared[a:b], s[a:b], np.uint64(0)).tobytes()
+                    content = np.where(shared[a:b], s[a:b], np.uint32(0)).tobytes()
                     out.append((doc, t, at + a, xxhash.xxh3_128_digest(content), content))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc", "t", "at", "d", "content"])
@@ -518,7 +516,7 @@ def linked_stretches(kinds: DataFrame, passage: int, percent: int) -> tuple[Data
 def _tiles(placed: DataFrame, places: DataFrame, least: int, percent: int, run: int) -> DataFrame:
     """Passages of all pairs of stretches that have a key in common and aren't connected yet, of each pair in its least such key.
     placed: key, d and root."""
-    sized = placed.join(places.select("d", (F.length("content") / 8).alias("n")), "d")
+    sized = placed.join(places.select("d", (F.length("content") / 4).alias("n")), "d")
     keys_of = placed.groupBy("d").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     rows = spread_join(tiles(sized, "d", TILE_STRETCHES, TILE_SHINGLES), places.join(keys_of, "d"), "d")
 
@@ -526,12 +524,12 @@ def _tiles(placed: DataFrame, places: DataFrame, least: int, percent: int, run:
         i, j, key = (got.column(c)[0].as_py() for c in ("i", "j", "key"))
         at = sorted(range(got.num_rows), key=got.column("d").to_pylist().__getitem__)
         side, names, root, lo, hi = (got.column(c).to_pylist() for c in ("side", "d", "root", "lo", "hi"))
-        texts = [np.frombuffer(c, np.uint64) for c in got.column("content").to_pylist()]
+        texts = [np.frombuffer(c, np.uint32) for c in got.column("content").to_pylist()]
         own = [set(k) for k in got.column("keys").to_pylist()]
         left, right = ([k for k in at if side[k] == s] for s in (i, j))
         # a common run, and as many common shingles as the passages with the fewest distinct ones need
         runs = [np.unique(shingle_digests(filled(c, k), run)) for k, c in enumerate(texts)]
-        sets = [np.unique(c[c != 0]) for c in texts]
+        sets = [np.unique(c[c != 0]).astype(np.uint64) for c in texts]
         need = np.array([-(-percent * _fewest(c, least) // 100) for c in texts])
         near = common_counts([runs[k] for k in left], [runs[k] for k in right]) > 0
         total = common_counts([sets[k] for k in left], [sets[k] for k in right])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, python_ready, sent, spread_join, table
+from .common import Forest, cut, python_ready, sent, spread_join, table
 from .graph import components, rooted, tiles, with_heads
 from .shingles import mixed, shingle_set
 
@@ -32,6 +32,8 @@ BANDS, ROWS = 24, 5
 BATCH, MISS = 24, 1e-6
 #: Rounds in which the candidates of a band meet one head, and documents of a side of a tile, at most, on average.
 HEADS, TILE_DOCUMENTS = 2, 512
+#: Documents and shingles of a bucket of sets, at most, on average.
+BUCKET_DOCUMENTS, BUCKET_SHINGLES = 1024, 2_000_000
 _N = BANDS * ROWS
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 1 << 32, size=_N, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -168,29 +170,38 @@ def _met(placed: DataFrame, reps: DataFrame, percent: int, miss: float) -> DataF
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (x, y) that are links, by their full sets."""
+    """Of the pairs (x, y) those that are links, by their full sets; enough of them to connect what all of them connect."""
 
     def sets(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             found = [shingle_set(t, words).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=["d", "shingles"])
 
-    def compared(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            good = []
-            for sx, sy in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist()):
-                a, b = np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)
-                at = np.searchsorted(a, b)
-                common = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-                good.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield _pairs(batch.column("x").filter(pa.array(good, pa.bool_())), batch.column("y").filter(pa.array(good, pa.bool_())))
+    def compared(got: pa.Table) -> pa.Table:
+        held = {d: np.frombuffer(s, np.uint64) for d, s in zip(got.column("d").to_pylist(), got.column("shingles").to_pylist()) if d is not None}
+        forest, number, found = Forest(len(held)), {d: k for k, d in enumerate(held)}, []
+        for x, y in sorted((x, y) for x, y in zip(got.column("x").to_pylist(), got.column("y").to_pylist()) if x is not None):
+            if forest.root(number[x]) != forest.root(number[y]):
+                a, b = held[x], held[y]
+                common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+                if 100 * common >= percent * (len(a) + len(b) - common):
+                    forest.join(number[x], number[y])
+                    found.append((x, y))
+        return pa.Table.from_batches([_pairs([x for x, _ in found], [y for _, y in found])])
 
     ids = cut(pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct())
-    wanted = sent(reps.join(ids, "d").select("doc").distinct())
-    made = texts.join(wanted, "doc", "left_semi").select("text").mapInArrow(sets, "d binary, shingles binary")
-    made = cut(made.join(ids, "d", "left_semi").dropDuplicates(["d"]))
-    x, y = (made.select(F.col("d").alias(c), F.col("shingles").alias(f"s{c}")) for c in "xy")
-    return spread_join(spread_join(pairs, y, "y"), x, "x").mapInArrow(compared, _PAIR)
+    known = reps.select("d", "doc", "n").join(ids, "d")
+    # sets are dealt into buckets; those that a pair of buckets needs go to it once, however many of its pairs need them
+    count, size = known.agg(F.count("*"), F.sum("n")).first()
+    buckets = max(1, -(-count // BUCKET_DOCUMENTS), -(-(size or 0) // BUCKET_SHINGLES))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("i" if c == "x" else "j")
+    placed = pairs.select(of("x"), of("y"), "x", "y")
+    made = texts.join(sent(known.select("doc").distinct()), "doc", "left_semi").select("text").mapInArrow(sets, "d binary, shingles binary")
+    made = made.join(ids, "d", "left_semi").dropDuplicates(["d"])
+    needed = placed.select("i", "j", F.col("x").alias("d")).unionByName(placed.select("i", "j", F.col("y").alias("d"))).distinct()
+    blank = F.lit(None).cast("binary")
+    rows = spread_join(needed, made, "d").select("i", "j", blank.alias("x"), blank.alias("y"), "d", "shingles").unionByName(placed.select("i", "j", "x", "y", blank.alias("d"), blank.alias("shingles")))
+    return rows.groupBy("i", "j").applyInArrow(compared, _PAIR)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, miss: float = MISS, keep_digest: bool = False) -> DataFrame:

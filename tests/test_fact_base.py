@@ -154,3 +154,39 @@ def test_read_tree(spark, tmp_path):
 def test_nothing(spark):
     empty = FactBase(from_texts(spark, {"a.py": ""}))
     assert empty.imports.count() == 0 and empty.symbols.count() == 0 and empty.edges.count() == 0
+
+
+def test_declarations_and_imports_of_single_lines(spark):
+    from lattice.operators import extract
+
+    declared = [
+        ("javascript/typescript", "export default async function* walk() {", ("walk", "function", True)),
+        ("javascript/typescript", "  const { a, b } = c;", None),
+        ("javascript/typescript", "abstract class Über extends Base {", ("Über", "class", False)),
+        ("rust", "pub(crate) const fn size() -> usize {", ("size", "function", True)),
+        ("rust", "impl<'a, T: Into<X>> Shape for Circle<T> where T: Y {", ("Shape for Circle<T>", "impl", False)),
+        ("go", "func (s *Server) Serve() {", ("Serve", "method", True)),
+        ("go", "type pair[K any] struct {", ("pair", "struct", False)),
+        ("swift", "  @objc public static func run() {", ("run", "function", True)),
+        ("swift", "  class func make() {", ("make", "function", False)),
+        ("python", "    async def go(self):", ("go", "function", False)),
+        ("python", "default = 3", None),
+    ]
+    lines = [(str(i), language, 1, code, code) for i, (language, code, _) in enumerate(declared)]
+    df = spark.createDataFrame(lines, "rel string, language string, line_no int, code string, text string")
+    got = {int(r["rel"]): (r["name"], r["kind"], r["exported"]) for r in extract.symbols(df).collect()}
+    assert got == {i: want for i, (*_, want) in enumerate(declared) if want}
+    imported = [
+        ("javascript/typescript", ["import {", "  a,", "} from './x';", "// from './no'", "const y = require(\"y\"), z = import('z');", "import('./' + z);"], ["./x", "y", "z"]),
+        ("python", ["import os.path as p, sys", "from .. import up", "x = 'import no'"], ["os.path", "sys", ".."]),
+        ("go", ['import f "fmt"', "import (", '  x "a/b"', ")", 'var s = "no"'], ["fmt", "a/b"]),
+        ("rust", ["pub use crate::a::{b, c};", "mod d;", "mod e {"], ["crate::a::", "d"]),
+        ("swift", ["@testable import struct Kit.Thing", "let x = 1"], ["Kit"]),
+        ("style", ['@import url("a.css");', "@import 'b.css';"], ["a.css", "b.css"]),
+    ]
+    lines = [(language, language, k, extract.code_of("\n".join(body), language)[k - 1], body[k - 1]) for language, body, _ in imported for k in range(1, len(body) + 1)]
+    df = spark.createDataFrame(lines, "rel string, language string, line_no int, code string, text string")
+    got = {}
+    for r in extract.imports(df).orderBy("line").collect():
+        got.setdefault(r["rel"], []).append(r["spec"])
+    assert {k: sorted(v) for k, v in got.items()} == {language: sorted(want) for language, _, want in imported}

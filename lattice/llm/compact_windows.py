@@ -154,13 +154,56 @@ def passages(x: np.ndarray, y: np.ndarray, least: int, percent: int) -> list[tup
     return aligned(Indexed(x, run), Indexed(y, run), least, percent)
 
 
+def run_digests(shingles: np.ndarray, run: int) -> np.ndarray:
+    """Digests of the runs of ``run`` shingles, each put together of shorter ones, twice as long in each step; none of a shorter text."""
+    if len(shingles) < run:
+        return shingles[:0]
+    h, width = mixed(shingles), 1
+    while width < run:
+        step = min(width, run - width)
+        h = mixed(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
+        width += step
+    return h
+
+
 class Indexed:
     """A text's shingles and runs, and their places by value."""
 
     def __init__(self, shingles: np.ndarray, run: int):
-        self.run, self.s, self.runs = run, shingles, shingle_digests(shingles, run)
+        self.run, self.s, self.runs = run, shingles, run_digests(shingles, run)
         self.by, self.runs_by = np.argsort(self.s, kind="stable"), np.argsort(self.runs, kind="stable")
         self.s_sorted, self.runs_sorted = self.s[self.by], self.runs[self.runs_by]
+        # the place before with the same shingle, or -1
+        self.before = np.full(len(self.s), -1)
+        same = self.s_sorted[1:] == self.s_sorted[:-1]
+        self.before[self.by[1:][same]] = self.by[:-1][same]
+
+
+class Common:
+    """Distinct shingles of windows of two texts, and how many of them both have."""
+
+    def __init__(self, one: Indexed, two: Indexed):
+        n = len(two.s)
+        self.one, self.two, self.held = one, two, np.zeros(n + 1, bool)
+        # a shingle's number is its first place in the order of y's shingles; n is one that y doesn't have
+        self.of_y = np.empty(n, np.int64)
+        self.of_y[two.by] = np.searchsorted(two.s_sorted, two.s_sorted)
+        at = np.searchsorted(two.s_sorted, one.s)
+        self.of_x = np.where(two.s_sorted[np.minimum(at, n - 1)] == one.s, at, n) if n else np.zeros(len(one.s), np.int64)
+
+    def __call__(self, x0: int, x1: int, y0: int, y1: int) -> tuple[int, int, int]:
+        """Of the windows from x0 to x1 and y0 to y1, both ends included: distinct shingles of each, and common ones."""
+        new, held_y = self.one.before[x0 : x1 + 1] < x0, self.of_y[y0 : y1 + 1]
+        self.held[held_y] = True
+        common = np.count_nonzero(self.held[self.of_x[x0 : x1 + 1]] & new)
+        self.held[held_y] = False
+        return np.count_nonzero(new), np.count_nonzero(self.two.before[y0 : y1 + 1] < y0), common
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; by a sort, as hashing them takes longer."""
+    s = np.sort(values)
+    return s[np.concatenate([np.ones(1, bool), s[1:] != s[:-1]])] if len(s) else s
 
 
 def aligned(one: Indexed, two: Indexed, least: int, percent: int) -> list[tuple[int, int, int, int]]:
@@ -171,7 +214,7 @@ def aligned(one: Indexed, two: Indexed, least: int, percent: int) -> list[tuple[
     lo, hi = np.searchsorted(two.runs_sorted, rx, side="left"), np.searchsorted(two.runs_sorted, rx, side="right")
     if not (hi > lo).any():
         return found
-    band = _Band(one, two)
+    band, common = _Band(one, two), Common(one, two)
     open_x, open_y = np.ones(len(x), bool), np.ones(len(y), bool)
 
     def tried(d: int) -> bool:
@@ -179,7 +222,7 @@ def aligned(one: Indexed, two: Indexed, least: int, percent: int) -> list[tuple[
         px, py = band.near(d)
         on = px - py == d
         # exact repetitions stand, whatever is near to them
-        for x0, x1, y0, y1 in _exact(px[on], py[on], least) + _strung(x, y, px, py, least, percent):
+        for x0, x1, y0, y1 in _exact(px[on], py[on], least) + _strung(common, px, py, least, percent):
             if not found or open_x[x0 : x1 + 1].any() or open_y[y0 : y1 + 1].any():
                 found.append((x0, x1, y0, y1))
                 open_x[x0 : x1 + 1] = open_y[y0 : y1 + 1] = False
@@ -276,22 +319,22 @@ def _exact(at_x: np.ndarray, at_y: np.ndarray, least: int) -> list[tuple[int, in
     return [(int(at_x[k]), int(at_x[e - 1]), int(at_y[k]), int(at_y[e - 1])) for k, e in zip([0, *edge.tolist()], [*edge.tolist(), len(at_x)]) if e - k >= least]
 
 
-def _strung(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
+def _strung(held: Common, px: np.ndarray, py: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
     found, stack, common_least = [], [(0, len(px))], least_common(least, percent)
+    steps = np.maximum(np.diff(px), np.abs(np.diff(py)))
     while stack:
         a, b = stack.pop()
         if b - a < common_least or px[b - 1] - px[a] + 1 < least:
             continue
-        step = np.maximum(np.diff(px[a:b]), np.abs(np.diff(py[a:b])))
-        far = np.nonzero(step > GAP)[0]
+        step = steps[a : b - 1]
+        far = np.flatnonzero(step > GAP)
         if len(far):
             cuts = [a, *(far + a + 1).tolist(), b]
             stack.extend(zip(cuts, cuts[1:]))
             continue
         x0, x1, y0, y1 = int(px[a]), int(px[b - 1]), int(py[a:b].min()), int(py[a:b].max())
-        sx, sy = np.unique(x[x0 : x1 + 1]), np.unique(y[y0 : y1 + 1])
-        common = len(np.intersect1d(sx, sy, assume_unique=True))
-        if 100 * common >= percent * (len(sx) + len(sy) - common):
+        nx, ny, common = held(x0, x1, y0, y1)
+        if 100 * common >= percent * (nx + ny - common):
             if y1 - y0 + 1 >= least:
                 found.append((x0, x1, y0, y1))
         elif b - a > 1:
@@ -313,7 +356,7 @@ def own_passages(content: bytes, least: int, percent: int) -> list[tuple[int, in
     """First and last shingle of the passages that documents with the same stretch have in common."""
     x, y = filled(content, 0), filled(content, 1)
     at = np.flatnonzero(x == y)
-    return sorted({(a, b) for a, b, _, _ in _exact(at, at, least) + _strung(x, y, at, at, least, percent)})
+    return sorted({(a, b) for a, b, _, _ in _exact(at, at, least) + _strung(Common(Indexed(x, 1), Indexed(y, 1)), at, at, least, percent)})
 
 
 def _fewest(content: np.ndarray, least: int) -> int:
@@ -344,7 +387,8 @@ def common_counts(some: list[np.ndarray], others: list[np.ndarray]) -> np.ndarra
     """How many values each array of ``some`` has in common with each of ``others``; arrays hold distinct values."""
     out = np.zeros((len(some), len(others)), dtype=np.float32)
     flat = [np.concatenate([*side, np.zeros(0, np.uint64)]) for side in (some, others)]
-    shared = np.intersect1d(*flat)
+    flat_sorted = np.sort(np.concatenate([distinct(f) for f in flat]))
+    shared = flat_sorted[1:][flat_sorted[1:] == flat_sorted[:-1]]
     if not len(shared):
         return out
     sides = []
@@ -421,7 +465,7 @@ def marked_stretches(first: DataFrame, passage: int, percent: int) -> DataFrame:
                 for piece in np.split(p, np.flatnonzero(np.diff(p) > 2 * least) + 1) if len(p) else ():
                     a, b = max(0, int(piece[0]) - least), min(len(s), int(piece[-1]) + least + 1)
                     rows.append((doc, t, a, s[a:b]))
-                    names.append(np.unique(s[a:b].astype(np.uint32)))
+                    names.append(distinct(s[a:b].astype(np.uint32)))
                     of.append(np.full(len(names[-1]), doc))
             h, d = np.concatenate(names), np.concatenate(of)
             order = np.lexsort((d, h))
@@ -480,15 +524,20 @@ def linked_stretches(kinds: DataFrame, passage: int, percent: int) -> tuple[Data
             yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array([names[i] for i in of[new].tolist()], pa.binary())], names=["key", "d"])
 
     keys = kinds.select("d", "content").mapInArrow(keyed, "key long, d binary")
-    several = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    # keys that the very same stretches have give the same pairs: of these one stays (sets by their number and 128 bits of digests)
+    members = [F.count("*").alias("c"), *(F.bit_xor(F.xxhash64(F.lit(k), "d")).alias(f"m{k}") for k in range(2))]
+    several = keys.groupBy("key").agg(*members).filter("c > 1").groupBy("c", "m0", "m1").agg(F.min("key").alias("key")).select("key")
     keys = cut(keys.join(several, "key"))
     places = kinds.select("d", "content", "lo", "hi")
 
     def verified(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            out = []
-            for x, y, cx, cy in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "cx", "cy"))):
-                out.extend((x, y, *p) for p in passages(filled(cx, 0), filled(cy, 1), least, percent))
+            out, head, two = [], None, None
+            # pairs with the same head one after the other, so that it is indexed once
+            for x, y, cx, cy in sorted(zip(*(batch.column(c).to_pylist() for c in ("x", "y", "cx", "cy"))), key=lambda r: r[1::-1]):
+                if y != head:
+                    head, two = y, Indexed(filled(cy, 1), run)
+                out.extend((x, y, *p) for p in aligned(Indexed(filled(cx, 0), run), two, least, percent))
             yield _six(out)
 
     found, roots = None, None
@@ -528,8 +577,8 @@ def _tiles(placed: DataFrame, places: DataFrame, least: int, percent: int, run:
         own = [set(k) for k in got.column("keys").to_pylist()]
         left, right = ([k for k in at if side[k] == s] for s in (i, j))
         # a common run, and as many common shingles as the passages with the fewest distinct ones need
-        runs = [np.unique(shingle_digests(filled(c, k), run)) for k, c in enumerate(texts)]
-        sets = [np.unique(c[c != 0]).astype(np.uint64) for c in texts]
+        runs = [distinct(run_digests(filled(c, k), run)) for k, c in enumerate(texts)]
+        sets = [distinct(c[c != 0]).astype(np.uint64) for c in texts]
         need = np.array([-(-percent * _fewest(c, least) // 100) for c in texts])
         near = common_counts([runs[k] for k in left], [runs[k] for k in right]) > 0
         total = common_counts([sets[k] for k in left], [sets[k] for k in right])

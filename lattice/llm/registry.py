@@ -15,6 +15,7 @@ _MODULES = {
     "op8_quality_rules": "quality_rules",
     "op9_line_dedup": "line_dedup",
     "op10_html_extraction": "html_extract",
+    "op12_fill_in_middle": "fill_in_middle",
 }
 
 _LOADED = {name: importlib.import_module(f".{module}", __package__) for name, module in _MODULES.items()}

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lattice.llm import chat_format, decontaminate, line_dedup, quality_rules, url_filter
+from lattice.llm import chat_format, decontaminate, fill_in_middle, line_dedup, quality_rules, url_filter
 
 P = "one two three four five six seven eight nine ten eleven twelve"
 DOCS = [
@@ -107,7 +107,7 @@ def test_colliding_digests_only_propose(spark, tables, monkeypatch):
     assert rows(decontaminate.query(spark, d)) == want
 
 
-@pytest.mark.parametrize("module", [chat_format, url_filter, line_dedup, quality_rules, decontaminate])
+@pytest.mark.parametrize("module", [chat_format, url_filter, line_dedup, quality_rules, decontaminate, fill_in_middle])
 def test_driver_table(spark, sf, module):
     names = ("documents", "benchmark", "pages", "conversations")
     assert rows(module.query(spark, sf)) == expected(module.SQL, **{n: spark.read.parquet(f"{sf}/{n}.parquet") for n in names})

@@ -16,6 +16,7 @@ _MODULES = {
     "op9_line_dedup": "line_dedup",
     "op10_html_extraction": "html_extract",
     "op12_fill_in_middle": "fill_in_middle",
+    "op13_hard_negatives": "hard_negatives",
 }
 
 _LOADED = {name: importlib.import_module(f".{module}", __package__) for name, module in _MODULES.items()}

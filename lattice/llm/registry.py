@@ -15,6 +15,7 @@ _MODULES = {
     "op8_quality_rules": "quality_rules",
     "op9_line_dedup": "line_dedup",
     "op10_html_extraction": "html_extract",
+    "op11_suffix_dedup": "prefix_doubling",
     "op12_fill_in_middle": "fill_in_middle",
     "op13_hard_negatives": "hard_negatives",
 }

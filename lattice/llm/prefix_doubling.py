@@ -17,20 +17,21 @@ are dealt to several tasks.
 
 from __future__ import annotations
 
+import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, python_ready, shared_path, spread_join, table
+from .common import python_ready, sent, shared_path, spread_join, table
 from .shingles import mixed
 
 LENGTH = 50
 #: Bytes of a text that are looked at at once, less than 2^20.
-STEP = 1 << 19
+STEP = 1 << 17
 #: Grams of a batch of documents, and of a bucket.
 BATCH_GRAMS, BUCKET_GRAMS = 1 << 20, 1 << 18
 #: Bits of a gram's hash that travel; the bucket has others.
@@ -57,7 +58,10 @@ def gram_hashes(b: np.ndarray, size: int) -> np.ndarray:
             if size:
                 m = len(b) - 2 * n + 1
                 now, n = now[:m] * _U(pow(_BASE, n, 1 << 64)) + now[n : n + m], 2 * n
-    return mixed(out)
+        out ^= out >> _U(29)
+        out *= _U(0xBF58476D1CE4E5B9)
+        out ^= out >> _U(32)
+    return out
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -72,20 +76,44 @@ def half_of(length: int) -> int:
     return (length + 1) // 2
 
 
-def pieces_of(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """first, last, gram: the runs of positions whose strings of ``length`` bytes name the same gram, and its hash.
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary column one after another, and where each value begins (and the last one ends). Nulls are empty."""
+    column = column.fill_null("" if pa.types.is_string(column.type) else b"")
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
 
-    A string names the gram of half its length that has the least upper hash bits, of equal ones the leftmost. A long text is looked at in steps;
-    a run that a step ends is two pieces.
+
+def named_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """owner, first, last, gram: the runs of places whose strings of ``length`` bytes name the same gram, and its hash. owner is the value that
+    holds the place, places count from the beginning of data.
+
+    A string names the gram of half its length that has the least upper hash bits, of equal ones the leftmost. Bytes are looked at in steps;
+    a run that a step ends is two runs.
     """
     half, out = half_of(length), []
-    for lo in range(0, max(0, len(raw) - length + 1), STEP):
-        b = np.frombuffer(raw, dtype=np.uint8, count=min(STEP + length - 1, len(raw) - lo), offset=lo)
+    for lo in range(0, max(0, len(data) - length + 1), STEP):
+        b = data[lo : lo + STEP + length - 1]
         h = gram_hashes(b, half)
         named = sliding_min((h & ~_U(_PLACE)) | np.arange(len(h), dtype=_U), length - half + 1) & _U(_PLACE)
-        first = np.nonzero(np.concatenate([[True], named[1:] != named[:-1]]))[0]
-        out.append((first + lo, np.append(first[1:], len(named)) - 1 + lo, h[named[first].astype(np.int64)]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))
+        new = np.concatenate([[True], named[1:] != named[:-1]])
+        begins = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, lo + len(named))]
+        new[begins - lo] = True
+        first = np.nonzero(new)[0]
+        owner = np.searchsorted(offsets, first + lo, side="right") - 1
+        last = np.minimum(np.append(first[1:], len(named)) - 1, offsets[owner + 1] - length - lo)  # no string crosses into the next value
+        fits = last >= first
+        out.append((owner[fits], first[fits] + lo, last[fits] + lo, h[named[first[fits]].astype(np.int64)]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (*[np.zeros(0, np.int64)] * 3, np.zeros(0, _U))
+
+
+def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """data from each start to end as a column, and the column of their digests."""
+    sizes = end - start
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    raw = data[np.repeat(start - offsets[:-1], sizes) + np.arange(offsets[-1])].tobytes()
+    digests = [hashlib.md5(raw[i:j], usedforsecurity=False).digest() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw)]), pa.array(digests, pa.binary())
 
 
 def _bytes(x: np.ndarray) -> bytes:
@@ -98,14 +126,13 @@ def shared_grams(texts: DataFrame, n_buckets: int, length: int = LENGTH) -> Data
     def named(batches: Iterator[pa.RecordBatch]):
         keys, docs, size = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams = np.unique(pieces_of((text or "").encode("utf-8", "surrogatepass"), length)[2])
-                keys.append(grams)
-                docs.append(np.full(len(grams), doc, dtype=np.int64))
-                size += len(grams)
-                if size >= BATCH_GRAMS:
-                    yield _asked(np.concatenate(keys), np.concatenate(docs), n_buckets)
-                    keys, docs, size = [], [], 0
+            owner, _, _, gram = named_runs(*flat(batch.column(1)), length)
+            keys.append(gram)
+            docs.append(batch.column(0).to_numpy()[owner])
+            size += len(gram)
+            if size >= BATCH_GRAMS:
+                yield _asked(np.concatenate(keys), np.concatenate(docs), n_buckets)
+                keys, docs, size = [], [], 0
         if size:
             yield _asked(np.concatenate(keys), np.concatenate(docs), n_buckets)
 
@@ -145,6 +172,8 @@ def _asked(grams: np.ndarray, docs: np.ndarray, n_buckets: int) -> pa.RecordBatc
     documents name is no hot spot."""
     order = np.lexsort((docs, grams))
     grams, docs = grams[order], docs[order]
+    once = np.concatenate([[True], (grams[1:] != grams[:-1]) | (docs[1:] != docs[:-1])])
+    grams, docs = grams[once], docs[once]
     start, end = ends_of(grams)
     several = docs[start] != docs[end - 1]
     own = np.repeat(several, end - start)
@@ -157,105 +186,137 @@ def _asked(grams: np.ndarray, docs: np.ndarray, n_buckets: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "keys", "docs"])
 
 
-_PART = "doc long, t long, at int, n int, gram long, k binary, body binary"
+class Scratch:
+    """Tables in the shared folder, until they are no longer needed."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
 
-def _part_batch(rows: list) -> pa.RecordBatch:
-    doc, t, at, n, gram, body = zip(*rows) if rows else ((),) * 6
-    ks = [hashlib.md5(x, usedforsecurity=False).digest() for x in body]
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(t, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(gram, pa.int64()), pa.array(ks, pa.binary()), pa.array(body, pa.binary())], names=[x.split()[0] for x in _PART.split(", ")])
+    def table(self, name: str, made: Callable[[], DataFrame], drop: tuple[str, ...] = ()) -> DataFrame:
+        """What ``made`` gives, written and read again; then the tables ``drop`` go. Spark deletes the shuffle files behind a DataFrame that nobody has
+        any longer (therefore a function makes it), but only when the driver's JVM has collected its garbage, which may be long after: that is asked for."""
+        path = self.paths[name] = shared_path(self.spark, name)
+        made().write.option("compression", "zstd").parquet(path)
+        jvm = self.spark.sparkContext._jvm
+        for old in drop:
+            place = jvm.org.apache.hadoop.fs.Path(self.paths.pop(old))
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        gc.collect()
+        jvm.System.gc()
+        return self.spark.read.parquet(path)
 
 
 def stretches(texts: DataFrame, shared: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The stretches of positions whose gram is shared: doc, t, at (the first position), n (positions), gram (of the last), k (digest of body) and
-    body (the bytes of all its strings)."""
-    by_doc = shared.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    """The stretches of positions whose gram is shared: doc, t, at (the first position), n (positions), k (digest of body) and body (the bytes of
+    all its strings). shared: doc, keys."""
 
     def cut_out(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            rows = []
-            for doc, t, text, keys in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                first, last, gram = pieces_of(raw, length)
-                ours = np.isin((gram & _U((1 << KEY_BITS) - 1)).astype(np.int64), keys.values.to_numpy())
-                ends = (gram >> _U(24)) % _U(STRETCH) == 0
-                for i in np.nonzero(ours & ~np.concatenate([[False], ours & ~ends])[:-1])[0].tolist():
-                    j = i
-                    while not ends[j] and j + 1 < len(first) and ours[j + 1]:
-                        j += 1
-                    lo, hi = int(first[i]), int(last[j])
-                    rows.append((doc, t, lo, hi - lo + 1, int(gram[j].astype(np.int64)), raw[lo : hi + length]))
-            yield _part_batch(rows)
-
-    return texts.join(by_doc, "doc").select("doc", "t", "text", "keys").mapInArrow(cut_out, _PART)
-
-
-def in_pieces(parts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The pieces of stretches, with the same columns; gram is the one that the piece's strings name."""
+            data, offsets = flat(batch.column(2))
+            owner, first, last, gram = named_runs(data, offsets, length)
+            keys = batch.column(3)
+            known = _of_owner(keys.flatten().to_numpy(), np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy()))
+            ours = np.isin(_of_owner((gram & _U((1 << KEY_BITS) - 1)).astype(np.int64), owner), known)
+            owner, first, last, gram = owner[ours], first[ours], last[ours], gram[ours]
+            ends = (gram >> _U(24)) % _U(STRETCH) == 0
+            begins = np.concatenate([[True], ends[:-1] | (first[1:] != last[:-1] + 1)])[: len(first)]
+            lo, hi, of = first[begins], last[np.append(begins[1:], True)[: len(first)]], owner[begins]
+            body, k = slices(data, lo, hi + length)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(lo - offsets[of]), pa.array(hi - lo + 1), k, body], names=["doc", "t", "at", "n", "k", "body"])
+
+    return texts.join(shared, "doc").select("doc", "t", "text", "keys").mapInArrow(cut_out, "doc long, t long, at long, n long, k binary, body binary")
+
+
+def _of_owner(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """One number for a key of a document; others may have it by chance."""
+    with np.errstate(over="ignore"):
+        return mixed(keys.astype(_U) + owner.astype(_U) * _U(_BASE))
+
+
+def in_pieces(heads: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The pieces of stretches (k, m, body): k, m, at (in the stretch), n, gram, piece (digest) and part (bytes)."""
 
     def split(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            rows = []
-            for doc, t, at, body in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "at", "body"))):
-                first, last, gram = pieces_of(body, length)
-                rows += [(doc, t, at + lo, hi - lo + 1, g, body[lo : hi + length]) for lo, hi, g in zip(first.tolist(), last.tolist(), gram.astype(np.int64).tolist())]
-            yield _part_batch(rows)
+            data, offsets = flat(batch.column(2))
+            owner, first, last, gram = named_runs(data, offsets, length)
+            part, piece = slices(data, first, last + length)
+            of = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(first - offsets[owner]), pa.array(last - first + 1), pa.array(gram.astype(np.int64)), piece, part], names=["k", "m", "at", "n", "gram", "piece", "part"])
 
-    return parts.mapInArrow(split, _PART)
+    return heads.select("k", "m", "body").mapInArrow(split, "k binary, m long, at long, n long, gram long, piece binary, part binary")
 
 
-def ranked(strings: DataFrame, by: list[str]) -> DataFrame:
-    """``by``, rank: the distinct values of columns by, in order, of which rows of at least two documents (column m) hold the same."""
-    several = strings.groupBy(*by).agg(F.min("m").alias("__a"), F.max("m").alias("least_other")).filter("__a < least_other")
-    return several.select(*by, "__a").orderBy(*by).select(*by, F.monotonically_increasing_id().alias("rank"), F.col("__a").alias("least"))
+def ranked(positions: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, rank and least (m): the distinct values of the columns by, in order, that positions of at least two documents (m) have."""
+    several = positions.groupBy(*by).agg(F.min("m").alias("least"), F.max("m").alias("__most")).filter("least < __most")
+    return several.orderBy(*by).select(*by, "least", F.monotonically_increasing_id().alias("rank"))
 
 
-def doubled(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """k and hits (array of int): of each piece (k, m, body) the positions whose string a piece with a lesser m has, too, by prefix doubling."""
+def doubled(scratch: Scratch, pieces: DataFrame, length: int = LENGTH) -> DataFrame:
+    """piece and hits (array of long): the positions of each piece (piece, m, part) whose string a piece with a lesser m has, too, by prefix doubling."""
     half = half_of(length)
-    positions = pieces.select("k", "m", "body", F.posexplode(F.sequence(F.lit(0), F.length("body") - length)).alias("j", "__p"))
-    heads = positions.select("k", "m", "j", F.substring("body", F.col("j") + 1, F.lit(half)).alias("s"), F.substring("body", F.col("j") + 1 + length - half, F.lit(half)).alias("rest"))
-    first = cut(ranked(heads, ["s"]).select("s", F.col("rank").alias("r1")))
-    left = cut(spread_join(heads, first, "s").select("k", "m", "j", "r1", F.col("rest").alias("s")))
-    second = cut(ranked(left, ["s"]).select("s", F.col("rank").alias("r2")))
-    left = spread_join(left, second, "s").select("k", "m", "j", F.struct("r1", "r2").alias("pair"))
-    pairs = ranked(left, ["pair"]).select("pair", "least")
-    return spread_join(left, cut(pairs), "pair").filter("least < m").groupBy("k").agg(F.collect_list("j").alias("hits"))
-
 
-def settled(parts: DataFrame, held: DataFrame) -> DataFrame:
-    """parts with m, the smallest document that has the same body. held: k, m."""
-    return spread_join(parts.select("doc", "t", "at", "n", "k", "body"), held, "k")
+    def halves(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            data, offsets = flat(batch.column(2))
+            if len(data) < length:
+                continue
+            h = gram_hashes(data, half)
+            n = np.diff(offsets) - length + 1
+            owner = np.repeat(np.arange(len(n)), n)
+            j = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            at = offsets[owner] + j
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(j), pa.array(h[at].astype(np.int64)), pa.array(h[at + length - half].astype(np.int64))], names=["number", "m", "j", "first", "second"])
+
+    numbered = scratch.table("numbered", lambda: pieces.select(F.monotonically_increasing_id().alias("number"), "piece", "m", "part"), drop=("open",))
+    positions = numbered.select("number", "m", "part").mapInArrow(halves, "number long, m long, j long, first long, second long")
+    of_half = scratch.table("halves", lambda: ranked(positions, ["first"]).select("first", "rank"))
+    left = scratch.table("left", lambda: spread_join(positions, of_half, "first").select("number", "m", "j", F.struct("rank", "second").alias("pair")), drop=("halves",))
+    of_pair = scratch.table("pairs", lambda: ranked(left, ["pair"]).select("pair", "least"))
+    hits = spread_join(left, of_pair, "pair").filter("least < m")
+    return hits.groupBy("number").agg(F.collect_list("j").alias("hits")).join(numbered.select("number", "piece"), "number").select("piece", "hits")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc, t, first, last: bytes that a string of ``length`` bytes covers which starts in a smaller document. docs: doc (long), t (digest of
-    the text), text."""
-    spark = docs.sparkSession
-    texts = docs.select("doc", "text")
+    """doc, t and spans (array of struct first, last): bytes that a string of ``length`` bytes covers which starts in a smaller document. docs: doc
+    (long), t (digest of the text), text."""
+    scratch = Scratch(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, 4 * size // length // BUCKET_GRAMS)
-    shared = shared_grams(texts, n_buckets, length)
-    path = shared_path(spark, "stretches")
-    stretches(docs, shared, length).write.parquet(path)
-    parts = spark.read.parquet(path)
-    least = parts.groupBy("k").agg(F.min("doc").alias("m"))
-    path = shared_path(spark, "settled")
-    settled(parts, least).withColumn("body", F.when(F.col("doc") == F.col("m"), F.col("body"))).write.parquet(path)
-    with_least = spark.read.parquet(path)
-    whole = with_least.filter("doc > m").select("doc", "t", F.col("at").alias("first"), (F.col("at") + F.col("n") + length - 2).alias("last"))
-    # in the smallest documents: pieces
-    pieces = in_pieces(with_least.filter("doc = m").select("doc", "t", "at", "body"), length)
-    path = shared_path(spark, "pieces")
-    pieces.groupBy("gram", "k", "body").agg(F.min("doc").alias("m"), F.max("doc").alias("x")).write.parquet(path)
-    distinct = spark.read.parquet(path)
-    open_grams = distinct.groupBy("gram").agg(F.count("*").alias("n"), F.min("m").alias("a"), F.max("m").alias("b")).filter("n > 1 AND a < b").select("gram")
-    hits = doubled(cut(spread_join(distinct.select("gram", "k", "m", "body"), open_grams, "gram").select("k", "m", "body")), length)
-    known = cut(distinct.select("k", "m", "x").join(hits, "k", "left").filter("m < x OR hits IS NOT NULL").select("k", "m", "hits"))
-    met = spread_join(pieces.select("doc", "t", "at", "n", "k"), known, "k")
-    later = met.filter("doc > m").select("doc", "t", F.col("at").alias("first"), (F.col("at") + F.col("n") + length - 2).alias("last"))
-    own = met.filter("doc = m AND hits IS NOT NULL").select("doc", "t", "at", F.explode("hits").alias("j")).select("doc", "t", (F.col("at") + F.col("j")).alias("first"), (F.col("at") + F.col("j") + length - 1).alias("last"))
-    return whole.unionByName(later).unionByName(own)
+    shared = scratch.table("grams", lambda: shared_grams(docs.select("doc", "text"), n_buckets, length).groupBy("doc").agg(F.collect_list("key").alias("keys")))
+    whole_parts = scratch.table("stretches", lambda: stretches(docs, shared, length), drop=("grams",))
+    heads = scratch.table("heads", lambda: whole_parts.groupBy("k", "body").agg(F.min("doc").alias("m")))
+    parts = scratch.table("places", lambda: whole_parts.drop("body"), drop=("stretches",))
+    inside = _spans_inside(scratch, heads, length)
+    whole = F.array(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("n") + length - 2).alias("last")))
+    moved = F.transform("spans", lambda x: F.struct((F.col("at") + x["first"]).alias("first"), (F.col("at") + x["last"]).alias("last")))
+
+    def marked() -> DataFrame:
+        met = spread_join(parts.select("doc", "t", "at", "n", "k"), heads.select("k", "m").join(inside, "k", "left"), "k")
+        spans = met.withColumn("spans", F.when(F.col("doc") > F.col("m"), whole).otherwise(moved)).filter("spans IS NOT NULL")
+        return spans.groupBy("doc", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+    return scratch.table("spans", marked, drop=("places", "heads", "inside"))
+
+
+def _spans_inside(scratch: Scratch, heads: DataFrame, length: int) -> DataFrame:
+    """k and spans: what goes in the stretch itself, in the smallest document that has it."""
+    distinct = scratch.table("pieces", lambda: in_pieces(heads, length).groupBy("gram", "part").agg(F.min("m").alias("least"), F.max("m").alias("most")))
+    open_grams = distinct.groupBy("gram").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("least").alias("b")).filter("n > 1 AND a < b").select("gram")
+    piece = F.unhex(F.md5("part")).alias("piece")
+    open_ = scratch.table("open", lambda: distinct.join(sent(open_grams), "gram").select(piece, F.col("least").alias("m"), "part"))
+    settled = scratch.table("settled", lambda: distinct.select(piece, "least", "most"), drop=("pieces",))
+    hits = scratch.table("hits", lambda: doubled(scratch, open_, length), drop=("numbered", "left", "pairs"))
+    span = lambda first, n: F.struct(first.alias("first"), (first + n + length - 2).alias("last"))
+    spans = F.when(F.col("m") > F.col("least"), F.array(span(F.col("at"), F.col("n")))).otherwise(F.transform("hits", lambda j: span(F.col("at") + j, F.lit(1))))
+
+    def marked() -> DataFrame:
+        known = settled.join(hits, "piece", "left").filter("least < most OR hits IS NOT NULL").select("piece", "least", "hits")
+        met = spread_join(in_pieces(heads, length).select("k", "m", "at", "n", "piece"), known, "piece")
+        return met.withColumn("spans", spans).filter("spans IS NOT NULL").groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+    return scratch.table("inside", marked, drop=("settled", "hits"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), length: int = LENGTH) -> DataFrame:
@@ -274,25 +335,23 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = list(dict.fromkeys([id_col, *keep]))
     text = F.col(text_col).cast("string")
     named = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(kept)], F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.xxhash64(text).alias("t"), text.alias("text"))
-    spans = repeated_spans(named.filter(F.octet_length("text") >= length).select("doc", "t", "text"), length)
-    gathered = spans.groupBy("doc", "t").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    gathered = repeated_spans(named.filter(F.octet_length("text") >= length).select("doc", "t", "text"), length)
     n = len(kept)
 
     def removed(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                if not spans:
-                    out.append((raw, len(raw), 0, 0))
-                    continue
+            data, offsets = flat(batch.column(n))
+            for i, spans in enumerate(batch.column(n + 1)):
+                raw = data[offsets[i] : offsets[i + 1]]
                 edge = np.zeros(len(raw) + 1, dtype=np.int64)
-                at = np.array([(x["first"], x["last"] + 1) for x in spans])
-                np.add.at(edge, at[:, 0], 1)
-                np.add.at(edge, at[:, 1], -1)
+                if spans.is_valid:
+                    first, last = (x.to_numpy() for x in spans.values.flatten())
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, last + 1, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), runs))
+                runs = int((gone & ~np.concatenate([[False], gone])[:-1]).sum())
+                out.append((raw[~gone].tobytes(), len(raw), int(gone.sum()), runs))
             rest = [pa.array(x, kind) for x, kind in zip(zip(*out) if out else [()] * 4, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *rest], names=[*kept, "kept", "n_bytes", "n_removed", "n_spans"])
 

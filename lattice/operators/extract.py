@@ -6,6 +6,7 @@ that is column expressions over the lines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .brackets import with_ends
 
 #: By language: line comment, block comment (open, close, nests), quotes that end on their line, quotes that span lines.
 _SYNTAX = {
@@ -27,6 +29,11 @@ _SYNTAX = {
 }
 
 
+#: What stands before a slash that begins a pattern in JavaScript: a sign after which a value comes, or a word.
+_BEFORE_PATTERN = re.compile(r"(?:^|[(,=:\[!&|?;{+\-*%~^]|=>|\b(?:return|typeof|case|in|of|delete|void|throw|new|else|do|yield|await))$")
+_PATTERN = re.compile(r"/(?![/*])(?:[^\n\\\[/]|\\.|\[(?:[^\n\\\]]|\\.)*\])+/")
+
+
 def code_of(text: str, language: str) -> list[str]:
     """The text's lines with comments and the contents of literals turned into spaces; every place stays where it was."""
     syntax = _SYNTAX.get(language)
@@ -74,6 +81,9 @@ def code_of(text: str, language: str) -> list[str]:
             depth = 1
             out.append(" " * len(block[0]))
             i += len(block[0])
+        elif c == "/" and language == "javascript/typescript" and _BEFORE_PATTERN.search("".join(out[-40:]).rstrip()) and (pattern := _PATTERN.match(text, i)):
+            out.append("/" + " " * (len(pattern[0]) - 2) + "/")
+            i = pattern.end()
         else:
             mark = next((s for s in spans if text.startswith(s, i)), c if c in quotes else "")
             until = mark
@@ -151,7 +161,7 @@ def _declared(language: str, code):
 def symbols(lines_: DataFrame) -> DataFrame:
     """rel, name, kind, exported, line_start, line_end and ordinal of declarations.
 
-    A symbol ends before the next one that isn't indented deeper, or with the file. In JavaScript a name like useX is a
+    A symbol ends with its body (``brackets.with_ends``). In JavaScript a name like useX is a
     hook and an exported capitalised function or constant a component; Go exports capitalised names; Python marks none."""
     found = None
     for language in _DECLARING:
@@ -163,12 +173,9 @@ def symbols(lines_: DataFrame) -> DataFrame:
     js, valued = F.col("language") == "javascript/typescript", raw.isin("function", "const", "variable")
     kind = F.when(js & valued & name.rlike("^use[A-Z]"), "hook").when(js & valued & F.col("export") & name.rlike("^[A-Z]"), "component").when((F.col("language") == "swift") & (raw == "let"), "constant").when((F.col("language") == "swift") & (raw == "var"), "property").otherwise(kind)
     exported = F.when(F.col("language") == "go", name.rlike("^[A-Z]")).otherwise(F.col("export"))
-    w = Window.partitionBy("rel").orderBy("line_no")
-    later = Window.partitionBy("rel").orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    typed = found.select("rel", "name", kind.alias("kind"), exported.alias("exported"), F.col("line_no").alias("line_start"), "indent", (F.row_number().over(w) - 1).alias("ordinal"), F.collect_list(F.struct("line_no", "indent")).over(later).alias("later"))
-    last = lines_.groupBy("rel").agg(F.max("line_no").alias("last"))
-    ending = F.get(F.filter("later", lambda x: x["indent"] <= F.col("indent")), F.lit(0))["line_no"] - 1
-    return typed.join(last, "rel").select("rel", "name", "kind", "exported", "line_start", F.coalesce(ending, F.col("last")).cast("int").alias("line_end"), "ordinal")
+    ordinal = F.row_number().over(Window.partitionBy("rel").orderBy("line_no")) - 1
+    starts = found.select("rel", "language", "name", kind.alias("kind"), exported.alias("exported"), F.col("line_no").alias("line_start"), "indent", ordinal.alias("ordinal"))
+    return with_ends(starts, lines_).select("rel", "name", "kind", "exported", "line_start", "line_end", "ordinal")
 
 
 #: Literals, words (with dots, where modules have them) and signs of a line.

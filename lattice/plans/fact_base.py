@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import text as T
-from ..operators import declarations, extract, resolve
+from ..operators import bindings, declarations, extract, names, resolve
 
 
 class FactBase:
@@ -99,6 +99,26 @@ class FactBase:
         """rel, language, spec, line and target (null: unresolved)."""
         return resolve.resolve(extract.imports(self.lines), self.files, self.packages, self.aliases).persist()
 
+    @cached_property
+    def bindings(self) -> DataFrame:
+        """Names that files import and export, each with target, the file of its spec (null: none, or outside)."""
+        found = bindings.bindings(self.files.filter("text IS NOT NULL")).persist()
+        specs = found.filter("spec IS NOT NULL").select("rel", "language", "spec").distinct().withColumn("line", F.lit(0))
+        known = resolve.resolve(specs, self.files, self.packages, self.aliases).select("rel", "spec", "target")
+        return found.join(known, ["rel", "spec"], "left").persist()
+
+    @cached_property
+    def public_names(self) -> DataFrame:
+        """What each public name of a JavaScript file means."""
+        js = self.bindings.filter("language = 'javascript/typescript'")
+        again = js.filter("form = 'reexport'").select(F.col("rel").alias("file"), F.col("local").alias("name"), F.col("target").alias("source"), F.col("name").alias("source_name"))
+        return names.public_names(names.exported(js, self.symbols), again, js.filter("form = 'star'").select(F.col("rel").alias("file"), F.col("target").alias("source")))
+
+    @cached_property
+    def symbol_consumers(self) -> DataFrame:
+        """Imports of a name that means one symbol, directly or through other files."""
+        return names.consumers(self.bindings, self.public_names)
+
     @cached_property
     def unresolved(self) -> DataFrame:
         """Unresolved imports that can only mean files of this tree."""

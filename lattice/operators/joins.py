@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ancestors, glob_regex
 from .bounds import first_by
+from .tries import glob_kinds, matches
 
 #: Rows up to which a side is broadcast, after it was counted.
 BROADCAST_ROWS = 100_000
@@ -27,12 +28,14 @@ def longest_prefix(items: DataFrame, path: str, key: list[str], prefixes: DataFr
 
 
 def glob_join(items: DataFrame, path: str, rules: DataFrame, glob: str) -> DataFrame:
-    """Items with each rule whose glob matches. Rules are configuration: they are counted, and there must be few."""
-    n = rules.count()
-    if n > BROADCAST_ROWS:
-        raise ValueError(f"{n} glob rules; at most {BROADCAST_ROWS}")
-    matched = rules.withColumn("__regex", glob_regex(F.col(glob)))
-    return items.join(F.broadcast(matched), F.rlike(F.col(path), F.col("__regex"))).drop("__regex")
+    """Items with each rule whose glob matches. Globs are walked as a trie (``tries``), so there may be any number; only those with a ``**`` inside a segment,
+    which no trie of segments can hold, are tried one by one."""
+    spanning = F.rlike(F.col(glob), F.lit(r"[^/]\*\*|\*\*[^/]"))
+    met = matches(items, path, rules.filter(~spanning).select(F.col(glob).alias("pattern")), glob_kinds(F.col("pattern")))
+    walked = items.join(met.select(path, F.col("pattern").alias("__glob")), path).join(rules, F.col("__glob") == F.col(glob)).drop("__glob")
+    rest = small(rules.filter(spanning).withColumn("__regex", glob_regex(F.col(glob))))
+    tried = items.join(rest, F.rlike(F.col(path), F.col("__regex"))).drop("__regex")
+    return walked.select(*items.columns, *rules.columns).unionByName(tried.select(*items.columns, *rules.columns))
 
 
 def range_join(points: DataFrame, point: Column, ranges: DataFrame, low: Column, high: Column, width: int, on: list[str] | None = None) -> DataFrame:

@@ -268,6 +268,14 @@ def env_reads(lines_: DataFrame) -> DataFrame:
     return lines_.filter(F.trim("code") != "").select("rel", F.col("line_no").alias("line"), F.explode(F.array_distinct(names)).alias("name"))
 
 
+def topics(lines_: DataFrame) -> DataFrame:
+    """rel, line and topic of each event topic that code states as a literal; a null topic is computed."""
+    stated = lines_.filter(F.col("code").rlike(r"\btopic:\s*\S"))
+    literal = F.regexp_extract("text", r"""\btopic:\s*["'`]([^"'`$]+)["'`]""", 1)
+    computed = F.col("code").rlike(r"\btopic:\s*(?:[\w.]+\s*[(\[]|\w+\.|`)")
+    return stated.filter((literal != "") | computed).select("rel", F.col("line_no").alias("line"), F.nullif(literal, F.lit("")).alias("topic"))
+
+
 def env_declarations(lines_: DataFrame) -> DataFrame:
     """key, rel and line of the keys that .env files declare."""
     rows = lines_.filter("language = 'env'").select("rel", F.col("line_no").alias("line"), F.regexp_extract("text", r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=", 1).alias("key"))

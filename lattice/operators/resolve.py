@@ -9,18 +9,27 @@ from ..functions.text import normalized_path, parent
 from .bounds import first_by
 
 #: What is tried after a path, in order.
-JS_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".json", ".css", ".scss", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+JS_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".json", ".css", ".scss", ".mts", ".cts", ".d.ts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs", "/index.mts", "/index.vue")
 #: Where packages keep what they export.
 PACKAGE_ENTRIES = ("/src/index.ts", "/src/index.tsx", "/src/index.js", "/index.ts", "/index.tsx", "/index.js", "/src/main.ts")
 
 
+#: Ranks of aliases lie this far before those of packages.
+BEHIND = 10**12
+
+
+def lit_long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
 def _ranked(paths: list[Column]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("rank"), normalized_path(p).alias("target")) for k, p in enumerate(paths)])
 
 
 def candidates(imports: DataFrame, packages: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """rel, spec, line, rank and target of every place where an import could lead. packages: path, name and ecosystem;
-    aliases: prefix and target of path aliases (without their stars)."""
+    """rel, spec, line, rank and target of every place where an import could lead. packages: path, name and ecosystem; aliases: prefix and
+    target_prefix of path aliases (without their stars), open (there was a star), position of the target, and dir, where they hold. What an alias
+    says goes before packages."""
     spec, here = F.col("spec"), parent(F.col("rel"))
     js = imports.filter("language IN ('javascript/typescript', 'style')")
     relative = js.filter(spec.startswith(".")).withColumn("c", F.explode(_ranked([F.concat(here, F.lit("/"), spec, F.lit(e)) for e in JS_ENDINGS])))
@@ -54,12 +63,18 @@ def candidates(imports: DataFrame, packages: DataFrame, aliases: DataFrame | Non
     gone = found.withColumn("c", F.struct((-F.length("module")).alias("rank"), F.concat("dir", F.lit("/*")).alias("target")))
     parts = [relative, package, py, rs, gone]
     if aliases is not None:
-        a = keyed.join(F.broadcast(aliases), F.col("spec").startswith(F.col("prefix")))
-        place = F.concat(F.col("target_prefix"), F.expr("substring(spec, length(prefix) + 1)"))
-        parts.append(a.withColumn("c", F.explode(_ranked([F.concat(place, F.lit(e)) for e in JS_ENDINGS]))).drop("prefix", "target_prefix"))
+        # an alias is met by the beginnings of a specifier, so no import is tried with every alias
+        begins = keyed.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(0), F.length("spec")), lambda n: F.substring(spec, F.lit(1), n))))
+        a = begins.join(aliases, "prefix").filter((F.col("dir") == ".") | F.col("rel").startswith(F.concat("dir", F.lit("/")))).filter(F.col("open") | (spec == F.col("prefix")))
+        place = F.when(F.col("open"), F.concat(F.col("target_prefix"), F.expr("substring(spec, length(prefix) + 1)"))).otherwise(F.col("target_prefix"))
+        # the configuration that is nearest, then the longest pattern, an exact one first, then its targets in order
+        near = F.when(F.col("dir") == ".", 0).otherwise(F.length("dir")) * 1000 + F.length("prefix")
+        order = (lit_long(1_000_000) - F.least(near, F.lit(999_999))) * 2 + F.when(F.col("open"), 1).otherwise(0)
+        tried = a.withColumn("c", F.explode(_ranked([F.concat(place, F.lit(e)) for e in JS_ENDINGS])))
+        parts.append(tried.withColumn("c", F.struct(((order * 100 + F.least("position", F.lit(99))) * 100 + F.col("c.rank") - BEHIND).alias("rank"), F.col("c.target").alias("target"))).drop("prefix", "target_prefix", "dir", "open", "position"))
     out = None
     for p in parts:
-        one = p.select("rel", "language", "spec", "line", "c.rank", "c.target")
+        one = p.select("rel", "language", "spec", "line", F.col("c.rank").cast("long").alias("rank"), "c.target")
         out = one if out is None else out.unionByName(one)
     return out
 

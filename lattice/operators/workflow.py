@@ -225,9 +225,10 @@ def job_levels(facts: DataFrame) -> DataFrame:
     return levels(jobs, needs)
 
 
-def execution_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """from, to, type, evidence, strength and line of the chain. files: rel of the tree's files. A script is a word of a command that names a file of the
-    tree, as the command itself or right after an interpreter; what lies behind a boundary is not followed."""
+def execution_edges(facts: DataFrame, files: DataFrame, scripts: DataFrame | None = None) -> DataFrame:
+    """from, to, type, evidence, strength, path and line of the chain. files: rel of the tree's files; scripts: name (as one would type it) and rel of
+    package scripts and recipes. A script is a word of a command that names a file of the tree, as the command itself or right after an interpreter; what lies
+    behind a boundary is not followed."""
     job = F.concat(F.lit("job:"), "rel", F.lit("#"), "job")
     step = F.concat(F.lit("step:"), "rel", F.lit("#"), "job", F.lit("/"), F.lpad(F.col("step").cast("string"), 4, "0"))
     owner = F.when(F.col("step").isNull(), job).otherwise(step)
@@ -240,17 +241,25 @@ def execution_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     known = files.select(F.explode(F.array_distinct(F.array("rel", F.regexp_replace("rel", "/[^/]*$", "")))).alias("place")).distinct().withColumn("exists", F.lit(True))
     used = facts.withColumn("place", F.when(own, place)).join(known, "place", "left")
     type_ = F.when(~own, "uses_external_action").when(F.col("place").startswith(".github/workflows/"), "invokes_workflow").otherwise("invokes_action")
-    followed = facts.filter("kind = 'command' AND boundary IS NULL")
+    followed = facts.filter("kind = 'command' AND boundary IS NULL").drop("name")
     word = F.when(F.get("words", F.lit(0)).isin("bash", "sh", "zsh", "node", "python", "python3", "source", ".", "bun", "deno", "ruby"), F.get(F.filter(F.slice("words", 2, 100), lambda w: ~w.startswith("-")), F.lit(0))).otherwise(F.get("words", F.lit(0)))
-    scripts = followed.withColumn("script", normalized_path(word)).join(files.select(F.col("rel").alias("script")), "script")
+    invoked = followed.withColumn("script", normalized_path(word)).join(files.select(F.col("rel").alias("script")), "script")
     parts = [
         edges("job", F.col("rel"), job, F.lit("declares_job"), "workflow_job"),
         edges("needs", job, F.concat(F.lit("job:"), "rel", F.lit("#"), "value"), F.lit("needs_job"), "workflow_needs"),
         edges("step", job, step, F.lit("contains_step"), "workflow_step"),
         edges("uses", owner, F.when(own, F.col("place")).otherwise(F.concat(F.lit("action:"), "value")), type_, "workflow_uses", F.when(~own | F.col("exists"), "hard").otherwise("medium"), used),
         edges("command", step, F.col("value"), F.lit("runs_command"), "workflow_run", rows=followed),
-        edges("command", step, F.col("script"), F.lit("invokes_script"), "workflow_run", rows=scripts),
+        edges("command", step, F.col("script"), F.lit("invokes_script"), "workflow_run", rows=invoked),
     ]
+    two, three = (F.array_join(F.slice("words", 1, n), " ") for n in (2, 3))
+    dispatched = followed.filter(three == "gh workflow run").withColumn("other", F.concat(F.lit(".github/workflows/"), F.get("words", F.lit(3)))).join(files.select(F.col("rel").alias("other")), "other")
+    parts.append(edges("command", step, F.col("other"), F.lit("dispatches_workflow"), "workflow_dispatch", rows=dispatched))
+    if scripts is not None:
+        # yarn x, pnpm x and npm test mean npm run x; the tool's own words aren't scripts
+        typed = F.when(two.isin("npm test", "npm start"), F.concat(F.lit("npm run "), F.get("words", F.lit(1)))).when(F.get("words", F.lit(0)).isin("npm", "pnpm", "yarn", "bun") & (F.get("words", F.lit(1)) == "run"), F.concat(F.lit("npm run "), F.get("words", F.lit(2)))).when(F.get("words", F.lit(0)).isin("make", "just"), two)
+        named = followed.withColumn("name", typed).join(scripts.select("name", F.col("rel").alias("owner")).distinct(), "name")
+        parts.append(edges("command", step, F.concat("owner", F.lit("#"), F.regexp_replace("name", "^npm run ", "")), F.lit("invokes_target"), "workflow_run", rows=named))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import text as T
-from ..operators import bindings, declarations, extract, names, resolve
+from ..operators import bindings, declarations, extract, inherit, names, resolve, workflow
 
 
 class FactBase:
@@ -84,15 +84,39 @@ class FactBase:
         columns = ["from", "to", "dependency", "kind", "manifest"]
         return by_name.select(columns).unionByName(by_path.select(columns)).unionByName(by_module.select(columns)).filter("`from` <> `to`").distinct()
 
+    @cached_property
+    def ts_configs(self) -> DataFrame:
+        """node (the file), settings (paths and baseUrl with the directories that they are relative to), length and cyclic of each tsconfig or jsconfig, with what it
+        inherits; comments and trailing commas are allowed."""
+        ts = self.files.filter(F.lower(T.base_name(F.col("rel"))).rlike(r"^[tj]sconfig[\w.-]*\.json$") & F.col("text").isNotNull())
+        bare, here = inherit.plain_json(F.col("text")), T.parent(F.col("rel"))
+        named = F.get_json_object(bare, "$.extends")
+        above = F.regexp_replace(T.normalized_path(F.concat(here, F.lit("/"), F.when(named.endswith(".json"), named).otherwise(F.concat(named, F.lit(".json"))))), r"^\./", "")
+        own = {"paths": F.get_json_object(bare, "$.compilerOptions.paths"), "baseUrl": F.get_json_object(bare, "$.compilerOptions.baseUrl")}
+        settings = F.map_filter(F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v, F.lit(k + " of"), F.when(v.isNotNull(), here))]), lambda k, v: v.isNotNull())
+        return inherit.inherited(ts.select(F.col("rel").alias("node"), F.when(named.startswith("."), above).alias("parent"), settings.alias("settings")))
+
     @cached_property
     def aliases(self) -> DataFrame:
-        """prefix and target_prefix of tsconfig paths, comments allowed."""
-        ts = self.files.filter(F.lower(T.base_name(F.col("rel"))).rlike(r"^tsconfig[\w.]*\.json$"))
-        bare = F.regexp_replace(F.regexp_replace("text", r"(?m)^\s*//.*$", ""), r"(?s)/\*[^\"]*?\*/", "")
-        mapped = ts.select("rel", F.coalesce(F.get_json_object(bare, "$.compilerOptions.baseUrl"), F.lit(".")).alias("base"), F.explode(F.from_json(F.get_json_object(bare, "$.compilerOptions.paths"), "map<string,array<string>>")).alias("prefix", "targets"))
-        place = F.concat(T.parent(F.col("rel")), F.lit("/"), F.col("base"), F.lit("/"), F.regexp_replace(F.get("targets", F.lit(0)), r"\*$", ""))
+        """prefix, open (the pattern has a star), target_prefix, position and dir of the path aliases that hold in a directory: those of its own
+        tsconfig.json, inherited ones among them. Paths are relative to the base URL, or else to the configuration that states them."""
+        own = self.ts_configs.filter(F.lower(T.base_name(F.col("node"))).isin("tsconfig.json", "jsconfig.json") & ~F.col("cyclic"))
+        value = lambda k: F.try_element_at("settings", F.lit(k))
+        base = F.coalesce(F.concat(value("baseUrl of"), F.lit("/"), value("baseUrl")), value("paths of"))
+        mapped = own.select(T.parent(F.col("node")).alias("dir"), base.alias("base"), F.explode(F.from_json(value("paths"), "map<string,array<string>>")).alias("pattern", "targets"))
+        each = mapped.select("dir", "base", "pattern", F.posexplode("targets").alias("position", "target"))
+        place = F.concat("base", F.lit("/"), F.regexp_replace("target", r"\*.*$", ""))
         full = F.regexp_replace(T.normalized_path(place), r"^\./", "")
-        return mapped.select(F.regexp_replace("prefix", r"\*$", "").alias("prefix"), F.when(place.endswith("/"), F.concat(full, F.lit("/"))).otherwise(full).alias("target_prefix"))
+        return each.select(F.regexp_replace("pattern", r"\*.*$", "").alias("prefix"), F.col("pattern").contains("*").alias("open"), F.when(place.endswith("/"), F.concat(full, F.lit("/"))).otherwise(full).alias("target_prefix"), "position", "dir")
+
+    @cached_property
+    def workflow_facts(self) -> DataFrame:
+        return workflow.workflow_facts(self.files.filter(F.col("rel").rlike(r"(^|/)\.github/workflows/[^/]+\.ya?ml$"))).persist()
+
+    @cached_property
+    def execution_edges(self) -> DataFrame:
+        """The chain from workflows to jobs, steps, actions, commands, and what commands run: scripts, package scripts, recipes and other workflows."""
+        return workflow.execution_edges(self.workflow_facts, self.files, self.scripts)
 
     @cached_property
     def imports(self) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bounds, certify, delta, joins, traverse
+from ..operators import bounds, certify, delta, extract, joins, traverse, walks
 from ..schema import RISKS, name_of, rank_of
 from .fact_base import FactBase
 
@@ -116,6 +116,23 @@ def contract(facts: FactBase, anchor: str) -> DataFrame:
     return facts.edges.filter(F.col("to") == anchor).select("from", "type", "evidence", "strength", "locations")
 
 
+def lineage(facts: FactBase, seeds: DataFrame, nodes: int = 128, depth: int = 6) -> DataFrame:
+    """seed, from, to, type and evidence of what is connected with each seed (seed, node: a file): who consumes it, directly or through others, which topics and settings
+    these files name, and the tests that import the seed or a file that nobody else consumes. Each seed has a budget of nodes and depth; tests aren't
+    walked through."""
+    tests = facts.files.filter(F.array_contains("roles", "test")).select(F.col("rel").alias("src"))
+    links = _links(facts)
+    used = links.join(tests, "src", "left_anti").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).alias("rank"))
+    visited = walks.budgeted_walk(used, seeds, nodes, depth)
+    here = visited.select("seed", F.col("node").alias("rel"), "depth")
+    consumed = here.join(used.select(F.col("src").alias("rel"), "dst"), "rel").select("seed", F.col("dst").alias("from"), F.col("rel").alias("to"), F.lit("consumes").alias("type"), F.when(F.col("depth") == 0, "direct_static_consumer").otherwise("mediated_static_consumer").alias("evidence"))
+    emitted = here.join(extract.topics(facts.lines).filter("topic IS NOT NULL"), "rel").select("seed", F.col("rel").alias("from"), F.concat(F.lit("topic:"), "topic").alias("to"), F.lit("emits").alias("type"), F.lit("static_topic_literal").alias("evidence"))
+    read = here.join(facts.env.withColumnRenamed("used_by", "rel"), "rel").select("seed", F.col("rel").alias("from"), F.concat(F.lit("config:"), "name").alias("to"), F.lit("reads_config").alias("type"), F.when(F.col("declaration").isNull(), "static_env_reference").otherwise("env_declaration").alias("evidence"))
+    last = here.join(used.select(F.col("src").alias("rel")).distinct().withColumn("consumed", F.lit(True)), "rel", "left").filter("depth = 0 OR consumed IS NULL")
+    proven = last.join(facts.tests.filter("evidence = 'test_import'"), "rel").select("seed", F.col("test").alias("from"), F.col("rel").alias("to"), F.lit("verifies_directly").alias("type"), F.col("evidence"))
+    return consumed.unionByName(emitted).unionByName(read).unionByName(proven).distinct()
+
+
 def flow(facts: FactBase, method: str, path: str) -> DataFrame:
     """Ordered steps of a route: the route, its file's imports, environment reads and side effects."""
     file = facts.routes.filter((F.col("method") == method) & (F.col("path") == path))

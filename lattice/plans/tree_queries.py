@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import brackets, extract, tries, walks, workflow
+from ..operators import brackets, extract, inherit, tries, walks, workflow
 from .driver_queries import Tables, query
 from .fact_base import FactBase
 
@@ -218,3 +218,18 @@ def q_route_trie(spark, d):
     t = Tables(spark, d)
     paths = t.pages.select("page_id", F.regexp_extract("url", r"://[^/]+(/[^?#]*)", 1).alias("path"))
     return tries.most_specific(paths, "path", route_patterns(t), tries.route_kinds(c("pattern"))).select("page_id", "path", "pattern")
+
+
+@query("""
+WITH RECURSIVE chain(node, at, k) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT node, p_partkey, k + 1 FROM chain JOIN part ON p_partkey = at - 30 WHERE at % 150 <> 7),
+nearest AS (SELECT node, at % 7 AS key, arg_min(at, k) AS value FROM chain WHERE at % 3 <> 1 GROUP BY ALL), depth AS (SELECT node, max(k) AS length FROM chain GROUP BY 1)
+SELECT 'part' || d.node AS node, d.length::BIGINT AS length, coalesce(string_agg('k' || key || '=' || value, ' ' ORDER BY key) FILTER (key IS NOT NULL), '') AS settings FROM depth d LEFT JOIN nearest USING (node) GROUP BY ALL
+""")
+def q_config_chain(spark, d):
+    """What each configuration inherits along its chain, the nearest value of each key."""
+    key = c("p_partkey")
+    parent = F.when(key % 150 != 7, _text("part", key - 30))
+    settings = F.when(key % 3 != 1, F.create_map(_text("k", key % 7), key.cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    got = inherit.inherited(Tables(spark, d).part.select(_text("part", key).alias("node"), parent.alias("parent"), settings.alias("settings")))
+    pairs = F.array_sort(F.transform(F.map_entries("settings"), lambda e: F.concat(e["key"], lit("="), e["value"])))
+    return got.select("node", "length", F.array_join(pairs, " ").alias("settings"))

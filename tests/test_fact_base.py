@@ -8,18 +8,18 @@ from lattice.sources.repo_files import from_texts, read_tree
 
 TREE = {
     "package.json": '{"name": "root", "workspaces": ["packages/*"]}',
-    "tsconfig.json": '{\n  // aliases\n  "compilerOptions": {"paths": {"@auth/*": ["services/auth/src/*"]}}\n}',
-    "packages/app/package.json": '{"name": "@x/app", "dependencies": {"@x/replay": "1.0.0"}}',
-    "packages/replay/package.json": '{"name": "@x/replay"}',
-    "packages/replay/src/index.ts": 'export { play } from "./internal";\n',
-    "packages/replay/src/internal.ts": "export function play() {\n  return 1;\n}\nfunction hidden() {}\n",
-    "packages/app/src/main.ts": 'import { play } from "@x/replay";\nimport { token } from "@auth/token";\n// import x from "./gone"\nconst s = "import y";\nexport const App = () => play();\nimport("./" + s);\n',
-    "packages/app/src/bad.ts": 'import { play } from "../../replay/src/internal";\nimport z from "./missing";\n',
-    "services/auth/src/token.ts": "export function token() {\n  return process.env.SECRET;\n}\nexport const v = process.env[name];\n",
-    "services/auth/tests/token.test.ts": 'import { token } from "../src/token";\ntest("t", () => token());\n',
-    "services/auth/.env.example": "SECRET=x\nOTHER=y\n",
-    "services/api/server.ts": 'app.get("/users/:id", userHandler);\napp.post("/x" + y, h);\nfetch("/z");\nconst q = db.query("INSERT INTO events_outbox VALUES (1)");\n',
-    "py/app/main.py": 'import os\nfrom .util import helper\n\n@app.post("/auth/login")\ndef login():\n    """doc # no"""\n    return os.getenv("HOME_DIR")\n\nclass A:\n    def method(self):\n        pass\n',
+    "tsconfig.json": '{\n  // aliases\n  "compilerOptions": {"paths": {"@vault/*": ["services/vault/src/*"]}}\n}',
+    "packages/app/package.json": '{"name": "@x/app", "dependencies": {"@x/clock": "1.0.0"}}',
+    "packages/clock/package.json": '{"name": "@x/clock"}',
+    "packages/clock/src/index.ts": 'export { tick } from "./internal";\n',
+    "packages/clock/src/internal.ts": "export function tick() {\n  return 1;\n}\nfunction hidden() {}\n",
+    "packages/app/src/main.ts": 'import { tick } from "@x/clock";\nimport { token } from "@vault/token";\n// import x from "./gone"\nconst s = "import y";\nexport const App = () => tick();\nimport("./" + s);\n',
+    "packages/app/src/bad.ts": 'import { tick } from "../../clock/src/internal";\nimport z from "./missing";\n',
+    "services/vault/src/token.ts": "export function token() {\n  return process.env.SECRET;\n}\nexport const v = process.env[name];\n",
+    "services/vault/tests/token.test.ts": 'import { token } from "../src/token";\ntest("t", () => token());\n',
+    "services/vault/.env.example": "SECRET=x\nOTHER=y\n",
+    "services/api/server.ts": 'app.get("/users/:id", userHandler);\napp.post("/x" + y, h);\nfetch("/z");\nconst q = db.query("INSERT INTO parcels VALUES (1)");\n',
+    "py/app/main.py": 'import os\nfrom .util import helper\n\n@app.post("/vault/open")\ndef login():\n    """doc # no"""\n    return os.getenv("HOME_DIR")\n\nclass A:\n    def method(self):\n        pass\n',
     "py/app/util.py": "def helper():\n    return 1\n",
     "go/go.mod": "module example.org/svc\n",
     "go/main.go": 'package main\n\nimport (\n\t"example.org/svc/api"\n)\n\nfunc main() { api.Run() }\n',
@@ -28,7 +28,7 @@ TREE = {
     "two/Cargo.toml": '[package]\nname = "two"\n',
     "rust/src/lib.rs": "mod inner;\npub use crate::inner::Thing;\n/* pub fn no() {} */\npub fn yes() {}\nimpl Thing {\n}\n",
     "rust/src/inner.rs": "pub struct Thing;\n",
-    "db/migrations/001_events.sql": "CREATE TABLE events_outbox (\n  id INT PRIMARY KEY,\n  topic TEXT,\n  payload TEXT\n);\n",
+    "db/migrations/0007_parcels.sql": "CREATE TABLE parcels (\n  id INT PRIMARY KEY,\n  label TEXT,\n  weight TEXT\n);\n",
     "app/api/login/route.ts": "export async function POST() {}\n",
     "node_modules/x/index.js": "export const n = 1;\n",
     "image.bin": "x",
@@ -53,17 +53,17 @@ def test_scan_leaves_out_and_counts(facts):
 
 def test_languages_roles_kinds(facts):
     got = {r["rel"]: r for r in facts.files.collect()}
-    assert got["services/auth/tests/token.test.ts"]["kind"] == "test"
-    assert "public_boundary" in got["packages/replay/src/index.ts"]["roles"]
-    assert got["db/migrations/001_events.sql"]["kind"] == "migration"
-    assert got["services/auth/.env.example"]["language"] == "env"
+    assert got["services/vault/tests/token.test.ts"]["kind"] == "test"
+    assert "public_boundary" in got["packages/clock/src/index.ts"]["roles"]
+    assert got["db/migrations/0007_parcels.sql"]["kind"] == "migration"
+    assert got["services/vault/.env.example"]["language"] == "env"
     assert got["packages/app/package.json"]["domain"] == "packages/app"
     assert got["locked.py"]["content_hash"] is None
 
 
 def test_symbols(facts):
     got = {(r["rel"], r["name"]): (r["kind"], r["exported"], r["line_start"], r["line_end"]) for r in facts.symbols.collect()}
-    assert got["packages/replay/src/internal.ts", "play"] == ("function", True, 1, 3)
+    assert got["packages/clock/src/internal.ts", "tick"] == ("function", True, 1, 3)
     assert got["packages/app/src/main.ts", "App"][:2] == ("component", True)
     assert got["py/app/main.py", "method"][:1] == ("function",) and got["py/app/main.py", "A"][2] == 9
     assert got["go/api/routes.go", "Server"][:2] == ("struct", True)
@@ -72,9 +72,9 @@ def test_symbols(facts):
 
 def test_imports_resolve(facts):
     got = {(r["rel"], r["spec"]): r["target"] for r in facts.imports.collect()}
-    assert got["packages/replay/src/index.ts", "./internal"] == "packages/replay/src/internal.ts"
-    assert got["packages/app/src/main.ts", "@x/replay"] == "packages/replay/src/index.ts"
-    assert got["packages/app/src/main.ts", "@auth/token"] == "services/auth/src/token.ts"
+    assert got["packages/clock/src/index.ts", "./internal"] == "packages/clock/src/internal.ts"
+    assert got["packages/app/src/main.ts", "@x/clock"] == "packages/clock/src/index.ts"
+    assert got["packages/app/src/main.ts", "@vault/token"] == "services/vault/src/token.ts"
     assert ("packages/app/src/main.ts", "./gone") not in got
     assert got["py/app/main.py", ".util"] == "py/app/util.py" and got["py/app/main.py", "os"] is None
     assert got["go/main.go", "example.org/svc/api"] == "go/api/routes.go"
@@ -83,38 +83,38 @@ def test_imports_resolve(facts):
 
 
 def test_packages(facts):
-    assert rows(facts.package_edges, "from", "to", "kind") == [("packages/app", "packages/replay", "dependencies"), ("rust", "two", "path")]
+    assert rows(facts.package_edges, "from", "to", "kind") == [("packages/app", "packages/clock", "dependencies"), ("rust", "two", "path")]
 
 
 def test_runtime_facts(facts):
-    assert {tuple(r) for r in facts.routes.select("method", "path", "handler").collect()} == {("GET", "/users/:id", "userHandler"), ("POST", "/auth/login", None), ("GET", "/health", "health"), ("POST", "/api/login", "POST")}
-    assert {(r["name"], r["declaration"]) for r in facts.env.collect()} == {("SECRET", "services/auth/.env.example"), ("HOME_DIR", None)}
+    assert {tuple(r) for r in facts.routes.select("method", "path", "handler").collect()} == {("GET", "/users/:id", "userHandler"), ("POST", "/vault/open", None), ("GET", "/health", "health"), ("POST", "/api/login", "POST")}
+    assert {(r["name"], r["declaration"]) for r in facts.env.collect()} == {("SECRET", "services/vault/.env.example"), ("HOME_DIR", None)}
     kinds = {(r["kind"], r["path"]) for r in facts.unknowns.collect()}
-    assert {("env_dynamic_lookup", "services/auth/src/token.ts"), ("route_string_concat", "services/api/server.ts"), ("unread_body", "locked.py"), ("dynamic_import", "packages/app/src/main.ts")} <= kinds
-    assert rows(facts.tables, "table", "fields") == [("table:events_outbox", ["id", "topic", "payload"])]
+    assert {("env_dynamic_lookup", "services/vault/src/token.ts"), ("route_string_concat", "services/api/server.ts"), ("unread_body", "locked.py"), ("dynamic_import", "packages/app/src/main.ts")} <= kinds
+    assert rows(facts.tables, "table", "fields") == [("table:parcels", ["id", "label", "weight"])]
     assert {"network", "db_write"} <= {r["kind"] for r in facts.side_effects.filter("rel = 'services/api/server.ts'").collect()}
 
 
 def test_tests_and_proof(spark, facts):
-    assert rows(facts.tests.filter("rel = 'services/auth/src/token.ts'"), "test", "score", "evidence") == [("services/auth/tests/token.test.ts", 80, "test_import")]
-    paths = spark.createDataFrame([("services/auth/src/token.ts",), ("py/app/util.py",)], "path string")
-    assert rows(lenses.proof(facts, paths), "rel", "class") == [("py/app/util.py", "missing"), ("services/auth/src/token.ts", "runnable")]
+    assert rows(facts.tests.filter("rel = 'services/vault/src/token.ts'"), "test", "score", "evidence") == [("services/vault/tests/token.test.ts", 80, "test_import")]
+    paths = spark.createDataFrame([("services/vault/src/token.ts",), ("py/app/util.py",)], "path string")
+    assert rows(lenses.proof(facts, paths), "rel", "class") == [("py/app/util.py", "missing"), ("services/vault/src/token.ts", "runnable")]
 
 
 def test_lenses(spark, facts):
-    assert rows(lenses.where(facts, "play"), "rel", "position", "hidden") == [("packages/replay/src/internal.ts", 1, 0)]
-    assert rows(lenses.cone(facts, "packages/app/src/main.ts", 2), "dst", "depth", "strength") == [("packages/replay/src/index.ts", 0, "high"), ("packages/replay/src/internal.ts", 1, "medium"), ("services/auth/src/token.ts", 0, "high")]
-    assert rows(lenses.consumers(facts, "packages/replay/src/internal.ts", 2), "rel", "depth") == [("packages/app/src/bad.ts", 1), ("packages/app/src/main.ts", 2), ("packages/replay/src/index.ts", 1)]
-    rules = spark.createDataFrame([("packages/app/src/**", "packages/replay/src/internal.ts", "use the barrel", "hard")], "from_glob string, to_glob string, reason string, status string")
+    assert rows(lenses.where(facts, "tick"), "rel", "position", "hidden") == [("packages/clock/src/internal.ts", 1, 0)]
+    assert rows(lenses.cone(facts, "packages/app/src/main.ts", 2), "dst", "depth", "strength") == [("packages/clock/src/index.ts", 0, "high"), ("packages/clock/src/internal.ts", 1, "medium"), ("services/vault/src/token.ts", 0, "high")]
+    assert rows(lenses.consumers(facts, "packages/clock/src/internal.ts", 2), "rel", "depth") == [("packages/app/src/bad.ts", 1), ("packages/app/src/main.ts", 2), ("packages/clock/src/index.ts", 1)]
+    rules = spark.createDataFrame([("packages/app/src/**", "packages/clock/src/internal.ts", "use the barrel", "hard")], "from_glob string, to_glob string, reason string, status string")
     assert rows(lenses.boundaries(facts, rules), "src") == [("packages/app/src/bad.ts",)]
-    assert ("packages/app/src/main.ts", "packages/replay/src/index.ts", False) in rows(lenses.boundary_map(facts), "src", "dst", "is_test")
-    levels = {r["rel"]: r["level"] for r in lenses.impact(facts, spark.createDataFrame([("packages/replay/src/internal.ts",), ("db/migrations/001_events.sql",)], "path string")).collect()}
-    assert levels == {"packages/replay/src/internal.ts": "high", "db/migrations/001_events.sql": "critical"}
-    assert rows(lenses.delete(facts, "services/auth/src/token.ts"), "group", "from") == [("consumers", "packages/app/src/main.ts"), ("consumers", "services/auth/tests/token.test.ts"), ("tests", "services/auth/src/token.ts")]
-    assert rows(lenses.contract(facts, "table:events_outbox"), "from", "type") == [("db/migrations/001_events.sql", "declares_table"), ("services/api/server.ts", "reads_table")]
+    assert ("packages/app/src/main.ts", "packages/clock/src/index.ts", False) in rows(lenses.boundary_map(facts), "src", "dst", "is_test")
+    levels = {r["rel"]: r["level"] for r in lenses.impact(facts, spark.createDataFrame([("packages/clock/src/internal.ts",), ("db/migrations/0007_parcels.sql",)], "path string")).collect()}
+    assert levels == {"packages/clock/src/internal.ts": "high", "db/migrations/0007_parcels.sql": "critical"}
+    assert rows(lenses.delete(facts, "services/vault/src/token.ts"), "group", "from") == [("consumers", "packages/app/src/main.ts"), ("consumers", "services/vault/tests/token.test.ts"), ("tests", "services/vault/src/token.ts")]
+    assert rows(lenses.contract(facts, "table:parcels"), "from", "type") == [("db/migrations/0007_parcels.sql", "declares_table"), ("services/api/server.ts", "reads_table")]
     assert [r["what"] for r in lenses.flow(facts, "GET", "/users/:id").orderBy("step").collect()][0] == "GET /users/:id"
     assert ("rust", True, 3) in rows(lenses.ls(facts), "entry", "is_dir", "files")
-    assert rows(lenses.siblings(facts, "services/auth"), "kind", "count") == [("env_config", 1)]
+    assert rows(lenses.siblings(facts, "services/vault"), "kind", "count") == [("env_config", 1)]
     assert {r["language"]: r["closure"] for r in lenses.coverage(facts).collect()}["python"] == "open"
     assert lenses.graph(facts).count() > 0 and lenses.status(facts).count() == 7 and lenses.runtime(facts).count() > 0
     assert lenses.directory_edges(facts).count() > 0 and lenses.package_paths(facts).count() == 2
@@ -122,14 +122,14 @@ def test_lenses(spark, facts):
 
 def test_changes(spark, facts):
     tree = dict(TREE)
-    tree["packages/replay/src/internal.ts"] = "export function play() {\n  const two = 2;\n  return 1;\n}\nfunction hidden() {}\n"
+    tree["packages/clock/src/internal.ts"] = "export function tick() {\n  const two = 2;\n  return 1;\n}\nfunction hidden() {}\n"
     tree["py/app/helpers.py"] = tree.pop("py/app/util.py")
     tree["new.py"] = "x = 1\n"
     del tree["go/main.go"]
     after = FactBase(from_texts(spark, tree))
     got = {tuple(r) for r in lenses.changed(facts, after).collect()}
-    assert got == {("packages/replay/src/internal.ts", "modified", None), ("py/app/helpers.py", "renamed", "py/app/util.py"), ("new.py", "added", None), ("go/main.go", "removed", None)}
-    assert rows(lenses.changed_symbols(facts, after).filter("name = 'play'"), "name", "added_lines") == [("play", 1)]
+    assert got == {("packages/clock/src/internal.ts", "modified", None), ("py/app/helpers.py", "renamed", "py/app/util.py"), ("new.py", "added", None), ("go/main.go", "removed", None)}
+    assert rows(lenses.changed_symbols(facts, after).filter("name = 'tick'"), "name", "added_lines") == [("tick", 1)]
 
 
 def test_lexer_keeps_places():

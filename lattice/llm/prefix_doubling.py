@@ -1,9 +1,8 @@
 """Exact removal of long byte strings that an earlier document has, by distributed prefix doubling.
 
 A byte goes if a string of ``length`` bytes (50) that covers it starts in a document with a smaller id, too. To find such strings each position would
-get the rank of the string that starts there: ranks of the first half come from a sort of halves, those of the whole from a sort of pairs of ranks at the
-offset of a half, and a position whose rank no other document shares drops out before the next sort. Most positions must never get to that
-sort, so three exact steps go before it, each of which keeps what may be shared:
+get the rank of the string that starts there, for growing lengths, by sorting pairs at an offset; a position whose rank no other document shares drops out before
+the next sort. Most positions must never get to a sort, so three exact steps go before it, each of which keeps what may be shared:
 
 1. Every string of 50 bytes names one of its half-long grams, the one with the least hash. Equal strings name the same gram at the
    same offset, so strings whose gram no other document names are out. Grams travel to buckets as packed arrays, a gram once for each batch of documents.
@@ -11,7 +10,7 @@ sort, so three exact steps go before it, each of which keeps what may be shared:
    only the one in the smallest document goes on; all positions of the others are settled.
 3. The same for pieces, the positions of a stretch that name one gram. Pieces whose gram has one text only are settled, too.
 
-What is left is sorted. All steps count documents by aggregates that begin before a shuffle, and joins on keys that very many rows have
+What is left is sorted: ranks of three quarters of a string (all strings of a piece share one of two), then pairs of halves. All steps count documents by aggregates that begin before a shuffle, and joins on keys that very many rows have
 are dealt to several tasks.
 """
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_ready, sent, shared_path, spread_join, table
+from .common import cut, python_ready, sent, shared_path, spread_join, table
 from .shingles import mixed
 
 LENGTH = 50
@@ -84,9 +83,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def named_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """owner, first, last, gram: the runs of places whose strings of ``length`` bytes name the same gram, and its hash. owner is the value that
-    holds the place, places count from the beginning of data.
+def named_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """owner, first, last, gram, named: the runs of places whose strings of ``length`` bytes name the same gram, its hash and its place. owner is the value
+    that holds the place, places count from the beginning of data.
 
     A string names the gram of half its length that has the least upper hash bits, of equal ones the leftmost. Bytes are looked at in steps;
     a run that a step ends is two runs.
@@ -103,8 +102,9 @@ def named_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
         owner = np.searchsorted(offsets, first + lo, side="right") - 1
         last = np.minimum(np.append(first[1:], len(named)) - 1, offsets[owner + 1] - length - lo)  # no string crosses into the next value
         fits = last >= first
-        out.append((owner[fits], first[fits] + lo, last[fits] + lo, h[named[first[fits]].astype(np.int64)]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (*[np.zeros(0, np.int64)] * 3, np.zeros(0, _U))
+        place = named[first[fits]].astype(np.int64)
+        out.append((owner[fits], first[fits] + lo, last[fits] + lo, h[place], place + lo))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (*[np.zeros(0, np.int64)] * 3, np.zeros(0, _U), np.zeros(0, np.int64))
 
 
 def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -126,7 +126,7 @@ def shared_grams(texts: DataFrame, n_buckets: int, length: int = LENGTH) -> Data
     def named(batches: Iterator[pa.RecordBatch]):
         keys, docs, size = [], [], 0
         for batch in batches:
-            owner, _, _, gram = named_runs(*flat(batch.column(1)), length)
+            owner, _, _, gram, _ = named_runs(*flat(batch.column(1)), length)
             keys.append(gram)
             docs.append(batch.column(0).to_numpy()[owner])
             size += len(gram)
@@ -213,7 +213,7 @@ def stretches(texts: DataFrame, shared: DataFrame, length: int = LENGTH) -> Data
     def cut_out(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             data, offsets = flat(batch.column(2))
-            owner, first, last, gram = named_runs(data, offsets, length)
+            owner, first, last, gram, _ = named_runs(data, offsets, length)
             keys = batch.column(3)
             known = _of_owner(keys.flatten().to_numpy(), np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy()))
             ours = np.isin(_of_owner((gram & _U((1 << KEY_BITS) - 1)).astype(np.int64), owner), known)
@@ -234,47 +234,71 @@ def _of_owner(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def in_pieces(heads: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The pieces of stretches (k, m, body): k, m, at (in the stretch), n, gram, piece (digest) and part (bytes)."""
+    """The pieces of stretches (k, m, body): k, m, at (in the stretch), n, gram, named (where it is in the piece), piece (digest) and part (bytes)."""
 
     def split(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             data, offsets = flat(batch.column(2))
-            owner, first, last, gram = named_runs(data, offsets, length)
+            owner, first, last, gram, named = named_runs(data, offsets, length)
             part, piece = slices(data, first, last + length)
             of = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(first - offsets[owner]), pa.array(last - first + 1), pa.array(gram.astype(np.int64)), piece, part], names=["k", "m", "at", "n", "gram", "piece", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(first - offsets[owner]), pa.array(last - first + 1), pa.array(gram.astype(np.int64)), pa.array(named - first), piece, part], names=["k", "m", "at", "n", "gram", "named", "piece", "part"])
 
-    return heads.select("k", "m", "body").mapInArrow(split, "k binary, m long, at long, n long, gram long, piece binary, part binary")
+    return heads.select("k", "m", "body").mapInArrow(split, "k binary, m long, at long, n long, gram long, named long, piece binary, part binary")
 
 
-def ranked(positions: DataFrame, by: list[str]) -> DataFrame:
-    """``by``, rank and least (m): the distinct values of the columns by, in order, that positions of at least two documents (m) have."""
-    several = positions.groupBy(*by).agg(F.min("m").alias("least"), F.max("m").alias("__most")).filter("least < __most")
-    return several.orderBy(*by).select(*by, "least", F.monotonically_increasing_id().alias("rank"))
+def ranked(positions: DataFrame, by: str) -> DataFrame:
+    """``by``, rank and least (m): the distinct values of the column by, in order, that positions of at least two documents (m) have."""
+    several = positions.groupBy(by).agg(F.min("m").alias("least"), F.max("m").alias("__most")).filter("least < __most")
+    return several.orderBy(by).select(by, "least", F.monotonically_increasing_id().alias("rank"))
 
 
 def doubled(scratch: Scratch, pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """piece and hits (array of long): the positions of each piece (piece, m, part) whose string a piece with a lesser m has, too, by prefix doubling."""
-    half = half_of(length)
+    """piece and hits (array of long): the positions of each piece (piece, m, part, named) whose string a piece with a lesser m has, too, by prefix doubling.
+
+    All strings of a piece have its gram; those that begin far before it also have so many bytes before it, the others so many after it, that three quarters of
+    their length are known. These are ranked first, at most two for a piece. Positions behind a rank that two documents have get the pair of their
+    halves, and the pairs are ranked."""
+    half, far = half_of(length), (length - half_of(length) + 1) // 2
+    near = length - far + 1  # bytes of the gram and what follows, where a string begins less than far before it
+
+    def sides(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            data, offsets = flat(batch.column(2))
+            named = batch.column(3).to_numpy()
+            n = np.diff(offsets) - length + 1
+            for side, at, size in ((0, named - far, half + far), (1, named, near)):
+                # the first position begins far before the gram, the last one near it
+                has = named >= far if side == 0 else named - n + 1 < far
+                h = gram_hashes(data, size) if has.any() else None
+                if h is not None:
+                    of = np.nonzero(has)[0]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(np.full(len(of), side)), pa.array(h[offsets[of] + at[of]].astype(np.int64))], names=["number", "m", "side", "quarters"])
 
     def halves(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             data, offsets = flat(batch.column(2))
-            if len(data) < length:
+            if not len(data):
                 continue
             h = gram_hashes(data, half)
             n = np.diff(offsets) - length + 1
             owner = np.repeat(np.arange(len(n)), n)
             j = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            begins_far = batch.column(3).to_numpy()[owner] - j >= far
+            open_ = [batch.column(i).to_numpy(zero_copy_only=False)[owner] for i in (4, 5)]
+            left = np.where(begins_far, *open_)
+            owner, j = owner[left], j[left]
             at = offsets[owner] + j
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(j), pa.array(h[at].astype(np.int64)), pa.array(h[at + length - half].astype(np.int64))], names=["number", "m", "j", "first", "second"])
-
-    numbered = scratch.table("numbered", lambda: pieces.select(F.monotonically_increasing_id().alias("number"), "piece", "m", "part"), drop=("open",))
-    positions = numbered.select("number", "m", "part").mapInArrow(halves, "number long, m long, j long, first long, second long")
-    of_half = scratch.table("halves", lambda: ranked(positions, ["first"]).select("first", "rank"))
-    left = scratch.table("left", lambda: spread_join(positions, of_half, "first").select("number", "m", "j", F.struct("rank", "second").alias("pair")), drop=("halves",))
-    of_pair = scratch.table("pairs", lambda: ranked(left, ["pair"]).select("pair", "least"))
-    hits = spread_join(left, of_pair, "pair").filter("least < m")
+            pair = [pa.array(h[x].astype(np.int64)) for x in (at, at + length - half)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(j), pa.StructArray.from_arrays(pair, ["first", "second"])], names=["number", "m", "j", "pair"])
+
+    numbered = scratch.table("numbered", lambda: pieces.select(F.monotonically_increasing_id().alias("number"), "piece", "m", "part", "named"), drop=("open",))
+    of_side = numbered.select("number", "m", "part", "named").mapInArrow(sides, "number long, m long, side long, quarters long")
+    some = scratch.table("sides", lambda: spread_join(of_side, cut(ranked(of_side, "quarters").select("quarters", "rank")), "quarters").groupBy("number").agg(F.max(F.col("side") == 0).alias("far"), F.max(F.col("side") == 1).alias("near")))
+    known = numbered.join(some, "number").select("number", "m", "part", "named", "far", "near")
+    positions = scratch.table("positions", lambda: known.mapInArrow(halves, "number long, m long, j long, pair struct<first:long,second:long>"), drop=("sides",))
+    pairs = scratch.table("pairs", lambda: ranked(positions, "pair").select("pair", "rank", "least"))
+    hits = spread_join(positions, pairs, "pair").filter("least < m")
     return hits.groupBy("number").agg(F.collect_list("j").alias("hits")).join(numbered.select("number", "piece"), "number").select("piece", "hits")
 
 
@@ -302,12 +326,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _spans_inside(scratch: Scratch, heads: DataFrame, length: int) -> DataFrame:
     """k and spans: what goes in the stretch itself, in the smallest document that has it."""
-    distinct = scratch.table("pieces", lambda: in_pieces(heads, length).groupBy("gram", "part").agg(F.min("m").alias("least"), F.max("m").alias("most")))
+    distinct = scratch.table("pieces", lambda: in_pieces(heads, length).groupBy("gram", "part").agg(F.min("m").alias("least"), F.max("m").alias("most"), F.min("named").alias("named")))
     open_grams = distinct.groupBy("gram").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("least").alias("b")).filter("n > 1 AND a < b").select("gram")
     piece = F.unhex(F.md5("part")).alias("piece")
-    open_ = scratch.table("open", lambda: distinct.join(sent(open_grams), "gram").select(piece, F.col("least").alias("m"), "part"))
+    open_ = scratch.table("open", lambda: distinct.join(sent(open_grams), "gram").select(piece, F.col("least").alias("m"), "part", "named"))
     settled = scratch.table("settled", lambda: distinct.select(piece, "least", "most"), drop=("pieces",))
-    hits = scratch.table("hits", lambda: doubled(scratch, open_, length), drop=("numbered", "left", "pairs"))
+    hits = scratch.table("hits", lambda: doubled(scratch, open_, length), drop=("numbered", "positions", "pairs"))
     span = lambda first, n: F.struct(first.alias("first"), (first + n + length - 2).alias("last"))
     spans = F.when(F.col("m") > F.col("least"), F.array(span(F.col("at"), F.col("n")))).otherwise(F.transform("hits", lambda j: span(F.col("at") + j, F.lit(1))))
 

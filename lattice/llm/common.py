@@ -51,10 +51,11 @@ def sent(ids: DataFrame) -> DataFrame:
 HOT_ROWS = 20_000
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, hot_rows: int = HOT_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """Inner join on ``key``, where ``small`` has a key once. Keys with more than hot_rows rows in ``big`` are dealt to several tasks,
-    and their row of ``small`` goes to each. Such keys are counted: of n rows they are n / hot_rows at most."""
-    hot = cut(big.groupBy(key).count().filter(F.col("count") > hot_rows).select(key, F.ceil(F.col("count") / hot_rows).cast("int").alias("__parts")))
+    and their row of ``small`` goes to each. Such keys are counted (unless ``counts`` has key and count of each key): of n rows they are n / hot_rows at most."""
+    counts = big.groupBy(key).count() if counts is None else counts
+    hot = cut(counts.filter(F.col("count") > hot_rows).select(key, F.ceil(F.col("count") / hot_rows).cast("int").alias("__parts")))
     if hot.isEmpty():
         return big.join(small, key)
     rest = [c for c in big.columns if c != key]

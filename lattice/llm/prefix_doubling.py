@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, python_ready, sent, shared_path, spread_join, table
+from .common import python_ready, sent, shared_path, spread_join, table
 from .shingles import mixed
 
 LENGTH = 50
@@ -248,9 +248,9 @@ def in_pieces(heads: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def ranked(positions: DataFrame, by: str) -> DataFrame:
-    """``by``, rank and least (m): the distinct values of the column by, in order, that positions of at least two documents (m) have."""
-    several = positions.groupBy(by).agg(F.min("m").alias("least"), F.max("m").alias("__most")).filter("least < __most")
-    return several.orderBy(by).select(by, "least", F.monotonically_increasing_id().alias("rank"))
+    """``by``, rank, least (m) and count: the distinct values of the column by, in order, that positions of at least two documents (m) have."""
+    several = positions.groupBy(by).agg(F.min("m").alias("least"), F.max("m").alias("__most"), F.count("*").alias("count")).filter("least < __most")
+    return several.orderBy(by).select(by, "least", "count", F.monotonically_increasing_id().alias("rank"))
 
 
 def doubled(scratch: Scratch, pieces: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -294,12 +294,14 @@ def doubled(scratch: Scratch, pieces: DataFrame, length: int = LENGTH) -> DataFr
 
     numbered = scratch.table("numbered", lambda: pieces.select(F.monotonically_increasing_id().alias("number"), "piece", "m", "part", "named"), drop=("open",))
     of_side = numbered.select("number", "m", "part", "named").mapInArrow(sides, "number long, m long, side long, quarters long")
-    some = scratch.table("sides", lambda: spread_join(of_side, cut(ranked(of_side, "quarters").select("quarters", "rank")), "quarters").groupBy("number").agg(F.max(F.col("side") == 0).alias("far"), F.max(F.col("side") == 1).alias("near")))
-    known = numbered.join(some, "number").select("number", "m", "part", "named", "far", "near")
-    positions = scratch.table("positions", lambda: known.mapInArrow(halves, "number long, m long, j long, pair struct<first:long,second:long>"), drop=("sides",))
-    pairs = scratch.table("pairs", lambda: ranked(positions, "pair").select("pair", "rank", "least"))
-    hits = spread_join(positions, pairs, "pair").filter("least < m")
-    return hits.groupBy("number").agg(F.collect_list("j").alias("hits")).join(numbered.select("number", "piece"), "number").select("piece", "hits")
+    quarters = scratch.table("quarters", lambda: ranked(of_side, "quarters"))
+    some = scratch.table("sides", lambda: spread_join(of_side, quarters.select("quarters", "rank"), "quarters", counts=quarters).groupBy("number").agg(F.max(F.col("side") == 0).alias("far"), F.max(F.col("side") == 1).alias("near")), drop=("quarters",))
+    known = scratch.table("known", lambda: numbered.join(some, "number").select("number", "m", "part", "named", "far", "near", "piece"), drop=("numbered", "sides"))
+    # these are many more than pieces, and quickly made again
+    positions = known.drop("piece").mapInArrow(halves, "number long, m long, j long, pair struct<first:long,second:long>")
+    pairs = scratch.table("pairs", lambda: ranked(positions, "pair"))
+    hits = spread_join(positions, pairs.select("pair", "rank", "least"), "pair", counts=pairs).filter("least < m")
+    return hits.groupBy("number").agg(F.collect_list("j").alias("hits")).join(known.select("number", "piece"), "number").select("piece", "hits")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -310,34 +312,41 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n_buckets = max(1, 4 * size // length // BUCKET_GRAMS)
     shared = scratch.table("grams", lambda: shared_grams(docs.select("doc", "text"), n_buckets, length).groupBy("doc").agg(F.collect_list("key").alias("keys")))
     whole_parts = scratch.table("stretches", lambda: stretches(docs, shared, length), drop=("grams",))
-    heads = scratch.table("heads", lambda: whole_parts.groupBy("k", "body").agg(F.min("doc").alias("m")))
+    heads = scratch.table("heads", lambda: whole_parts.groupBy("k", "body").agg(F.min("doc").alias("m"), F.count("*").alias("count")))
     parts = scratch.table("places", lambda: whole_parts.drop("body"), drop=("stretches",))
     inside = _spans_inside(scratch, heads, length)
     whole = F.array(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("n") + length - 2).alias("last")))
     moved = F.transform("spans", lambda x: F.struct((F.col("at") + x["first"]).alias("first"), (F.col("at") + x["last"]).alias("last")))
 
     def marked() -> DataFrame:
-        met = spread_join(parts.select("doc", "t", "at", "n", "k"), heads.select("k", "m").join(inside, "k", "left"), "k")
+        met = spread_join(parts.select("doc", "t", "at", "n", "k"), heads.select("k", "m").join(inside, "k", "left"), "k", counts=heads)
         spans = met.withColumn("spans", F.when(F.col("doc") > F.col("m"), whole).otherwise(moved)).filter("spans IS NOT NULL")
         return spans.groupBy("doc", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     return scratch.table("spans", marked, drop=("places", "heads", "inside"))
 
 
+def open_grams_of(distinct: DataFrame) -> DataFrame:
+    """gram: those that pieces of several texts and documents name."""
+    return distinct.groupBy("gram").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("least").alias("b")).filter("n > 1 AND a < b").select("gram")
+
+
 def _spans_inside(scratch: Scratch, heads: DataFrame, length: int) -> DataFrame:
     """k and spans: what goes in the stretch itself, in the smallest document that has it."""
-    distinct = scratch.table("pieces", lambda: in_pieces(heads, length).groupBy("gram", "part").agg(F.min("m").alias("least"), F.max("m").alias("most"), F.min("named").alias("named")))
-    open_grams = distinct.groupBy("gram").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("least").alias("b")).filter("n > 1 AND a < b").select("gram")
+    distinct = scratch.table("pieces", lambda: in_pieces(heads, length).groupBy("gram", "part").agg(F.min("m").alias("least"), F.max("m").alias("most"), F.min("named").alias("named"), F.count("*").alias("count")))
     piece = F.unhex(F.md5("part")).alias("piece")
+    open_grams = scratch.table("open_grams", lambda: open_grams_of(distinct))
     open_ = scratch.table("open", lambda: distinct.join(sent(open_grams), "gram").select(piece, F.col("least").alias("m"), "part", "named"))
-    settled = scratch.table("settled", lambda: distinct.select(piece, "least", "most"), drop=("pieces",))
-    hits = scratch.table("hits", lambda: doubled(scratch, open_, length), drop=("numbered", "positions", "pairs"))
+    # pieces of one document and of a gram without another text can't lose anything
+    may_go = distinct.join(sent(open_grams.withColumn("open", F.lit(True))), "gram", "left").filter("least < most OR open")
+    settled = scratch.table("settled", lambda: may_go.select(piece, "least", "most", "count"), drop=("pieces", "open_grams"))
+    hits = scratch.table("hits", lambda: doubled(scratch, open_, length), drop=("known", "pairs"))
     span = lambda first, n: F.struct(first.alias("first"), (first + n + length - 2).alias("last"))
     spans = F.when(F.col("m") > F.col("least"), F.array(span(F.col("at"), F.col("n")))).otherwise(F.transform("hits", lambda j: span(F.col("at") + j, F.lit(1))))
 
     def marked() -> DataFrame:
-        known = settled.join(hits, "piece", "left").filter("least < most OR hits IS NOT NULL").select("piece", "least", "hits")
-        met = spread_join(in_pieces(heads, length).select("k", "m", "at", "n", "piece"), known, "piece")
+        known = settled.join(hits, "piece", "left").filter("least < most OR hits IS NOT NULL").select("piece", "least", "hits", "count")
+        met = spread_join(in_pieces(heads, length).select("k", "m", "at", "n", "piece"), known.drop("count"), "piece", counts=known)
         return met.withColumn("spans", spans).filter("spans IS NOT NULL").groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     return scratch.table("inside", marked, drop=("settled", "hits"))

@@ -293,13 +293,11 @@ def q_cone_edges(spark, d):
 
 
 def _trade(t: Tables) -> DataFrame:
-    """Each supplier nation's two customer nations with the most line items."""
-    counts = _crossings(t).groupBy(F.col("supplier_nation").alias("src"), F.col("customer_nation").alias("dst")).agg(F.count("*").alias("n")).filter("src <> dst")
-    return bounds.top_k(counts, ["src"], [F.desc("n"), F.col("dst")], 2).select("src", "dst")
+    """Which nations of a region supply which others of it."""
+    return _crossings(t).filter("supplier_region = customer_region AND supplier_nation <> customer_nation").select(F.col("supplier_nation").alias("src"), F.col("customer_nation").alias("dst")).distinct()
 
 
-_TRADE_SQL = f"""trade AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM (
-  SELECT supplier_nation AS src, customer_nation AS dst, count(*) AS n FROM ({_CROSSINGS}) WHERE supplier_nation <> customer_nation GROUP BY ALL)) WHERE k <= 2)"""
+_TRADE_SQL = f"""trade AS (SELECT DISTINCT supplier_nation AS src, customer_nation AS dst FROM ({_CROSSINGS}) WHERE supplier_region = customer_region AND supplier_nation <> customer_nation)"""
 
 
 @query(f"""WITH RECURSIVE {_TRADE_SQL}, walk(path) AS (
@@ -405,14 +403,14 @@ def q_score_ladder(spark, d):
 
 
 @query("""
-WITH b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{10,}')) AS token FROM benchmark), t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{10,}')) AS token FROM documents)
-SELECT item_id, doc_id, count(*) AS shared FROM b JOIN t USING (token) GROUP BY ALL HAVING count(*) >= 4
+WITH b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS token FROM benchmark), t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS token FROM documents)
+SELECT item_id, doc_id, count(*) AS shared FROM b JOIN t USING (token) GROUP BY ALL HAVING count(*) >= 12
 """)
 def q_set_overlap(spark, d):
-    """Pairs that share at least four terms."""
+    """Pairs that share at least twelve terms."""
     t = Tables(spark, d)
-    terms = lambda df, key: df.select(key, F.explode(F.array_distinct(T.words(F.col("text"), "[a-z0-9_]{10,}"))).alias("token"))
-    return terms(t.documents, "doc_id").join(joins.small(terms(t.benchmark, "item_id")), "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).filter("shared >= 4")
+    terms = lambda df, key: df.select(key, F.explode(F.array_distinct(T.words(F.col("text")))).alias("token"))
+    return terms(t.documents, "doc_id").join(joins.small(terms(t.benchmark, "item_id")), "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).filter("shared >= 12")
 
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -559,11 +557,11 @@ def q_rename_detect(spark, d):
 
 
 @query("""WITH cut AS (SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS c FROM events),
-a AS (SELECT DISTINCT event_type AS target, user_id AS source FROM events, cut WHERE ts < c), b AS (SELECT DISTINCT event_type AS target, user_id AS source FROM events, cut WHERE ts >= c)
+e AS (SELECT user_id AS target, event_type || '@' || hour(ts) AS source, ts FROM events), a AS (SELECT DISTINCT target, source FROM e, cut WHERE ts < c), b AS (SELECT DISTINCT target, source FROM e, cut WHERE ts >= c)
 SELECT target, count(*) FILTER (a.source IS NULL) AS added, count(*) FILTER (b.source IS NULL) AS removed FROM a FULL JOIN b USING (target, source) GROUP BY 1 HAVING added + removed > 0""")
 def q_incremental_index(spark, d):
     """Targets whose set of sources changed, so that only their rows of the reverse index are rebuilt."""
-    e = Tables(spark, d).events.select(F.col("event_type").alias("target"), F.col("user_id").alias("source"), "ts")
+    e = Tables(spark, d).events.select(F.col("user_id").alias("target"), F.concat_ws("@", "event_type", F.hour("ts").cast("string")).alias("source"), "ts")
     middle = e.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("cut"))
     e = e.crossJoin(F.broadcast(middle))  # one row
     side = lambda c: e.filter(c).select("target", "source").distinct()

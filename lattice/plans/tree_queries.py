@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import brackets, extract, inherit, tries, walks, workflow
+from ..functions import proofs
+from ..operators import bounds, brackets, extract, inherit, tries, walks, workflow
 from .driver_queries import Tables, query
 from .fact_base import FactBase
 
@@ -221,8 +222,8 @@ def q_route_trie(spark, d):
 
 
 @query("""
-WITH RECURSIVE chain(node, at, k) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT node, p_partkey, k + 1 FROM chain JOIN part ON p_partkey = at - 30 WHERE at % 150 <> 7),
-nearest AS (SELECT node, at % 7 AS key, arg_min(at, k) AS value FROM chain WHERE at % 3 <> 1 GROUP BY ALL), depth AS (SELECT node, max(k) AS length FROM chain GROUP BY 1)
+WITH RECURSIVE chain(node, up, k) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT node, p_partkey, k + 1 FROM chain JOIN part ON p_partkey = up - 30 WHERE up % 150 <> 7),
+nearest AS (SELECT node, up % 7 AS key, arg_min(up, k) AS value FROM chain WHERE up % 3 <> 1 GROUP BY ALL), depth AS (SELECT node, max(k) AS length FROM chain GROUP BY 1)
 SELECT 'part' || d.node AS node, d.length::BIGINT AS length, coalesce(string_agg('k' || key || '=' || value, ' ' ORDER BY key) FILTER (key IS NOT NULL), '') AS settings FROM depth d LEFT JOIN nearest USING (node) GROUP BY ALL
 """)
 def q_config_chain(spark, d):
@@ -233,3 +234,34 @@ def q_config_chain(spark, d):
     got = inherit.inherited(Tables(spark, d).part.select(_text("part", key).alias("node"), parent.alias("parent"), settings.alias("settings")))
     pairs = F.array_sort(F.transform(F.map_entries("settings"), lambda e: F.concat(e["key"], lit("="), e["value"])))
     return got.select("node", "length", F.array_join(pairs, " ").alias("settings"))
+
+
+@query("""
+WITH r AS (SELECT l_suppkey, bin, l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_suppkey, bin ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS rank, max(l_quantity) OVER (PARTITION BY l_suppkey, bin) AS best FROM (SELECT *, l_partkey % 7 AS bin FROM lineitem))
+SELECT l_suppkey, bin, l_orderkey, l_linenumber, position::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY rank, best DESC, bin) - 1 AS position FROM r) WHERE position < 25
+""")
+def q_shared_budget(spark, d):
+    """The first lines of each supplier, taken in turns from bins of parts under one budget; bins with larger lines come first."""
+    rows = Tables(spark, d).lineitem.select("l_suppkey", (c("l_partkey") % 7).alias("bin"), "l_orderkey", "l_linenumber", "l_quantity")
+    return bounds.shared_budget(rows, ["l_suppkey"], ["bin"], [F.desc("l_quantity"), c("l_orderkey"), c("l_linenumber")], F.max("l_quantity"), 25).drop("l_quantity")
+
+
+_EVIDENCE = ("test_import", "test_name", "test_import_via_direct_consumer", "test_name_via_direct_dependency", "ci_setup_step", "test_support_import", "e2e_route_owning_file", "script_path_token", "ci_run_validation")
+_COMMANDS = (None, "npm test", "npm run dev", "pnpm prisma migrate status", "pnpm db:migrate", "yarn 'lint'")
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, ['test_import', 'test_name', 'test_import_via_direct_consumer', 'test_name_via_direct_dependency', 'ci_setup_step', 'test_support_import', 'e2e_route_owning_file', 'script_path_token', 'ci_run_validation'][1 + l_partkey % 9] AS evidence,
+  l_suppkey % 6 AS k, l_linenumber % 4 >= 2 AS strong, l_orderkey % 50 AS target FROM lineitem),
+c AS (SELECT *, CASE WHEN evidence = 'ci_setup_step' OR k IN (2, 4) THEN 'setup_support' WHEN evidence LIKE '%\\_via\\_%' ESCAPE '\\' OR evidence IN ('test_support_import', 'e2e_route_owning_file') THEN 'mediated_evidence'
+    WHEN evidence IN ('test_name', 'script_path_token') OR (NOT strong AND evidence <> 'test_import') THEN 'soft_evidence' WHEN k <> 0 THEN 'hard' ELSE 'direct_evidence' END AS class,
+  CASE evidence WHEN 'test_import' THEN 6 WHEN 'test_name' THEN 3 WHEN 'test_import_via_direct_consumer' THEN 4 WHEN 'test_name_via_direct_dependency' THEN 1 WHEN 'test_support_import' THEN 5 WHEN 'e2e_route_owning_file' THEN 5 ELSE 0 END AS precedence FROM p)
+SELECT target, class, count(*) AS proofs, max(precedence)::INT AS precedence, arg_max(evidence, (precedence, evidence)) AS evidence FROM c GROUP BY ALL
+""")
+def q_proof_classes(spark, d):
+    """The classes of each target's proofs, with the evidence that counts most."""
+    of = lambda values, k: F.element_at(F.array(*[lit(v).cast("string") for v in values]), (k % len(values) + 1).cast("int"))
+    strength = F.element_at(F.array(*map(lit, ("low", "medium", "high", "hard"))), (c("l_linenumber") % 4 + 1).cast("int"))
+    rows = Tables(spark, d).lineitem.select((c("l_orderkey") % 50).alias("target"), of(_EVIDENCE, c("l_partkey")).alias("evidence"), of(_COMMANDS, c("l_suppkey")).alias("command"), strength.alias("strength"))
+    judged = rows.select("target", "evidence", proofs.proof_class(c("evidence"), c("strength"), c("command")).alias("class"), proofs.precedence(c("evidence")).alias("precedence"))
+    return judged.groupBy("target", "class").agg(F.count("*").alias("proofs"), F.max("precedence").alias("precedence"), F.max_by("evidence", F.struct("precedence", "evidence")).alias("evidence"))

@@ -214,3 +214,24 @@ def test_globs_like_regexes(spark):
 
     got = joins.glob_join(spark.createDataFrame([(p,) for p in paths], "path string"), "path", spark.createDataFrame([(g, i) for i, g in enumerate(globs)], "glob string, id int"), "glob")
     assert sorted((r["path"], r["glob"]) for r in got.collect()) == sorted((p, g) for p in paths for g in globs if regex(g).match(p))
+
+
+@pytest.mark.parametrize("budget", [1, 7, 20, 500])
+def test_shared_budget(spark, budget):
+    from lattice.operators import bounds
+
+    rng = random.Random(budget)
+    rows = [(s, g, rng.randint(0, 50), i) for s in range(4) for g in "abcdef" for i in range(rng.choice([0, 1, 2, 9, 30]))]
+    want = set()
+    for s in range(4):
+        groups = {}
+        for r in sorted((r for r in rows if r[0] == s), key=lambda r: (-r[2], r[3])):
+            groups.setdefault(r[1], []).append(r)
+        turns = sorted(groups, key=lambda g: (-max(r[2] for r in groups[g]), g))
+        out = []
+        for k in range(50):
+            out += [groups[g][k] for g in turns if k < len(groups[g])]
+        want |= {(*r, i) for i, r in enumerate(out[:budget])}
+    df = spark.createDataFrame(rows, "s int, g string, v int, i int")
+    got = bounds.shared_budget(df, ["s"], ["g"], [F.desc("v"), F.col("i")], F.max("v"), budget)
+    assert {tuple(r) for r in got.select("s", "g", "v", "i", "position").collect()} == want

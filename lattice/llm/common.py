@@ -59,10 +59,11 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, hot_rows: int = HOT_
     if hot.isEmpty():
         return big.join(small, key)
     rest = [c for c in big.columns if c != key]
+    hot = hot.withColumnRenamed(key, "__hot")
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
-    parts = F.coalesce("__parts", F.lit(1))
-    left = big.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*rest) if rest else F.lit(0).cast("long"), parts).cast("int")).drop("__parts")
-    right = small.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    parts, is_hot = F.coalesce("__parts", F.lit(1)), F.col(key) == F.col("__hot")
+    left = big.join(hot, is_hot, "left").withColumn("__part", F.pmod(F.xxhash64(*rest) if rest else F.lit(0).cast("long"), parts).cast("int")).drop("__parts", "__hot")
+    right = small.join(hot, is_hot, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts", "__hot")
     return left.join(right, [key, "__part"]).drop("__part")
 
 

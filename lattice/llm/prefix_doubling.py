@@ -247,10 +247,14 @@ def in_pieces(heads: DataFrame, length: int = LENGTH) -> DataFrame:
     return heads.select("k", "m", "body").mapInArrow(split, "k binary, m long, at long, n long, gram long, named long, piece binary, part binary")
 
 
+def repeated(positions: DataFrame, by: str) -> DataFrame:
+    """``by``, least (m) and count: the distinct values of the column by that positions of at least two documents (m) have."""
+    return positions.groupBy(by).agg(F.min("m").alias("least"), F.max("m").alias("__most"), F.count("*").alias("count")).filter("least < __most").drop("__most")
+
+
 def ranked(positions: DataFrame, by: str) -> DataFrame:
-    """``by``, rank, least (m) and count: the distinct values of the column by, in order, that positions of at least two documents (m) have."""
-    several = positions.groupBy(by).agg(F.min("m").alias("least"), F.max("m").alias("__most"), F.count("*").alias("count")).filter("least < __most")
-    return several.orderBy(by).select(by, "least", "count", F.monotonically_increasing_id().alias("rank"))
+    """The same with rank, in the order of by."""
+    return repeated(positions, by).orderBy(by).select(by, "least", "count", F.monotonically_increasing_id().alias("rank"))
 
 
 def doubled(scratch: Scratch, pieces: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -299,8 +303,9 @@ def doubled(scratch: Scratch, pieces: DataFrame, length: int = LENGTH) -> DataFr
     known = scratch.table("known", lambda: numbered.join(some, "number").select("number", "m", "part", "named", "far", "near", "piece"), drop=("numbered", "sides"))
     # these are many more than pieces, and quickly made again
     positions = known.drop("piece").mapInArrow(halves, "number long, m long, j long, pair struct<first:long,second:long>")
-    pairs = scratch.table("pairs", lambda: ranked(positions, "pair"))
-    hits = spread_join(positions, pairs.select("pair", "rank", "least"), "pair", counts=pairs).filter("least < m")
+    # past the threshold a rank's least document is all that counts
+    pairs = scratch.table("pairs", lambda: repeated(positions, "pair"))
+    hits = spread_join(positions, pairs.select("pair", "least"), "pair", counts=pairs).filter("least < m")
     return hits.groupBy("number").agg(F.collect_list("j").alias("hits")).join(known.select("number", "piece"), "number").select("piece", "hits")
 
 

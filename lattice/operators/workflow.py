@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_path
-from ..session import ship
+from ..session import cut, ship
 from .walks import levels
 
 COLUMNS = "rel string, kind string, job string, step int, name string, line int, value string, words array<string>, boundary string"
 _KEY = re.compile(r"""^(\s*)(?:-\s+)?["']?([\w.-]+)["']?\s*:(?:\s+(.*?))?\s*$""")
+#: Runs of characters that mean nothing but themselves, outside quotes and inside them.
+_PLAIN, _QUOTED, _DOUBLY = (re.compile(p) for p in (r"""[^\s'"\\#;|&$`<>{}()]+""", r"[^'\n]+", r"""[^"\\\n$`]+"""))
+_HEREDOC = re.compile(r"""<<(-?)\s*(?:'([^'\n]*)'|"([^"\n]*)"|([^\s;&|<>()]+))""")
 _CONTROL = re.compile(r"^(?:if|then|else|elif|fi|for|while|until|do|done|case|esac|\{|\}|\(|\)|;;)\b|^[{}()]$")
 
 
@@ -54,7 +57,11 @@ def commands(script: str) -> list[tuple[int, str, list[str], str | None]]:
         c = script[i]
         if word is None and not words and not c.isspace():
             state["begin"], state["start"] = line, i
-        if quote:
+        run = (_QUOTED if quote == "'" else _DOUBLY if quote else _PLAIN).match(script, i)
+        if run:
+            word = (word or "") + run[0]
+            i = run.end()
+        elif quote:
             if c == "\\" and quote == '"' and i + 1 < n:
                 word += script[i + 1]
                 line += script[i + 1] == "\n"
@@ -85,7 +92,7 @@ def commands(script: str) -> list[tuple[int, str, list[str], str | None]]:
             close_word()
             i += 3
         elif script.startswith("<<", i):
-            m = re.compile(r"""<<(-?)\s*(?:'([^'\n]*)'|"([^"\n]*)"|([^\s;&|<>()]+))""").match(script, i)
+            m = _HEREDOC.match(script, i)
             close_word()
             if m:
                 pending.append((m[2] or m[3] or m[4] or "", bool(m[1])))
@@ -220,6 +227,7 @@ def workflow_facts(bodies: DataFrame) -> DataFrame:
 
 def job_levels(facts: DataFrame) -> DataFrame:
     """scope (the file), node (the job) and level of each job: how many jobs must end before it, one after another; null on and behind cycles."""
+    facts = cut(facts.filter("kind IN ('job', 'needs')").select("rel", "kind", "job", "value"))
     jobs = facts.filter("kind = 'job'").select(F.col("rel").alias("scope"), F.col("job").alias("node"))
     needs = facts.filter("kind = 'needs'").select(F.col("rel").alias("scope"), F.col("job").alias("node"), F.col("value").alias("needed"))
     return levels(jobs, needs)

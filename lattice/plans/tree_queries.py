@@ -121,7 +121,7 @@ def q_lineage_cut(spark, d):
     return walks.unfollowed(*_walked(Tables(spark, d)))
 
 
-def workflows(t: Tables) -> DataFrame:
+def workflows(t: Tables, with_steps: bool = True) -> DataFrame:
     """rel and text of a workflow for each customer with orders: an order is a job, its lines are steps, the k-th job waits for the job k/2. Of every tenth
     customer the first job waits for the last one, so that none can begin."""
     step = _text(
@@ -134,7 +134,9 @@ def workflows(t: Tables) -> DataFrame:
     jobs = t.orders.select("o_custkey", "o_orderkey").withColumn("k", F.row_number().over(w)).withColumn("all", F.collect_list("o_orderkey").over(whole))
     needed = F.when((c("k") == 1) & (c("o_custkey") % 10 == 0), F.element_at("all", -1)).when(c("k") > 1, F.element_at("all", F.floor(c("k") / 2).cast("int")))
     text = F.concat(_text("  o", c("o_orderkey"), ":\n"), F.when(needed.isNotNull(), _text("    needs: [o", needed, "]\n")).otherwise(""), F.coalesce(F.concat(lit("    steps:\n"), c("steps")), lit("")))
-    rows = jobs.join(steps, "o_orderkey", "left").groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", text.alias("text")))), lambda x: x["text"]), "").alias("jobs"))
+    jobs = jobs.join(steps, "o_orderkey", "left") if with_steps else jobs.withColumn("steps", lit(None).cast("string"))
+    rows = jobs.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", text.alias("text")))), lambda x: x["text"]), "").alias("jobs"))
+    rows = rows.repartition(2 * t.spark.sparkContext.defaultParallelism, "o_custkey")  # reading them is more work than their bytes say
     return rows.select(_text(".github/workflows/c", c("o_custkey"), ".yml").alias("rel"), _text("name: orders\non: push\njobs:\n", c("jobs")).alias("text"))
 
 
@@ -144,7 +146,7 @@ FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey OR
 """)
 def q_ci_levels(spark, d):
     """In which step of its workflow each job can run; null where jobs wait for each other."""
-    return workflow.job_levels(workflow.workflow_facts(workflows(Tables(spark, d))))
+    return workflow.job_levels(workflow.workflow_facts(workflows(Tables(spark, d), with_steps=False)))
 
 
 @query("""

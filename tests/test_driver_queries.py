@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from lattice.plans import driver_queries as q
+from lattice.plans import tree_queries  # noqa: F401  its queries are registered with the others
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

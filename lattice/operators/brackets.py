@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Lines of a chunk, and places of a line in ``at``.
 CHUNK_LINES, LINE_PLACES = 2000, 1 << 20
 OPENING, CLOSING = "{([", "})]"
@@ -67,16 +69,17 @@ def innermost(points: DataFrame, ranges: DataFrame, chunk_lines: int = CHUNK_LIN
     at = lambda line, k: line.cast("long") * 4 + k
     of = lambda line: F.floor(line / chunk_lines).alias("chunk")
     none = F.lit(None).cast("int")
-    spans = ranges.select("rel", "line_start", "line_end").distinct()
+    spans = cut(ranges.select("rel", "line_start", "line_end").distinct())
     # where several ranges begin on a line the longest is the outermost
     opens = spans.select("rel", of(F.col("line_start")), at(F.col("line_start"), 0).alias("at"), F.lit(1).alias("step"), (-F.col("line_end").cast("long")).alias("wide"), none.alias("line"), "line_start", "line_end")
     closes = spans.select("rel", of(F.col("line_end")), at(F.col("line_end"), 3).alias("at"), F.lit(-1).alias("step"), (-F.col("line_start").cast("long")).alias("wide"), none.alias("line"), none.alias("line_start"), none.alias("line_end"))
     asked = points.select("rel", of(F.col("line")), at(F.col("line"), 1).alias("at"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("wide"), F.col("line").cast("int").alias("line"), none.alias("line_start"), none.alias("line_end")).distinct()
-    rows = opens.unionByName(closes).unionByName(asked)
+    rows = cut(opens.unionByName(closes).unionByName(asked))
     sums = rows.groupBy("rel", "chunk").agg(F.sum("step").alias("__sum"))
     base = sums.withColumn("__base", F.coalesce(F.sum("__sum").over(Window.partitionBy("rel").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
     upto = Window.partitionBy("rel", "chunk").orderBy("at", "wide").rowsBetween(Window.unboundedPreceding, 0)
     deep = rows.join(base, ["rel", "chunk"]).withColumn("depth", F.col("__base") + F.sum("step").over(upto)).filter("step >= 0")
+    deep = cut(deep)
     # the last range that has opened at this depth; one of an earlier chunk is handed on once for each chunk
     mine = F.when(F.col("step") == 1, F.struct("line_start", "line_end"))
     inner = Window.partitionBy("rel", "depth", "chunk").orderBy("at", "wide").rowsBetween(Window.unboundedPreceding, 0)
@@ -97,7 +100,7 @@ def with_ends(starts: DataFrame, lines: DataFrame) -> DataFrame:
     line; where nothing closes the body, the file's last. In Python it ends with the last line that isn't blank before one that is indented no deeper; lines that
     begin inside brackets don't count.
     """
-    brackets = marks(lines)
+    starts, brackets = cut(starts), cut(marks(lines))
     last = lines.groupBy("rel").agg(F.max("line_no").alias("__last"))
     # round and square brackets give each place its depth; braces, ends of lines and starts are asked about it
     ends = lines.filter(F.rtrim("code").endswith(";")).select("rel", _chunk(F.col("line_no")).alias("chunk"), _at(F.col("line_no"), F.lit(LINE_PLACES - 2)).alias("at"), F.lit(0).alias("step"), F.lit("end").alias("what"))

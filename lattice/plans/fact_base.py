@@ -45,7 +45,7 @@ class FactBase:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return extract.symbols(self.lines)
+        return extract.symbols(self.lines).persist()
 
     @cached_property
     def references(self) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import proofs
-from ..operators import bounds, brackets, extract, inherit, tries, walks, workflow
+from ..functions.text import normalized_path, parent
+from ..operators import bindings, bounds, brackets, extract, inherit, names, tries, walks, workflow
+from ..session import cut
 from .driver_queries import Tables, query
-from .fact_base import FactBase
 
 c, lit = F.col, F.lit
 
@@ -67,7 +68,12 @@ SELECT file, name, CASE WHEN one THEN 'one' ELSE 'ambiguous' END AS status, CASE
 """)
 def q_public_names(spark, d):
     """What each public name of each module means, through barrels."""
-    return FactBase(modules(Tables(spark, d))).public_names
+    files = modules(Tables(spark, d)).select("rel", lit("javascript/typescript").alias("language"), c("content").cast("string").alias("text"))
+    # all specifiers are relative and without an ending
+    js = cut(bindings.bindings(files).withColumn("target", normalized_path(F.concat(parent(c("rel")), lit("/"), "spec", lit(".ts")))))
+    again = js.filter("form = 'reexport'").select(c("rel").alias("file"), c("local").alias("name"), c("target").alias("source"), c("name").alias("source_name"))
+    stars = js.filter("form = 'star'").select(c("rel").alias("file"), c("target").alias("source"))
+    return names.public_names(names.exported(js, extract.symbols(extract.lines(files))), again, stars)
 
 
 def supply_chain(t: Tables) -> DataFrame:

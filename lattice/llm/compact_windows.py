@@ -43,8 +43,8 @@ HEADS = 2
 TILE_STRETCHES, TILE_SHINGLES = 512, 500_000
 #: Shingles that may differ in a row inside a passage; two words changed close together change ten.
 GAP = 12
-#: Pairs of places of common runs, as a multiple of the texts' lengths, from which on texts count as periodic.
-PERIODIC = 2
+#: Pairs of places of common runs that are looked at together.
+BLOCK = 1 << 20
 
 
 def nearest_smaller(h: np.ndarray, strict: bool) -> np.ndarray:
@@ -147,9 +147,8 @@ def least_common(least: int, percent: int) -> int:
 
 def passages(x: np.ndarray, y: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
     """Verified passages (first and last shingle in x, in y) of two texts. Each diagonal (place in x less place in y) with a long common
-    run is verified for itself, with what agrees on the diagonals near to it; those with the most runs come first. Passages, and
-    diagonals, that add nothing to what others cover of x and y are left out. In periodic texts, whose runs have very many places, a run is
-    tried at its first or last place in the other text, wherever more follows alike."""
+    run is verified for itself, with what agrees on the diagonals near to it, and so are its windows of ``least`` shingles (``_slid``); those with
+    the most runs come first. Passages reach from their first to their last common shingle. Passages, and diagonals, that add nothing to what others cover of x and y are left out."""
     run = shared_run(least, percent)
     return aligned(Indexed(x, run), Indexed(y, run), least, percent)
 
@@ -178,6 +177,31 @@ class Indexed:
         same = self.s_sorted[1:] == self.s_sorted[:-1]
         self.before[self.by[1:][same]] = self.by[:-1][same]
 
+    def distinct(self, least: int) -> np.ndarray:
+        """Distinct shingles of each window of ``least`` shingles."""
+        if not hasattr(self, "counts"):
+            self.counts = window_counts(self.before, least)
+        return self.counts
+
+    def sets(self, least: int) -> np.ndarray:
+        """A digest of the set of shingles of each window of ``least`` shingles."""
+        if not hasattr(self, "digests"):
+            n, at = len(self.s), np.arange(len(self.s))
+            steps, one = np.zeros(n + 1, np.uint64), mixed(self.s ^ np.uint64(0x6C62272E07BB0142))
+            np.add.at(steps, np.maximum(np.maximum(self.before, at - least) + 1, 0), one)
+            steps[1:] -= one
+            self.digests = np.cumsum(steps)[: max(0, n - least + 1)]
+        return self.digests
+
+
+def window_counts(before: np.ndarray, least: int, of: np.ndarray | None = None) -> np.ndarray:
+    """Distinct shingles of each window of ``least`` places (those of the mask ``of``, if given). A place counts in the windows
+    that hold it and no place before with the same shingle, which are next to each other."""
+    n = len(before)
+    at = np.arange(n) if of is None else np.flatnonzero(of)
+    steps = np.bincount(np.maximum(np.maximum(before[at], at - least) + 1, 0), minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
+    return np.cumsum(steps)[: max(0, n - least + 1)]
+
 
 class Common:
     """Distinct shingles of windows of two texts, and how many of them both have."""
@@ -215,56 +239,138 @@ def aligned(one: Indexed, two: Indexed, least: int, percent: int) -> list[tuple[
     if not (hi > lo).any():
         return found
     band, common = _Band(one, two), Common(one, two)
+    # places of runs inside windows that can be a passage; of windows with the same set of shingles the first and the last stand for all
+    kept = [_may_hold(t, held, least, percent) for t, held in ((one, common.of_x < len(y)), (two, np.isin(y, x)))]
+    named, hits, repeats = *_diagonals(one, two, *kept), min(t.distinct(least).min() for t in (one, two)) < least
     open_x, open_y = np.ones(len(x), bool), np.ones(len(y), bool)
+    # sets with few shingles can be alike away from the diagonal of a run
+    offsets = sorted(range(-GAP, GAP + 1), key=abs) if repeats else (0, -1, 1)
 
-    def tried(d: int) -> bool:
+    def added(spans: list[tuple[int, int, int, int]]) -> bool:
         new = False
-        px, py = band.near(d)
-        on = px - py == d
-        # exact repetitions stand, whatever is near to them
-        for x0, x1, y0, y1 in _exact(px[on], py[on], least) + _strung(common, px, py, least, percent):
+        for x0, x1, y0, y1 in spans:
             if not found or open_x[x0 : x1 + 1].any() or open_y[y0 : y1 + 1].any():
                 found.append((x0, x1, y0, y1))
                 open_x[x0 : x1 + 1] = open_y[y0 : y1 + 1] = False
                 new = True
         return new
 
-    if (hi - lo).sum() > PERIODIC * (len(rx) + len(ry)):
-        bx, lx, hx = one.runs_by, np.searchsorted(one.runs_sorted, ry, side="left"), np.searchsorted(one.runs_sorted, ry, side="right")
-        for a, b, open_a, (u, v), order, sign in ((x, y, open_x, (lo, hi), by, 1), (y, x, open_y, (lx, hx), bx, -1)):
-            left, near = v > u, None
-            while len(at := np.flatnonzero(left & near) if near is not None else np.flatnonzero(left)):
-                i = int(at[0])
-                places = sorted({int(order[u[i]]), int(order[v[i] - 1])})
-                length, j = max((_alike(a, b, i, j), -j) for j in places)
-                left[i : i + length - run + 1] = False
-                new = tried(sign * (i + j))
-                if new or (near is None and found):
-                    near = _near(open_a, run)
-        return found
-    at, n = np.flatnonzero(hi > lo), (hi - lo)[hi > lo]
-    named, hits = np.unique(np.repeat(at, n) - by[np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], return_counts=True)
+    def tried(d: int, at: np.ndarray) -> bool:
+        px, py = band.near(d)
+        on = px - py == d
+        # exact repetitions stand, whatever is near to them
+        new = added(_exact(px[on], py[on], least) + _strung(common, px, py, least, percent))
+        first, last = int(at[0]), int(at[-1])
+        for e in offsets:
+            if found and not open_x[first : last + run].any() and not open_y[first - d : last - d + run].any():
+                break
+            new |= added(_slid(common, d + e, first + run - least - GAP, last + GAP, least, percent))
+        return new
+
     # equal ones far apart from each other, as neighbours in a periodic stretch cover nearly the same
     named = named[np.lexsort((mixed(named.astype(np.uint64)), -hits))]
     fresh = None
-    for d in named[band.sizes(named) >= least_common(least, percent)].tolist():
+    for d in named[band.sizes(named) >= (run if repeats else least_common(least, percent))].tolist():
+        u, v = max(0, d), min(len(rx), len(ry) + d)
+        alike = rx[u:v] == ry[u - d : v - d]
         if found:
             # a run may add words of its own, or what lies next to it
             fresh = fresh or (_near(open_x, run), _near(open_y, run))
-            u, v = max(0, d), min(len(rx), len(ry) + d)
-            if not ((rx[u:v] == ry[u - d : v - d]) & (fresh[0][u:v] | fresh[1][u - d : v - d])).any():
+            if not (alike & (fresh[0][u:v] | fresh[1][u - d : v - d])).any():
                 continue
-        if tried(d):
+        if tried(d, np.flatnonzero(alike) + u):
             fresh = None
         if found and not open_x.any() and not open_y.any():
             break
+    if found and repeats:
+        # windows with the same set as one inside a passage are as similar
+        for u, v in _as_inside(one, [f[:2] for f in found], open_x, least):
+            added([(u, v, *found[0][2:])])
+        for u, v in _as_inside(two, [f[2:] for f in found], open_y, least):
+            added([(*found[0][:2], u, v)])
+    return found
+
+
+def _as_inside(text: Indexed, spans: list[tuple[int, int]], free: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Ranges of windows that have the set of a window inside a span, where something is free."""
+    inside, sets = np.zeros(len(text.s) - least + 2, np.int64), text.sets(least)
+    for u, v in spans:
+        if v - u + 1 >= least:
+            inside[u] += 1
+            inside[v - least + 2] -= 1
+    total = np.concatenate([[0], np.cumsum(free)])
+    some = np.flatnonzero(np.isin(sets, sets[np.cumsum(inside)[:-1] > 0]) & (total[least:] > total[:-least]))
+    return [(int(part[0]), int(part[-1]) + least - 1) for part in np.split(some, np.flatnonzero(np.diff(some) > 1) + 1) if len(part)]
+
+
+def _may_hold(text: Indexed, held: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """Of each run, whether it lies in a window of ``least`` shingles that can be a passage, as enough of its distinct shingles are
+    held by the other text; of windows with the same set, the first and the last count."""
+    good = 100 * window_counts(text.before, least, held) >= percent * text.distinct(least)
+    if text.distinct(least).min() < least:
+        sets = text.sets(least)
+        for order in (slice(None), slice(None, None, -1)):
+            first = np.zeros(len(good), bool)
+            first[np.unique(sets[order], return_index=True)[1]] = True
+            ends = first if order.step is None else ends | first[order]
+        good &= ends
+    total = np.concatenate([[0], np.cumsum(good)])
+    i = np.arange(len(text.runs))
+    return total[np.minimum(i + 1, len(good))] > total[np.maximum(i + text.run - least, 0)]
+
+
+def _diagonals(one: Indexed, two: Indexed, of_x: np.ndarray, of_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Diagonals with common runs (of the places in the masks), and how many."""
+    by = two.runs_by[of_y[two.runs_by]]
+    at, held = np.flatnonzero(of_x), two.runs[by]
+    lo, hi = (np.searchsorted(held, one.runs[at], side=side) for side in ("left", "right"))
+    at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+    hits, upto, i = np.zeros(len(one.runs) + len(two.runs), np.int64), np.cumsum(n), 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + BLOCK, side="right")))
+        m = n[i:j]
+        places = by[np.repeat(lo[i:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+        hits += np.bincount(np.repeat(at[i:j], m) - places + len(two.runs), minlength=len(hits))
+        i = j
+    d = np.flatnonzero(hits)
+    return d - len(two.runs), hits[d]
+
+
+def _slid(held: Common, d: int, first: int, last: int, least: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """Passages of windows of ``least`` shingles that begin from first to last in x, and d places less in y. What two windows have in common is
+    counted for all of them at once: a shingle is in the windows of an interval of starts on either side, and counts where two meet."""
+    first, last = max(first, 0, d), min(last, len(held.one.s) - least, len(held.two.s) - least + d)
+    size = last - first + 1
+    if size < 1:
+        return []
+    x, y = held.of_x[first : last + least], held.of_y[first - d : last - d + least]
+    wide = size + 3 * least
+    (vx, ax, bx), (vy, ay, by) = (_starts(v, least) for v in (x, y))
+    lo, hi = np.searchsorted(vy * wide + by, vx * wide + ax, side="left"), np.searchsorted(vy * wide + ay, vx * wide + bx, side="right")
+    n = np.maximum(hi - lo, 0)
+    of_y = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    a = np.maximum(np.maximum(np.repeat(ax, n), ay[of_y]) - least, 0)
+    b = np.minimum(np.minimum(np.repeat(bx, n), by[of_y]) - least, size - 1)
+    a, b = a[a <= b], b[a <= b]
+    common = np.cumsum(np.bincount(a, minlength=size + 1) - np.bincount(b + 1, minlength=size + 1))[:size]
+    nx, ny = held.one.distinct(least)[first : last + 1], held.two.distinct(least)[first - d : last - d + 1]
+    good, found = np.flatnonzero(100 * common >= percent * (nx + ny - common)), []
+    for part in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1) if len(good) else ():
+        u, v = int(part[0]), int(part[-1]) + least
+        at_x, at_y = np.flatnonzero(np.isin(x[u:v], y[u:v])), np.flatnonzero(np.isin(y[u:v], x[u:v]))
+        x0, y0 = first + u, first - d + u
+        found.append((x0 + int(at_x[0]), x0 + int(at_x[-1]), y0 + int(at_y[0]), y0 + int(at_y[-1])))
     return found
 
 
-def _alike(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
-    n = min(len(a) - i, len(b) - j)
-    other = np.flatnonzero(a[i : i + n] != b[j : j + n])
-    return int(other[0]) if len(other) else n
+def _starts(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, and the intervals of starts (first and last, plus ``least``) of windows of ``least`` places that hold them; sorted."""
+    at = np.argsort(values, kind="stable")
+    v = values[at]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (np.diff(at) > least)
+    begin = np.flatnonzero(new)
+    return v[begin], at[begin] + 1, at[np.append(begin[1:], len(v)) - 1] + least
 
 
 class _Band:
@@ -355,32 +461,36 @@ def filled(content: bytes | np.ndarray, side: int) -> np.ndarray:
 def own_passages(content: bytes, least: int, percent: int) -> list[tuple[int, int]]:
     """First and last shingle of the passages that documents with the same stretch have in common."""
     x, y = filled(content, 0), filled(content, 1)
-    at = np.flatnonzero(x == y)
-    return sorted({(a, b) for a, b, _, _ in _exact(at, at, least) + _strung(Common(Indexed(x, 1), Indexed(y, 1)), at, at, least, percent)})
+    at, both = np.flatnonzero(x == y), Common(Indexed(x, 1), Indexed(y, 1))
+    return sorted({(a, b) for a, b, _, _ in _exact(at, at, least) + _strung(both, at, at, least, percent) + _slid(both, 0, 0, len(x), least, percent)})
 
 
-def _fewest(content: np.ndarray, least: int) -> int:
-    """The fewest distinct shingles of a window of ``least`` shingles; each blank is one of its own."""
+def before_of(content: np.ndarray) -> np.ndarray:
+    """Of each place of a stretch the one before with the same shingle, or -1; each blank is one of its own."""
     order = np.argsort(content, kind="stable")
     before = np.full(len(content), -1)
     same = content[order[1:]] == content[order[:-1]]
     before[order[1:][same]] = order[:-1][same]
     before[content == 0] = -1
-    n = len(content) - least + 1
-    if n < 1:
-        return 0
-    starts = np.arange(n)
-    return int(sum((before[k : k + n] < starts).astype(np.int32) for k in range(least)).min())
+    return before
 
 
-def stretches(shared: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
-    """Half-open ranges that may hold a passage: from one shared shingle to another, without more than GAP places between."""
-    at = np.flatnonzero(shared)
-    if not len(at):
-        return []
-    cuts = np.flatnonzero(np.diff(at) > GAP) + 1
-    common = least_common(least, percent)
-    return [(int(p[0]), int(p[-1]) + 1) for p in np.split(at, cuts) if p[-1] - p[0] + 1 >= least and len(p) >= common]
+def _fewest(content: np.ndarray, least: int) -> int:
+    """The fewest distinct shingles of a window of ``least`` shingles."""
+    return int(window_counts(before_of(content), least).min()) if len(content) >= least else 0
+
+
+def stretches(content: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
+    """Half-open ranges of a text (0 where a shingle isn't shared) that may hold a passage: without more than GAP blanks between shared
+    shingles, and with the blanks that a passage can have at its ends. In one of its windows the shared shingles are enough."""
+    at, edge = np.flatnonzero(content), least * (100 - percent) // 100
+    out = []
+    for p in np.split(at, np.flatnonzero(np.diff(at) > GAP) + 1) if len(at) else ():
+        a, b = max(0, int(p[0]) - edge), min(len(content), int(p[-1]) + 1 + edge)
+        before, shared = before_of(content[a:b]), content[a:b] != 0
+        if b - a >= least and (100 * window_counts(before, least, shared) >= percent * window_counts(before, least)).any():
+            out.append((a, b))
+    return out
 
 
 def common_counts(some: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -498,8 +608,9 @@ def marked_stretches(first: DataFrame, passage: int, percent: int) -> DataFrame:
                 shared = np.unpackbits(np.frombuffer(known, np.uint8), count=len(s)).astype(bool)
                 if others:
                     shared |= np.isin(s, np.array(others, np.int32).view(np.uint32))
-                for a, b in stretches(shared, least, percent):
-                    content = np.where(shared[a:b], s[a:b], np.uint32(0)).tobytes()
+                s = np.where(shared, s, np.uint32(0))
+                for a, b in stretches(s, least, percent):
+                    content = s[a:b].tobytes()
                     out.append((doc, t, at + a, xxhash.xxh3_128_digest(content), content))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc", "t", "at", "d", "content"])

@@ -69,11 +69,13 @@ def corpus():
         4: new(300),
         5: new(50) + near + new(50),
         6: new(80) + changed + new(5),
-        7: new(30) + shared[:45] + new(30),
+        7: new(30) + shared[:44] + new(30),
         8: new(20),
         9: new(70),
         10: None,
     }
+    # 41 of 51 shingles of two windows of 50 words, as if the 46th word of 50 were changed
+    rows[13] = new(30) + shared[:45] + new(30)
     rows[11] = rows[9]
     rows[12] = rows[8]
     return {k: " ".join(v) if v is not None else None for k, v in rows.items()}
@@ -83,10 +85,10 @@ def test_repeated_passages(spark):
     texts = corpus()
     df = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "doc_id long, text string, place string")
     got = {r["doc_id"]: r for r in m.substring_duplicates(df).collect()}
-    assert {k for k, r in got.items() if r["repeated"]} == {1, 2, 3, 5, 6, 9, 11}
+    assert {k for k, r in got.items() if r["repeated"]} == {1, 2, 3, 5, 6, 9, 11, 13} == {i for pair in brute({k: v for k, v in texts.items() if v}) for i in pair}
     assert [got[k]["n_repeated"] for k in (1, 2, 3)] == [60, 60, 60]
     assert 115 <= got[5]["n_repeated"] <= 125 and got[9]["n_repeated"] == got[11]["n_repeated"] == 70
-    assert {got[k]["class_id"] for k in (1, 2, 3)} == {1} and {got[k]["class_id"] for k in (5, 6)} == {5} and got[11]["class_id"] == 9
+    assert {got[k]["class_id"] for k in (1, 2, 3, 13)} == {1} and got[13]["n_repeated"] == 45 and {got[k]["class_id"] for k in (5, 6)} == {5} and got[11]["class_id"] == 9
     assert got[10]["n_words"] == 0 and got[7]["class_id"] == 7 and got[12]["class_id"] == 12
     spans = {(r["doc"], r["word_from"], r["word_to"]) for r in m.repeated_passages(df).collect()}
     assert {(2, 10, 69), (1, 100, 159), (3, 0, 59)} <= spans
@@ -188,10 +190,99 @@ def test_recall_of_near_passages(spark):
     texts = {}
     for k in range(400):
         p = new(int(rng.integers(50, 61)))
-        q, at = list(p), int(rng.integers(5, len(p) - 5))
+        q, at = list(p), int(rng.integers(0, len(p)))
         q[at : at + int(rng.integers(0, 2))] = new(1)  # one word changed or put in
         texts[2 * k], texts[2 * k + 1] = " ".join(new(20) + p + new(20)), " ".join(new(30) + q + new(10))
     want = {(2 * k + 1, 2 * k) for k in range(400) if brute({i: texts[i] for i in (2 * k, 2 * k + 1)})}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     classes = {r["doc_id"]: r["class_id"] for r in m.substring_duplicates(df).collect()}
-    assert len(want) > 300 and want <= {(b, a) for b, a in classes.items() if a != b}
+    assert len(want) > 250 and want <= {(b, a) for b, a in classes.items() if a != b}
+
+
+def linked(x, y):
+    """Whether two texts (lists of words) have a verified passage, each with blanks for what the other one hasn't."""
+    a, b = (m.shingle_digests(mixed(np.array(w, np.uint64)), 5).astype(np.uint32) for w in (x, y))
+    held = [np.where(np.isin(s, t), s, np.uint32(0)) for s, t in ((a, b), (b, a))]
+    one, two = ([m.filled(s[i:j], k) for i, j in m.stretches(s, 46, 80)] for k, s in enumerate(held))
+    return any(m.passages(s, t, 46, 80) for s in one for t in two)
+
+
+def brute_link(x, y):
+    return bool(brute({i: " ".join(map(str, w)) for i, w in enumerate((x, y))}))
+
+
+@pytest.mark.parametrize("n", [50, 51, 52, 60])
+def test_one_word_changed_at_every_place(n):
+    rng = np.random.default_rng(n)
+    new = lambda k: rng.integers(0, 1 << 40, k).tolist()
+    for at in range(n):
+        p = new(n)
+        q = [*p[:at], 7, *p[at + 1 :]]
+        assert brute_link(new(20) + p + new(20), new(30) + q + new(10))
+        assert linked(new(20) + p + new(20), new(30) + q + new(10)) and linked(p, q) and linked(p + new(9), new(9) + q)
+
+
+def test_phrases_that_repeat():
+    rng = np.random.default_rng(5)
+    new = lambda k: rng.integers(0, 1 << 40, k).tolist()
+    want, got = [], []
+    for _ in range(250):
+        phrase, texts = new(int(rng.integers(3, 10))), []
+        for _ in range(2):
+            w = []
+            while len(w) < int(rng.integers(110, 141)):
+                w += phrase + (new(int(rng.integers(1, 3))) if rng.random() < 0.35 else [])
+            texts.append(w)
+        want.append(brute_link(*texts))
+        got.append(linked(*texts))
+    for _ in range(150):
+        p, phrase = new(int(rng.integers(50, 61))), new(int(rng.integers(3, 10)))
+        i = int(rng.integers(0, 30))
+        p[i:i] = phrase * int(rng.integers(1, 4))
+        q, at = list(p), int(rng.integers(0, len(p)))
+        q[at : at + int(rng.integers(0, 2))] = new(int(rng.integers(0, 2)))
+        want.append(brute_link(p + new(5), new(5) + q))
+        got.append(linked(p + new(5), new(5) + q))
+    assert sum(want) > 100 and all(g for w, g in zip(want, got) if w)
+
+
+def test_windows_slid_along_a_diagonal():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        x, y = (mixed(rng.integers(0, 12, int(rng.integers(46, 90))).astype(np.uint64)) for _ in range(2))
+        one, two, d = m.Indexed(x, 21), m.Indexed(y, 21), int(rng.integers(-8, 9))
+        percent = int(rng.integers(70, 101))
+        want = set()
+        for s in range(max(0, d), min(len(x), len(y) + d) - 9):
+            a, b = set(x[s : s + 10].tolist()), set(y[s - d : s - d + 10].tolist())
+            if 100 * len(a & b) >= percent * len(a | b):
+                want |= {k for k in range(s, s + 10) if x[k] in b}
+        spans = m._slid(m.Common(one, two), d, 0, len(x), 10, percent)
+        got = {k for x0, x1, _, _ in spans for k in range(x0, x1 + 1)}
+        assert want <= got and bool(want) == bool(got)
+
+
+def test_texts_of_one_word_with_others_between():
+    rng = np.random.default_rng(8)
+    x, y = np.full(5_000, 3, np.uint64), np.full(4_000, 3, np.uint64)
+    x[::137] = rng.integers(4, 1 << 40, len(x[::137]))
+    began = time.time()
+    spans = m.passages(m.shingle_digests(mixed(x), 5), m.shingle_digests(mixed(y), 5), 46, 80)
+    covered = np.zeros(len(x), bool)
+    for x0, x1, _, _ in spans:
+        covered[x0 : x1 + 1] = True
+    # all but the others, and the four shingles before each, is covered
+    assert covered.sum() >= len(x) - 5 * len(x[::137]) - 4 and time.time() - began < 100
+
+
+def test_passages_whose_first_or_last_word_differs(spark):
+    rng = np.random.default_rng(9)
+    new = lambda n: [str(x) for x in rng.integers(0, 1 << 40, n)]
+    texts = {}
+    for k, at in enumerate([0, 1, 2, 4, 25, 45, 46, 48, 49] * 3):
+        p = new(50)
+        q = [*p[:at], "other", *p[at + 1 :]]
+        texts[2 * k], texts[2 * k + 1] = " ".join(new(20) + p + new(20)), " ".join(new(k % 12) + q + new(11 - k % 12))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["repeated"]) for r in m.substring_duplicates(df).collect()}
+    assert got == {i: (i - i % 2, True) for i in texts}

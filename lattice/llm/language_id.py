@@ -34,7 +34,7 @@ _CHUNK = 1 << 20
 class Settings:
     rows_per_language: int = 300  # of the sample that is learned from, at most
     rows: int = 3000  # of the whole sample, at most
-    languages: int = 150  # that are learned, at most: those with the most rows, of equals the first by name
+    languages: int = 3000  # that are learned, at most (one row of each is the whole sample): those with the most rows, of equals the first by name
     ridge: float = 0.1
     slope: float = 3.0  # of the loss
     margin: float = 0.08  # of the mean weighted loss: nearer codewords are ambiguous

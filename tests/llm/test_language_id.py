@@ -56,3 +56,11 @@ def test_letters_and_bounds(spark):
     small = m.Settings(rows=50, languages=30)
     model = m.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), small)
     assert len(model.languages) == 30 and model.languages[-1] == "l29"
+
+
+def test_codewords_of_very_many_languages():
+    s = m.Settings()
+    assert s.languages == s.rows  # no language is left out as long as the sample has a row for it
+    code = m.codewords(1000)
+    apart = (code.shape[1] - code @ code.T) / 2 + code.shape[1] * np.eye(1000)
+    assert apart.min() >= 10

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_path
-from ..session import cut, ship
+from ..session import BATCH_ROWS, cut, python_ready
+from .joins import small
 from .walks import levels
 
 COLUMNS = "rel string, kind string, job string, step int, name string, line int, value string, words array<string>, boundary string"
@@ -130,6 +132,15 @@ def commands(script: str) -> list[tuple[int, str, list[str], str | None]]:
     return out
 
 
+#: Scripts up to this length are kept with what was read of them, as workflows repeat each other's.
+_KEPT_CHARS = 2000
+
+
+@lru_cache(maxsize=4096)
+def _kept_commands(script: str) -> tuple[tuple[int, str, list[str], str | None], ...]:
+    return tuple(commands(script))
+
+
 def _scalar(value: str | None) -> str:
     value = re.sub(r"\s+#.*$", "", value or "").strip()
     return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
@@ -206,23 +217,35 @@ def read_workflow(text: str) -> list[tuple]:
                             block.append(lines[i])
                         left = min((depth_of(x) for x in block if x.strip()), default=0)
                         first, body = first + 1, "\n".join(x[left:] for x in block)
-                    out += [("command", job, step, None, first + at, command, words, boundary) for at, command, words, boundary in commands(body)]
+                    out += [("command", job, step, None, first + at, command, words, boundary) for at, command, words, boundary in (_kept_commands(body) if len(body) <= _KEPT_CHARS else commands(body))]
         i += 1
     return out
 
 
 def workflow_facts(bodies: DataFrame) -> DataFrame:
     """The rows of ``read_workflow`` of bodies (rel, text), in COLUMNS; null texts and texts without jobs have none. A step has its name, or else null."""
-    ship(bodies.sparkSession)
+    python_ready(bodies.sparkSession)
+    return bodies.select("rel", "text").mapInArrow(read_batches, COLUMNS)
+
+
+def read_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch of facts for each ``rows`` bodies at most and, within these, whenever a body has brought it to 64 x ``rows`` facts, so
+    that a worker's memory doesn't grow with the batches it is given."""
     names = [x.split()[0] for x in COLUMNS.split(", ")]
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string()]
 
-    def read(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            rows = [(rel, *x) for rel, text in zip(*(c.to_pylist() for c in batch.columns)) for x in read_workflow(text or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(names), types)], names=names)
+    def packed(facts):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*facts) if facts else [()] * len(names), types)], names=names)
 
-    return bodies.select("rel", "text").mapInArrow(read, COLUMNS)
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            facts = []
+            for rel, text in zip(*(c.to_pylist() for c in batch.slice(at, rows).columns)):
+                facts += [(rel, *x) for x in read_workflow(text or "")]
+                if len(facts) >= 64 * rows:
+                    yield packed(facts)
+                    facts = []
+            yield packed(facts)
 
 
 def job_levels(facts: DataFrame) -> DataFrame:
@@ -240,38 +263,52 @@ def execution_edges(facts: DataFrame, files: DataFrame, scripts: DataFrame | Non
     job = F.concat(F.lit("job:"), "rel", F.lit("#"), "job")
     step = F.concat(F.lit("step:"), "rel", F.lit("#"), "job", F.lit("/"), F.lpad(F.col("step").cast("string"), 4, "0"))
     owner = F.when(F.col("step").isNull(), job).otherwise(step)
-
-    def edges(kind, a, b, type_, evidence, strength="hard", rows=facts):
-        return rows.filter(F.col("kind") == kind).select(a.alias("from"), b.alias("to"), type_.alias("type"), F.lit(evidence).alias("evidence"), (F.lit(strength) if isinstance(strength, str) else strength).alias("strength"), F.col("rel").alias("path"), "line")
+    word_at = lambda i: F.get("words", F.lit(i))
+    two, three = (F.array_join(F.slice("words", 1, n), " ") for n in (2, 3))
 
     own = F.col("value").startswith("./")
     place = F.regexp_replace(F.expr("substring(value, 3)"), "/+$", "")
-    known = files.select(F.explode(F.array_distinct(F.array("rel", F.regexp_replace("rel", "/[^/]*$", "")))).alias("place")).distinct().withColumn("exists", F.lit(True))
-    used = facts.withColumn("place", F.when(own, place)).join(known, "place", "left")
-    type_ = F.when(~own, "uses_external_action").when(F.col("place").startswith(".github/workflows/"), "invokes_workflow").otherwise("invokes_action")
-    followed = facts.filter("kind = 'command' AND boundary IS NULL").drop("name")
-    word = F.when(F.get("words", F.lit(0)).isin("bash", "sh", "zsh", "node", "python", "python3", "source", ".", "bun", "deno", "ruby"), F.get(F.filter(F.slice("words", 2, 100), lambda w: ~w.startswith("-")), F.lit(0))).otherwise(F.get("words", F.lit(0)))
-    invoked = followed.withColumn("script", normalized_path(word)).join(files.select(F.col("rel").alias("script")), "script")
-    parts = [
-        edges("job", F.col("rel"), job, F.lit("declares_job"), "workflow_job"),
-        edges("needs", job, F.concat(F.lit("job:"), "rel", F.lit("#"), "value"), F.lit("needs_job"), "workflow_needs"),
-        edges("step", job, step, F.lit("contains_step"), "workflow_step"),
-        edges("uses", owner, F.when(own, F.col("place")).otherwise(F.concat(F.lit("action:"), "value")), type_, "workflow_uses", F.when(~own | F.col("exists"), "hard").otherwise("medium"), used),
-        edges("command", step, F.col("value"), F.lit("runs_command"), "workflow_run", rows=followed),
-        edges("command", step, F.col("script"), F.lit("invokes_script"), "workflow_run", rows=invoked),
+    word = F.when(word_at(0).isin("bash", "sh", "zsh", "node", "python", "python3", "source", ".", "bun", "deno", "ruby"), F.get(F.filter(F.slice("words", 2, 100), lambda w: ~w.startswith("-")), F.lit(0))).otherwise(word_at(0))
+    followed = (F.col("kind") == "command") & F.col("boundary").isNull()
+    known = files.select("rel").distinct()
+    places = known.select(F.explode(F.array_distinct(F.array("rel", F.regexp_replace("rel", "/[^/]*$", "")))).alias("place")).distinct()
+
+    # each fact meets what it may name, and is read once
+    rows = _met(facts, F.when((F.col("kind") == "uses") & own, place), places.select(F.col("place").alias("__key"), F.lit(True).alias("__exists")), "__place")
+    rows = _met(rows, F.when(followed, normalized_path(word)), known.select(F.col("rel").alias("__key"), F.lit(True).alias("__invoked")), "__script")
+    other = F.concat(F.lit(".github/workflows/"), word_at(3))
+    rows = _met(rows, F.when(followed & (three == "gh workflow run"), other), known.select(F.col("rel").alias("__key"), F.lit(True).alias("__dispatched")), "__other")
+
+    type_ = F.when(~own, "uses_external_action").when(F.col("__place").startswith(".github/workflows/"), "invokes_workflow").otherwise("invokes_action")
+    edge = lambda when, a, b, type_, evidence, strength="hard": F.when(when, F.struct(a.alias("from"), b.alias("to"), (F.lit(type_) if isinstance(type_, str) else type_).alias("type"), F.lit(evidence).alias("evidence"), (F.lit(strength) if isinstance(strength, str) else strength).alias("strength")))
+    kind = F.col("kind")
+    edges = [
+        edge(kind == "job", F.col("rel"), job, "declares_job", "workflow_job"),
+        edge(kind == "needs", job, F.concat(F.lit("job:"), "rel", F.lit("#"), "value"), "needs_job", "workflow_needs"),
+        edge(kind == "step", job, step, "contains_step", "workflow_step"),
+        edge(kind == "uses", owner, F.when(own, F.col("__place")).otherwise(F.concat(F.lit("action:"), "value")), type_, "workflow_uses", F.when(~own | F.col("__exists"), "hard").otherwise("medium")),
+        edge(followed, step, F.col("value"), "runs_command", "workflow_run"),
+        edge(F.col("__invoked"), step, F.col("__script"), "invokes_script", "workflow_run"),
+        edge(F.col("__dispatched"), step, F.col("__other"), "dispatches_workflow", "workflow_dispatch"),
     ]
-    two, three = (F.array_join(F.slice("words", 1, n), " ") for n in (2, 3))
-    dispatched = followed.filter(three == "gh workflow run").withColumn("other", F.concat(F.lit(".github/workflows/"), F.get("words", F.lit(3)))).join(files.select(F.col("rel").alias("other")), "other")
-    parts.append(edges("command", step, F.col("other"), F.lit("dispatches_workflow"), "workflow_dispatch", rows=dispatched))
+    found = F.array_compact(F.array(*edges))
     if scripts is not None:
         # yarn x, pnpm x and npm test mean npm run x; the tool's own words aren't scripts
-        typed = F.when(two.isin("npm test", "npm start"), F.concat(F.lit("npm run "), F.get("words", F.lit(1)))).when(F.get("words", F.lit(0)).isin("npm", "pnpm", "yarn", "bun") & (F.get("words", F.lit(1)) == "run"), F.concat(F.lit("npm run "), F.get("words", F.lit(2)))).when(F.get("words", F.lit(0)).isin("make", "just"), two)
-        named = followed.withColumn("name", typed).join(scripts.select("name", F.col("rel").alias("owner")).distinct(), "name")
-        parts.append(edges("command", step, F.concat("owner", F.lit("#"), F.regexp_replace("name", "^npm run ", "")), F.lit("invokes_target"), "workflow_run", rows=named))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        typed = F.when(two.isin("npm test", "npm start"), F.concat(F.lit("npm run "), word_at(1))).when(word_at(0).isin("npm", "pnpm", "yarn", "bun") & (word_at(1) == "run"), F.concat(F.lit("npm run "), word_at(2))).when(word_at(0).isin("make", "just"), two)
+        owners = scripts.groupBy(F.col("name").alias("__key")).agg(F.collect_set("rel").alias("__owners"))
+        rows = _met(rows, F.when(followed, typed), owners, "__typed")
+        target = lambda x: F.concat(x, F.lit("#"), F.regexp_replace("__typed", "^npm run ", ""))
+        named = F.transform("__owners", lambda x: F.struct(step.alias("from"), target(x).alias("to"), F.lit("invokes_target").alias("type"), F.lit("workflow_run").alias("evidence"), F.lit("hard").alias("strength")))
+        found = F.concat(found, F.coalesce(named, F.slice(found, 1, 0)))
+    return rows.select("rel", "line", F.explode(found).alias("__edge")).select("__edge.*", F.col("rel").alias("path"), "line")
+
+
+def _met(rows: DataFrame, key, table: DataFrame, name: str) -> DataFrame:
+    """rows with ``key`` as ``name`` and what ``table`` has of its __key, which is unique there; null where it has none. Null keys are dealt over
+    tasks where the table is too large to be broadcast."""
+    rows = rows.withColumn(name, key)
+    nowhere = F.concat(F.lit("\0"), F.pmod(F.xxhash64("rel", "line"), F.lit(1000)).cast("string"))
+    return rows.withColumn("__met", F.coalesce(name, nowhere)).join(small(table.withColumnRenamed("__key", "__met")), "__met", "left").drop("__met")
 
 
 def execution_unknowns(facts: DataFrame) -> DataFrame:

@@ -130,20 +130,30 @@ def q_lineage_cut(spark, d):
 def workflows(t: Tables, with_steps: bool = True) -> DataFrame:
     """rel and text of a workflow for each customer with orders: an order is a job, its lines are steps, the k-th job waits for the job k/2. Of every tenth
     customer the first job waits for the last one, so that none can begin."""
-    step = _text(
-        "      - name: line ", c("l_linenumber"), "\n        run: |\n          bash scripts/p", c("l_partkey") % 7, ".sh --quantity ", c("l_quantity").cast("int"),
-        " \\\n            --note 'a; b && c' # why\n          cat <<'EOF' > out.txt && ./scripts/p0.sh\n          ./scripts/p1.sh\n          EOF\n      - uses: ./.github/actions/a", c("l_suppkey") % 5, "\n",
+    step = lambda l: _text(
+        "      - name: line ", l["l_linenumber"], "\n        run: |\n          bash scripts/p", l["l_partkey"] % 7, ".sh --quantity ", l["l_quantity"].cast("int"),
+        " \\\n            --note 'a; b && c' # why\n          cat <<'EOF' > out.txt && ./scripts/p0.sh\n          ./scripts/p1.sh\n          EOF\n      - uses: ./.github/actions/a", l["l_suppkey"] % 5, "\n",
     )
-    steps = t.lineitem.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", step.alias("text")))), lambda x: x["text"]), "").alias("steps"))
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    jobs = t.orders.select("o_custkey", "o_orderkey").withColumn("k", F.row_number().over(w)).withColumn("all", F.collect_list("o_orderkey").over(whole))
-    needed = F.when((c("k") == 1) & (c("o_custkey") % 10 == 0), F.element_at("all", -1)).when(c("k") > 1, F.element_at("all", F.floor(c("k") / 2).cast("int")))
-    text = F.concat(_text("  o", c("o_orderkey"), ":\n"), F.when(needed.isNotNull(), _text("    needs: [o", needed, "]\n")).otherwise(""), F.coalesce(F.concat(lit("    steps:\n"), c("steps")), lit("")))
-    jobs = jobs.join(steps, "o_orderkey", "left") if with_steps else jobs.withColumn("steps", lit(None).cast("string"))
-    rows = jobs.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", text.alias("text")))), lambda x: x["text"]), "").alias("jobs"))
-    rows = rows.repartition(2 * t.spark.sparkContext.defaultParallelism, "o_custkey")  # reading them is more work than their bytes say
-    return rows.select(_text(".github/workflows/c", c("o_custkey"), ".yml").alias("rel"), _text("name: orders\non: push\njobs:\n", c("jobs")).alias("text"))
+    jobs = t.orders.select("o_custkey", "o_orderkey")
+    if with_steps:
+        steps = t.lineitem.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_suppkey"))).alias("steps"))
+        jobs = jobs.join(steps, "o_orderkey", "left").withColumn("steps", F.concat(lit("    steps:\n"), F.array_join(F.transform("steps", step), "")))
+    else:
+        jobs = jobs.withColumn("steps", lit(None).cast("string"))
+    rows = jobs.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "steps"))).alias("jobs"))
+
+    def job(x, i):
+        first = (c("o_custkey") % 10 == 0) & (i == 0)
+        needed = F.when(first, F.element_at("jobs", -1)).when(i > 0, F.element_at("jobs", F.floor((i + 1) / 2).cast("int")))["o_orderkey"]
+        return F.concat(_text("  o", x["o_orderkey"], ":\n"), F.when(needed.isNotNull(), _text("    needs: [o", needed, "]\n")).otherwise(""), F.coalesce(x["steps"], lit("")))
+
+    rows = rows.repartition(_tasks(t), "o_custkey")  # reading them is more work than their bytes say
+    return rows.select(_text(".github/workflows/c", c("o_custkey"), ".yml").alias("rel"), _text("name: orders\non: push\njobs:\n", F.array_join(F.transform("jobs", job), "")).alias("text"))
+
+
+def _tasks(t: Tables) -> int:
+    """As many as read workflows: two for each core, and more where there are more orders."""
+    return max(2 * t.spark.sparkContext.defaultParallelism, t.orders.count() // 50_000)
 
 
 @query("""
@@ -168,7 +178,8 @@ UNION ALL SELECT path, 'invokes_script', 'hard', 2 * count(*), count(DISTINCT sc
 def q_ci_chain(spark, d):
     """The edges from workflows through jobs and steps to actions and scripts, counted by workflow, type and strength."""
     t = Tables(spark, d)
-    facts = workflow.workflow_facts(workflows(t)).persist()
+    # all facts of a file meet in one task, so that what they lead to is counted where it is
+    facts = workflow.workflow_facts(workflows(t)).repartition(_tasks(t), "rel")
     scripts = t.lineitem.select(_text("scripts/p", c("l_partkey") % 7, ".sh").alias("rel")).distinct()
     actions = t.lineitem.filter("l_suppkey % 5 < 3").select(_text(".github/actions/a", c("l_suppkey") % 5, "/action.yml").alias("rel")).distinct()
     return workflow.execution_edges(facts, scripts.unionByName(actions)).groupBy("path", "type", "strength").agg(F.count("*").alias("edges"), F.countDistinct("to").alias("targets"))

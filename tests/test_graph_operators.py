@@ -133,6 +133,26 @@ def test_workflow_chain(spark):
     assert [(r["kind"], r["line"]) for r in workflow.execution_unknowns(facts).collect()] == [("external_action_execution", 7)]
 
 
+def test_workflows_are_read_in_bounded_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([f"w{i}.yml" for i in range(20)]), pa.array([WORKFLOW] * 20)], names=["rel", "text"])
+    each = len(workflow.read_workflow(WORKFLOW))
+    read = list(workflow.read_batches([batch], rows=3))
+    assert [b.num_rows for b in read] == [3 * each] * 6 + [2 * each]
+    assert [b.num_rows for b in workflow.read_batches([batch.slice(0, 2)], rows=1)] == [each] * 2
+    # a table of files that is too large to be broadcast gives the same edges, and of two scripts of one name both stay
+    bodies = spark.createDataFrame([("w.yml", WORKFLOW.replace("bash scripts/test.sh", "make all; bash scripts/test.sh"))], "rel string, text string")
+    files = spark.createDataFrame([("scripts/lint.sh",), ("scripts/test.sh",), (".github/actions/setup/action.yml",)], "rel string")
+    named = spark.createDataFrame([("make all", "Makefile"), ("make all", "sub/Makefile")], "name string, rel string")
+    facts = workflow.workflow_facts(bodies).cache()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+    sent = sorted(map(tuple, workflow.execution_edges(facts, files, named).collect()))
+    monkeypatch.setattr(workflow, "small", lambda df: df)
+    assert sorted(map(tuple, workflow.execution_edges(facts, files, named).collect())) == sent
+    assert {r[1] for r in sent if r[2] == "invokes_target"} == {"Makefile#make all", "sub/Makefile#make all"}
+
+
 def test_matched_brackets(spark, monkeypatch):
     rng = random.Random(3)
     texts = {f"f{k}": "".join(rng.choice("{}{}[]() x\n") for _ in range(400)) for k in range(6)} | {"flat": "{}\n" * 300, "deep": "{\n" * 150 + "}\n" * 150, "none": "x\n", "strays": "}}}\n{{\n"}

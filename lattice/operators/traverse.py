@@ -58,3 +58,21 @@ def reachable(edges: DataFrame, depth: int) -> DataFrame:
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends are among ``nodes``."""
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+
+
+#: Pairs that one task counts, about.
+PAIRS_PER_TASK = 4_000_000
+
+
+def shared_between(rows: DataFrame, between: str, end: str) -> DataFrame:
+    """a, b (a < b) and shared: of each pair of ends how many nodes ``between`` both are connected with; rows may repeat.
+
+    Pairs are never shuffled. The ends of a node are gathered once; each of them goes, with the ends after it as one array, to the task of its
+    own, which counts all its pairs. There are as many tasks as the number of pairs asks for."""
+    ends = cut(rows.filter(F.col(between).isNotNull() & F.col(end).isNotNull()).groupBy(between).agg(F.sort_array(F.collect_set(end)).alias("ends")).filter(F.size("ends") > 1).select("ends"))
+    n = F.size("ends").cast("long")
+    pairs = ends.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // PAIRS_PER_TASK))
+    each = ends.select("ends", F.posexplode("ends").alias("i", "a")).filter(F.col("i") + 1 < F.size("ends"))
+    each = each.select("a", F.expr("slice(ends, i + 2, size(ends))").alias("after")).repartition(tasks, "a")
+    return each.select("a", F.explode("after").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))

@@ -323,8 +323,8 @@ SELECT a.s AS supplier, b.s AS partner, count(*) AS shared_parts FROM supply a J
 """)
 def q_two_hop(spark, d):
     """Pairs two hops apart, with the number of nodes between."""
-    supply = Tables(spark, d).lineitem.select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
-    return supply.alias("a").join(supply.alias("b"), "p").filter("a.s < b.s").groupBy(F.col("a.s").alias("supplier"), F.col("b.s").alias("partner")).agg(F.count("*").alias("shared_parts"))
+    supply = Tables(spark, d).lineitem.select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    return traverse.shared_between(supply, "p", "s").select(F.col("a").alias("supplier"), F.col("b").alias("partner"), F.col("shared").alias("shared_parts"))
 
 
 @query(f"""WITH {_TRADE_SQL}, degrees AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM trade UNION ALL SELECT dst FROM trade) GROUP BY 1),

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lattice.operators import brackets, extract, joins, tries, walks, workflow
+from lattice.operators import brackets, extract, joins, traverse, tries, walks, workflow
 
 
 def walk_by_hand(edges, seed, nodes, depth):
@@ -42,6 +42,23 @@ def test_budgeted_walk(spark, nodes, depth):
         assert (r["visited"], r["followed"], r["unfollowed"]) == (len(mine), inner, sum(a in mine for a, b in pairs) - inner)
 
 
+def test_shared_between(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 20), rng.randint(0, 30)) for _ in range(300)] + [(None, 1), (3, None), (77, 5)]
+    monkeypatch.setattr(traverse, "PAIRS_PER_TASK", 100)
+    got = traverse.shared_between(spark.createDataFrame(rows, "p long, s long"), "p", "s")
+    ends = {p: {s for q, s in rows if q == p and s is not None} for p, _ in rows if p is not None}
+    want = {}
+    for some in ends.values():
+        for a in some:
+            for b in some:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert {(r["a"], r["b"]): r["shared"] for r in got.collect()} == want and got.count() == len(want)
+    # one shuffle, before the pairs are made
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+
+
 def test_levels_and_cycles(spark):
     nodes = spark.createDataFrame([("w", n) for n in "abcdef"] + [("v", "a"), ("x", "p"), ("x", "q"), ("x", "r")], "scope string, node string")
     needs = spark.createDataFrame([("w", "b", "a"), ("w", "b", "a"), ("w", "c", "a"), ("w", "d", "b"), ("w", "d", "c"), ("w", "e", "gone"), ("w", "f", "d"), ("w", "f", "a"), ("x", "p", "q"), ("x", "q", "p"), ("x", "r", "q")], "scope string, node string, needed string")

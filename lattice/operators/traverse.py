@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .joins import small
 
 
 def bfs_depths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -14,11 +15,16 @@ def bfs_depths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     Edges and each level are written down once (a checkpoint), so that a level is one join and the plan doesn't grow with
     the depth. A level is distinct and without nodes reached before, so cycles and hubs never multiply rows; the walk ends
     with the first empty level."""
-    links = cut(edges.select("src", "dst").distinct())
+    return depths(cut(edges.select("src", "dst").distinct()), seeds, depth)
+
+
+def depths(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """The same along edges that are distinct and written down already. A level that was counted to be small is broadcast, so that
+    the edges stay where they are."""
     level = cut(seeds.select("node").distinct())
     reached = level.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        step = level.join(links, level["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
+        step = small(level).join(links, level["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
         level = cut(step.join(reached, "node", "left_anti"))
         if level.isEmpty():
             break

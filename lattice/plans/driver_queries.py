@@ -244,14 +244,29 @@ def _node(kind: str, key: str):
     return F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
 
 
+_KINDS = ("region", "nation", "customer", "order", "part", "supplier")
+
+
+def node_id(kind: str, key: str):
+    """A node as one number, as graphs of numbers are sorted and shuffled for less than those of names."""
+    return F.col(key).cast("long") * len(_KINDS) + _KINDS.index(kind)
+
+
+def node_name(node):
+    """kind:key of a node."""
+    kind = F.pmod(node, F.lit(len(_KINDS)).cast("long"))
+    named = F.element_at(F.array(*map(F.lit, _KINDS)), (kind + 1).cast("int"))
+    return F.concat(named, F.lit(":"), F.call_function("div", node - kind, F.lit(len(_KINDS)).cast("long")).cast("string"))
+
+
 def _edges(t: Tables) -> DataFrame:
     """region > nation > customer > order > part > supplier"""
     parts = [
-        t.nation.select(_node("region", "n_regionkey").alias("src"), _node("nation", "n_nationkey").alias("dst")),
-        t.customer.select(_node("nation", "c_nationkey").alias("src"), _node("customer", "c_custkey").alias("dst")),
-        t.orders.select(_node("customer", "o_custkey").alias("src"), _node("order", "o_orderkey").alias("dst")),
-        t.lineitem.select(_node("order", "l_orderkey").alias("src"), _node("part", "l_partkey").alias("dst")),
-        t.lineitem.select(_node("part", "l_partkey").alias("src"), _node("supplier", "l_suppkey").alias("dst")),
+        t.nation.select(node_id("region", "n_regionkey").alias("src"), node_id("nation", "n_nationkey").alias("dst")),
+        t.customer.select(node_id("nation", "c_nationkey").alias("src"), node_id("customer", "c_custkey").alias("dst")),
+        t.orders.select(node_id("customer", "o_custkey").alias("src"), node_id("order", "o_orderkey").alias("dst")),
+        t.lineitem.select(node_id("order", "l_orderkey").alias("src"), node_id("part", "l_partkey").alias("dst")),
+        t.lineitem.select(node_id("part", "l_partkey").alias("src"), node_id("supplier", "l_suppkey").alias("dst")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -273,14 +288,14 @@ _BFS_SQL = f"""WITH RECURSIVE {_EDGES_SQL}, walk(node, depth) AS (
 
 
 def _seeds(t: Tables) -> DataFrame:
-    return t.region.filter("r_name = 'ASIA'").select(_node("region", "r_regionkey").alias("node"))
+    return t.region.filter("r_name = 'ASIA'").select(node_id("region", "r_regionkey").alias("node"))
 
 
 @query(_BFS_SQL + " SELECT node, depth FROM depths")
 def q_bfs_depths(spark, d):
     """The cone of an anchor: every node within four steps, with its least depth."""
     t = Tables(spark, d)
-    return traverse.bfs_depths(_edges(t), _seeds(t), 4)
+    return traverse.bfs_depths(_edges(t), _seeds(t), 4).select(node_name(F.col("node")).alias("node"), "depth")
 
 
 @query(_BFS_SQL + """ SELECT depth, CASE WHEN depth = 0 THEN 'high' ELSE 'medium' END AS strength, CASE WHEN depth = 0 THEN 'direct' ELSE 'via depth ' || depth END AS evidence, count(*) AS edges
@@ -288,8 +303,9 @@ FROM edges JOIN depths ON src = node WHERE depth < 4 GROUP BY ALL""")
 def q_cone_edges(spark, d):
     """Edges of a cone, their strength falling with depth."""
     t = Tables(spark, d)
-    depths = traverse.bfs_depths(_edges(t), _seeds(t), 4).filter("depth < 4")
-    return traverse.cone_edges(_edges(t).distinct(), depths).groupBy("depth", "strength", "evidence").agg(F.count("*").alias("edges"))
+    edges = cut(_edges(t).distinct())
+    depths = traverse.depths(edges, _seeds(t), 3)  # what is further away leads to no edge of the cone
+    return traverse.cone_edges(edges, depths).groupBy("depth", "strength", "evidence").agg(F.count("*").alias("edges"))
 
 
 def _trade(t: Tables) -> DataFrame:

@@ -42,6 +42,32 @@ def test_budgeted_walk(spark, nodes, depth):
         assert (r["visited"], r["followed"], r["unfollowed"]) == (len(mine), inner, sum(a in mine for a, b in pairs) - inner)
 
 
+def test_walks_over_numbers_take_few_shuffles(spark):
+    rng = random.Random(5)
+    edges = [(rng.randint(0, 40), rng.randint(0, 40), rng.randint(0, 9)) for _ in range(300)]
+    e = spark.createDataFrame(edges, "src long, dst long, rank long")
+    got = walks.budgeted_walk(e, spark.createDataFrame([(i, i) for i in range(40)], "seed long, node long"), 9, 5)
+    assert {tuple(r) for r in got.select("seed", "node", "depth", "position").collect()} == set().union(*[walk_by_hand(edges, s, 9, 5) for s in range(40)])
+    cut_off = walks.unfollowed(e, got)
+    cut_off.collect()
+    # edges, both sides of one join, and what seeds meet, by seed
+    assert cut_off._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") <= 4
+
+
+def test_small_levels_leave_edges_where_they_are(spark, sf, monkeypatch):
+    from lattice.plans import driver_queries as q
+
+    t = q.Tables(spark, sf)
+    assert {x for _, x in q._edges(t).dtypes} == {"bigint"}
+    ids = spark.range(1).select(*[q.node_name(q.node_id(k, "id")).alias(k) for k in q._KINDS])
+    assert list(ids.first()) == [f"{k}:0" for k in q._KINDS]
+    assert [r[0] for r in spark.createDataFrame([(-3,), (None,), (7 * 10**17,)], "k long").select(q.node_name(q.node_id("part", "k"))).collect()] == ["part:-3", None, f"part:{7 * 10**17}"]
+    seen = []
+    monkeypatch.setattr(traverse, "small", lambda df: seen.append(df.count()) or F.broadcast(df))
+    links = spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long")
+    assert {tuple(r) for r in traverse.depths(links, spark.createDataFrame([(0,)], "node long"), 4).collect()} == {(i, i) for i in range(5)} and seen == [1] * 4
+
+
 def test_shared_between(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(rng.randint(0, 20), rng.randint(0, 30)) for _ in range(300)] + [(None, 1), (3, None), (77, 5)]

@@ -13,38 +13,40 @@ def budgeted_walk(edges: DataFrame, seeds: DataFrame, nodes: int = 128, depth: i
 
     edges: src, dst, rank (the order in which a node's edges are followed; ties by dst); seeds: seed, node. A level is visited in the order in which
     its nodes are met first: by the position of the node that leads there, then by rank. Where a level has more nodes than a seed's budget, the
-    first ones stay; ``unfollowed`` counts what is left. All seeds take a step together: a step is one join, and a seed's frontier is cut by a
-    ranking whose limit holds before the shuffle, too. Of a node with very many edges a walk needs the first 2 x nodes at most, as no more than
+    first ones stay; ``unfollowed`` counts what is left. All seeds take a step together: a step is one join and one shuffle by seed, and what a
+    seed meets in it is bounded. Of a node with very many edges a walk needs the first 2 x nodes at most, as no more than
     ``nodes`` of them can be visited already, so a hub doesn't multiply the rows. Repeated edges count once, with their least rank.
     """
     own = Window.partitionBy("src").orderBy("rank", "dst")
     links = edges.groupBy("src", "dst").agg(F.min("rank").alias("rank"))
     links = cut(links.withColumn("__n", F.row_number().over(own)).filter(F.col("__n") <= 2 * nodes).select("src", "dst", F.col("__n").alias("rank")))
-    in_seed = Window.partitionBy("seed")
-    level = seeds.select("seed", "node").distinct().withColumn("position", F.row_number().over(in_seed.orderBy("node")) - 1).filter(F.col("position") < nodes)
-    level = cut(level.select("seed", "node", F.lit(0).alias("depth"), "position"))
-    visited = level
+    # a node's place is one number: its depth, then the position of the node that leads there, then the rank of the edge
+    fan = 2 * nodes + 1
+    level_places = nodes * fan
+    position = F.row_number().over(Window.partitionBy("seed").orderBy("place", "node")) - 1
+    ranked = lambda rows: cut(rows.withColumn("position", position).filter(F.col("position") < nodes).select("seed", "node", F.floor(F.col("place") / level_places).cast("int").alias("depth"), "position"))
+    visited = ranked(seeds.select("seed", "node").distinct().withColumn("place", F.lit(0).cast("long")))
     for d in range(1, depth + 1):
-        came = level.join(links, level["node"] == links["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.min(F.struct("position", "rank")).alias("by"))
-        came = came.join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
-        came = came.withColumn("__k", F.row_number().over(in_seed.orderBy("by", "node"))).filter(F.col("__k") < nodes)
-        full = visited.groupBy("seed").agg(F.count("*").cast("int").alias("__full"))
-        level = came.join(full, "seed").filter(F.col("__k") + F.col("__full") <= nodes).select("seed", "node", F.lit(d).alias("depth"), (F.col("__k") + F.col("__full") - 1).alias("position"))
-        level = cut(level)
+        level = visited.filter(F.col("depth") == d - 1)
         if level.isEmpty():
             break
-        visited = cut(visited.unionByName(level))
+        at = lambda column: F.lit(level_places).cast("long") * F.col("depth") + column
+        came = level.join(links, level["node"] == links["src"]).select("seed", F.col("dst").alias("node"), (at(F.col("position") * fan) + F.lit(level_places) + F.col("rank")).alias("place"))
+        # what a seed has visited stands before what it meets now, so that one ranking keeps the places of the one and gives the other its own
+        rows = visited.select("seed", "node", at(F.col("position")).alias("place")).unionByName(came)
+        visited = ranked(rows.repartition("seed").groupBy("seed", "node").agg(F.min("place").alias("place")))
     return visited
 
 
 def unfollowed(edges: DataFrame, visited: DataFrame) -> DataFrame:
     """seed, visited, followed and unfollowed: of each walk its nodes, the edges between them, and the edges that leave them."""
     links = edges.select("src", "dst").distinct()
-    degrees = links.groupBy("src").agg(F.count("*").alias("degree"))
-    out = visited.join(degrees, visited["node"] == degrees["src"], "left").groupBy("seed").agg(F.count("*").alias("visited"), F.coalesce(F.sum("degree"), F.lit(0)).alias("edges"))
-    inner = visited.select("seed", F.col("node").alias("src")).join(links, "src").join(visited.select("seed", F.col("node").alias("dst")), ["seed", "dst"], "left_semi").groupBy("seed").agg(F.count("*").alias("followed"))
-    followed = F.coalesce("followed", F.lit(0))
-    return out.join(inner, "seed", "left").select("seed", "visited", followed.alias("followed"), (F.col("edges") - followed).alias("unfollowed"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    led = visited.join(links, visited["node"] == links["src"]).select("seed", F.col("dst").alias("node"), none.alias("here"), one.alias("edges"))
+    rows = visited.select("seed", "node", one.alias("here"), none.alias("edges")).unionByName(led)
+    nodes = rows.repartition("seed").groupBy("seed", "node").agg(F.max("here").alias("here"), F.sum("edges").alias("edges"))
+    followed = F.sum(F.col("here") * F.col("edges"))
+    return nodes.groupBy("seed").agg(F.sum("here").alias("visited"), followed.alias("followed"), (F.sum("edges") - followed).alias("unfollowed"))
 
 
 def levels(nodes: DataFrame, needs: DataFrame, rounds: int = 1000) -> DataFrame:

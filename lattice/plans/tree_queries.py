@@ -13,7 +13,7 @@ from ..functions import proofs
 from ..functions.text import normalized_path, parent
 from ..operators import bindings, bounds, brackets, extract, inherit, names, tries, walks, workflow
 from ..session import cut
-from .driver_queries import Tables, query
+from .driver_queries import Tables, node_id, node_name, query
 
 c, lit = F.col, F.lit
 
@@ -77,9 +77,9 @@ def q_public_names(spark, d):
 
 
 def supply_chain(t: Tables) -> DataFrame:
-    """src, dst and rank: parts lead to the orders that hold them, these to customers, nations and regions."""
-    edge = lambda rows, a, b, x, y: rows.select(_text(f"{a}:", c(x)).alias("src"), _text(f"{b}:", c(y)).alias("dst"), c(y).cast("long").alias("rank"))
-    parts = edge(t.lineitem.select("l_partkey", "l_orderkey").distinct(), "part", "order", "l_partkey", "l_orderkey")
+    """src, dst and rank: parts lead to the orders that hold them, these to customers, nations and regions. Nodes are numbers (``node_id``)."""
+    edge = lambda rows, a, b, x, y: rows.select(node_id(a, x).alias("src"), node_id(b, y).alias("dst"), c(y).cast("long").alias("rank"))
+    parts = edge(t.lineitem, "part", "order", "l_partkey", "l_orderkey")
     rest = [edge(t.orders, "order", "customer", "o_orderkey", "o_custkey"), edge(t.customer, "customer", "nation", "c_custkey", "c_nationkey"), edge(t.nation, "nation", "region", "n_nationkey", "n_regionkey")]
     for x in rest:
         parts = parts.unionByName(x)
@@ -104,14 +104,14 @@ walk AS (
 
 def _walked(t: Tables) -> tuple[DataFrame, DataFrame]:
     edges = supply_chain(t)
-    seeds = t.part.select(c("p_partkey").cast("long").alias("seed"), _text("part:", c("p_partkey")).alias("node"))
+    seeds = t.part.select(c("p_partkey").cast("long").alias("seed"), node_id("part", "p_partkey").alias("node"))
     return edges, walks.budgeted_walk(edges, seeds, nodes=_BUDGET, depth=4)
 
 
 @query(_WALK + "SELECT p::BIGINT AS seed, node, depth::INT AS depth, position::INT AS position FROM walk")
 def q_lineage_walk(spark, d):
     """What is connected with each part, for all parts at once, each within its own budget."""
-    return _walked(Tables(spark, d))[1].select("seed", "node", "depth", "position")
+    return _walked(Tables(spark, d))[1].select("seed", node_name(c("node")).alias("node"), "depth", "position")
 
 
 @query(

@@ -16,11 +16,13 @@ def words(c: Column, pattern: str = r"[a-z0-9_]{2,}") -> Column:
 
 
 def normalized_path(c: Column) -> Column:
-    """With / for \\, without empty and . segments, .. resolved; . if nothing is left."""
+    """With / for \\, without empty and . segments, .. resolved; . if nothing is left. Most paths are done when a leading ./ and each name that a .. follows
+    are taken out; segments are folded only of the others."""
+    c = F.regexp_replace(F.regexp_replace(c, r"^(?:\./)+", ""), r"(^|/)(?!\.{1,2}/)[^/\\]+/\.\./", "$1")
     parts = F.filter(F.split(F.regexp_replace(c, r"\\", "/"), "/"), lambda p: (p != "") & (p != "."))
     folded = F.aggregate(parts, F.array().cast("array<string>"), lambda s, p: F.when(p == "..", F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(p))))
     joined = F.array_join(folded, "/")
-    return F.when(joined == "", ".").otherwise(joined)
+    return F.when(~F.rlike(c, F.lit(r"\\|(?:^|/)\.{0,2}(?:/|$)")), c).when(joined == "", ".").otherwise(joined)
 
 
 def normalized_route(c: Column) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import python_ready
 from .brackets import with_ends
 
 #: By language: line comment, block comment (open, close, nests), quotes that end on their line, quotes that span lines.
@@ -34,17 +34,32 @@ _BEFORE_PATTERN = re.compile(r"(?:^|[(,=:\[!&|?;{+\-*%~^]|=>|\b(?:return|typeof|
 _PATTERN = re.compile(r"/(?![/*])(?:[^\n\\\[/]|\\.|\[(?:[^\n\\\]]|\\.)*\])+/")
 
 
+def _runs(language: str) -> tuple[re.Pattern, dict[str, re.Pattern]]:
+    """What begins nothing outside literals and comments, and what begins nothing inside each literal."""
+    comment, block, quotes, spans = _SYNTAX[language]
+    begins = {"\n", "/" if language == "javascript/typescript" else "\n", *quotes, *(s[0] for s in spans), *(x[0] for x in (comment, block and block[0]) if x)}
+    none_of = lambda chars: re.compile("[^" + re.escape("".join(sorted(chars))) + "]+")
+    return none_of(begins), {mark: none_of({"\n", "\\", mark[0]}) for mark in (*quotes, *spans)}
+
+
+_RUNS = {language: _runs(language) for language in _SYNTAX}
+
+
 def code_of(text: str, language: str) -> list[str]:
     """The text's lines with comments and the contents of literals turned into spaces; every place stays where it was."""
     syntax = _SYNTAX.get(language)
     if syntax is None:
         return text.split("\n")
     comment, block, quotes, spans = syntax
+    plain, inside = _RUNS[language]
     out, i, n = [], 0, len(text)
     depth, until = 0, ""
     while i < n:
         c = text[i]
-        if c == "\n":
+        if not depth and (run := (inside[until] if until else plain).match(text, i)):
+            out.append(" " * (run.end() - i) if until else run[0])
+            i = run.end()
+        elif c == "\n":
             if until and len(until) == 1 and until not in spans:
                 until = ""  # an unclosed literal ends with its line
             out.append(c)
@@ -94,7 +109,7 @@ def code_of(text: str, language: str) -> list[str]:
 
 def lines(bodies: DataFrame) -> DataFrame:
     """rel, language, line_no (from 1), text and code of each line of bodies (rel, language, text). Null texts have none."""
-    ship(bodies.sparkSession)
+    python_ready(bodies.sparkSession)
 
     def lexed(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -178,6 +193,12 @@ def symbols(lines_: DataFrame) -> DataFrame:
     return with_ends(starts, lines_).select("rel", "name", "kind", "exported", "line_start", "line_end", "ordinal")
 
 
+def declared_names(lines_: DataFrame) -> DataFrame:
+    """rel and name of each declaration, without where it ends; lines are read once, whatever their languages."""
+    s = F.coalesce(*[F.when(F.col("language") == language, _declared(language, F.col("code"))) for language in _DECLARING])
+    return lines_.select("rel", s.alias("s")).filter("s IS NOT NULL").select("rel", "s.name").distinct()
+
+
 #: Literals, words (with dots, where modules have them) and signs of a line.
 _PARTS = r"""'[^']*'|"[^"]*"|[\p{L}\p{N}_$]+|\S"""
 _DOTTED = r"[\p{L}\p{N}_.]+|\S"

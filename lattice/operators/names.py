@@ -5,8 +5,8 @@ is decided by that alone: one local declaration, or whatever the one file that i
 explicit exports are ambiguous, and an explicit one that leads nowhere is missing. Other names but ``default`` come through stars: from
 exactly one of them they keep its meaning, from several they are ambiguous. What leads back to a file that it came through counts as missing.
 
-States only grow, so a round joins only the names that have changed since the round before with the edges that lead away from them,
-and recomputes only the names that these reach.
+States only grow, so a round joins only the names that have changed since the round before with the edges that lead away from them. What comes
+to a name that is known already makes it ambiguous, from whichever file it comes, so that nothing has to be kept but the states.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from ..session import cut
 
 ONE, AMBIGUOUS = 1, 2
 _STATE = ["file", "name", "kind", "owner", "symbol", "path"]
-_CONTRIBUTION = [*_STATE, "source"]
 
 
 def public_names(exports: DataFrame, reexports: DataFrame, stars: DataFrame, rounds: int = 200) -> DataFrame:
@@ -39,24 +38,28 @@ def public_names(exports: DataFrame, reexports: DataFrame, stars: DataFrame, rou
     # all of a module under one name: the module itself
     whole = aliases.filter("source_name = '*'").select("file", "name", F.lit(ONE).alias("kind"), F.col("source").alias("owner"), F.lit("*").alias("symbol"), F.array("source", "file").alias("path"))
     states = cut(clashing.unionByName(local).unionByName(whole))
-    changed, known = states, None
+    # what has come to be known, round by round; a name comes at most twice, and then stays ambiguous
+    log, again, changed = states, None, states
     for _ in range(rounds):
-        came = _through_aliases(changed, aliases).unionByName(_through_stars(changed, links, explicit))
-        came = cut(came.filter(~F.array_contains("path", F.col("file")) | (F.col("kind") == AMBIGUOUS)))
-        if came.isEmpty():
-            return _named(states)
-        keys = ["file", "name", "source"]
-        known = cut(came if known is None else known.join(came.select(*keys), keys, "left_anti").unionByName(came))
-        met = known.join(came.select("file", "name").distinct(), ["file", "name"], "left_semi")
-        several = (F.count("*") > 1) | (F.max("kind") == AMBIGUOUS)
-        now = met.groupBy("file", "name").agg(F.when(several, AMBIGUOUS).otherwise(ONE).alias("kind"), F.min(F.struct("owner", "symbol", "path")).alias("x"))
-        only = lambda c, nothing: F.when(F.col("kind") == ONE, F.concat(F.col("x.path"), F.array("file")) if c == "path" else F.col(f"x.{c}")).otherwise(nothing).alias(c)
-        now = now.select("file", "name", "kind", only("owner", none), only("symbol", none), only("path", F.array("file")))
-        before = states.select("file", "name", F.col("kind").alias("was"))
-        changed = cut(now.join(before, ["file", "name"], "left").filter("was IS NULL OR was <> kind").select(*_STATE))
-        if changed.isEmpty():
-            return _named(states)
-        states = cut(states.join(changed.select("file", "name"), ["file", "name"], "left_anti").unionByName(changed))
+        came = _through_stars(changed, links).filter(~F.array_contains("path", F.col("file")) | (F.col("kind") == AMBIGUOUS))
+        met = came.groupBy("file", "name").agg(F.count("*").alias("n"), F.max("kind").alias("kind"), F.any_value(F.struct("owner", "symbol", "path")).alias("x"))
+        met = met.join(explicit.select("file", "name"), ["file", "name"], "left_anti")
+        taken_from = _through_aliases(changed, aliases).filter(~F.array_contains("path", F.col("file")) | (F.col("kind") == AMBIGUOUS))
+        met = met.unionByName(taken_from.select("file", "name", F.lit(1).cast("long").alias("n"), "kind", F.struct("owner", "symbol", "path").alias("x")))
+        # what was known of a name came from another file, or from this one, which has become ambiguous since
+        before = log.select("file", "name", F.col("kind").alias("was"))
+        before = before.groupBy("file", "name").agg(F.max("was").alias("was"))
+        met = met.join(before, ["file", "name"], "left").filter(F.col("was").isNull() | (F.col("was") == ONE))
+        several = (F.col("n") > 1) | (F.col("kind") == AMBIGUOUS) | F.col("was").isNotNull()
+        only = lambda c, nothing: F.when(~several, F.concat(F.col("x.path"), F.array("file")) if c == "path" else F.col(f"x.{c}")).otherwise(nothing).alias(c)
+        now = met.select("file", "name", F.when(several, AMBIGUOUS).otherwise(ONE).alias("kind"), only("owner", none), only("symbol", none), only("path", F.array("file")), F.col("was").isNotNull().alias("again"))
+        now = cut(now)
+        if now.isEmpty():
+            return _named(log if again is None else log.join(again.withColumn("kind", F.lit(ONE)), ["file", "name", "kind"], "left_anti"))
+        more = now.filter("again").select("file", "name")
+        again = more if again is None else again.unionByName(more)
+        changed = now.select(*_STATE)
+        log = log.unionByName(changed)
     raise RuntimeError(f"names did not settle in {rounds} rounds")
 
 
@@ -66,12 +69,11 @@ def _named(states: DataFrame) -> DataFrame:
 
 def _through_aliases(changed: DataFrame, aliases: DataFrame) -> DataFrame:
     met = changed.withColumnsRenamed({"file": "source", "name": "source_name"}).join(aliases.filter("source_name <> '*'"), ["source", "source_name"])
-    return met.select(*_CONTRIBUTION)
+    return met.select(*_STATE)
 
 
-def _through_stars(changed: DataFrame, links: DataFrame, explicit: DataFrame) -> DataFrame:
-    met = changed.filter("name <> 'default'").withColumnRenamed("file", "source").join(links, "source")
-    return met.join(explicit.select("file", "name"), ["file", "name"], "left_anti").select(*_CONTRIBUTION)
+def _through_stars(changed: DataFrame, links: DataFrame) -> DataFrame:
+    return changed.filter("name <> 'default'").withColumnRenamed("file", "source").join(links, "source").select(*_STATE)
 
 
 def exported(bindings: DataFrame, symbols: DataFrame) -> DataFrame:

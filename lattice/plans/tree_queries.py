@@ -30,7 +30,7 @@ def raw_files(rel, text, rows: DataFrame) -> DataFrame:
 def modules(t: Tables) -> DataFrame:
     """A module for each part, and barrels above: suppliers re-export their parts, nations their suppliers, regions their nations."""
     key = c("p_partkey")
-    part = raw_files(_text("part/p", key, ".ts"), _text("function make_", key, "() {\n  return ", key, ";\n}\n\nexport { make_", key, " as item_", key % 40, " };\nexport const price_", key, " = 1;\n"), t.part.select("p_partkey"))
+    part = raw_files(_text("part/p", key, ".ts"), _text("function make_", key, "() {\n  return ", key, ";\n}\n\nexport { make_", key, " as item_", key % 40, " };\nexport const price_", key, " = 1;\n"), t.part.select("p_partkey").repartition(_tasks(t, t.part), "p_partkey"))
     p, s = c("l_partkey"), c("l_suppkey")
     line = F.concat(_text("export * from '../part/p", p, "';\n"), F.when(p % 10 == 3, _text("export { price_", p, " as cheapest } from '../part/p", p, "';\n")).otherwise(""))
     barrels = t.lineitem.select("l_suppkey", "l_partkey").distinct().groupBy("l_suppkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("text"))
@@ -73,7 +73,9 @@ def q_public_names(spark, d):
     js = cut(bindings.bindings(files).withColumn("target", normalized_path(F.concat(parent(c("rel")), lit("/"), "spec", lit(".ts")))))
     again = js.filter("form = 'reexport'").select(c("rel").alias("file"), c("local").alias("name"), c("target").alias("source"), c("name").alias("source_name"))
     stars = js.filter("form = 'star'").select(c("rel").alias("file"), c("target").alias("source"))
-    return names.public_names(names.exported(js, extract.symbols(extract.lines(files))), again, stars)
+    # declarations are asked only of files that export something of their own
+    own = js.filter("form IN ('export', 'default')").select("rel").distinct()
+    return names.public_names(names.exported(js, extract.declared_names(extract.lines(files.join(own, "rel", "left_semi")))), again, stars)
 
 
 def supply_chain(t: Tables) -> DataFrame:
@@ -147,13 +149,13 @@ def workflows(t: Tables, with_steps: bool = True) -> DataFrame:
         needed = F.when(first, F.element_at("jobs", -1)).when(i > 0, F.element_at("jobs", F.floor((i + 1) / 2).cast("int")))["o_orderkey"]
         return F.concat(_text("  o", x["o_orderkey"], ":\n"), F.when(needed.isNotNull(), _text("    needs: [o", needed, "]\n")).otherwise(""), F.coalesce(x["steps"], lit("")))
 
-    rows = rows.repartition(_tasks(t), "o_custkey")  # reading them is more work than their bytes say
+    rows = rows.repartition(_tasks(t, t.orders), "o_custkey")  # reading them is more work than their bytes say
     return rows.select(_text(".github/workflows/c", c("o_custkey"), ".yml").alias("rel"), _text("name: orders\non: push\njobs:\n", F.array_join(F.transform("jobs", job), "")).alias("text"))
 
 
-def _tasks(t: Tables) -> int:
-    """As many as read workflows: two for each core, and more where there are more orders."""
-    return max(2 * t.spark.sparkContext.defaultParallelism, t.orders.count() // 50_000)
+def _tasks(t: Tables, rows: DataFrame) -> int:
+    """How many tasks read the bodies that are made of rows: two for each core, and more where there are more rows."""
+    return max(2 * t.spark.sparkContext.defaultParallelism, rows.count() // 50_000)
 
 
 @query("""
@@ -179,7 +181,7 @@ def q_ci_chain(spark, d):
     """The edges from workflows through jobs and steps to actions and scripts, counted by workflow, type and strength."""
     t = Tables(spark, d)
     # all facts of a file meet in one task, so that what they lead to is counted where it is
-    facts = workflow.workflow_facts(workflows(t)).repartition(_tasks(t), "rel")
+    facts = workflow.workflow_facts(workflows(t)).repartition(_tasks(t, t.orders), "rel")
     scripts = t.lineitem.select(_text("scripts/p", c("l_partkey") % 7, ".sh").alias("rel")).distinct()
     actions = t.lineitem.filter("l_suppkey % 5 < 3").select(_text(".github/actions/a", c("l_suppkey") % 5, "/action.yml").alias("rel")).distinct()
     return workflow.execution_edges(facts, scripts.unionByName(actions)).groupBy("path", "type", "strength").agg(F.count("*").alias("edges"), F.countDistinct("to").alias("targets"))

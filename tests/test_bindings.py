@@ -107,3 +107,39 @@ def test_empty_and_too_long(spark):
     assert means(spark, []) == {}
     with pytest.raises(RuntimeError):
         means(spark, [("f0", "x", "x")], [], [(f"f{i + 1}", f"f{i}") for i in range(6)], rounds=3)
+
+
+def test_bodies_are_scanned_in_bounded_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(B, "_PACKED_ROWS", 5)
+    text = "// first\n" + "".join(f"export * from './m{i}';\n" for i in range(4))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{i}.ts" for i in range(6)]), pa.array([JS] * 6), pa.array([text] * 6)], names=["rel", "language", "text"])
+    got = list(B.scan_batches([batch]))
+    assert max(b.num_rows for b in got) == 8 and sum(b.num_rows for b in got) == 24
+    assert got[0].to_pydict()["line"] == [2, 3, 4, 5] * 2
+
+
+def test_a_name_that_comes_again_by_a_longer_way(spark):
+    # a has x by one step and by three, b has it by way of a, which changes after b has seen it
+    exports = spark.createDataFrame([("o", "x", "x"), ("p", "x", "x")], "file string, name string, symbol string")
+    stars = spark.createDataFrame([("a", "o"), ("m", "p"), ("n", "m"), ("a", "n"), ("b", "a")], "file string, source string")
+    none = spark.createDataFrame([], "file string, name string, source string, source_name string")
+    got = sorted(tuple(r)[:4] + (r["hops"],) for r in names.public_names(exports, none, stars).collect())
+    assert got == [("a", "x", "ambiguous", None, None), ("b", "x", "ambiguous", None, None), ("m", "x", "one", "p", 1), ("n", "x", "one", "p", 2), ("o", "x", "one", "o", 0), ("p", "x", "one", "p", 0)]
+
+
+def test_normalized_paths(spark):
+    import posixpath
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lattice.functions.text import normalized_path
+
+    rng = random.Random(2)
+    paths = ["/".join(rng.choice(["a", "b.ts", "..", ".", "", "..c", "d..", "...", "x\\y", "a"]) for _ in range(rng.randint(1, 7))) for _ in range(3000)] + ["", "./", "..", "supplier/../part/p1.ts", "././a"]
+    want = [posixpath.normpath("/" + p.replace("\\", "/")).strip("/") or "." for p in paths]
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string").select("i", normalized_path(F.col("p")).alias("n"))
+    got = dict(map(tuple, frame.collect()))
+    assert [got[i] for i in range(len(paths))] == want

@@ -12,8 +12,8 @@ place, is a key; keys that several documents have lead to the texts again:
 2. Stretches of one key meet: first each meets one head of the key, in ``HEADS`` rounds with other heads; what is connected by
    then is left alone, and everything else in a key meets all members of the key that it isn't connected with, in tiles of bounded
    size. So no pair with a key in common is left out unless it is connected anyway.
-3. A pair is verified on its diagonals with a long common run: shingles that agree near to one are strung together, and a passage
-   must be long enough and similar enough as a set of shingles.
+3. Pairs are verified many at once: on their diagonals with a long common run, or, where a text repeats a phrase, by all windows of the
+   least length. Shingles that agree near to a diagonal are strung together, and a passage must be long enough and similar enough as a set of shingles.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Forest, cut, python_ready, sent, spread_join, table
 from .graph import components, rooted, tiles, with_heads
-from .shingles import mixed, shingle_digests, word_digests
+from .shingles import mixed, power_tables, shingle_digests, word_digests
 
 SHINGLE = 5
 #: Words of a passage, at least, and the similarity (percent) of its shingle sets.
@@ -43,8 +43,12 @@ HEADS = 2
 TILE_STRETCHES, TILE_SHINGLES = 512, 500_000
 #: Shingles that may differ in a row inside a passage; two words changed close together change ten.
 GAP = 12
-#: Pairs of places of common runs that are looked at together.
-BLOCK = 1 << 20
+#: Pairs of places of common runs that are looked at together, and pairs of windows.
+BLOCK, CELLS = 1 << 20, 1 << 21
+#: Shingles of the pairs that are verified at once, about, and pairs of a tile.
+TOGETHER, WAVE = 1 << 17, 256
+#: Places near to diagonals that are strung together at once.
+BAND = 1 << 14
 
 
 def nearest_smaller(h: np.ndarray, strict: bool) -> np.ndarray:
@@ -146,37 +150,40 @@ def least_common(least: int, percent: int) -> int:
 
 
 def passages(x: np.ndarray, y: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """Verified passages (first and last shingle in x, in y) of two texts. Each diagonal (place in x less place in y) with a long common
-    run is verified for itself, with what agrees on the diagonals near to it, and so are its windows of ``least`` shingles (``_slid``); those with
-    the most runs come first. Passages reach from their first to their last common shingle. Passages, and diagonals, that add nothing to what others cover of x and y are left out."""
-    run = shared_run(least, percent)
-    return aligned(Indexed(x, run), Indexed(y, run), least, percent)
+    """Verified passages (first and last shingle in x, in y) of two texts; see ``aligned``."""
+    return aligned([(x, y)], least, percent)[0]
 
 
 def run_digests(shingles: np.ndarray, run: int) -> np.ndarray:
-    """Digests of the runs of ``run`` shingles, each put together of shorter ones, twice as long in each step; none of a shorter text."""
-    if len(shingles) < run:
+    """Digests of the runs of ``run`` shingles, from running sums; none of a shorter text."""
+    n = len(shingles)
+    if n < run:
         return shingles[:0]
-    h, width = mixed(shingles), 1
-    while width < run:
-        step = min(width, run - width)
-        h = mixed(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
-        width += step
-    return h
+    power, inverse = power_tables(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(shingles * power[:n], out=sums[1:])
+    return mixed((sums[run:] - sums[:-run]) * inverse[: n - run + 1])
 
 
 class Indexed:
     """A text's shingles and runs, and their places by value."""
 
     def __init__(self, shingles: np.ndarray, run: int):
-        self.run, self.s, self.runs = run, shingles, run_digests(shingles, run)
-        self.by, self.runs_by = np.argsort(self.s, kind="stable"), np.argsort(self.runs, kind="stable")
-        self.s_sorted, self.runs_sorted = self.s[self.by], self.runs[self.runs_by]
+        self.run, self.s, self.by = run, shingles, np.argsort(shingles, kind="stable")
+        self.s_sorted = self.s[self.by]
         # the place before with the same shingle, or -1
         self.before = np.full(len(self.s), -1)
         same = self.s_sorted[1:] == self.s_sorted[:-1]
         self.before[self.by[1:][same]] = self.by[:-1][same]
 
+    @functools.cached_property
+    def runs(self) -> np.ndarray:
+        return run_digests(self.s, self.run)
+
+    @functools.cached_property
+    def runs_by(self) -> np.ndarray:
+        return np.argsort(self.runs, kind="stable")
+
     def distinct(self, least: int) -> np.ndarray:
         """Distinct shingles of each window of ``least`` shingles."""
         if not hasattr(self, "counts"):
@@ -223,6 +230,17 @@ class Common:
         self.held[held_y] = False
         return np.count_nonzero(new), np.count_nonzero(self.two.before[y0 : y1 + 1] < y0), common
 
+    def both(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of numbers of shingles of x and of y, which of either are among the other."""
+        self.held[y] = True
+        in_y = self.held[x]
+        self.held[y] = False
+        self.held[x] = True
+        self.held[-1] = False
+        in_x = self.held[y]
+        self.held[x] = False
+        return in_y, in_x
+
 
 def distinct(values: np.ndarray) -> np.ndarray:
     """The distinct values, sorted; by a sort, as hashing them takes longer."""
@@ -230,65 +248,264 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return s[np.concatenate([np.ones(1, bool), s[1:] != s[:-1]])] if len(s) else s
 
 
-def aligned(one: Indexed, two: Indexed, least: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """As ``passages``, of indexed texts."""
-    x, y, rx, ry, by, run, found = one.s, two.s, one.runs, two.runs, two.runs_by, one.run, []
-    if len(x) < least or len(y) < least:
-        return found
-    lo, hi = np.searchsorted(two.runs_sorted, rx, side="left"), np.searchsorted(two.runs_sorted, rx, side="right")
-    if not (hi > lo).any():
-        return found
-    band, common = _Band(one, two), Common(one, two)
-    # places of runs inside windows that can be a passage; of windows with the same set of shingles the first and the last stand for all
-    kept = [_may_hold(t, held, least, percent) for t, held in ((one, common.of_x < len(y)), (two, np.isin(y, x)))]
-    named, hits, repeats = *_diagonals(one, two, *kept), min(t.distinct(least).min() for t in (one, two)) < least
-    open_x, open_y = np.ones(len(x), bool), np.ones(len(y), bool)
-    # sets with few shingles can be alike away from the diagonal of a run
-    offsets = sorted(range(-GAP, GAP + 1), key=abs) if repeats else (0, -1, 1)
-
-    def added(spans: list[tuple[int, int, int, int]]) -> bool:
-        new = False
-        for x0, x1, y0, y1 in spans:
-            if not found or open_x[x0 : x1 + 1].any() or open_y[y0 : y1 + 1].any():
-                found.append((x0, x1, y0, y1))
-                open_x[x0 : x1 + 1] = open_y[y0 : y1 + 1] = False
-                new = True
-        return new
-
-    def tried(d: int, at: np.ndarray) -> bool:
-        px, py = band.near(d)
-        on = px - py == d
-        # exact repetitions stand, whatever is near to them
-        new = added(_exact(px[on], py[on], least) + _strung(common, px, py, least, percent))
-        first, last = int(at[0]), int(at[-1])
-        for e in offsets:
-            if found and not open_x[first : last + run].any() and not open_y[first - d : last - d + run].any():
-                break
-            new |= added(_slid(common, d + e, first + run - least - GAP, last + GAP, least, percent))
-        return new
+def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], least: int, percent: int) -> list[list[tuple[int, int, int, int]]]:
+    """Verified passages (first and last shingle in x, in y) of each pair of texts. In texts whose windows of ``least`` shingles repeat none, each
+    diagonal (place in x less place in y) with a long common run is verified with those next to it, for all pairs at once (``_plain``); of other
+    texts all windows meet all (``_repeating``). Passages reach from their first to their last common shingle. Those that add nothing to what others cover of x and y are left out."""
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in pairs]
+    long = [k for k, (x, y) in enumerate(pairs) if len(x) >= least <= len(y)]
+    if not long:
+        return out
+    run, at = shared_run(least, percent), 0
+    while at < len(long):
+        upto, size = at, 0
+        while upto < len(long) and (upto == at or size < TOGETHER):
+            size += sum(len(t) for t in pairs[long[upto]])
+            upto += 1
+        some, at = long[at:upto], upto
+        together = _Together([pairs[k] for k in some], run)
+        again = together.repeating(least)
+        for k, found in zip(some, _plain(together, ~again, least, percent)):
+            out[k] = found
+        for k in np.array(some)[again].tolist():
+            out[k] = _repeating(Indexed(pairs[k][0], run), Indexed(pairs[k][1], run), least, percent)
+    return out
+
+
+class _Together(Common):
+    """Pairs of texts end to end, each pair with shingles of its own."""
+
+    def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray]], run: int):
+        salt = mixed(np.arange(1, len(pairs) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.sizes = [np.array([len(p[k]) for p in pairs]) for k in range(2)]
+        self.first = [np.cumsum(n) - n for n in self.sizes]
+        self.of = [np.repeat(np.arange(len(pairs)), n) for n in self.sizes]
+        super().__init__(*(Indexed(mixed(np.concatenate([p[k] for p in pairs]) ^ salt[self.of[k]]), run) for k in range(2)))
+
+    def repeating(self, least: int) -> np.ndarray:
+        """Of each pair, whether a window of ``least`` shingles of either text holds one twice."""
+        out = np.zeros(len(self.sizes[0]), bool)
+        for text, of in zip((self.one, self.two), self.of):
+            out[of[(text.before >= 0) & (np.arange(len(text.s)) - text.before < least)]] = True
+        return out
+
+
+class _Spans:
+    """Spans of pairs of texts, and the places that none covers yet."""
+
+    def __init__(self, n_x: int, n_y: int):
+        self.open_x, self.open_y, self.found = np.ones(n_x, bool), np.ones(n_y, bool), []
+
+    def adds(self, x0: int, x1: int, y0: int, y1: int) -> bool:
+        return bool(self.open_x[x0 : x1 + 1].any() or self.open_y[y0 : y1 + 1].any())
+
+    def add(self, span: tuple[int, int, int, int]) -> bool:
+        x0, x1, y0, y1 = span
+        if not self.adds(*span):
+            return False
+        self.found.append(span)
+        self.open_x[x0 : x1 + 1] = self.open_y[y0 : y1 + 1] = False
+        return True
+
+
+def _sliced(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the ranges from lo to hi (not included) one after the other, and which range each is of."""
+    n = np.maximum(hi - lo, 0)
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - (np.cumsum(n) - n)[of] + lo[of], of
+
+
+def _plain(pairs: _Together, wanted: np.ndarray, least: int, percent: int) -> list[list[tuple[int, int, int, int]]]:
+    """Passages of the wanted pairs, whose windows of ``least`` shingles repeat none. So what two windows have in common is the number of
+    places that agree in them."""
+    one, two, run, x_first, y_first = pairs.one, pairs.two, pairs.one.run, *pairs.first
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in wanted]
+    # places that agree, by diagonal; those of different pairs are too far apart to meet
+    at = np.flatnonzero(wanted[pairs.of[0]] & (pairs.of_x < len(two.s)))
+    lo, hi = pairs.of_x[at], np.searchsorted(two.s_sorted, one.s[at], side="right")
+    py, of = _sliced(lo, hi)
+    px, py = at[of], two.by[py]
+    pair = pairs.of[0][px]
+    wide = pairs.sizes[0] + pairs.sizes[1] + 3 * least
+    base = np.cumsum(wide) - wide + pairs.sizes[1] + least
+    diagonal = base[pair] + (px - x_first[pair]) - (py - y_first[pair])
+    order = np.argsort(diagonal, kind="stable")
+    px, py, diagonal, pair = px[order], py[order], diagonal[order], pair[order]
+    # diagonals with a run, and where their runs begin and end
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(diagonal) != 0) | (np.diff(px) != 1)])[: len(px)])
+    length = np.diff(np.append(edge, len(px)))
+    edge, length = edge[length >= run], length[length >= run]
+    if not len(edge):
+        return out
+    named, begin = np.unique(diagonal[edge], return_index=True)
+    end = np.append(begin[1:], len(edge)) - 1
+    of_pair, first, last = pair[edge[begin]], px[edge[begin]], px[edge[end]] + length[end] - run
+    spans = _Spans(len(one.s), len(two.s))
+    for e in (0, -1, 1):
+        d = named + e
+        shift = d - base[of_pair] + x_first[of_pair] - y_first[of_pair]  # place in x less place in y, end to end
+        lo = np.maximum(np.maximum(first + run - least - GAP, x_first[of_pair]), y_first[of_pair] + shift)
+        hi = np.minimum(np.minimum(last + GAP, x_first[of_pair] + pairs.sizes[0][of_pair] - least), y_first[of_pair] + pairs.sizes[1][of_pair] - least + shift)
+        size = np.maximum(hi - lo + 1, 0)
+        start = np.cumsum(size + 1) - size - 1
+        near, of = _sliced(np.searchsorted(diagonal, d - least, side="right"), np.searchsorted(diagonal, d + least, side="left"))
+        off = diagonal[near] - d[of]
+        # windows that hold the place on either side
+        a = np.maximum(px[near] - least + 1 - np.minimum(off, 0), lo[of])
+        b = np.minimum(px[near] - np.maximum(off, 0), hi[of])
+        a, b = ((v - lo[of] + start[of])[a <= b] for v in (a, b))
+        n = int(size.sum()) + len(size) + 1
+        common = np.cumsum(np.bincount(a, minlength=n) - np.bincount(b + 1, minlength=n))
+        good = np.flatnonzero(100 * common >= percent * (2 * least - common))
+        if len(good):
+            begins = np.concatenate([[True], np.diff(good) > 1])
+            ends = np.append(good[np.flatnonzero(begins)[1:] - 1], good[-1])
+            begins = good[begins]
+            job = np.searchsorted(start, begins, side="right") - 1
+            x0 = begins - start[job] + lo[job]
+            for u, v, w in zip(x0.tolist(), (x0 + ends - begins + least - 1).tolist(), shift[job].tolist()):
+                if spans.adds(u, v, u - w, v - w):
+                    spans.add(_trimmed(pairs, u, v, u - w, v - w))
+    near, of = _sliced(np.searchsorted(diagonal, named - GAP, side="left"), np.searchsorted(diagonal, named + GAP, side="right"))
+    _add_strung(spans, pairs, *_nearest(px[near], py[near], diagonal[near] - named[of], of), least, percent)
+    for x0, x1, y0, y1 in spans.found:
+        k = int(pairs.of[0][x0])
+        i, j = int(x_first[k]), int(y_first[k])
+        out[k].append((x0 - i, x1 - i, y0 - j, y1 - j))
+    return out
 
+
+def _nearest(px: np.ndarray, py: np.ndarray, off: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of places near to diagonals (number ``of``, ``off`` places from it) the nearest one of each place in x: px, py, of; by of and px."""
+    order = np.lexsort((off, np.abs(off), px, of))
+    px, py, of = px[order], py[order], of[order]
+    new = np.concatenate([[True], (np.diff(px) != 0) | (np.diff(of) != 0)])[: len(px)]
+    return px[new], py[new], of[new]
+
+
+def _add_strung(spans: _Spans, held: Common, px: np.ndarray, py: np.ndarray, of: np.ndarray, least: int, percent: int) -> bool:
+    """Adds the passages of stretches of places near to a diagonal (as ``_nearest`` gives them), and says if there are any."""
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(px) > GAP) | (np.abs(np.diff(py)) > GAP)])[: len(px)])
+    end = np.append(begin[1:], len(px))
+    enough = (end - begin >= least_common(least, percent)) & (px[end - 1] - px[begin] + 1 >= least)
+    any_new = False
+    for a, b in zip(begin[enough].tolist(), end[enough].tolist()):
+        if spans.adds(int(px[a]), int(px[b - 1]), int(py[a:b].min()), int(py[a:b].max())):
+            for span in _strung(held, px[a:b], py[a:b], least, percent):
+                any_new |= spans.add(span)
+    return any_new
+
+
+def _trimmed(held: Common, x0: int, x1: int, y0: int, y1: int) -> tuple[int, int, int, int]:
+    """Ranges of two texts, from their first to their last common shingle."""
+    x, y = held.of_x[x0 : x1 + 1], held.of_y[y0 : y1 + 1]
+    if x[0] == y[0] and x[-1] == y[-1]:
+        return x0, x1, y0, y1
+    at_x, at_y = held.both(x, y)
+    return x0 + int(at_x.argmax()), x1 - int(at_x[::-1].argmax()), y0 + int(at_y.argmax()), y1 - int(at_y[::-1].argmax())
+
+
+def _repeating(one: Indexed, two: Indexed, least: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """Passages of two texts that may repeat shingles: all of ``least`` shingles, and longer ones along the diagonals with a common run."""
+    if not np.isin(one.runs, two.runs).any():
+        return []
+    held, spans = Common(one, two), _Spans(len(one.s), len(two.s))
+    for span in _all_windows(held, least, percent):
+        spans.add(span)
+    # what lies before the first or behind the last common shingle is in no passage
+    for left, common in ((spans.open_x, held.of_x < len(two.s)), (spans.open_y, np.isin(two.s, one.s))):
+        at = np.flatnonzero(common)
+        left[: at[0]] = left[at[-1] + 1 :] = False
+    if not spans.open_x.any() and not spans.open_y.any():
+        return _merged(spans.found)
+    # places of runs inside windows that can be a passage; of windows with the same set of shingles the first and the last stand for all
+    band, kept = _Band(held), [_may_hold(t, of, least, percent) for t, of in ((one, held.of_x < len(two.s)), (two, np.isin(two.s, one.s)))]
+    named, hits = _diagonals(one, two, *kept)
     # equal ones far apart from each other, as neighbours in a periodic stretch cover nearly the same
-    named = named[np.lexsort((mixed(named.astype(np.uint64)), -hits))]
-    fresh = None
-    for d in named[band.sizes(named) >= (run if repeats else least_common(least, percent))].tolist():
-        u, v = max(0, d), min(len(rx), len(ry) + d)
-        alike = rx[u:v] == ry[u - d : v - d]
-        if found:
+    order = np.lexsort((mixed(named.astype(np.uint64)), -hits))
+    named = named[order[band.sizes(named[order]) >= least_common(least, percent)]]
+    some, named, first = named[:1], named[1:], True
+    while len(some):
+        if _add_strung(spans, held, *band.near(some), least, percent) or first:
+            if not spans.open_x.any() and not spans.open_y.any():
+                break
             # a run may add words of its own, or what lies next to it
-            fresh = fresh or (_near(open_x, run), _near(open_y, run))
-            if not (alike & (fresh[0][u:v] | fresh[1][u - d : v - d])).any():
-                continue
-        if tried(d, np.flatnonzero(alike) + u):
-            fresh = None
-        if found and not open_x.any() and not open_y.any():
-            break
-    if found and repeats:
+            fresh, first = (_near(spans.open_x, one.run), _near(spans.open_y, one.run)), False
+            named = named[np.isin(named, _diagonals(one, two, *kept, fresh)[0])]
+        n = max(1, int(np.searchsorted(np.cumsum(band.sizes(named)), BAND)))
+        some, named = named[:n], named[n:]
+    if spans.found:
         # windows with the same set as one inside a passage are as similar
-        for u, v in _as_inside(one, [f[:2] for f in found], open_x, least):
-            added([(u, v, *found[0][2:])])
-        for u, v in _as_inside(two, [f[2:] for f in found], open_y, least):
-            added([(*found[0][:2], u, v)])
-    return found
+        found = list(spans.found)
+        for u, v in _as_inside(one, [f[:2] for f in found], spans.open_x, least):
+            spans.add((u, v, *found[0][2:]))
+        for u, v in _as_inside(two, [f[2:] for f in found], spans.open_y, least):
+            spans.add((*found[0][:2], u, v))
+    return _merged(spans.found)
+
+
+def _merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Spans with what touches in x, and in y, put together; each side's least first."""
+    sides = []
+    for k in (0, 2):
+        side: list[list[int]] = []
+        for a, b in sorted({(s[k], s[k + 1]) for s in spans}):
+            if side and a <= side[-1][1] + 1:
+                side[-1][1] = max(b, side[-1][1])
+            else:
+                side.append([a, b])
+        sides.append(side)
+    x, y = sides
+    return [(*x[min(k, len(x) - 1)], *y[min(k, len(y) - 1)]) for k in range(max(len(x), len(y)))]
+
+
+def _all_windows(held: Common, least: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """Passages that cover each window of ``least`` shingles that is similar enough to one of the other text. A shingle is in the windows of intervals of
+    starts on either side, and counts in the rectangles where two meet."""
+    one, two, n = held.one, held.two, len(held.two.s)
+    counts = [t.distinct(least) for t in (one, two)]
+    rows, columns = (np.flatnonzero(100 * window_counts(t.before, least, of) >= percent * c) for t, of, c in zip((one, two), (held.of_x < n, np.isin(two.s, one.s)), counts))
+    if not len(rows) or not len(columns):
+        return []
+    sides = []
+    for values, some in ((held.of_x, rows), (held.of_y, columns)):
+        v, a, b = _starts(values, least)
+        a, b = np.searchsorted(some, a - least, side="left"), np.searchsorted(some, b - least, side="right")
+        kept = (a < b) & (v < n)
+        sides.append((v[kept], a[kept], b[kept]))
+    (vx, ax, bx), (vy, ay, by) = sides
+    of_y, of_x = _sliced(np.searchsorted(vy, vx, side="left"), np.searchsorted(vy, vx, side="right"))
+    top, bottom, left, right = ax[of_x], bx[of_x], ay[of_y], by[of_y]
+    wide, found = len(columns) + 1, []
+    n_x, n_y = counts[0][rows], counts[1][columns]
+    step = max(1, CELLS // wide)
+    for r in range(0, len(rows), step):
+        high = min(step, len(rows) - r)
+        here = (top < r + high) & (bottom > r)
+        t, b, le, ri = np.maximum(top[here] - r, 0) * wide, np.minimum(bottom[here] - r, high) * wide, left[here], right[here]
+        one_each = np.ones(len(t), np.float32)
+        common = np.bincount(np.concatenate([t + le, b + ri, t + ri, b + le]), np.concatenate([one_each, one_each, -one_each, -one_each]), minlength=(high + 1) * wide)
+        common = common.reshape(high + 1, wide).cumsum(axis=0).cumsum(axis=1)[:high, :-1]
+        good = (100 + percent) * common >= percent * (n_x[r : r + high, None] + n_y[None, :])
+        i, j = np.nonzero(good)
+        if not len(i):
+            continue
+        # each window goes with the diagonal that has the most of them
+        weight = np.bincount(rows[r + i] - columns[j] + columns[-1])
+        cells = []
+        for matrix, swapped in ((good, False), (good.T, True)):
+            i, j = np.nonzero(matrix)
+            d = (rows[r + j] - columns[i] if swapped else rows[r + i] - columns[j]) + columns[-1]
+            best = np.maximum.reduceat(weight[d] * len(weight) + d, np.flatnonzero(np.diff(i, prepend=-1))) % len(weight)
+            i = i[np.flatnonzero(np.diff(i, prepend=-1))]
+            cells.append((best, columns[i] + best - columns[-1] if swapped else rows[r + i]))
+        d, x = (np.concatenate(v) for v in zip(*cells))
+        at = np.unique(d * len(one.s) + x)
+        d, x = at // len(one.s) - columns[-1], at % len(one.s)
+        for part in np.split(np.arange(len(x)), np.flatnonzero((np.diff(x) != 1) | (np.diff(d) != 0)) + 1):
+            x0, x1, k = int(x[part[0]]), int(x[part[-1]]) + least - 1, int(d[part[0]])
+            found.append(_trimmed(held, x0, x1, x0 - k, x1 - k))
+    return sorted(found, key=lambda f: (f[0] - f[1], f))
 
 
 def _as_inside(text: Indexed, spans: list[tuple[int, int]], free: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -319,8 +536,8 @@ def _may_hold(text: Indexed, held: np.ndarray, least: int, percent: int) -> np.n
     return total[np.minimum(i + 1, len(good))] > total[np.maximum(i + text.run - least, 0)]
 
 
-def _diagonals(one: Indexed, two: Indexed, of_x: np.ndarray, of_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Diagonals with common runs (of the places in the masks), and how many."""
+def _diagonals(one: Indexed, two: Indexed, of_x: np.ndarray, of_y: np.ndarray, fresh: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Diagonals with common runs (of the places in the masks, and in a mask of ``fresh`` on one side), and how many."""
     by = two.runs_by[of_y[two.runs_by]]
     at, held = np.flatnonzero(of_x), two.runs[by]
     lo, hi = (np.searchsorted(held, one.runs[at], side=side) for side in ("left", "right"))
@@ -328,9 +545,12 @@ def _diagonals(one: Indexed, two: Indexed, of_x: np.ndarray, of_y: np.ndarray) -
     hits, upto, i = np.zeros(len(one.runs) + len(two.runs), np.int64), np.cumsum(n), 0
     while i < len(at):
         j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + BLOCK, side="right")))
-        m = n[i:j]
-        places = by[np.repeat(lo[i:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
-        hits += np.bincount(np.repeat(at[i:j], m) - places + len(two.runs), minlength=len(hits))
+        y, x = _sliced(lo[i:j], lo[i:j] + n[i:j])
+        x, y = at[i:j][x], by[y]
+        if fresh:
+            wanted = fresh[0][x] | fresh[1][y]
+            x, y = x[wanted], y[wanted]
+        hits += np.bincount(x - y + len(two.runs), minlength=len(hits))
         i = j
     d = np.flatnonzero(hits)
     return d - len(two.runs), hits[d]
@@ -374,40 +594,47 @@ def _starts(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class _Band:
-    """Places of common shingles on a diagonal or up to GAP from it: of each place of x the one nearest to the diagonal."""
-
-    def __init__(self, one: Indexed, two: Indexed):
-        self.x, self.y = x, y = one.s, two.s
-        by = two.by
-        lo, hi = np.searchsorted(two.s_sorted, x, side="left"), np.searchsorted(two.s_sorted, x, side="right")
-        n = hi - lo
-        self.periodic = n.sum() > 64 * (len(x) + len(y))
-        if not self.periodic:
-            px = np.repeat(np.arange(len(x)), n)
-            py = by[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    """Places of common shingles on diagonals or up to GAP from them: of each place of x the one nearest to the diagonal."""
+
+    def __init__(self, held: Common):
+        n = len(held.two.s)
+        self.x, self.y = held.of_x, held.of_y
+        at = np.flatnonzero(self.x < n)
+        lo, hi = self.x[at], np.searchsorted(held.two.s_sorted, held.one.s[at], side="right")
+        self.dense = (hi - lo).sum() > 8 * (len(self.x) + n)
+        if self.dense:
+            # y with places that agree with nothing at both ends
+            self.at, self.ends = at, len(self.x) + GAP
+            self.y = np.concatenate([np.full(self.ends, n), self.y, np.full(self.ends, n)])
+        else:
+            py, of = _sliced(lo, hi)
+            px, py = at[of], held.two.by[py]
             order = np.argsort(px - py, kind="stable")
             self.px, self.d = px[order], (px - py)[order]
 
     def sizes(self, diagonals: np.ndarray) -> np.ndarray:
-        if self.periodic:
+        if self.dense:
             return np.full(len(diagonals), len(self.x))
         return np.searchsorted(self.d, diagonals + GAP, side="right") - np.searchsorted(self.d, diagonals - GAP, side="left")
 
-    def near(self, d: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.periodic:
-            parts = []
-            for e in range(d - GAP, d + GAP + 1):
-                lo, hi = max(0, e), min(len(self.x), len(self.y) + e)
-                parts.append(np.flatnonzero(self.x[lo:hi] == self.y[lo - e : hi - e]) + lo if hi > lo else np.zeros(0, np.int64))
-            px, of = np.concatenate(parts), np.repeat(np.arange(d - GAP, d + GAP + 1), [len(v) for v in parts])
-        else:
-            a, b = np.searchsorted(self.d, [d - GAP, d + GAP + 1])
-            px, of = self.px[a:b], self.d[a:b]
-        order = np.lexsort((of, np.abs(of - d), px))
-        px, of = px[order], of[order]
-        first = np.ones(len(px), bool)
-        first[1:] = px[1:] != px[:-1]
-        return px[first], (px - of)[first]
+    def near(self, diagonals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in x, in y, and the diagonal's number; by the latter and the place in x."""
+        if not self.dense:
+            at, of = _sliced(np.searchsorted(self.d, diagonals - GAP, side="left"), np.searchsorted(self.d, diagonals + GAP, side="right"))
+            px, d = self.px[at], self.d[at]
+            return _nearest(px, px - d, d - diagonals[of], of)
+        # what agrees with nothing yet is tried one place farther from the diagonal each time
+        off = np.full(len(diagonals) * len(self.at), GAP + 1)
+        left, shift = np.arange(len(off)), np.repeat(diagonals, len(self.at))
+        px = np.tile(self.at, len(diagonals))
+        want, at = self.x[px], np.minimum(np.maximum(px - shift, -len(self.x)), len(self.y) - self.ends - 1) + self.ends
+        for e in sorted(range(-GAP, GAP + 1), key=abs):
+            same = self.y[at - e] == want
+            off[left[same]] = e
+            left, want, at = left[~same], want[~same], at[~same]
+        kept = off <= GAP
+        px = px[kept]
+        return px, px - shift[kept] - off[kept], np.repeat(np.arange(len(diagonals)), len(self.at))[kept]
 
 
 def _near(left: np.ndarray, run: int) -> np.ndarray:
@@ -643,13 +870,9 @@ def linked_stretches(kinds: DataFrame, passage: int, percent: int) -> tuple[Data
 
     def verified(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            out, head, two = [], None, None
-            # pairs with the same head one after the other, so that it is indexed once
-            for x, y, cx, cy in sorted(zip(*(batch.column(c).to_pylist() for c in ("x", "y", "cx", "cy"))), key=lambda r: r[1::-1]):
-                if y != head:
-                    head, two = y, Indexed(filled(cy, 1), run)
-                out.extend((x, y, *p) for p in aligned(Indexed(filled(cx, 0), run), two, least, percent))
-            yield _six(out)
+            x, y, cx, cy = (batch.column(c).to_pylist() for c in ("x", "y", "cx", "cy"))
+            spans = aligned([(filled(a, 0), filled(b, 1)) for a, b in zip(cx, cy)], least, percent)
+            yield _six([(a, b, *p) for a, b, found in zip(x, y, spans) for p in found])
 
     found, roots = None, None
     apart = (F.col("x_lo") != F.col("y_lo")) | (F.col("x_hi") != F.col("y_hi")) | (F.col("x_lo") != F.col("x_hi"))
@@ -683,31 +906,47 @@ def _tiles(placed: DataFrame, places: DataFrame, least: int, percent: int, run:
     def compared(got: pa.Table) -> pa.Table:
         i, j, key = (got.column(c)[0].as_py() for c in ("i", "j", "key"))
         at = sorted(range(got.num_rows), key=got.column("d").to_pylist().__getitem__)
-        side, names, root, lo, hi = (got.column(c).to_pylist() for c in ("side", "d", "root", "lo", "hi"))
-        texts = [np.frombuffer(c, np.uint32) for c in got.column("content").to_pylist()]
-        own = [set(k) for k in got.column("keys").to_pylist()]
-        left, right = ([k for k in at if side[k] == s] for s in (i, j))
+        side, names, root, contents = (got.column(c).to_pylist() for c in ("side", "d", "root", "content"))
+        lo, hi = (got.column(c).to_numpy() for c in ("lo", "hi"))
+        lesser = [np.array([v for v in k if v < key], np.int64).view(np.uint64) for k in got.column("keys").to_pylist()]
+        forest = Forest(0)
+        number: dict[bytes, int] = {}
+        node = np.array([number.setdefault(r, forest.add() if r not in number else 0) for r in root])
+        left, right = (np.array([k for k in at if side[k] == s], int) for s in (i, j))
+        # pairs that aren't connected, have this as their least key, and aren't of one document alone
+        near = common_counts([lesser[k] for k in left], [lesser[k] for k in right]) == 0
+        near &= (node[left][:, None] != node[right]) & ((lo[left][:, None] != lo[right]) | (hi[left][:, None] != hi[right]) | (lo[left] != hi[left])[:, None])
+        near = np.triu(near, 1) if i == j else near
+        if not near.any():
+            return pa.Table.from_batches([_six([])])
+        left, right, near = left[near.any(axis=1)], right[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
         # a common run, and as many common shingles as the passages with the fewest distinct ones need
-        runs = [distinct(run_digests(filled(c, k), run)) for k, c in enumerate(texts)]
-        sets = [distinct(c[c != 0]).astype(np.uint64) for c in texts]
-        need = np.array([-(-percent * _fewest(c, least) // 100) for c in texts])
-        near = common_counts([runs[k] for k in left], [runs[k] for k in right]) > 0
+        texts = {k: np.frombuffer(contents[k], np.uint32) for k in {*left.tolist(), *right.tolist()}}
+        runs = {k: distinct(run_digests(filled(c, k), run)) for k, c in texts.items()}
+        near &= common_counts([runs[k] for k in left], [runs[k] for k in right]) > 0
+        sets = {k: distinct(c[c != 0]).astype(np.uint64) for k, c in texts.items()}
+        need = {k: -(-percent * _fewest(c, least) // 100) for k, c in texts.items()}
         total = common_counts([sets[k] for k in left], [sets[k] for k in right])
-        near &= total >= np.maximum(need[left][:, None], need[right][None, :])
-        pairs = [(float(total[a, b]), left[a], right[b]) for a, b in zip(*(v.tolist() for v in np.nonzero(near))) if i != j or a < b]
-        index = functools.cache(lambda k, s: Indexed(filled(texts[k], s), run))
-        forest, out = Forest(0), []
-        number: dict[bytes, int] = {}
-        node = [number.setdefault(r, forest.add() if r not in number else 0) for r in root]
-        for _, x, y in sorted(pairs, key=lambda p: (-p[0], names[p[1]], names[p[2]])):
-            if forest.root(node[x]) == forest.root(node[y]) or lo[x] == hi[x] == lo[y] == hi[y]:
-                continue
-            if min(own[x] & own[y]) != key:
-                continue
-            spans = aligned(index(x, 0), index(y, 1), least, percent)
-            if spans:
-                forest.join(node[x], node[y])
-                out.extend((names[x], names[y], *p) for p in spans)
+        near &= total >= np.maximum(np.array([need[k] for k in left])[:, None], np.array([need[k] for k in right]))
+        pairs = [(float(total[a, b]), int(left[a]), int(right[b])) for a, b in zip(*(v.tolist() for v in np.nonzero(near)))]
+        full = functools.cache(lambda k, s: filled(texts[k], s))
+        out, todo = [], [(x, y) for _, x, y in sorted(pairs, key=lambda p: (-p[0], names[p[1]], names[p[2]]))]
+        while todo:
+            # pairs that connect what the others of their wave don't; the rest waits for what the wave gives
+            later, k = [], 0
+            while k < len(todo):
+                wave, would = [], Forest(0)
+                would.up = list(forest.up)
+                while k < len(todo) and len(wave) < WAVE:
+                    x, y = todo[k]
+                    if forest.root(node[x]) != forest.root(node[y]):
+                        (wave if would.join(node[x], node[y]) else later).append((x, y))
+                    k += 1
+                for (x, y), spans in zip(wave, aligned([(full(x, 0), full(y, 1)) for x, y in wave], least, percent)):
+                    if spans:
+                        forest.join(node[x], node[y])
+                        out.extend((names[x], names[y], *p) for p in spans)
+            todo = later
         return pa.Table.from_batches([_six(out)])
 
     return rows.groupBy("key", "i", "j").applyInArrow(compared, _SIX_SCHEMA)

@@ -286,3 +286,37 @@ def test_passages_whose_first_or_last_word_differs(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["class_id"], r["repeated"]) for r in m.substring_duplicates(df).collect()}
     assert got == {i: (i - i % 2, True) for i in texts}
+
+
+def phrased(rng, n):
+    """A text that repeats a phrase, with stray words."""
+    phrase, w = rng.integers(0, 1 << 40, int(rng.integers(3, 12))).tolist(), []
+    while len(w) < n:
+        w += phrase + (rng.integers(0, 1 << 40, int(rng.integers(1, 9))).tolist() if rng.random() < 0.4 else [])
+    return w
+
+
+def test_no_window_of_texts_that_repeat_is_lost():
+    rng = np.random.default_rng(15)
+    pairs = []
+    for _ in range(60):
+        x = phrased(rng, int(rng.integers(60, 160)))
+        y = [w if rng.random() < 0.97 else 5 for w in x]
+        at = int(rng.integers(0, 40))
+        pairs.append(tuple(m.shingle_digests(mixed(np.array(w, np.uint64)), 5) for w in (x, y[at:] + y[:at] + y[at:])))
+    together = m.aligned(pairs, 46, 80)
+    assert together == [m.passages(x, y, 46, 80) for x, y in pairs]
+    similar = 0
+    for (x, y), spans in zip(pairs, together):
+        if not np.isin(m.run_digests(x, 21), m.run_digests(y, 21)).any():
+            continue
+        covered = set()
+        for x0, x1, _, _ in spans:
+            covered.update(range(x0, x1 + 1))
+        of_y = [set(y[j : j + 46].tolist()) for j in range(len(y) - 45)]
+        for i in range(len(x) - 45):
+            held = set(x[i : i + 46].tolist())
+            places = [[k for k in range(i, i + 46) if x[k] in v] for v in of_y if 5 * len(held & v) >= 4 * len(held | v)]
+            similar += bool(places)
+            assert not places or any(covered.issuperset(range(p[0], p[-1] + 1)) for p in places)
+    assert similar > 1000

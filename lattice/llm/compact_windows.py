@@ -467,6 +467,9 @@ def _all_windows(held: Common, least: int, percent: int) -> list[tuple[int, int,
     rows, columns = (np.flatnonzero(100 * window_counts(t.before, least, of) >= percent * c) for t, of, c in zip((one, two), (held.of_x < n, np.isin(two.s, one.s)), counts))
     if not len(rows) or not len(columns):
         return []
+    if len(rows) * len(columns) > CELLS:
+        # of windows with the same set the first and the last stand for all; ``_as_inside`` gives the others
+        rows, columns = (some[_ends(t.sets(least)[some])] for t, some in ((one, rows), (two, columns)))
     sides = []
     for values, some in ((held.of_x, rows), (held.of_y, columns)):
         v, a, b = _starts(values, least)
@@ -508,6 +511,14 @@ def _all_windows(held: Common, least: int, percent: int) -> list[tuple[int, int,
     return sorted(found, key=lambda f: (f[0] - f[1], f))
 
 
+def _ends(values: np.ndarray) -> np.ndarray:
+    """A mask of the first and the last place of each value."""
+    out = np.zeros(len(values), bool)
+    out[np.unique(values, return_index=True)[1]] = True
+    out[len(values) - 1 - np.unique(values[::-1], return_index=True)[1]] = True
+    return out
+
+
 def _as_inside(text: Indexed, spans: list[tuple[int, int]], free: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Ranges of windows that have the set of a window inside a span, where something is free."""
     inside, sets = np.zeros(len(text.s) - least + 2, np.int64), text.sets(least)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_ready, sent, shared_path, spread_join, table
+from .common import python_ready, shared_path, table
 from .shingles import mixed
 
 LENGTH = 50
@@ -63,6 +63,17 @@ def gram_hashes(b: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def hashes_at(data: np.ndarray, size: int, *places: np.ndarray) -> list[np.ndarray]:
+    """The hashes of ``size`` bytes at places, which ascend."""
+    out = [np.zeros(len(at), _U) for at in places]
+    for lo in range(0, max(0, len(data) - size + 1), STEP):
+        h = gram_hashes(data[lo : lo + STEP + size - 1], size)
+        for at, hashes in zip(places, out):
+            i, j = np.searchsorted(at, (lo, lo + len(h)))
+            hashes[i:j] = h[at[i:j] - lo]
+    return out
+
+
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """The least of each n values that follow each other."""
     k = 1
@@ -107,15 +118,6 @@ def named_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (*[np.zeros(0, np.int64)] * 3, np.zeros(0, _U), np.zeros(0, np.int64))
 
 
-def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """data from each start to end as a column, and the column of their digests."""
-    sizes = end - start
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    raw = data[np.repeat(start - offsets[:-1], sizes) + np.arange(offsets[-1])].tobytes()
-    digests = [hashlib.md5(raw[i:j], usedforsecurity=False).digest() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw)]), pa.array(digests, pa.binary())
-
-
 def _bytes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
@@ -186,6 +188,10 @@ def _asked(grams: np.ndarray, docs: np.ndarray, n_buckets: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "keys", "docs"])
 
 
+#: Spark then deletes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables in the shared folder, until they are no longer needed."""
 
@@ -193,10 +199,18 @@ class Scratch:
         self.spark, self.paths = spark, {}
 
     def table(self, name: str, made: Callable[[], DataFrame], drop: tuple[str, ...] = ()) -> DataFrame:
-        """What ``made`` gives, written and read again; then the tables ``drop`` go. Spark deletes the shuffle files behind a DataFrame that nobody has
-        any longer (therefore a function makes it), but only when the driver's JVM has collected its garbage, which may be long after: that is asked for."""
+        """What ``made`` gives, written and read again; then the tables ``drop`` go. The shuffle files behind it go as soon as it is written, or, where
+        Spark can't do that, when the driver's JVM has collected its garbage, which is asked for (therefore a function makes the DataFrame)."""
         path = self.paths[name] = shared_path(self.spark, name)
-        made().write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            made().write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         jvm = self.spark.sparkContext._jvm
         for old in drop:
             place = jvm.org.apache.hadoop.fs.Path(self.paths.pop(old))
@@ -206,155 +220,282 @@ class Scratch:
         return self.spark.read.parquet(path)
 
 
-def stretches(texts: DataFrame, shared: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The stretches of positions whose gram is shared: doc, t, at (the first position), n (positions), k (digest of body) and body (the bytes of
-    all its strings). shared: doc, keys."""
+#: Columns of runs of positions: the place (document, digest of its text, first position, number of positions), the run's key of 128 bits and the hash of
+#: the bytes that all its strings share. body has the bytes of its strings, start is where they begin there.
+COLUMNS = {"doc": "<i8", "t": "<i8", "at": "<i4", "n": "<i4", "a": "<u8", "b": "<u8", "known": "<u8"}
+PLACE = ("doc", "t", "at", "n")
+PACK = ", ".join(["bucket int, kind int, size int", *[f"`{c}` binary" for c in COLUMNS], "body binary"])
+_NAMES = ["bucket", "kind", "size", *COLUMNS, "body"]
+#: Bytes and runs of a batch, and of a pack that is written down.
+RUN_BYTES, BATCH_RUNS, PACK_BYTES, PACK_RUNS = 1 << 23, 1 << 19, 1 << 16, 1 << 9
+#: Rows of texts or packs of which runs are made at once.
+AT_ONCE = 16
+#: Bytes of texts, of stretches and of pieces for which there is a bucket.
+TEXT_BUCKET, STRETCH_BUCKET, PIECE_BUCKET = 1 << 23, 1 << 21, 1 << 21
+#: Runs that go as a whole; that go on; that go on if another document shares what is known of them; and what is known to be shared.
+_GONE, _OPEN, _ASKS, _SHARED = range(4)
+Runs = dict[str, np.ndarray]
+
+
+def taken(runs: Runs, at: np.ndarray, names: tuple[str, ...] | None = None) -> Runs:
+    """Some runs (indices or a mask), with some columns."""
+    return {c: x[at] for c, x in runs.items() if names is None or c in names}
+
+
+def joined(parts: list[Runs]) -> Runs:
+    return {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
+
+
+def gathered(data: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of data from each start on, one after another, and where each begins."""
+    begins = np.cumsum(sizes) - sizes
+    out = np.empty(sizes.sum(), np.uint8)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(begins, begins[lo] + STEP)))
+        at, end = begins[lo], begins[hi - 1] + sizes[hi - 1]
+        out[at:end] = data[np.repeat(start[lo:hi] - begins[lo:hi], sizes[lo:hi]) + np.arange(at, end)]
+        lo = hi
+    return out, begins
+
+
+def packs(kind: int, to: np.ndarray, runs: Runs, body: np.ndarray | None, length: int) -> list[tuple]:
+    """A row for each value of to, which has the runs of that value as packed columns."""
+    order = np.argsort(to, kind="stable")
+    to, runs = to[order], taken(runs, order)
+    out = []
+    for lo, hi in zip(*ends_of(to)):
+        raw = b"" if body is None else gathered(body, runs["start"][lo:hi], runs["n"][lo:hi].astype(np.int64) + (length - 1))[0].tobytes()
+        out.append((int(to[lo]), kind, len(raw), *[_bytes(runs[c][lo:hi].astype(x, copy=False)) if c in runs else b"" for c, x in COLUMNS.items()], raw))
+    return out
 
-    def cut_out(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            data, offsets = flat(batch.column(2))
-            owner, first, last, gram, _ = named_runs(data, offsets, length)
-            keys = batch.column(3)
-            known = _of_owner(keys.flatten().to_numpy(), np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy()))
-            ours = np.isin(_of_owner((gram & _U((1 << KEY_BITS) - 1)).astype(np.int64), owner), known)
-            owner, first, last, gram = owner[ours], first[ours], last[ours], gram[ours]
-            ends = (gram >> _U(24)) % _U(STRETCH) == 0
-            begins = np.concatenate([[True], ends[:-1] | (first[1:] != last[:-1] + 1)])[: len(first)]
-            lo, hi, of = first[begins], last[np.append(begins[1:], True)[: len(first)]], owner[begins]
-            body, k = slices(data, lo, hi + length)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(lo - offsets[of]), pa.array(hi - lo + 1), k, body], names=["doc", "t", "at", "n", "k", "body"])
 
-    return texts.join(shared, "doc").select("doc", "t", "text", "keys").mapInArrow(cut_out, "doc long, t long, at long, n long, k binary, body binary")
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32()] * 3 + [pa.binary()] * (len(COLUMNS) + 1)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(types), types)], names=_NAMES)
 
 
-def _of_owner(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """One number for a key of a document; others may have it by chance."""
-    with np.errstate(over="ignore"):
-        return mixed(keys.astype(_U) + owner.astype(_U) * _U(_BASE))
+def unpacked(got: pa.Table, kind: int, length: int) -> tuple[Runs, np.ndarray]:
+    """The runs of a kind, and their bytes."""
+    got = got.filter(pa.array(got.column("kind").to_numpy() == kind))
+    column = lambda c: flat(pa.concat_arrays(got.column(c).chunks) if got.num_rows else pa.array([], pa.binary()))[0]
+    runs = {c: column(c).view(x) for c, x in COLUMNS.items()}
+    sizes = runs["n"].astype(np.int64) + (length - 1)
+    count = max(map(len, runs.values()))
+    return {c: x for c, x in runs.items() if len(x) == count} | {"start": np.cumsum(sizes) - sizes}, column("body")
 
 
-def in_pieces(heads: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The pieces of stretches (k, m, body): k, m, at (in the stretch), n, gram, named (where it is in the piece), piece (digest) and part (bytes)."""
+def firsts(runs: Runs) -> np.ndarray:
+    """Which runs are in the smallest document of those that have the same key."""
+    order = np.lexsort((runs["doc"], runs["b"], runs["a"]))
+    a, b, doc = (runs[c][order] for c in ("a", "b", "doc"))
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    out = np.zeros(len(a), dtype=bool)
+    out[order] = doc == doc[new][np.cumsum(new) - 1]
+    return out
 
-    def split(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            data, offsets = flat(batch.column(2))
-            owner, first, last, gram, named = named_runs(data, offsets, length)
-            part, piece = slices(data, first, last + length)
-            of = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(first - offsets[owner]), pa.array(last - first + 1), pa.array(gram.astype(np.int64)), pa.array(named - first), piece, part], names=["k", "m", "at", "n", "gram", "named", "piece", "part"])
 
-    return heads.select("k", "m", "body").mapInArrow(split, "k binary, m long, at long, n long, gram long, named long, piece binary, part binary")
+def several(runs: Runs) -> np.ndarray:
+    """Which runs have a known that a run of another document has, too."""
+    order = np.lexsort((runs["doc"], runs["known"]))
+    start, end = ends_of(runs["known"][order])
+    doc, out = runs["doc"][order], np.zeros(len(order), dtype=bool)
+    out[order] = np.repeat(doc[start] != doc[end - 1], end - start)
+    return out
 
 
-def repeated(positions: DataFrame, by: str) -> DataFrame:
-    """``by``, least (m) and count: the distinct values of the column by that positions of at least two documents (m) have."""
-    return positions.groupBy(by).agg(F.min("m").alias("least"), F.max("m").alias("__most"), F.count("*").alias("count")).filter("least < __most").drop("__most")
+def asking(runs: Runs, body: np.ndarray | None, n_buckets: int, length: int) -> pa.RecordBatch:
+    """A batch's rows for the buckets. Of equal runs only those of the batch's smallest document ask, and runs that know that what they know is shared
+    tell it once and go on by their own keys, so that bytes that very many documents have are no hot spot."""
+    n = _U(n_buckets)
+    by_key = lambda x: mixed(x["a"] + x["b"] * _U(_BASE)) % n
+    first = firsts(runs)
+    gone, runs = taken(runs, ~first, PLACE), taken(runs, first)
+    rows = packs(_GONE, gone["doc"].view(_U) % n, gone, None, length)
+    if "known" not in runs:
+        return batch_of(rows + packs(_OPEN, by_key(runs), runs, body, length))
+    shared = several(runs)
+    asks, open_ = taken(runs, ~shared), taken(runs, shared)
+    told = np.unique(open_.pop("known"))
+    rows += packs(_SHARED, told % n, {"known": told}, None, length)
+    return batch_of(rows + packs(_ASKS, asks["known"] % n, asks, body, length) + packs(_OPEN, by_key(open_), open_, body, length))
 
 
-def ranked(positions: DataFrame, by: str) -> DataFrame:
-    """The same with rank, in the order of by."""
-    return repeated(positions, by).orderBy(by).select(by, "least", "count", F.monotonically_increasing_id().alias("rank"))
+def settled(packed: DataFrame, length: int) -> DataFrame:
+    """What buckets answer, in packs: runs that an equal run of a smaller document has settled are gone; those left are open, if they have bytes."""
 
+    def answered(got: pa.Table) -> pa.Table:
+        told, _ = unpacked(got, _SHARED, length)
+        gone, _ = unpacked(got, _GONE, length)
+        left, away, bodies = [], [taken(gone, slice(None), PLACE)], []
+        for kind in (_ASKS, _OPEN):
+            runs, body = unpacked(got, kind, length)
+            if len(runs["doc"]):
+                left.append(taken(runs, slice(None), (*PLACE, "a", "b")) | {"known": runs.get("known", np.zeros(len(runs["doc"]), _U)), "start": runs["start"] + sum(map(len, bodies)), "open": np.full(len(runs["doc"]), kind == _OPEN)})
+                bodies.append(body)
+        rows = []
+        if left:
+            runs, body = joined(left), np.concatenate(bodies)
+            first = firsts(runs)
+            away.append(taken(runs, ~first, PLACE))
+            runs = taken(runs, first)
+            asks = np.nonzero(~runs["open"])[0]
+            runs["open"][asks] = several(taken(runs, asks)) | np.isin(runs["known"][asks], told["known"])
+            runs = taken(runs, runs["open"], (*PLACE, "start"))
+            if len(body):
+                sizes = np.cumsum(runs["n"].astype(np.int64) + (length - 1))
+                rows += packs(_OPEN, sizes // PACK_BYTES + np.arange(len(sizes)) // PACK_RUNS, runs, body, length)
+        away = joined(away)
+        rows += packs(_GONE, np.arange(len(away["doc"])) // (8 * PACK_RUNS), away, None, length)
+        return pa.Table.from_batches([batch_of(rows)])
+
+    return packed.groupBy("bucket").applyInArrow(answered, PACK)
+
+
+def in_batches(batches: Iterator[pa.RecordBatch], made: Callable[[pa.RecordBatch], tuple[Runs, np.ndarray | None]], n_buckets: int, length: int) -> Iterator[pa.RecordBatch]:
+    """``asking`` for the runs that are made of each few rows, many at once."""
+    runs, bodies, count, size = [], [], 0, 0
+    for few in (batch.slice(i, AT_ONCE) for batch in batches for i in range(0, batch.num_rows, AT_ONCE)):
+        some, body = made(few)
+        if not len(some["doc"]):
+            continue
+        if body is not None:
+            body, some["start"] = gathered(body, some["start"], some["n"].astype(np.int64) + (length - 1))
+            some["start"] += size
+            bodies.append(body)
+            size += len(body)
+        runs.append(some)
+        count += len(some["doc"])
+        if size >= RUN_BYTES or count >= BATCH_RUNS:
+            yield asking(joined(runs), np.concatenate(bodies) if bodies else None, n_buckets, length)
+            runs, bodies, count, size = [], [], 0, 0
+    if count:
+        yield asking(joined(runs), np.concatenate(bodies) if bodies else None, n_buckets, length)
+
+
+def buckets_of(packed: DataFrame, bucket: int) -> int:
+    return 1 + (packed.filter(F.col("kind") == _OPEN).agg(F.sum(F.col("size").cast("long"))).first()[0] or 0) // bucket
+
+
+def stretches(texts: DataFrame, shared: DataFrame, n_buckets: int, length: int = LENGTH) -> DataFrame:
+    """Packs of the stretches of positions whose gram is shared, a stretch that several documents have in the smallest. texts: doc, t, text; shared: doc, keys."""
+
+    def cut_out(batch: pa.RecordBatch) -> tuple[Runs, np.ndarray]:
+        data, offsets = flat(batch.column(2))
+        owner, first, last, gram, _ = named_runs(data, offsets, length)
+        keys = batch.column(3)
+        known = _of_owner(keys.flatten().to_numpy(), np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy()))
+        ours = np.isin(_of_owner((gram & _U((1 << KEY_BITS) - 1)).astype(np.int64), owner), known)
+        owner, first, last, gram = owner[ours], first[ours], last[ours], gram[ours]
+        ends = (gram >> _U(24)) % _U(STRETCH) == 0
+        begins = np.concatenate([[True], ends[:-1] | (first[1:] != last[:-1] + 1)])[: len(first)]
+        lo, hi, of = first[begins], last[np.append(begins[1:], True)[: len(first)]], owner[begins]
+        raw = data.tobytes()
+        digests = b"".join(hashlib.md5(raw[i:j], usedforsecurity=False).digest() for i, j in zip(lo.tolist(), (hi + length).tolist()))
+        a, b = np.frombuffer(digests, dtype="<u8").reshape(-1, 2).T
+        doc, t = (batch.column(i).to_numpy()[of] for i in (0, 1))
+        return {"doc": doc, "t": t, "at": (lo - offsets[of]).astype(np.int32), "n": (hi - lo + 1).astype(np.int32), "a": a, "b": b, "start": lo}, data
+
+    met = texts.join(shared, "doc").select("doc", "t", "text", "keys")
+    return settled(met.mapInArrow(lambda batches: in_batches(batches, cut_out, n_buckets, length), PACK), length)
 
-def doubled(scratch: Scratch, pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """piece and hits (array of long): the positions of each piece (piece, m, part, named) whose string a piece with a lesser m has, too, by prefix doubling.
 
-    All strings of a piece have its gram; those that begin far before it also have so many bytes before it, the others so many after it, that three quarters of
-    their length are known. These are ranked first, at most two for a piece. Positions behind a rank that two documents have get the pair of their
-    halves, and the pairs are ranked."""
-    half, far = half_of(length), (length - half_of(length) + 1) // 2
-    near = length - far + 1  # bytes of the gram and what follows, where a string begins less than far before it
+def _of_owner(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """One number for a key of a document; others may have it by chance."""
+    with np.errstate(over="ignore"):
+        return mixed(keys.astype(_U) + owner.astype(_U) * _U(_BASE))
 
-    def sides(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            data, offsets = flat(batch.column(2))
-            named = batch.column(3).to_numpy()
-            n = np.diff(offsets) - length + 1
-            for side, at, size in ((0, named - far, half + far), (1, named, near)):
-                # the first position begins far before the gram, the last one near it
-                has = named >= far if side == 0 else named - n + 1 < far
-                h = gram_hashes(data, size) if has.any() else None
-                if h is not None:
-                    of = np.nonzero(has)[0]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(np.full(len(of), side)), pa.array(h[offsets[of] + at[of]].astype(np.int64))], names=["number", "m", "side", "quarters"])
-
-    def halves(batches: Iterator[pa.RecordBatch]):
+
+def in_pieces(runs: Runs, data: np.ndarray, length: int) -> Runs:
+    """The pieces of stretches: positions that name one gram, apart those that begin far before it and those near it. All strings of the former
+    have so many bytes before the gram, too, and those of the latter so many after it, that three quarters of their length are known."""
+    half, far = half_of(length), (length - half_of(length) + 1) // 2
+    offsets = np.append(runs["start"], len(data))
+    owner, first, last, _, named = named_runs(data, offsets, length)
+    sides = []
+    for lo, hi, at, size in ((first, np.minimum(last, named - far), named - far, half + far), (np.maximum(first, named - far + 1), last, named, length - far + 1)):
+        has = hi >= lo
+        sides.append((lo[has], hi[has], owner[has], hashes_at(data, size, at[has])[0]))
+    # the halves of the first string and of the last one have all bytes of a piece
+    halves, out = iter(hashes_at(data, half, *[x for lo, hi, _, _ in sides for x in (lo, lo + (length - half), hi, hi + (length - half))])), []
+    for lo, hi, of, known in sides:
+        with np.errstate(over="ignore"):
+            a, b = (mixed(next(halves) + mixed(next(halves)) * _U(_BASE)) for _ in range(2))
+            a += (hi - lo).astype(_U)
+        place = {"doc": runs["doc"][of], "t": runs["t"][of], "at": (runs["at"][of] + (lo - offsets[of])).astype(np.int32), "n": (hi - lo + 1).astype(np.int32)}
+        out.append(place | {"a": a, "b": b, "known": known, "start": lo})
+    return joined(out)
+
+
+def pieces(heads: DataFrame, n_buckets: int, length: int = LENGTH) -> DataFrame:
+    """Packs of the pieces of which another document has three quarters of the strings and whose text is another one."""
+
+    def split(batch: pa.RecordBatch) -> tuple[Runs, np.ndarray]:
+        runs, data = unpacked(pa.Table.from_batches([batch]), _OPEN, length)
+        return in_pieces(runs, data, length), data
+
+    return settled(heads.filter(F.col("kind") == _OPEN).mapInArrow(lambda batches: in_batches(batches, split, n_buckets, length), PACK), length)
+
+
+def positions(open_: DataFrame, n_buckets: int, length: int = LENGTH) -> DataFrame:
+    """Packs of the positions of pieces whose string a smaller document has. Their key is the pair of their halves."""
+    half = half_of(length)
+
+    def halves(batch: pa.RecordBatch) -> tuple[Runs, None]:
+        runs, data = unpacked(pa.Table.from_batches([batch]), _OPEN, length)
+        n = runs["n"].astype(np.int64)
+        owner = np.repeat(np.arange(len(n)), n)
+        j = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        at = runs["start"][owner] + j
+        a, b = hashes_at(data, half, at, at + (length - half))
+        return {"doc": runs["doc"][owner], "t": runs["t"][owner], "at": (runs["at"][owner] + j).astype(np.int32), "n": np.ones(len(j), np.int32), "a": a, "b": b}, None
+
+    return settled(open_.filter(F.col("kind") == _OPEN).mapInArrow(lambda batches: in_batches(batches, halves, n_buckets, length), PACK), length)
+
+
+def merged(runs: Runs, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, t, first, last: the bytes that runs' strings cover, as spans that don't touch, in order."""
+    order = np.lexsort((runs["at"], runs["t"], runs["doc"]))
+    doc, t, first, n = (runs[c][order] for c in PLACE)
+    first = first.astype(np.int64)
+    new = np.append(True, (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]))[: len(doc)]
+    shift = np.cumsum(new) << 33  # so that a text's spans end before the next text's
+    end = np.maximum.accumulate(first + n + (length - 1) + shift) if len(doc) else first
+    start = np.nonzero(np.append(True, first[1:] + shift[1:] > end[:-1])[: len(doc)])[0]
+    return doc[start], t[start], first[start], (end - shift)[np.append(start[1:], len(doc)) - 1 if len(doc) else start] - 1
+
+
+def spans_of(packed: DataFrame, n_buckets: int, length: int = LENGTH) -> DataFrame:
+    """doc, t and spans: what the runs that are gone cover."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            data, offsets = flat(batch.column(2))
-            if not len(data):
-                continue
-            h = gram_hashes(data, half)
-            n = np.diff(offsets) - length + 1
-            owner = np.repeat(np.arange(len(n)), n)
-            j = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            begins_far = batch.column(3).to_numpy()[owner] - j >= far
-            open_ = [batch.column(i).to_numpy(zero_copy_only=False)[owner] for i in (4, 5)]
-            left = np.where(begins_far, *open_)
-            owner, j = owner[left], j[left]
-            at = offsets[owner] + j
-            pair = [pa.array(h[x].astype(np.int64)) for x in (at, at + length - half)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(j), pa.StructArray.from_arrays(pair, ["first", "second"])], names=["number", "m", "j", "pair"])
-
-    numbered = scratch.table("numbered", lambda: pieces.select(F.monotonically_increasing_id().alias("number"), "piece", "m", "part", "named"), drop=("open",))
-    of_side = numbered.select("number", "m", "part", "named").mapInArrow(sides, "number long, m long, side long, quarters long")
-    quarters = scratch.table("quarters", lambda: ranked(of_side, "quarters"))
-    some = scratch.table("sides", lambda: spread_join(of_side, quarters.select("quarters", "rank"), "quarters", counts=quarters).groupBy("number").agg(F.max(F.col("side") == 0).alias("far"), F.max(F.col("side") == 1).alias("near")), drop=("quarters",))
-    known = scratch.table("known", lambda: numbered.join(some, "number").select("number", "m", "part", "named", "far", "near", "piece"), drop=("numbered", "sides"))
-    # these are many more than pieces, and quickly made again
-    positions = known.drop("piece").mapInArrow(halves, "number long, m long, j long, pair struct<first:long,second:long>")
-    # past the threshold a rank's least document is all that counts
-    pairs = scratch.table("pairs", lambda: repeated(positions, "pair"))
-    hits = spread_join(positions, pairs.select("pair", "least"), "pair", counts=pairs).filter("least < m")
-    return hits.groupBy("number").agg(F.collect_list("j").alias("hits")).join(known.select("number", "piece"), "number").select("piece", "hits")
+            doc, t, first, last = merged(unpacked(pa.Table.from_batches([batch]), _GONE, length)[0], length)
+            # as runs again: a span has length - 1 positions less than bytes
+            runs = {"doc": doc, "t": t, "at": first, "n": last - first - (length - 2)}
+            yield batch_of(packs(_GONE, doc.view(_U) % _U(n_buckets), runs, None, length))
+
+    def all_of(got: pa.Table) -> pa.Table:
+        doc, t, first, last = merged(unpacked(got, _GONE, length)[0], length)
+        start = np.nonzero(np.append(True, (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]))[: len(doc)])[0]
+        spans = pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)), pa.int32()), pa.StructArray.from_arrays([pa.array(first), pa.array(last)], names=["first", "last"]))
+        return pa.table({"doc": pa.array(doc[start], pa.int64()), "t": pa.array(t[start], pa.int64()), "spans": spans})
+
+    return packed.filter(F.col("kind") == _GONE).mapInArrow(dealt, PACK).groupBy("bucket").applyInArrow(all_of, "doc long, t long, spans array<struct<first:long,last:long>>")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, t and spans (array of struct first, last): bytes that a string of ``length`` bytes covers which starts in a smaller document. docs: doc
     (long), t (digest of the text), text."""
-    scratch = Scratch(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(1, 4 * size // length // BUCKET_GRAMS)
+    scratch = Scratch(docs.sparkSession)
+    n_buckets, n_texts = max(1, 4 * size // length // BUCKET_GRAMS), 1 + size // TEXT_BUCKET
     shared = scratch.table("grams", lambda: shared_grams(docs.select("doc", "text"), n_buckets, length).groupBy("doc").agg(F.collect_list("key").alias("keys")))
-    whole_parts = scratch.table("stretches", lambda: stretches(docs, shared, length), drop=("grams",))
-    heads = scratch.table("heads", lambda: whole_parts.groupBy("k", "body").agg(F.min("doc").alias("m"), F.count("*").alias("count")))
-    parts = scratch.table("places", lambda: whole_parts.drop("body"), drop=("stretches",))
-    inside = _spans_inside(scratch, heads, length)
-    whole = F.array(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("n") + length - 2).alias("last")))
-    moved = F.transform("spans", lambda x: F.struct((F.col("at") + x["first"]).alias("first"), (F.col("at") + x["last"]).alias("last")))
-
-    def marked() -> DataFrame:
-        met = spread_join(parts.select("doc", "t", "at", "n", "k"), heads.select("k", "m").join(inside, "k", "left"), "k", counts=heads)
-        spans = met.withColumn("spans", F.when(F.col("doc") > F.col("m"), whole).otherwise(moved)).filter("spans IS NOT NULL")
-        return spans.groupBy("doc", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-    return scratch.table("spans", marked, drop=("places", "heads", "inside"))
-
-
-def open_grams_of(distinct: DataFrame) -> DataFrame:
-    """gram: those that pieces of several texts and documents name."""
-    return distinct.groupBy("gram").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("least").alias("b")).filter("n > 1 AND a < b").select("gram")
-
-
-def _spans_inside(scratch: Scratch, heads: DataFrame, length: int) -> DataFrame:
-    """k and spans: what goes in the stretch itself, in the smallest document that has it."""
-    distinct = scratch.table("pieces", lambda: in_pieces(heads, length).groupBy("gram", "part").agg(F.min("m").alias("least"), F.max("m").alias("most"), F.min("named").alias("named"), F.count("*").alias("count")))
-    piece = F.unhex(F.md5("part")).alias("piece")
-    open_grams = scratch.table("open_grams", lambda: open_grams_of(distinct))
-    open_ = scratch.table("open", lambda: distinct.join(sent(open_grams), "gram").select(piece, F.col("least").alias("m"), "part", "named"))
-    # pieces of one document and of a gram without another text can't lose anything
-    may_go = distinct.join(sent(open_grams.withColumn("open", F.lit(True))), "gram", "left").filter("least < most OR open")
-    settled = scratch.table("settled", lambda: may_go.select(piece, "least", "most", "count"), drop=("pieces", "open_grams"))
-    hits = scratch.table("hits", lambda: doubled(scratch, open_, length), drop=("known", "pairs"))
-    span = lambda first, n: F.struct(first.alias("first"), (first + n + length - 2).alias("last"))
-    spans = F.when(F.col("m") > F.col("least"), F.array(span(F.col("at"), F.col("n")))).otherwise(F.transform("hits", lambda j: span(F.col("at") + j, F.lit(1))))
-
-    def marked() -> DataFrame:
-        known = settled.join(hits, "piece", "left").filter("least < most OR hits IS NOT NULL").select("piece", "least", "hits", "count")
-        met = spread_join(in_pieces(heads, length).select("k", "m", "at", "n", "piece"), known.drop("count"), "piece", counts=known)
-        return met.withColumn("spans", spans).filter("spans IS NOT NULL").groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-    return scratch.table("inside", marked, drop=("settled", "hits"))
+    heads = scratch.table("stretches", lambda: stretches(docs, shared, n_texts, length), drop=("grams",))
+    open_ = scratch.table("pieces", lambda: pieces(heads, buckets_of(heads, STRETCH_BUCKET), length))
+    hits = scratch.table("positions", lambda: positions(open_, buckets_of(open_, PIECE_BUCKET), length))
+    gone = heads.unionByName(open_).unionByName(hits)
+    return scratch.table("spans", lambda: spans_of(gone, n_texts, length), drop=("stretches", "pieces", "positions"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), length: int = LENGTH) -> DataFrame:

@@ -8,10 +8,11 @@ the next sort. Most positions must never get to a sort, so three exact steps go
    same offset, so strings whose gram no other document names are out. Grams travel to buckets as packed arrays, a gram once for each batch of documents.
 2. Positions that follow each other and are left form stretches, cut at grams that content chooses. Of equal stretches
    only the one in the smallest document goes on; all positions of the others are settled.
-3. The same for pieces, the positions of a stretch that name one gram. Pieces whose gram has one text only are settled, too.
+3. The same for pieces, the positions of a stretch that name one gram from one side of it; three quarters of all their strings are the same bytes.
+   Pieces for which no other document has these are settled, too.
 
-What is left is sorted: ranks of three quarters of a string (all strings of a piece share one of two), then pairs of halves. All steps count documents by aggregates that begin before a shuffle, and joins on keys that very many rows have
-are dealt to several tasks.
+What is left is sorted by pairs of halves. All these meet in buckets as packed arrays; what is equal within a batch is settled before the shuffle, so that
+strings that very many documents have are no hot spot.
 """
 
 from __future__ import annotations

@@ -24,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Forest, cut, python_ready, sent, spread_join, table
 from .graph import components, rooted, tiles, with_heads
-from .shingles import mixed, power_tables, shingle_digests, word_digests
+from .shingles import flat, mixed, power_tables, shingle_digests, shingle_digests_at, word_counts, word_digests
 
 SHINGLE = 5
 #: Words of a passage, at least, and the similarity (percent) of its shingle sets.
@@ -118,11 +118,12 @@ def text_keys(texts: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarray
     if not len(k):
         return k, p, p
     of = np.searchsorted(first, p, side="right") - 1
-    side = shingle_digests(s, half)
     # a run from start to until holds half of itself up to the place if it begins early enough, else half of itself from the place on
     before, after = start <= p - half + 1, until > p - half + 1
     k = k.view(np.uint64)
-    k = np.concatenate([mixed(k[after] ^ side[p[after]]), mixed(k[before] + side[p[before] - half + 1])]).view(np.int64)
+    side = shingle_digests_at(s, half, np.concatenate([p[after], p[before] - half + 1]))
+    n = np.count_nonzero(after)
+    k = np.concatenate([mixed(k[after] ^ side[:n]), mixed(k[before] + side[n:])]).view(np.int64)
     of, p = np.concatenate([of[after], of[before]]), np.concatenate([p[after], p[before]])
     order = np.lexsort((p, of, k))
     k, of, p = k[order], of[order], p[order]
@@ -248,6 +249,11 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return s[np.concatenate([np.ones(1, bool), s[1:] != s[:-1]])] if len(s) else s
 
 
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Of values, whether they are among ``some``, which are sorted."""
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values if len(some) else np.zeros(len(values), bool)
+
+
 def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], least: int, percent: int) -> list[list[tuple[int, int, int, int]]]:
     """Verified passages (first and last shingle in x, in y) of each pair of texts. In texts whose windows of ``least`` shingles repeat none, each
     diagonal (place in x less place in y) with a long common run is verified with those next to it, for all pairs at once (``_plain``); of other
@@ -296,6 +302,11 @@ class _Spans:
     def __init__(self, n_x: int, n_y: int):
         self.open_x, self.open_y, self.found = np.ones(n_x, bool), np.ones(n_y, bool), []
 
+    def close(self, x: list[int], y: list[int]) -> None:
+        """Nothing outside of these ranges (both ends included) is left to be covered."""
+        for left, (a, b) in ((self.open_x, x), (self.open_y, y)):
+            left[:a] = left[b + 1 :] = False
+
     def adds(self, x0: int, x1: int, y0: int, y1: int) -> bool:
         return bool(self.open_x[x0 : x1 + 1].any() or self.open_y[y0 : y1 + 1].any())
 
@@ -339,6 +350,11 @@ def _plain(pairs: _Together, wanted: np.ndarray, least: int, percent: int) -> li
         return out
     named, begin = np.unique(diagonal[edge], return_index=True)
     end = np.append(begin[1:], len(edge)) - 1
+    # a passage has so many places near to its diagonal
+    enough = np.searchsorted(diagonal, named + least, side="right") - np.searchsorted(diagonal, named - least, side="left") >= least_common(least, percent)
+    named, begin, end = named[enough], begin[enough], end[enough]
+    if not len(named):
+        return out
     of_pair, first, last = pair[edge[begin]], px[edge[begin]], px[edge[end]] + length[end] - run
     spans = _Spans(len(one.s), len(two.s))
     for e in (0, -1, 1):
@@ -409,13 +425,21 @@ def _repeating(one: Indexed, two: Indexed, least: int, percent: int) -> list[tup
     """Passages of two texts that may repeat shingles: all of ``least`` shingles, and longer ones along the diagonals with a common run."""
     if not np.isin(one.runs, two.runs).any():
         return []
-    held, spans = Common(one, two), _Spans(len(one.s), len(two.s))
+    held = Common(one, two)
+    ends = [np.flatnonzero(common)[[0, -1]].tolist() for common in (held.of_x < len(two.s), np.isin(two.s, one.s))]
+    # in copies with few changes, two diagonals hold all between the first and the last common shingle
+    spans = _Spans(len(one.s), len(two.s))
+    spans.close(*ends)
+    for d in _end_diagonals(one, two):
+        for span in _slid(held, d, 0, len(one.s), least, percent):
+            spans.add(span)
+    if not spans.open_x.any() and not spans.open_y.any():
+        return _merged(spans.found)
+    spans = _Spans(len(one.s), len(two.s))
     for span in _all_windows(held, least, percent):
         spans.add(span)
     # what lies before the first or behind the last common shingle is in no passage
-    for left, common in ((spans.open_x, held.of_x < len(two.s)), (spans.open_y, np.isin(two.s, one.s))):
-        at = np.flatnonzero(common)
-        left[: at[0]] = left[at[-1] + 1 :] = False
+    spans.close(*ends)
     if not spans.open_x.any() and not spans.open_y.any():
         return _merged(spans.found)
     # places of runs inside windows that can be a passage; of windows with the same set of shingles the first and the last stand for all
@@ -444,6 +468,14 @@ def _repeating(one: Indexed, two: Indexed, least: int, percent: int) -> list[tup
     return _merged(spans.found)
 
 
+def _end_diagonals(one: Indexed, two: Indexed) -> list[int]:
+    """The diagonals of the first and of the last run of x that y has."""
+    held = two.runs[two.runs_by]
+    lo, hi = (np.searchsorted(held, one.runs, side=side) for side in ("left", "right"))
+    at = np.flatnonzero(hi > lo)
+    return list({int(at[0] - two.runs_by[lo[at[0]]]), int(at[-1] - two.runs_by[hi[at[-1]] - 1])})
+
+
 def _merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Spans with what touches in x, and in y, put together; each side's least first."""
     sides = []
@@ -665,24 +697,33 @@ def _exact(at_x: np.ndarray, at_y: np.ndarray, least: int) -> list[tuple[int, in
 
 def _strung(held: Common, px: np.ndarray, py: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
     found, stack, common_least = [], [(0, len(px))], least_common(least, percent)
+    if len(px) < common_least:
+        return found
     steps = np.maximum(np.diff(px), np.abs(np.diff(py)))
+    # of x up to each place: what y has, and what may be there twice; of y the latter
+    x_least, y_least, y_most = int(px[0]), int(py.min()), int(py.max())
+    held_upto = np.concatenate([[0], np.cumsum(held.of_x[x_least : px[-1] + 1] < len(held.two.s))])
+    twice = [np.concatenate([[0], np.cumsum(t.before[a:b] >= a)]) for t, a, b in ((held.one, x_least, px[-1] + 1), (held.two, y_least, y_most + 1))]
     while stack:
         a, b = stack.pop()
         if b - a < common_least or px[b - 1] - px[a] + 1 < least:
             continue
         step = steps[a : b - 1]
-        far = np.flatnonzero(step > GAP)
-        if len(far):
-            cuts = [a, *(far + a + 1).tolist(), b]
+        most = step.max() if len(step) else 0
+        if most > GAP:
+            cuts = [a, *(np.flatnonzero(step > GAP) + a + 1).tolist(), b]
             stack.extend(zip(cuts, cuts[1:]))
             continue
         x0, x1, y0, y1 = int(px[a]), int(px[b - 1]), int(py[a:b].min()), int(py[a:b].max())
-        nx, ny, common = held(x0, x1, y0, y1)
+        # bounds first: at most so many common ones, at least so many distinct ones
+        i, j = x0 - x_least, x1 - x_least + 1
+        sizes = j - i - (twice[0][j] - twice[0][i]) + y1 - y0 + 1 - (twice[1][y1 - y_least + 1] - twice[1][y0 - y_least])
+        nx, ny, common = held(x0, x1, y0, y1) if (100 + percent) * (held_upto[j] - held_upto[i]) >= percent * sizes else (1, 0, 0)
         if 100 * common >= percent * (nx + ny - common):
             if y1 - y0 + 1 >= least:
                 found.append((x0, x1, y0, y1))
         elif b - a > 1:
-            widest = np.flatnonzero(step == step.max())
+            widest = np.flatnonzero(step == most)
             k = a + 1 + int(widest[len(widest) // 2])
             stack.extend([(a, k), (k, b)])
     return found
@@ -757,20 +798,117 @@ def common_counts(some: list[np.ndarray], others: list[np.ndarray]) -> np.ndarra
     return out
 
 
-def documents_of(rows: DataFrame) -> DataFrame:
-    """Of rows (doc, text): doc, t (hash of the text) and text of one row for each distinct text."""
-    marked = rows.select("doc", F.xxhash64("text").alias("t"), F.sha2(F.col("text").cast("binary"), 256).alias("d"))
-    classes = marked.groupBy("d").agg(F.min(F.struct("doc", "t")).alias("rep"), F.count("*").alias("members")).filter("members > 1")
-    copies = marked.join(classes, "d").filter((F.col("doc") != F.col("rep.doc")) | (F.col("t") != F.col("rep.t"))).select("doc", "t").distinct()
+def marked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of every row: doc, n_words, n_bytes, t (hash of the text) and d (digest of the text). Null texts are empty."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def counted(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            data, offsets = flat(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(word_counts(data, offsets)), pa.array(np.diff(offsets)), batch.column(2), batch.column(3)], names=["doc", "n_words", "n_bytes", "t", "d"])
+
+    hashed = rows.select("doc", "text", F.xxhash64("text").alias("t"), F.sha2(F.col("text").cast("binary"), 256).alias("d"))
+    return cut(hashed.mapInArrow(counted, "doc long, n_words long, n_bytes long, t long, d string"))
+
+
+def documents_of(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """Of rows (doc, text), which are marked: doc, t (hash of the text) and text of one row for each distinct text."""
+    some = marked.filter(F.col("doc").isNotNull() & (F.col("n_bytes") > 0)).select("doc", "t", "d")
+    classes = some.groupBy("d").agg(F.min(F.struct("doc", "t")).alias("rep"), F.count("*").alias("members")).filter("members > 1")
+    copies = some.join(classes, "d").filter((F.col("doc") != F.col("rep.doc")) | (F.col("t") != F.col("rep.t"))).select("doc", "t").distinct()
     # texts stay where they are: only ids of copies are sent to them
     return rows.withColumn("t", F.xxhash64("text")).join(sent(copies), ["doc", "t"], "left_anti").select("doc", "t", "text")
 
 
-def shared_places(first: DataFrame, passage: int, percent: int) -> DataFrame:
-    """doc and places (sorted): of each document those with a key that another row has, too.
-
-    Documents of one Arrow batch that share a key know it from each other; one of them asks for the others, so that
-    a frequent key is shuffled once a batch and not once a document."""
+#: A key that one document of a pack asks for; one that several have, which tells others; and what is known to be shared.
+_ONE, _SEVERAL, _KNOWN = range(3)
+_PACK = "bucket int, kind int, keys binary, docs binary, values binary"
+#: Bytes of texts for which there is a bucket, and fewest buckets.
+BUCKET_BYTES, BUCKETS = 1 << 24, 24
+#: Keys of the batches that are packed together.
+PACKED = 1 << 20
+
+
+def _starts_of(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+
+
+def _rows_by(bucket: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """Buckets, each with the bytes of its part of the columns."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    start = _starts_of(bucket)
+    return [(int(bucket[lo]), *(c[lo:hi].tobytes() for c in columns)) for lo, hi in zip(start.tolist(), np.append(start[1:], len(bucket)).tolist())]
+
+
+def packed(keys: np.ndarray, docs: np.ndarray, values: np.ndarray, several: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Packs for the buckets of keys, of documents' values that have a key. Of a key that several documents have (or that is marked so) one entry
+    tells the other packs, its documents know; so a frequent key is shuffled once a pack and not once a document."""
+    order = np.lexsort((docs, keys))
+    k, d = keys[order], docs[order]
+    start = _starts_of(k)
+    size = np.diff(np.append(start, len(k)))
+    shared = (d[start] != d[start + size - 1]) | (np.logical_or.reduceat(several[order], start) if len(start) else False)
+    known = np.zeros(len(k), bool)
+    known[order] = np.repeat(shared, size)
+    ask, know, tell = np.flatnonzero(~known), np.flatnonzero(known & ~several), order[start[shared]]
+    n, rows = np.uint64(n_buckets), []
+    for kind, at in ((_ONE, ask), (_SEVERAL, tell)):
+        rows += [(b, kind, *x) for b, *x in _rows_by((mixed(keys[at].astype(np.uint64)) % n).astype(np.int32), keys[at], docs[at], values[at])]
+    rows += [(b, _KNOWN, b"", *x) for b, *x in _rows_by((mixed(docs[know].view(np.uint64)) % n).astype(np.int32), docs[know], values[know])]
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["bucket", "kind", "keys", "docs", "values"])
+
+
+def packs(parts: Iterator[tuple[np.ndarray, ...]], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packs of keys, documents, values and marks, many at once."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= PACKED:
+            yield packed(*(np.concatenate(c) for c in zip(*held)), n_buckets)
+            held, size = [], 0
+    if size:
+        yield packed(*(np.concatenate(c) for c in zip(*held)), n_buckets)
+
+
+def shared_values(packs: DataFrame, n_buckets: int, key_type: str, value_type: str) -> DataFrame:
+    """doc and values (an array's bytes, sorted): of each document the distinct values of keys that another document has, too, but for entries that were marked."""
+
+    def met(got: pa.Table) -> pa.Table:
+        kind = got.column("kind").to_numpy()
+        keys, docs, values = ([np.frombuffer(x, t) for x in got.column(c).to_pylist()] for c, t in (("keys", key_type), ("docs", "<i8"), ("values", value_type)))
+        told = np.repeat(kind, [len(d) for d in docs])
+        d, v = np.concatenate(docs), np.concatenate(values)
+        k = np.concatenate([*keys, np.zeros(0, key_type)])
+        asks, know = np.flatnonzero(told != _KNOWN), told == _KNOWN
+        order = np.lexsort((d[asks], k))
+        at, k = asks[order], k[order]
+        start = _starts_of(k)
+        size = np.diff(np.append(start, len(k)))
+        shared = (d[at[start]] != d[at[start + size - 1]]) | np.logical_or.reduceat(told[at] == _SEVERAL, start) if len(k) else np.zeros(0, bool)
+        know[at] = np.repeat(shared, size)
+        know[told == _SEVERAL] = False
+        rows = _rows_by((mixed(d[know].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32), d[know], v[know])
+        return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "docs", "values"])
+
+    def gathered(got: pa.Table) -> pa.Table:
+        d, v = (np.concatenate([np.frombuffer(x, t) for x in got.column(c).to_pylist()]) for c, t in (("docs", "<i8"), ("values", value_type)))
+        order = np.lexsort((v, d))
+        d, v = d[order], v[order]
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (v[1:] != v[:-1])])
+        d, v = d[new], v[new]
+        start = _starts_of(d)
+        return pa.table([pa.array(d[start], pa.int64()), pa.array([x.tobytes() for x in np.split(v, start[1:])], pa.binary())], names=["doc", "values"])
+
+    told = packs.groupBy("bucket").applyInArrow(met, "bucket int, docs binary, values binary")
+    return told.groupBy("bucket").applyInArrow(gathered, "doc long, values binary")
+
+
+def shared_places(first: DataFrame, passage: int, percent: int, n_buckets: int) -> DataFrame:
+    """doc and places (the bytes of an array, sorted): of each document those with a key that another row has, too."""
     run = shared_run(passage - SHINGLE + 1, percent)
 
     def made(batches: Iterator[pa.RecordBatch]):
@@ -780,26 +918,16 @@ def shared_places(first: DataFrame, passage: int, percent: int) -> DataFrame:
                 words = word_digests(text)
                 texts.append(shingle_digests(words, SHINGLE) if len(words) >= passage else words[:0])
             k, of, p = text_keys(texts, run)
-            starts = np.flatnonzero(np.concatenate([[True], np.diff(k) != 0])[: len(k)])
-            sizes = np.diff(np.concatenate([starts, [len(k)]]))
-            least, most = (np.repeat(f.reduceat(docs[of], starts), sizes) if len(k) else k for f in (np.minimum, np.maximum))
-            # kind 0 is known to be shared, kind 1 asks; one of those that know asks, too, for the sake of other batches
-            know, ask = np.flatnonzero(least != most), np.flatnonzero(docs[of] == least)
-            at = np.concatenate([know, ask])
-            kind = np.repeat(np.array([0, 1], np.int8), [len(know), len(ask)])
-            yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(kind), pa.array(docs[of[at]]), pa.array(p[at].astype(np.int32))], names=["key", "kind", "doc", "place"])
-
-    keys = first.select("doc", "text").mapInArrow(made, "key long, kind byte, doc long, place int")
-    by = F.when(F.col("kind") == 0, F.xxhash64("doc", "place")).otherwise(F.col("key"))
-    group = Window.partitionBy("by", "kind")
-    met = keys.withColumn("by", by).withColumn("met", F.min("doc").over(group) != F.max("doc").over(group))
-    return met.filter((F.col("kind") == 0) | F.col("met")).groupBy("doc").agg(F.array_sort(F.collect_set("place")).alias("places"))
-
-
-def marked_stretches(first: DataFrame, passage: int, percent: int) -> DataFrame:
+            yield k, docs[of], p.astype(np.int32), np.zeros(len(k), bool)
+
+    keys = first.select("doc", "text").mapInArrow(lambda batches: packs(made(batches), n_buckets), _PACK)
+    return shared_values(keys, n_buckets, "<i8", "<i4").withColumnRenamed("values", "places")
+
+
+def marked_stretches(first: DataFrame, passage: int, percent: int, n_buckets: int) -> DataFrame:
     """doc, t, at (first shingle), d (digest) and content (32 bits of each shingle, 0 where no other document has it) of all stretches."""
     least = passage - SHINGLE + 1
-    places = cut(shared_places(first, passage, percent))
+    places = cut(shared_places(first, passage, percent, n_buckets))
     met = first.join(sent(places.select("doc")), "doc", "left_semi").join(places, "doc")
 
     def segments(batches: Iterator[pa.RecordBatch]):
@@ -808,7 +936,7 @@ def marked_stretches(first: DataFrame, passage: int, percent: int) -> DataFrame:
             for doc, t, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "text", "places"))):
                 s = shingle_digests(word_digests(text), SHINGLE)
                 s[s.astype(np.uint32) == 0] = 1  # 0 is a blank
-                p = np.array(at)
+                p = np.frombuffer(at, np.int32)
                 p = p[p < len(s)]
                 for piece in np.split(p, np.flatnonzero(np.diff(p) > 2 * least) + 1) if len(p) else ():
                     a, b = max(0, int(piece[0]) - least), min(len(s), int(piece[-1]) + least + 1)
@@ -820,23 +948,30 @@ def marked_stretches(first: DataFrame, passage: int, percent: int) -> DataFrame:
             h, d = h[order], d[order]
             new = np.concatenate([[True], np.diff(h) != 0])[: len(h)]
             last = np.concatenate([new[1:], [True]])[: len(h)]
-            known = h[new][d[new] != d[last]]
-            # of the documents of the batch that have a shingle, the least asks who else has it
-            asker, asked = d[new], h[new]
-            order = np.argsort(asker, kind="stable")
-            asker, asked = asker[order], asked[order].view(np.int32)
+            several = d[new] != d[last]
+            known = h[new][several]
+            # of the documents of the batch that have a shingle, the least asks who else has it, or tells the others of it
+            order = np.argsort(d[new], kind="stable")
+            asker, asked, several = d[new][order], h[new][order], several[order]
             asks, seen = [], set()
             for doc, *_ in rows:
                 lo, hi = np.searchsorted(asker, [doc, doc + 1]) if doc not in seen else (0, 0)
-                asks.append(asked[lo:hi])
+                one = ~several[lo:hi]
+                asks.append((asked[lo:hi][one].tobytes(), asked[lo:hi][~one].tobytes()))
                 seen.add(doc)
-            marks = [np.packbits(np.isin(r[3].astype(np.uint32), known)).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))), pa.array([r[3].astype(np.uint32).tobytes() for r in rows], pa.binary()), pa.array(marks, pa.binary()), pa.array(asks, pa.list_(pa.int32()))], names=["doc", "t", "at", "shingles", "known", "asks"])
+            marks = [np.packbits(_among(r[3].astype(np.uint32), known)).tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))), pa.array([r[3].astype(np.uint32).tobytes() for r in rows], pa.binary()), pa.array(marks, pa.binary()), *(pa.array([a[k] for a in asks], pa.binary()) for k in range(2))], names=["doc", "t", "at", "shingles", "known", "asks", "tells"])
 
-    found = cut(met.select("doc", "t", "text", "places").mapInArrow(segments, "doc long, t long, at int, shingles binary, known binary, asks array<int>"))
-    asks = found.select("doc", F.explode("asks").alias("h"))
-    several = asks.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("h")
-    answers = asks.join(several, "h").groupBy("doc").agg(F.collect_set("h").alias("others"))
+    def asked(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            docs, parts = batch.column(0).to_numpy(), [[np.frombuffer(x, np.uint32) for x in batch.column(c).to_pylist()] for c in (1, 2)]
+            h = np.concatenate([*parts[0], *parts[1], np.zeros(0, np.uint32)])
+            sizes = [np.array([len(x) for x in part], np.int64) for part in parts]
+            yield h, np.concatenate([np.repeat(docs, n) for n in sizes]), h, np.arange(len(h)) >= sizes[0].sum()
+
+    found = cut(met.select("doc", "t", "text", "places").mapInArrow(segments, "doc long, t long, at int, shingles binary, known binary, asks binary, tells binary"))
+    asks = found.select("doc", "asks", "tells").mapInArrow(lambda batches: packs(asked(batches), n_buckets), _PACK)
+    answers = shared_values(asks, n_buckets, "<u4", "<u4").withColumnRenamed("values", "others")
 
     def blanked(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -845,7 +980,7 @@ def marked_stretches(first: DataFrame, passage: int, percent: int) -> DataFrame:
                 s = np.frombuffer(raw, np.uint32)
                 shared = np.unpackbits(np.frombuffer(known, np.uint8), count=len(s)).astype(bool)
                 if others:
-                    shared |= np.isin(s, np.array(others, np.int32).view(np.uint32))
+                    shared |= _among(s, np.frombuffer(others, np.uint32))
                 s = np.where(shared, s, np.uint32(0))
                 for a, b in stretches(s, least, percent):
                     content = s[a:b].tobytes()
@@ -853,7 +988,7 @@ def marked_stretches(first: DataFrame, passage: int, percent: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc", "t", "at", "d", "content"])
 
-    return found.drop("asks").join(answers, "doc", "left").mapInArrow(blanked, "doc long, t long, at int, d binary, content binary")
+    return found.drop("asks", "tells").join(answers, "doc", "left").mapInArrow(blanked, "doc long, t long, at int, d binary, content binary")
 
 
 def linked_stretches(kinds: DataFrame, passage: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -971,15 +1106,18 @@ def _six(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k < 2 else pa.int64()) for k in range(6)], names=_SIX)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, percent: int = PERCENT) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, percent: int = PERCENT, rows_marked: DataFrame | None = None) -> DataFrame:
     """doc, t (xxhash64 of the text), word_from, word_to (from 0, both ends included), node, root: each verified passage of each distinct text, the stretch it
     stands in, and the least stretch that is connected with that. Of rows with equal texts only the one with the least id takes part, unless
     ids repeat. Rows with a null id or text, and texts shorter than a passage, take part in nothing. Rows of one id are one
-    document: nothing links it with itself. Other columns are ignored; an empty table gives no rows."""
+    document: nothing links it with itself. Other columns are ignored; an empty table gives no rows. rows_marked is what
+    ``marked_rows`` gives of docs, if that is known."""
     python_ready(docs.sparkSession)
+    rows_marked = marked_rows(docs, id_col, text_col) if rows_marked is None else rows_marked
+    n_buckets = max(BUCKETS, -(-(rows_marked.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
     least = passage - SHINGLE + 1
-    marked = cut(marked_stretches(documents_of(rows), passage, percent))
+    marked = cut(marked_stretches(documents_of(rows, rows_marked), passage, percent, n_buckets))
     kinds = cut(marked.groupBy("d").agg(F.first("content").alias("content"), F.min("doc").alias("lo"), F.max("doc").alias("hi")))
 
     def own(batches: Iterator[pa.RecordBatch]):
@@ -1005,12 +1143,10 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     other columns are ignored; an empty table gives no rows.
     """
     python_ready(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    marked = cut(rows.select("doc", words.cast("long").alias("n_words"), F.xxhash64("text").alias("t"), F.sha2(F.col("text").cast("binary"), 256).alias("d")))
+    marked = marked_rows(docs, id_col, text_col)
     named = marked.filter(F.col("doc").isNotNull())
     classes = named.groupBy("d").agg(F.min(F.struct("doc", "t")).alias("rep"), F.max("doc").alias("last"))
-    found = cut(repeated_passages(docs, id_col, text_col, passage, percent))
+    found = cut(repeated_passages(docs, id_col, text_col, passage, percent, marked))
     # words covered: intervals by their ends, each adding what lies beyond all before it
     spans = found.groupBy("doc", "t").agg(F.sort_array(F.collect_set(F.struct(F.col("word_from").alias("a"), F.col("word_to").alias("b")))).alias("spans"))
     start = F.struct(F.lit(-1).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))

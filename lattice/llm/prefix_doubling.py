@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_ready, shared_path, table
-from .shingles import mixed
+from .common import cleaned, python_ready, shared_path, table
+from .shingles import flat, mixed
 
 LENGTH = 50
 #: Bytes of a text that are looked at at once, less than 2^20.
@@ -87,14 +87,6 @@ def half_of(length: int) -> int:
     return (length + 1) // 2
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string or binary column one after another, and where each value begins (and the last one ends). Nulls are empty."""
-    column = column.fill_null("" if pa.types.is_string(column.type) else b"")
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-    return data, offsets - offsets[0]
-
-
 def named_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """owner, first, last, gram, named: the runs of places whose strings of ``length`` bytes name the same gram, its hash and its place. owner is the value
     that holds the place, places count from the beginning of data.
@@ -189,10 +181,6 @@ def _asked(grams: np.ndarray, docs: np.ndarray, n_buckets: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "keys", "docs"])
 
 
-#: Spark then deletes an execution's shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 class Scratch:
     """Tables in the shared folder, until they are no longer needed."""
 
@@ -203,15 +191,8 @@ class Scratch:
         """What ``made`` gives, written and read again; then the tables ``drop`` go. The shuffle files behind it go as soon as it is written, or, where
         Spark can't do that, when the driver's JVM has collected its garbage, which is asked for (therefore a function makes the DataFrame)."""
         path = self.paths[name] = shared_path(self.spark, name)
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with cleaned(self.spark):
             made().write.option("compression", "zstd").parquet(path)
-        finally:
-            if before is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, before)
         jvm = self.spark.sparkContext._jvm
         for old in drop:
             place = jvm.org.apache.hadoop.fs.Path(self.paths.pop(old))

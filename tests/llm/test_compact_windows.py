@@ -1,9 +1,12 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lattice.llm import compact_windows as m
+from lattice.llm import shingles
 from lattice.llm.shingles import mixed
 
 
@@ -320,3 +323,45 @@ def test_no_window_of_texts_that_repeat_is_lost():
             similar += bool(places)
             assert not places or any(covered.issuperset(range(p[0], p[-1] + 1)) for p in places)
     assert similar > 1000
+
+
+def test_no_shuffle_files_are_left(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("/shuffle_")
+    before = files()
+    got = m.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and got.count() == 7
+
+
+def test_a_frequent_key_is_told_once_a_pack():
+    n = 5000
+    got = m.packed(np.full(n, 7), np.arange(n), np.arange(n, dtype=np.int32), np.zeros(n, bool), 8).to_pylist()
+    assert sum(len(r["keys"]) // 8 for r in got) == 1 and sum(len(r["docs"]) // 8 for r in got if r["kind"] == m._KNOWN) == n
+
+
+def test_values_that_documents_share(spark):
+    rng = np.random.default_rng(5)
+    key, doc, value = rng.integers(0, 900, 1200), rng.integers(0, 90, 1200), rng.integers(0, 50, 1200).astype(np.int32)
+    of = {}
+    for k, d in zip(key.tolist(), doc.tolist()):
+        of.setdefault(k, set()).add(d)
+    want = {}
+    for k, d, v in zip(key.tolist(), doc.tolist(), value.tolist()):
+        if len(of[k]) > 1:
+            want.setdefault(d, set()).add(v)
+    parts = [(key[a : a + 100], doc[a : a + 100], value[a : a + 100], np.zeros(100, bool)) for a in range(0, 1200, 100)]
+    rows = [r for p in parts for r in m.packed(*p, 5).to_pylist()]
+    df = spark.createDataFrame([(r["bucket"], r["kind"], bytearray(r["keys"]), bytearray(r["docs"]), bytearray(r["values"])) for r in rows], m._PACK)
+    got = {r["doc"]: np.frombuffer(r["values"], np.int32).tolist() for r in m.shared_values(df, 5, "<i8", "<i4").collect()}
+    assert got == {d: sorted(v) for d, v in want.items()}
+
+
+def test_words_are_counted_as_words_are_read(monkeypatch):
+    texts = ["", None, "a", " a", "a ", "é b\x0bc d", "\n\n", "x" * 30, "a b " * 20]
+    for step in (1 << 20, 7):
+        monkeypatch.setattr(shingles, "STEP", step)
+        got = shingles.word_counts(*shingles.flat(pa.array(texts, pa.string())))
+        assert got.tolist() == [len(shingles.word_digests(t or "")) for t in texts]

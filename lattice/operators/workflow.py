@@ -11,16 +11,16 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized_path
 from ..session import BATCH_ROWS, cut, python_ready
 from .joins import small
 from .walks import levels
 
-COLUMNS = "rel string, kind string, job string, step int, name string, line int, value string, words array<string>, boundary string"
+COLUMNS = "rel string, kind string, job string, step int, name string, line int, value string, words array<string>, boundary string, script string, workflow string, typed string"
 _KEY = re.compile(r"""^(\s*)(?:-\s+)?["']?([\w.-]+)["']?\s*:(?:\s+(.*?))?\s*$""")
 #: Runs of characters that mean nothing but themselves, outside quotes and inside them.
 _PLAIN, _QUOTED, _DOUBLY = (re.compile(p) for p in (r"""[^\s'"\\#;|&$`<>{}()]+""", r"[^'\n]+", r"""[^"\\\n$`]+"""))
@@ -134,27 +134,80 @@ def commands(script: str) -> list[tuple[int, str, list[str], str | None]]:
 
 #: Scripts up to this length are kept with what was read of them, as workflows repeat each other's.
 _KEPT_CHARS = 2000
+_INTERPRETERS = {"bash", "sh", "zsh", "node", "python", "python3", "source", ".", "bun", "deno", "ruby"}
+_DOTTED = re.compile(r"\\|(?:^|/)\.{0,2}(?:/|$)")
 
 
-@lru_cache(maxsize=4096)
-def _kept_commands(script: str) -> tuple[tuple[int, str, list[str], str | None], ...]:
-    return tuple(commands(script))
+def _named(words: list[str]) -> tuple[str | None, str | None, str | None]:
+    """The file that a command may invoke, the workflow that it dispatches, and the script of a package or recipe that it means, as one would type it: yarn x,
+    pnpm x and npm test mean npm run x; the tool's own words aren't scripts."""
+    word, second, third, fourth = (*words[:4], None, None, None)[:4]
+    script = next((w for w in words[1:101] if not w.startswith("-")), None) if word in _INTERPRETERS else word
+    if script is not None and _DOTTED.search(script):
+        parts: list[str] = []
+        for x in script.replace("\\", "/").split("/"):
+            if x == "..":
+                del parts[-1:]
+            elif x not in ("", "."):
+                parts.append(x)
+        script = "/".join(parts) or "."
+    workflow = f".github/workflows/{fourth}" if fourth is not None and words[:3] == ["gh", "workflow", "run"] else None
+    typed = None
+    if word == "npm" and second in ("test", "start"):
+        typed = f"npm run {second}"
+    elif word in ("npm", "pnpm", "yarn", "bun") and second == "run":
+        typed = None if third is None else f"npm run {third}"
+    elif word in ("make", "just"):
+        typed = word if second is None else f"{word} {second}"
+    return script, workflow, typed
+
+
+def _commands(script: str) -> tuple[tuple, ...]:
+    """``commands`` with what they name; behind a boundary they name nothing."""
+    return tuple((line, command, words, boundary, *(_named(words) if boundary is None else (None, None, None))) for line, command, words, boundary in commands(script))
+
+
+def _block_commands(rows: str) -> tuple[tuple, ...]:
+    """The commands of a block of rows, each after a line feed, without the indent that they share."""
+    block = rows[1:].split("\n")
+    left = min((len(x) - len(x.lstrip()) for x in block if x.strip()), default=0)
+    return _commands("\n".join(x[left:] for x in block))
+
+
+_kept_commands, _kept_block_commands = lru_cache(maxsize=4096)(_commands), lru_cache(maxsize=4096)(_block_commands)
+
+_TOP = re.compile(r"(?m)^jobs:[^\S\n]*$")
+#: Words, boundary, script, workflow and typed of what is no command.
+_NOTHING = (None,) * 5
+_BLOCK = re.compile(r"[|>][+-]?\d*$")
+_NOTE = re.compile(r"\s+#.*$")
+
+
+@lru_cache(maxsize=256)
+def _deeper(depth: int) -> re.Pattern:
+    """The rows, each after a line feed, that are blank or have a larger indent."""
+    return re.compile(r"(?:\n(?: {%d}[^\n]*|[^\S\n]{%d}[^\n]*|[^\S\n]*(?=\n|\Z)))*" % (depth + 1, depth + 1))
 
 
 def _scalar(value: str | None) -> str:
-    value = re.sub(r"\s+#.*$", "", value or "").strip()
+    value = (value or "").strip()
+    if "#" in value:
+        value = _NOTE.sub("", value).strip()
     return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
 
 
-def _items(lines: list[str], at: int, indent: int, value: str | None) -> list[str]:
-    """A scalar, a list in brackets, or the items below."""
-    value = re.sub(r"\s+#.*$", "", value or "").strip()
+def _items(text: str, at: int, indent: int, value: str | None) -> list[str]:
+    """A scalar, a list in brackets, or the items below; ``at`` is where the row ends."""
+    value = _NOTE.sub("", (value or "").strip()).strip()
     if value.startswith("["):
         return [_scalar(x) for x in value.strip("[]").split(",") if _scalar(x)]
     if value:
         return [_scalar(value)]
     out = []
-    for row in lines[at + 1 :]:
+    while at < len(text):
+        end = text.find("\n", at + 1)
+        end = len(text) if end < 0 else end
+        row, at = text[at + 1 : end], end
         if row.strip() and not (row.strip().startswith("- ") and len(row) - len(row.lstrip()) >= indent):
             break
         if row.strip():
@@ -163,62 +216,78 @@ def _items(lines: list[str], at: int, indent: int, value: str | None) -> list[st
 
 
 def read_workflow(text: str) -> list[tuple]:
-    """kind, job, step, name, line, value, words and boundary of a workflow's jobs, needs, steps, uses and commands. Empty where there are no jobs."""
-    lines = text.split("\n")
-    depth_of = lambda row: len(row) - len(row.lstrip())
-    top = next((i for i, row in enumerate(lines) if row.rstrip() == "jobs:"), None)
+    """kind, job, step, name, line, value, words, boundary and what a command names (script, workflow, typed) of a workflow's jobs, needs, steps, uses and
+    commands. Empty where there are no jobs."""
+    top = _TOP.search(text)
     if top is None:
         return []
     out: list[tuple] = []
-    job = step = None
-    job_depth = steps_depth = None
-    named: dict[int, int] = {}
-    i = top + 1
-    while i < len(lines):
-        row, m = lines[i], _KEY.match(lines[i])
-        depth = depth_of(row)
-        if row.strip() and depth == 0 and not row.startswith("#"):
+    job = step = job_depth = steps_depth = None
+    item_depth = place = 0
+    # at: where the row before ends; line: the number of that row
+    at, n = top.end(), len(text)
+    line = text.count("\n", 0, at) + 1
+    while at < n:
+        begin = at + 1
+        at = text.find("\n", begin)
+        row = text[begin:] if at < 0 else text[begin:at]
+        at = n if at < 0 else at
+        line += 1
+        bare = row.lstrip()
+        if not bare or bare[0] == "#":
+            continue
+        depth = len(row) - len(bare)
+        if not depth:
             break
-        if not row.strip() or row.lstrip().startswith("#"):
-            i += 1
+        dashed = bare.startswith("- ")
+        inner = bare[2:].lstrip() if dashed else bare
+        key, colon, value = inner.partition(":")
+        if not colon:
+            key = None
+        elif not key.isalnum():  # a key of other characters, in quotes or before spaces, or none
+            m = _KEY.match(row)
+            key, value = (m[2], m[3]) if m else (None, None)
+        elif value and not value[0].isspace():
+            key = None
+        if job_depth is None:
+            job_depth = depth
+        if depth == job_depth and key is not None:
+            job, step, steps_depth = key, None, None
+            out.append(("job", job, None, job, line, None, *_NOTHING))
+        elif job is None:
             continue
-        job_depth = depth if job_depth is None else job_depth
-        if depth == job_depth and m:
-            job, step, steps_depth = m[2], None, None
-            out.append(("job", job, None, job, i + 1, None, None, None))
-        elif job and steps_depth is None and m and m[2] == "needs":
-            out += [("needs", job, None, job, i + 1, x, None, None) for x in _items(lines, i, depth, m[3])]
-        elif job and steps_depth is None and m and m[2] == "uses":
-            out.append(("uses", job, None, job, i + 1, _scalar(m[3]), None, None))
-        elif job and m and m[2] == "steps" and steps_depth is None:
-            steps_depth = depth
-        elif job and steps_depth is not None and depth >= steps_depth:
+        elif steps_depth is None:
+            if key == "needs":
+                out += [("needs", job, None, job, line, x, *_NOTHING) for x in _items(text, at, depth, value)]
+            elif key == "uses":
+                out.append(("uses", job, None, job, line, _scalar(value), *_NOTHING))
+            elif key == "steps":
+                steps_depth = depth
+        elif depth >= steps_depth:
             key_depth = depth
-            if row.lstrip().startswith("- ") and (step is None or depth <= named[-1]):
-                step = 1 if step is None else step + 1
-                named[-1] = depth
-                named[step] = len(out)
-                out.append(("step", job, step, None, i + 1, None, None, None))
-            if row.lstrip().startswith("- "):
-                key_depth = depth + len(row.lstrip()) - len(row.lstrip()[2:].lstrip())
-            if m and step is not None and key_depth > named[-1]:
-                place = named[step]
-                if m[2] == "name":
-                    out[place] = (*out[place][:3], _scalar(m[3]), *out[place][4:])
-                elif m[2] == "uses":
-                    out.append(("uses", job, step, None, i + 1, _scalar(m[3]), None, None))
-                elif m[2] == "run":
-                    value = (m[3] or "").strip()
-                    first, body = i + 1, _scalar(value)
-                    if re.match(r"^[|>][+-]?\d*$", value):
-                        block = []
-                        while i + 1 < len(lines) and (not lines[i + 1].strip() or depth_of(lines[i + 1]) > key_depth):
-                            i += 1
-                            block.append(lines[i])
-                        left = min((depth_of(x) for x in block if x.strip()), default=0)
-                        first, body = first + 1, "\n".join(x[left:] for x in block)
-                    out += [("command", job, step, None, first + at, command, words, boundary) for at, command, words, boundary in (_kept_commands(body) if len(body) <= _KEPT_CHARS else commands(body))]
-        i += 1
+            if dashed:
+                if step is None or depth <= item_depth:
+                    step = 1 if step is None else step + 1
+                    item_depth, place = depth, len(out)
+                    out.append(("step", job, step, None, line, None, *_NOTHING))
+                key_depth += len(bare) - len(inner)
+            if step is None or key_depth <= item_depth:
+                continue
+            if key == "name":
+                out[place] = (*out[place][:3], _scalar(value), *out[place][4:])
+            elif key == "uses":
+                out.append(("uses", job, step, None, line, _scalar(value), *_NOTHING))
+            elif key == "run":
+                value = (value or "").strip()
+                if value == "|" or _BLOCK.match(value):
+                    begin, at = at, _deeper(key_depth).match(text, at).end()
+                    found = (_kept_block_commands if at - begin <= _KEPT_CHARS else _block_commands)(text[begin:at])
+                    first, line = line + 1, line + text.count("\n", begin, at)
+                else:
+                    body, first = _scalar(value), line
+                    found = _kept_commands(body) if len(body) <= _KEPT_CHARS else _commands(body)
+                for after, command, *rest in found:
+                    out.append(("command", job, step, None, first + after, command, *rest))
     return out
 
 
@@ -232,20 +301,24 @@ def read_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> I
     """A batch of facts for each ``rows`` bodies at most and, within these, whenever a body has brought it to 64 x ``rows`` facts, so
     that a worker's memory doesn't grow with the batches it is given."""
     names = [x.split()[0] for x in COLUMNS.split(", ")]
-    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string()]
+    types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), *[pa.string()] * 4]
 
-    def packed(facts):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*facts) if facts else [()] * len(names), types)], names=names)
+    def packed(rels, counts, facts):
+        rel = pa.array(rels, pa.string()).take(pa.array(np.repeat(np.arange(len(rels)), counts)))
+        return pa.RecordBatch.from_arrays([rel, *(pa.array(x, t) for x, t in zip(zip(*facts) if facts else [()] * len(types), types))], names=names)
 
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            facts = []
+            rels, counts, facts = [], [], []
             for rel, text in zip(*(c.to_pylist() for c in batch.slice(at, rows).columns)):
-                facts += [(rel, *x) for x in read_workflow(text or "")]
+                found = read_workflow(text or "")
+                rels.append(rel)
+                counts.append(len(found))
+                facts += found
                 if len(facts) >= 64 * rows:
-                    yield packed(facts)
-                    facts = []
-            yield packed(facts)
+                    yield packed(rels, counts, facts)
+                    rels, counts, facts = [], [], []
+            yield packed(rels, counts, facts)
 
 
 def job_levels(facts: DataFrame) -> DataFrame:
@@ -263,52 +336,54 @@ def execution_edges(facts: DataFrame, files: DataFrame, scripts: DataFrame | Non
     job = F.concat(F.lit("job:"), "rel", F.lit("#"), "job")
     step = F.concat(F.lit("step:"), "rel", F.lit("#"), "job", F.lit("/"), F.lpad(F.col("step").cast("string"), 4, "0"))
     owner = F.when(F.col("step").isNull(), job).otherwise(step)
-    word_at = lambda i: F.get("words", F.lit(i))
-    two, three = (F.array_join(F.slice("words", 1, n), " ") for n in (2, 3))
 
-    own = F.col("value").startswith("./")
-    place = F.regexp_replace(F.expr("substring(value, 3)"), "/+$", "")
-    word = F.when(word_at(0).isin("bash", "sh", "zsh", "node", "python", "python3", "source", ".", "bun", "deno", "ruby"), F.get(F.filter(F.slice("words", 2, 100), lambda w: ~w.startswith("-")), F.lit(0))).otherwise(word_at(0))
-    followed = (F.col("kind") == "command") & F.col("boundary").isNull()
+    kind, own = F.col("kind"), F.col("value").startswith("./")
+    place = F.expr("rtrim('/', substring(value, 3))")
+    followed = (kind == "command") & F.col("boundary").isNull()
     known = files.select("rel").distinct()
     places = known.select(F.explode(F.array_distinct(F.array("rel", F.regexp_replace("rel", "/[^/]*$", "")))).alias("place")).distinct()
 
     # each fact meets what it may name, and is read once
-    rows = _met(facts, F.when((F.col("kind") == "uses") & own, place), places.select(F.col("place").alias("__key"), F.lit(True).alias("__exists")), "__place")
-    rows = _met(rows, F.when(followed, normalized_path(word)), known.select(F.col("rel").alias("__key"), F.lit(True).alias("__invoked")), "__script")
-    other = F.concat(F.lit(".github/workflows/"), word_at(3))
-    rows = _met(rows, F.when(followed & (three == "gh workflow run"), other), known.select(F.col("rel").alias("__key"), F.lit(True).alias("__dispatched")), "__other")
-
-    type_ = F.when(~own, "uses_external_action").when(F.col("__place").startswith(".github/workflows/"), "invokes_workflow").otherwise("invokes_action")
-    edge = lambda when, a, b, type_, evidence, strength="hard": F.when(when, F.struct(a.alias("from"), b.alias("to"), (F.lit(type_) if isinstance(type_, str) else type_).alias("type"), F.lit(evidence).alias("evidence"), (F.lit(strength) if isinstance(strength, str) else strength).alias("strength")))
-    kind = F.col("kind")
-    edges = [
-        edge(kind == "job", F.col("rel"), job, "declares_job", "workflow_job"),
-        edge(kind == "needs", job, F.concat(F.lit("job:"), "rel", F.lit("#"), "value"), "needs_job", "workflow_needs"),
-        edge(kind == "step", job, step, "contains_step", "workflow_step"),
-        edge(kind == "uses", owner, F.when(own, F.col("__place")).otherwise(F.concat(F.lit("action:"), "value")), type_, "workflow_uses", F.when(~own | F.col("__exists"), "hard").otherwise("medium")),
-        edge(followed, step, F.col("value"), "runs_command", "workflow_run"),
-        edge(F.col("__invoked"), step, F.col("__script"), "invokes_script", "workflow_run"),
-        edge(F.col("__dispatched"), step, F.col("__other"), "dispatches_workflow", "workflow_dispatch"),
-    ]
-    found = F.array_compact(F.array(*edges))
+    rows = _met(facts, F.when((kind == "uses") & own, place), places.select(F.col("place").alias("__key"), F.lit(True).alias("__exists")), "__place")
+    rows = _met(rows, F.col("script"), known.select(F.col("rel").alias("__key"), F.lit(True).alias("__invoked")), "__script")
+    rows = _met(rows, F.col("workflow"), known.select(F.col("rel").alias("__key"), F.lit(True).alias("__dispatched")), "__other")
+
+    # a fact has one edge by its kind (0); a command may invoke a script (1) and dispatch a workflow (2), and means scripts of the package (from 3)
+    numbers = lambda *k: F.array(*[F.lit(x) for x in k])
+    led = F.when(F.col("__invoked") & F.col("__dispatched"), numbers(0, 1, 2)).when(F.col("__invoked"), numbers(0, 1)).when(F.col("__dispatched"), numbers(0, 2)).otherwise(numbers(0))
+    named = F.lit(None).cast("string")
     if scripts is not None:
-        # yarn x, pnpm x and npm test mean npm run x; the tool's own words aren't scripts
-        typed = F.when(two.isin("npm test", "npm start"), F.concat(F.lit("npm run "), word_at(1))).when(word_at(0).isin("npm", "pnpm", "yarn", "bun") & (word_at(1) == "run"), F.concat(F.lit("npm run "), word_at(2))).when(word_at(0).isin("make", "just"), two)
         owners = scripts.groupBy(F.col("name").alias("__key")).agg(F.collect_set("rel").alias("__owners"))
-        rows = _met(rows, F.when(followed, typed), owners, "__typed")
-        target = lambda x: F.concat(x, F.lit("#"), F.regexp_replace("__typed", "^npm run ", ""))
-        named = F.transform("__owners", lambda x: F.struct(step.alias("from"), target(x).alias("to"), F.lit("invokes_target").alias("type"), F.lit("workflow_run").alias("evidence"), F.lit("hard").alias("strength")))
-        found = F.concat(found, F.coalesce(named, F.slice(found, 1, 0)))
-    return rows.select("rel", "line", F.explode(found).alias("__edge")).select("__edge.*", F.col("rel").alias("path"), "line")
+        rows = _met(rows, F.col("typed"), owners, "__typed")
+        led = F.when(F.size("__owners") > 0, F.concat(led, F.sequence(F.lit(3), F.size("__owners") + 2))).otherwise(led)
+        named = F.concat(F.get("__owners", F.col("__edge") - 3), F.lit("#"), F.regexp_replace("__typed", "^npm run ", ""))
+    rows = rows.withColumn("__edge", F.explode(F.when(followed, led).when(kind.isin("job", "needs", "step", "uses"), numbers(0))))
+
+    # what an edge is stands in columns of its own, so that those that nobody asks for aren't computed
+    at = F.col("__edge")
+    first = lambda **by: F.when(kind == "job", by["job"]).when(kind == "needs", by["needs"]).when(kind == "step", by["step"]).when(kind == "uses", by["uses"]).otherwise(by["command"])
+    of = lambda main, script, workflow, target: F.when(at == 0, main).when(at == 1, script).when(at == 2, workflow).otherwise(target)
+    used = F.when(~own, "uses_external_action").when(F.col("__place").startswith(".github/workflows/"), "invokes_workflow").otherwise("invokes_action")
+    strings = lambda **by: first(**{k: F.lit(v) if isinstance(v, str) else v for k, v in by.items()})
+    return rows.select(
+        first(job=F.col("rel"), needs=job, step=job, uses=owner, command=step).alias("from"),
+        of(first(job=job, needs=F.concat(F.lit("job:"), "rel", F.lit("#"), "value"), step=step, uses=F.when(own, F.col("__place")).otherwise(F.concat(F.lit("action:"), "value")), command=F.col("value")), F.col("__script"), F.col("__other"), named).alias("to"),
+        of(strings(job="declares_job", needs="needs_job", step="contains_step", uses=used, command="runs_command"), F.lit("invokes_script"), F.lit("dispatches_workflow"), F.lit("invokes_target")).alias("type"),
+        F.when(at == 2, "workflow_dispatch").otherwise(strings(job="workflow_job", needs="workflow_needs", step="workflow_step", uses="workflow_uses", command="workflow_run")).alias("evidence"),
+        F.when((kind != "uses") | ~own | F.col("__exists"), "hard").otherwise("medium").alias("strength"),
+        F.col("rel").alias("path"),
+        "line",
+    )
 
 
 def _met(rows: DataFrame, key, table: DataFrame, name: str) -> DataFrame:
     """rows with ``key`` as ``name`` and what ``table`` has of its __key, which is unique there; null where it has none. Null keys are dealt over
     tasks where the table is too large to be broadcast."""
-    rows = rows.withColumn(name, key)
+    rows, sent = rows.withColumn(name, key), small(table)
+    if sent is not table:
+        return rows.join(sent.withColumnRenamed("__key", "__met"), F.col(name) == F.col("__met"), "left").drop("__met")
     nowhere = F.concat(F.lit("\0"), F.pmod(F.xxhash64("rel", "line"), F.lit(1000)).cast("string"))
-    return rows.withColumn("__met", F.coalesce(name, nowhere)).join(small(table.withColumnRenamed("__key", "__met")), "__met", "left").drop("__met")
+    return rows.withColumn("__met", F.coalesce(name, nowhere)).join(table.withColumnRenamed("__key", "__met"), "__met", "left").drop("__met")
 
 
 def execution_unknowns(facts: DataFrame) -> DataFrame:

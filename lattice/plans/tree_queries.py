@@ -139,17 +139,17 @@ def workflows(t: Tables, with_steps: bool = True) -> DataFrame:
     jobs = t.orders.select("o_custkey", "o_orderkey")
     if with_steps:
         steps = t.lineitem.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_suppkey"))).alias("steps"))
-        jobs = jobs.join(steps, "o_orderkey", "left").withColumn("steps", F.concat(lit("    steps:\n"), F.array_join(F.transform("steps", step), "")))
-    else:
-        jobs = jobs.withColumn("steps", lit(None).cast("string"))
-    rows = jobs.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "steps"))).alias("jobs"))
+        jobs = jobs.join(steps, "o_orderkey", "left")
+    # numbers are shuffled, and texts made where they are read; reading them is more work than their bytes say
+    jobs = jobs.repartition(_tasks(t, t.orders), "o_custkey")
+    rows = jobs.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(*[x for x in jobs.columns if x != "o_custkey"]))).alias("jobs"))
 
     def job(x, i):
         first = (c("o_custkey") % 10 == 0) & (i == 0)
         needed = F.when(first, F.element_at("jobs", -1)).when(i > 0, F.element_at("jobs", F.floor((i + 1) / 2).cast("int")))["o_orderkey"]
-        return F.concat(_text("  o", x["o_orderkey"], ":\n"), F.when(needed.isNotNull(), _text("    needs: [o", needed, "]\n")).otherwise(""), F.coalesce(x["steps"], lit("")))
+        steps = F.coalesce(F.concat(lit("    steps:\n"), F.array_join(F.transform(x["steps"], step), "")), lit("")) if with_steps else lit("")
+        return F.concat(_text("  o", x["o_orderkey"], ":\n"), F.when(needed.isNotNull(), _text("    needs: [o", needed, "]\n")).otherwise(""), steps)
 
-    rows = rows.repartition(_tasks(t, t.orders), "o_custkey")  # reading them is more work than their bytes say
     return rows.select(_text(".github/workflows/c", c("o_custkey"), ".yml").alias("rel"), _text("name: orders\non: push\njobs:\n", F.array_join(F.transform("jobs", job), "")).alias("text"))
 
 

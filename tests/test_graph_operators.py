@@ -176,6 +176,61 @@ def test_workflow_chain(spark):
     assert [(r["kind"], r["line"]) for r in workflow.execution_unknowns(facts).collect()] == [("external_action_execution", 7)]
 
 
+def test_odd_workflows_and_what_commands_name(spark):
+    from pyspark.sql import functions as F
+
+    from lattice.functions.text import normalized_path
+
+    text = """# jobs: not here
+jobs:\t
+  # a note
+  "one":
+    needs:
+      - two
+
+      - 'three' # last
+    steps:
+    -\tname: no item
+    -  name : spaced
+       run: |
+\t
+          bash -x ./scripts/../tools/a.sh; npm test
+            gh workflow run other.yml
+
+       uses: ./actions/x/ # why
+    - run: "make all && cat <<E"
+    - - run: deeper
+  two:
+    run: none
+    steps:
+      - run: >-
+          yarn run build
+
+          ./b.sh
+end: 1
+  three:
+"""
+    got = [(kind, job, step, name, line, value) for kind, job, step, name, line, value, *_ in workflow.read_workflow(text)]
+    assert got == [
+        ("job", "one", None, "one", 4, None), ("needs", "one", None, "one", 5, "two"), ("needs", "one", None, "one", 5, "three"),
+        ("step", "one", 1, "spaced", 11, None), ("command", "one", 1, None, 14, "bash -x ./scripts/../tools/a.sh"), ("command", "one", 1, None, 14, "npm test"), ("command", "one", 1, None, 15, "gh workflow run other.yml"), ("uses", "one", 1, None, 17, "./actions/x/"),
+        ("step", "one", 2, None, 18, None), ("command", "one", 2, None, 18, "make all"), ("command", "one", 2, None, 18, "cat <<E"),
+        ("step", "one", 3, None, 19, None), ("job", "two", None, "two", 20, None),
+        ("step", "two", 1, None, 23, None), ("command", "two", 1, None, 24, "yarn run build"), ("command", "two", 1, None, 26, "./b.sh"),
+    ]
+    assert [x[-3:] for x in workflow.read_workflow(text) if x[0] == "command"] == [
+        ("tools/a.sh", None, None), ("npm", None, "npm run test"), ("gh", ".github/workflows/other.yml", None), ("make", None, "make all"), (None, None, None), ("yarn", None, "npm run build"), ("b.sh", None, None),
+    ]
+    rng = random.Random(5)
+    paths = ["/".join(rng.choice(["a", "b.ts", "..", ".", "", "..c", "...", "x\\y"]) for _ in range(rng.randint(1, 6))) for _ in range(500)]
+    want = dict(map(tuple, spark.createDataFrame([(p,) for p in paths], "p string").select("p", normalized_path(F.col("p"))).collect()))
+    assert {p: workflow._named(["bash", "-x", p])[0] for p in paths} == want
+    # nothing of an edge is interpreted row by row
+    facts, files = workflow.workflow_facts(spark.createDataFrame([("w.yml", text)], "rel string, text string")), spark.createDataFrame([("b.sh",)], "rel string")
+    plan = workflow.execution_edges(facts, files)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "RLIKE" not in plan
+
+
 def test_workflows_are_read_in_bounded_batches(spark, monkeypatch):
     import pyarrow as pa
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,12 +38,19 @@ _PATTERN = re.compile(r"/(?![/*])(?:[^\n\\\[/]|\\.|\[(?:[^\n\\\]]|\\.)*\])+/")
 def _runs(language: str) -> tuple[re.Pattern, dict[str, re.Pattern]]:
     """What begins nothing outside literals and comments, and what begins nothing inside each literal."""
     comment, block, quotes, spans = _SYNTAX[language]
-    begins = {"\n", "/" if language == "javascript/typescript" else "\n", *quotes, *(s[0] for s in spans), *(x[0] for x in (comment, block and block[0]) if x)}
+    begins = {"/" if language == "javascript/typescript" else quotes[0], *quotes, *(s[0] for s in spans), *(x[0] for x in (comment, block and block[0]) if x)}
     none_of = lambda chars: re.compile("[^" + re.escape("".join(sorted(chars))) + "]+")
     return none_of(begins), {mark: none_of({"\n", "\\", mark[0]}) for mark in (*quotes, *spans)}
 
 
 _RUNS = {language: _runs(language) for language in _SYNTAX}
+#: A literal that ends on its line and escapes nothing.
+_WHOLE = {q: re.compile(rf"{q}[^{q}\\\n]*{q}") for q in "'\"`"}
+
+
+def _last(out: list[str]) -> str:
+    """The end of the last piece that isn't blank, without the spaces behind it."""
+    return next((p[-40:] for piece in reversed(out) if (p := piece.rstrip())), "")
 
 
 def code_of(text: str, language: str) -> list[str]:
@@ -96,11 +104,15 @@ def code_of(text: str, language: str) -> list[str]:
             depth = 1
             out.append(" " * len(block[0]))
             i += len(block[0])
-        elif c == "/" and language == "javascript/typescript" and _BEFORE_PATTERN.search("".join(out[-40:]).rstrip()) and (pattern := _PATTERN.match(text, i)):
+        elif c == "/" and language == "javascript/typescript" and _BEFORE_PATTERN.search(_last(out)) and (pattern := _PATTERN.match(text, i)):
             out.append("/" + " " * (len(pattern[0]) - 2) + "/")
             i = pattern.end()
         else:
             mark = next((s for s in spans if text.startswith(s, i)), c if c in quotes else "")
+            if len(mark) == 1 and (whole := _WHOLE[mark].match(text, i)):
+                out.append(mark + " " * (whole.end() - i - 2) + mark)
+                i = whole.end()
+                continue
             until = mark
             out.append(mark or c)
             i += len(mark) or 1
@@ -110,16 +122,34 @@ def code_of(text: str, language: str) -> list[str]:
 def lines(bodies: DataFrame) -> DataFrame:
     """rel, language, line_no (from 1), text and code of each line of bodies (rel, language, text). Null texts have none."""
     python_ready(bodies.sparkSession)
+    return bodies.select("rel", "language", "text").mapInArrow(lexed_batches, "rel string, language string, line_no int, text string, code string")
+
+
+#: Lines after which a batch is handed on: small files share one, and large ones don't pile up.
+_PACKED_LINES = 16_384
+
 
-    def lexed(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for rel, language, text in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = (text or "").split("\n")
-                code = code_of(text or "", language or "")
-                if text is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([rel] * len(raw), pa.string()), pa.array([language] * len(raw), pa.string()), pa.array(range(1, len(raw) + 1), pa.int32()), pa.array(raw, pa.string()), pa.array(code, pa.string())], names=["rel", "language", "line_no", "text", "code"])
+def lexed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(rels, languages, raws, codes):
+        counts = [len(x) for x in raws]
+        owner = pa.array(np.repeat(np.arange(len(rels)), counts))
+        numbers = np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in counts]) if counts else np.empty(0, np.int32)
+        columns = [pa.array(rels, pa.string()).take(owner), pa.array(languages, pa.string()).take(owner), pa.array(numbers), *(pa.array([row for x in rows for row in x], pa.string()) for rows in (raws, codes))]
+        return pa.RecordBatch.from_arrays(columns, names=["rel", "language", "line_no", "text", "code"])
 
-    return bodies.select("rel", "language", "text").mapInArrow(lexed, "rel string, language string, line_no int, text string, code string")
+    for batch in batches:
+        files, size = ([], [], [], []), 0
+        for rel, language, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if text is None:
+                continue
+            raw = text.split("\n")
+            for column, x in zip(files, (rel, language, raw, code_of(text, language or ""))):
+                column.append(x)
+            size += len(raw)
+            if size >= _PACKED_LINES:
+                yield packed(*files)
+                files, size = ([], [], [], []), 0
+        yield packed(*files)
 
 
 #: Words and signs of a line.
@@ -140,15 +170,27 @@ _SET_ASIDE = {
 }
 
 
+def _once(value, then):
+    """``then`` of ``value``, which is computed once however often it is used: in a lambda it is a variable, elsewhere it would be written out each time."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _declared(language: str, code):
     """name, raw (what is declared) and export of the declaration that a line begins with; null where it begins with none."""
-    before, exporting, kinds = _DECLARING[language]
+    before = _DECLARING[language][0]
     for pattern in _SET_ASIDE.get(language, ()):
         code = F.regexp_replace(code, pattern, " ")
-    tokens = F.regexp_extract_all(code, F.lit(_TOKEN), F.lit(0))
-    placed = F.transform(tokens, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    first = F.get(F.filter(placed, lambda s: ~s["x"].isin(before.split())) if before else placed, F.lit(0))
-    word, rest = first["x"], F.slice(tokens, first["i"] + 2, F.size(tokens))
+    placed = lambda tokens: F.transform(tokens, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    first = lambda tokens: F.get(F.filter(placed(tokens), lambda s: ~s["x"].isin(before.split())) if before else placed(tokens), F.lit(0))
+    rest = lambda tokens, found: F.slice(tokens, found["i"] + 2, F.size(tokens))
+    named = lambda tokens, found: _once(rest(tokens, found), lambda x: _declaration(language, code, tokens, found, x))
+    return _once(F.regexp_extract_all(code, F.lit(_TOKEN), F.lit(0)), lambda tokens: _once(first(tokens), lambda found: named(tokens, found)))
+
+
+def _declaration(language: str, code, tokens, first, rest):
+    """tokens: words and signs of a line; first: the one that may declare, and its place; rest: what comes after that."""
+    _, exporting, kinds = _DECLARING[language]
+    word = first["x"]
     named = F.get(F.filter(rest, lambda x: x.rlike(_NAME)), F.lit(0))
     raw = None
     for k, v in kinds.items():
@@ -195,8 +237,11 @@ def symbols(lines_: DataFrame) -> DataFrame:
 
 def declared_names(lines_: DataFrame) -> DataFrame:
     """rel and name of each declaration, without where it ends; lines are read once, whatever their languages."""
-    s = F.coalesce(*[F.when(F.col("language") == language, _declared(language, F.col("code"))) for language in _DECLARING])
-    return lines_.select("rel", s.alias("s")).filter("s IS NOT NULL").select("rel", "s.name").distinct()
+    words = "|".join(sorted({word for _, _, kinds in _DECLARING.values() for word in kinds}))
+    name = F.coalesce(*[F.when(F.col("language") == language, _declared(language, F.col("code"))["name"]) for language in _DECLARING])
+    # a line without any declaring word isn't read, and the others once: what is exploded isn't written out again in a filter
+    rows = lines_.filter(F.rlike(F.col("code"), F.lit(words)))
+    return rows.select("rel", F.explode(F.array(name)).alias("name")).filter("name IS NOT NULL").distinct()
 
 
 #: Literals, words (with dots, where modules have them) and signs of a line.

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .joins import small
 
 ONE, AMBIGUOUS = 1, 2
 _STATE = ["file", "name", "kind", "owner", "symbol", "path"]
@@ -41,23 +42,25 @@ def public_names(exports: DataFrame, reexports: DataFrame, stars: DataFrame, rou
     # what has come to be known, round by round; a name comes at most twice, and then stays ambiguous
     log, again, changed = states, None, states
     for _ in range(rounds):
-        came = _through_stars(changed, links).filter(~F.array_contains("path", F.col("file")) | (F.col("kind") == AMBIGUOUS))
-        met = came.groupBy("file", "name").agg(F.count("*").alias("n"), F.max("kind").alias("kind"), F.any_value(F.struct("owner", "symbol", "path")).alias("x"))
-        met = met.join(explicit.select("file", "name"), ["file", "name"], "left_anti")
-        taken_from = _through_aliases(changed, aliases).filter(~F.array_contains("path", F.col("file")) | (F.col("kind") == AMBIGUOUS))
-        met = met.unionByName(taken_from.select("file", "name", F.lit(1).cast("long").alias("n"), "kind", F.struct("owner", "symbol", "path").alias("x")))
-        # what was known of a name came from another file, or from this one, which has become ambiguous since
-        before = log.select("file", "name", F.col("kind").alias("was"))
-        before = before.groupBy("file", "name").agg(F.max("was").alias("was"))
-        met = met.join(before, ["file", "name"], "left").filter(F.col("was").isNull() | (F.col("was") == ONE))
+        # what comes to a name meets what is known of it in one shuffle and one sort: whether its file exports it explicitly, and which kind it had, from another
+        # file, or from this one, which has become ambiguous since
+        rows = _arrived(_through_stars(changed, links), "star").unionByName(_arrived(_through_aliases(changed, aliases), "alias"), allowMissingColumns=True)
+        rows = rows.unionByName(explicit.select("file", "name", F.lit(True).alias("said")), allowMissingColumns=True).unionByName(log.select("file", "name", F.col("kind").alias("was")), allowMissingColumns=True)
+        of = lambda way: F.any_value(F.when(F.col(way).isNotNull(), F.col("x")), ignoreNulls=True).alias(f"x_{way}")
+        met = rows.repartition("file", "name").groupBy("file", "name").agg(F.count("star").alias("n"), F.max("star").alias("star"), F.max("alias").alias("alias"), F.max("said").alias("said"), F.max("was").alias("was"), of("star"), of("alias"))
+        # an explicit name has only what it is taken from
+        by = lambda taken, starred: F.when(F.col("said"), taken).otherwise(starred)
+        met = met.select("file", "name", by(F.lit(1).cast("long"), F.col("n")).alias("n"), by(F.col("alias"), F.col("star")).alias("kind"), by(F.col("x_alias"), F.col("x_star")).alias("x"), "was")
+        met = met.filter(F.col("kind").isNotNull() & (F.col("was").isNull() | (F.col("was") == ONE)))
         several = (F.col("n") > 1) | (F.col("kind") == AMBIGUOUS) | F.col("was").isNotNull()
         only = lambda c, nothing: F.when(~several, F.concat(F.col("x.path"), F.array("file")) if c == "path" else F.col(f"x.{c}")).otherwise(nothing).alias(c)
         now = met.select("file", "name", F.when(several, AMBIGUOUS).otherwise(ONE).alias("kind"), only("owner", none), only("symbol", none), only("path", F.array("file")), F.col("was").isNotNull().alias("again"))
         now = cut(now)
         if now.isEmpty():
-            return _named(log if again is None else log.join(again.withColumn("kind", F.lit(ONE)), ["file", "name", "kind"], "left_anti"))
+            return _named(log if again is None else log.join(small(again.withColumn("kind", F.lit(ONE))), ["file", "name", "kind"], "left_anti"))
         more = now.filter("again").select("file", "name")
-        again = more if again is None else again.unionByName(more)
+        if not more.isEmpty():
+            again = more if again is None else again.unionByName(more)
         changed = now.select(*_STATE)
         log = log.unionByName(changed)
     raise RuntimeError(f"names did not settle in {rounds} rounds")
@@ -67,6 +70,12 @@ def _named(states: DataFrame) -> DataFrame:
     return states.select("file", "name", F.when(F.col("kind") == ONE, "one").otherwise("ambiguous").alias("status"), "owner", "symbol", F.when(F.col("kind") == ONE, F.size("path") - 1).alias("hops"))
 
 
+def _arrived(rows: DataFrame, way: str) -> DataFrame:
+    """What comes to names on this way, with its kind under that name; what leads back to a file that it came through doesn't."""
+    rows = rows.filter(~F.array_contains("path", F.col("file")) | (F.col("kind") == AMBIGUOUS))
+    return rows.select("file", "name", F.col("kind").alias(way), F.struct("owner", "symbol", "path").alias("x"))
+
+
 def _through_aliases(changed: DataFrame, aliases: DataFrame) -> DataFrame:
     met = changed.withColumnsRenamed({"file": "source", "name": "source_name"}).join(aliases.filter("source_name <> '*'"), ["source", "source_name"])
     return met.select(*_STATE)

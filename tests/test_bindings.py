@@ -143,3 +143,34 @@ def test_normalized_paths(spark):
     frame = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string").select("i", normalized_path(F.col("p")).alias("n"))
     got = dict(map(tuple, frame.collect()))
     assert [got[i] for i in range(len(paths))] == want
+
+
+def test_statements_of_barrels_and_plain_literals():
+    assert read(JS, "export*from'./a';export * from './b'\nexport *\n  from \"./c\"; export * fromage './no'; import * from './no'; export * as d from './d'; exports * from './no'\nexport * from `./e`; x.export * from './no'") == [
+        ("star", "./a", None, None), ("star", "./b", None, None), ("star", "./c", None, None), ("reexport", "./d", "*", "d"), ("star", "./e", None, None),
+    ]
+    assert B.code_of("a = 'b' + \"c'd\"; // 'e\n\n\n/'f\"/.x; g / h / 'i\\'j'\n`k\nl` 'm", JS) == ["a = ' ' + \"   \";      ", "", "", "/   /.x; g / h / '    '", "` ", " ` ' "]
+
+
+def test_rounds_and_lines_are_read_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lattice.operators import extract
+
+    # small files share a batch, and files of many lines don't pile up
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{i}" for i in range(7)]), pa.array([JS] * 6 + [None]), pa.array(["const a = 1\n", None, "", "x\ny", "'z'", "// w", "q"])], names=["rel", "language", "text"])
+    [got] = extract.lexed_batches([batch])
+    assert [tuple(r.values()) for r in got.to_pylist()] == [("f0", JS, 1, "const a = 1", "const a = 1"), ("f0", JS, 2, "", ""), ("f2", JS, 1, "", ""), ("f3", JS, 1, "x", "x"), ("f3", JS, 2, "y", "y"), ("f4", JS, 1, "'z'", "' '"), ("f5", JS, 1, "// w", "    "), ("f6", None, 1, "q", "q")]
+    monkeypatch.setattr(extract, "_PACKED_LINES", 2)
+    assert [b.num_rows for b in extract.lexed_batches([batch])] == [2, 3, 2, 1]
+    # a line's words are written out once for each language
+    rows = spark.createDataFrame([("f", JS, 1, "export const a = 1", "export const a = 1")], "rel string, language string, line_no int, text string, code string")
+    plan = extract.declared_names(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 5 and extract.declared_names(rows).collect() == [("f", "a")]
+
+
+def test_an_explicit_name_keeps_what_it_is_taken_from(spark):
+    # stars and an alias bring the same name in one round; two stars bring another one, of which a third comes a round later
+    got = means(spark, [("a", "x", "x"), ("b", "x", "x"), ("b", "y", "y"), ("c", "y", "y")], [("top", "x", "a", "x")], [("top", "b"), ("top", "c"), ("m", "c"), ("late", "m"), ("late", "b"), ("over", "late")])
+    assert got[("top", "x")] == ("a", "x", 1) and got[("top", "y")] == "ambiguous" and got[("m", "y")] == ("c", "y", 1)
+    assert got[("late", "x")] == ("b", "x", 1) and got[("late", "y")] == got[("over", "y")] == "ambiguous"
